@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, flac, language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": language_id.query,
         "op6_byte_bpe": byte_bpe.query,
+        "op9_flac": flac.query,
     }
 
 
