@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Python only cuts texts into pre-tokens and puts documents together again.  The
-merges are Spark SQL: for every distinct word of a block of documents,
+merges are Spark SQL: for every distinct word of a partition,
 ``aggregate`` folds ranked merges over the array of the word's bytes.  Ranks come
 from one literal: an array of small maps, addressed by crc32 of a piece, so a
 lookup scans a handful of entries instead of the vocabulary.  Decoding looks up
@@ -10,11 +10,11 @@ each id's piece in a literal array and concatenates the pieces.
 A byte is held as the character of the same number (U+0000 to U+00FF), which
 lets the rank map be a JSON literal that Catalyst folds once.
 
-No row is shuffled: a block is a run of documents of one partition, at most
-``block_chars`` characters or one document.
+No row is shuffled: a word travels once per task, before the first document that
+holds it, and the narrow steps keep that order.
 
 Defined results: a null text is an empty text (no ids, hash of no bytes); a very
-long text is one block of its own; repeated rows give repeated results; an empty
+long text is a group of its own; repeated rows give repeated results; an empty
 table gives no rows; columns other than the id and the text are not read.
 Unpaired surrogates cannot occur in a Spark string.
 """
@@ -26,12 +26,13 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHUNK
+from .common import SPACE_CHUNK, text_groups
 
 BUCKETS = 8192
 
@@ -42,6 +43,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file) if piece}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: a lambda over a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class RankLiteral:
     """The vocabulary as two literals and the expressions that read them."""
 
@@ -63,118 +69,126 @@ class RankLiteral:
     def encode(self, word: Column) -> Column:
         """Ids of a word: its own rank, or the fold of merges over its bytes."""
         rank = self.rank
-        parts = F.split(word, "")
-        state = F.struct(
-            parts.alias("parts"),
-            F.transform(
-                F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))),
-            ).alias("ranks"),
-        )
+        none = F.array().cast("array<int>")
 
-        def merge(acc: Column, _: Column) -> Column:
-            old, ranks = acc["parts"], acc["ranks"]
-            least = F.array_min(ranks)
-            at = F.array_position(ranks, least).cast("int")  # pair (at, at + 1), counted from 1
-            joined = F.concat(F.get(old, at - 1), F.get(old, at))
+        def state(parts: Column) -> Column:
+            pairs = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(none)
+            ranks = F.transform(pairs, lambda i: let(F.concat(F.get(parts, i - 1), F.get(parts, i)), rank))
+            return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+
+        def join(old: Column, ranks: Column, at: Column, joined: Column) -> Column:
+            left = F.when(at > 1, F.array(let(F.concat(F.get(old, at - 2), joined), rank))).otherwise(none)
+            right = F.when(at < F.size(ranks), F.array(let(F.concat(joined, F.get(old, at + 1)), rank))).otherwise(none)
             size = F.size(old)
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(old, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < size, F.array(rank(F.concat(joined, F.get(old, at + 1))))).otherwise(F.array().cast("array<int>"))
-            merged = F.struct(
+            return F.struct(
                 F.concat(F.slice(old, 1, at - 1), F.array(joined), F.slice(old, at + 2, size)).alias("parts"),
                 F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, size)).alias("ranks"),
             )
-            return F.when(least.isNull(), acc).otherwise(merged)
 
-        folded = F.aggregate(parts, state, merge, lambda acc: F.transform(acc["parts"], rank))
-        return F.coalesce(F.when(rank(word).isNotNull(), F.array(rank(word))), folded)
+        def merge(acc: Column, _: Column) -> Column:
+            old, ranks = acc["parts"], acc["ranks"]
+
+            def at_least(least: Column) -> Column:
+                # the pair (at, at + 1), counted from 1, is the leftmost of the least rank
+                place = F.array_position(ranks, least).cast("int")
+                merged = let(place, lambda at: let(F.concat(F.get(old, at - 1), F.get(old, at)), lambda joined: join(old, ranks, at, joined)))
+                return F.when(least.isNull(), acc).otherwise(merged)
+
+            return let(F.array_min(ranks), at_least)
+
+        folded = let(F.split(word, ""), lambda parts: F.aggregate(parts, state(parts), merge, lambda acc: F.transform(acc["parts"], rank)))
+        return let(rank(word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of ids, one character a byte: the concatenation of their pieces."""
         return F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), "")
 
 
-def _cut(batches: Iterator, pattern: str, block_chars: int) -> Iterator:
-    """Blocks of documents: distinct words, chunks as word numbers, documents as chunk numbers."""
+#: Rows between the two Python steps: new words, then new chunks as word numbers,
+#: then documents as chunk numbers.  A row of nulls alone empties the dictionaries.
+STREAM = "doc_id bigint, doc binary, chunk array<int>, word string"
+
+
+def _cut(batches: Iterator, pattern: str, group: int, most: int) -> Iterator:
+    """Documents of a partition as numbers of chunks, each new chunk and word sent once before its first use."""
     import numpy as np
     import pyarrow as pa
     import regex
 
     words_of = regex.compile(pattern).findall
-    schema = pa.schema([
-        ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.binary())), ("chunks", pa.list_(pa.list_(pa.int32()))), ("words", pa.list_(pa.string())),
-    ])
-
-    def block(ids: list, docs: list, chunk_no: dict):
-        word_no: dict[str, int] = {}
-        chunks = [[word_no.setdefault(w.encode().decode("latin-1"), len(word_no)) for w in words_of(c)] for c in chunk_no]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids], schema.field(0).type), pa.array([docs], schema.field(1).type), pa.array([chunks], schema.field(2).type), pa.array([list(word_no)], schema.field(3).type)],
-            schema=schema,
-        )
-
-    ids, docs, chunk_no, size = [], [], {}, 0
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.string())
+    names = ["doc_id", "doc", "chunk", "word"]
+
+    def rows(n: int, **columns: list):
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(x, [None] * n), k) for x, k in zip(names, kinds, strict=True)], names=names)
+
+    chunk_no: dict[str, int] = {}
+    word_no: dict[str, int] = {}
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            if size and size + len(text) > block_chars:
-                yield block(ids, docs, chunk_no)
-                ids, docs, chunk_no, size = [], [], {}, 0
-            add = chunk_no.setdefault
-            ids.append(doc_id)
-            docs.append(np.array([add(c, len(chunk_no)) for c in SPACE_CHUNK.findall(text)], dtype=np.uint32).tobytes())
-            size += len(text)
-    if ids:
-        yield block(ids, docs, chunk_no)
+        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for a, b in text_groups(texts, group):
+            if len(chunk_no) > most:
+                chunk_no.clear(), word_no.clear()
+                yield rows(1)
+            first, known, add = len(chunk_no), len(word_no), chunk_no.setdefault
+            docs = [np.array([add(c, len(chunk_no)) for c in SPACE_CHUNK.findall(t)], dtype=np.uint32).tobytes() for t in texts[a:b]]
+            new = list(islice(chunk_no, first, None))
+            chunks = [[word_no.setdefault(w.encode().decode("latin-1"), len(word_no)) for w in words_of(c)] for c in new]
+            words = list(islice(word_no, known, None))
+            for c in range(0, len(words), 10_000):
+                part = words[c : c + 10_000]
+                yield rows(len(part), word=part)
+            if chunks:
+                yield rows(len(chunks), chunk=chunks)
+            yield rows(b - a, doc_id=ids[a:b], doc=docs)
 
 
 def _assemble(batches: Iterator, keep: bool) -> Iterator:
-    """Documents of a block, from the ids and bytes of its words."""
+    """Documents from the ids and bytes of the words that came before them."""
     import numpy as np
     import pyarrow as pa
 
+    words: list[tuple[bytes, bytes]] = []
+    coded: list[bytes] = []
+    plain: list[bytes] = []
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
     for batch in batches:
-        for row in range(batch.num_rows):
-            ids, docs, chunks, word_ids, word_text = (batch.column(i)[row] for i in range(5))
-            flat = word_ids.values
-            lists = [np.asarray(x, dtype=np.uint32) for x in flat.to_pylist()] if len(flat) else []
-            texts = [x.encode("latin-1") for x in word_text.as_py()]
-            of_chunk = [(np.concatenate([lists[w] for w in c]) if len(c) != 1 else lists[c[0]], b"".join([texts[w] for w in c])) for c in chunks.as_py()]
-            out = {"doc_id": ids.as_py(), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            for doc in docs:
-                numbers = np.frombuffer(doc.as_py(), dtype=np.uint32).tolist()
-                coded = np.concatenate([of_chunk[c][0] for c in numbers]) if numbers else np.zeros(0, np.uint32)
-                decoded = b"".join([of_chunk[c][1] for c in numbers])
-                packed = coded.astype("<u4").tobytes()
-                out["n_tokens"].append(len(coded))
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                if keep:
-                    out["ids"].append(coded.astype(np.int32))
-                    out["decoded"].append(decoded)
-            columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.binary())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        out: list[tuple] = []
+        for doc_id, doc, chunk, ids, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if ids is not None:
+                words.append((np.array(ids, dtype="<u4").tobytes(), text.encode("latin-1")))
+            elif chunk is not None:
+                own = [words[w] for w in chunk]
+                coded.append(b"".join([w[0] for w in own]))
+                plain.append(b"".join([w[1] for w in own]))
+            elif doc is not None:
+                numbers = np.frombuffer(doc, dtype=np.uint32).tolist()
+                packed, decoded = b"".join(map(coded.__getitem__, numbers)), b"".join(map(plain.__getitem__, numbers))
+                row = (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                out.append((*row, np.frombuffer(packed, "<u4").astype(np.int32), decoded) if keep else row)
+            else:
+                words, coded, plain = [], [], []
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds[: len(columns)], strict=True)], names=names[: len(columns)])
 
 
 def byte_bpe(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    block_chars: int = 4_000_000, keep_ids: bool = True,
+    group: int = 4_000_000, most_chunks: int = 500_000, keep_ids: bool = True,
 ) -> DataFrame:
     """Encode and decode texts.
 
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256 and, with
-    ``keep_ids``, the ids (array<int>) and the decoded bytes.
+    ``keep_ids``, the ids (array<int>) and the decoded bytes.  ``group`` bounds
+    the characters worked on at once, ``most_chunks`` the dictionary of a task.
     """
     literal = RankLiteral(ranks)
-    blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        lambda it: _cut(it, pattern, block_chars), "ids array<bigint>, docs array<binary>, chunks array<array<int>>, words array<string>"
-    )
-    coded = blocks.select("ids", "docs", "chunks", F.transform("words", literal.encode).alias("word_ids"))
-    decoded = coded.select("ids", "docs", "chunks", "word_ids", F.transform("word_ids", literal.decode).alias("word_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    stream = rows.mapInArrow(lambda it: _cut(it, pattern, group, most_chunks), STREAM)
+    coded = stream.withColumn("ids", F.when(F.col("word").isNotNull(), literal.encode(F.col("word"))))
+    decoded = coded.select("doc_id", "doc", "chunk", "ids", literal.decode(F.col("ids")).alias("text"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
     return decoded.mapInArrow(lambda it: _assemble(it, keep_ids), schema)
 
