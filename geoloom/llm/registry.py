@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, language_id, packing
+from . import byte_bpe, flac, language_id, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_files": token_files.query,
         "op5_language_id": language_id.query,
         "op6_byte_bpe": byte_bpe.query,
         "op9_flac": flac.query,
