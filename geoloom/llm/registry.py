@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, language_id, packing, token_files
+from . import byte_bpe, flac, language_id, near_dedup, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": token_files.query,
         "op5_language_id": language_id.query,
         "op6_byte_bpe": byte_bpe.query,
+        "op7_near_dedup": near_dedup.query,
         "op9_flac": flac.query,
         "op10_best_fit": packing.query,
     }
