@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, language_id, near_dedup, packing, token_files
+from . import byte_bpe, flac, language_id, near_dedup, packing, quality, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.query,
         "op3_token_files": token_files.query,
         "op5_language_id": language_id.query,
         "op6_byte_bpe": byte_bpe.query,
         "op7_near_dedup": near_dedup.query,
+        "op8_quality": quality.query,
         "op9_flac": flac.query,
         "op10_best_fit": packing.query,
     }
