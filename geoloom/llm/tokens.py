@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import SPACE_CHUNK
 
-CACHE = 400_000
+CACHE = 1_000_000
 JOIN = 256
 
 
@@ -64,7 +64,12 @@ class TextEncoder:
         known, cut = self._ids, SPACE_CHUNK.findall
         if len(known) > CACHE:
             known.clear()
-        chunks = [cut(t or "") for t in texts]
-        self._learn(list({c for part in chunks for c in part if c not in known}))
         last = b"" if end is None else np.array([end], dtype=np.uint32).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, part), last]), dtype=np.uint32) for part in chunks]
+        chunks = [cut(t or "") for t in texts]
+        found = [[*map(known.get, part), last] for part in chunks]
+        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        self._learn(list({part[i] for part, own in zip(chunks, gaps, strict=True) for i in own}))
+        for part, ids, own in zip(chunks, found, gaps, strict=True):
+            for i in own:
+                ids[i] = known[part[i]]
+        return [np.frombuffer(b"".join(ids), dtype=np.uint32) for ids in found]
