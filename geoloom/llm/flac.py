@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 576
-LANES = 4096
+LANES = 1024
 PAD = b"\xff"
 
 
@@ -479,14 +479,14 @@ def _encode_batches(batches: Iterator, group: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
 
-def encode_column(df: DataFrame, id_col: str, payload: str, group: int = 4_000_000) -> DataFrame:
+def encode_column(df: DataFrame, id_col: str, payload: str, group: int = 1_000_000) -> DataFrame:
     """id, n_bytes and media: the FLAC stream of each binary payload."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(payload).cast("binary").alias("payload")).mapInArrow(
         lambda it: _encode_batches(it, group), "id bigint, n_bytes bigint, media binary"
     )
 
 
-def decode_column(media: DataFrame, group: int = 4_000_000) -> DataFrame:
+def decode_column(media: DataFrame, group: int = 1_000_000) -> DataFrame:
     """id, n_bytes, media and payload: the padded bytes that the stored stream gives back."""
 
     def run(batches: Iterator) -> Iterator:
