@@ -42,6 +42,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps.
+
+    It does so when the driver's JVM collects their plans, which an idle heap may
+    put off until executors' disks are full.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path) of a URI or a plain local path."""
     from pyarrow import fs

@@ -10,8 +10,8 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
    only for its rarest values: two classes that share at least ``need`` values meet
    in one of the ``shared - need + 1`` rarest (prefix filter).  A passage that many
    documents share therefore makes no candidates among documents that differ.
-3. In two *star* rounds each list compares its members with one pivot, a row per
-   member, and links join components.
+3. In two *star* rounds each list offers its members one pivot; a member is
+   compared with the pivot of best estimate, and links join components.
 4. What is left are lists that hold several components.  Each member of a smaller
    component is compared with every member of the larger ones, in blocks of
    ``BLOCK`` members, so no link between components is missed.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.graph import connected_components
 
-from .common import materialise
+from .common import materialise, release
 
 K = 48
 NEED = 26
@@ -100,6 +100,18 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, print binary, sketch array<bigint>")
 
 
+def pack_set(hashes: np.ndarray) -> bytes:
+    """A set's hashes at six bytes each; 48 bits tell the shingles of two documents apart."""
+    low = np.unique(hashes.view(np.uint64) & np.uint64(0xFFFFFFFFFFFF)).astype("<u8")
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is counted and found small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -141,7 +153,7 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
             for k1, k2, side, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (k1, k2) != key:
                     key, ids, sets, index = (k1, k2), [], [], None
-                own = np.frombuffer(raw, np.int64)
+                own = unpack_set(raw)
                 if side == 0:
                     ids.append(doc), sets.append(own)
                     continue
@@ -183,6 +195,7 @@ def near_duplicates(
 
     ``similarity`` is in hundredths.  ``component_id`` is the least id reachable.
     """
+    spark = docs.sparkSession
     sketched = materialise(sketches(docs, words, k, id_col, text_col), "sketches")
     real = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(
@@ -197,13 +210,14 @@ def near_duplicates(
 
         shingles = Shingler(words)
         for batch in batches:
-            packed = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+            packed = [pack_set(shingles(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "hashes"])
 
     wanted = materialise(lists.select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary").dropDuplicates(["id"]), "sets")
-    sketch = classes.select(F.col("rep").alias("id"), "sketch")
+    sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary"), "sets")
+    sketch = materialise(classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "sketch"), "sketch")
+    release(spark)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -219,6 +233,7 @@ def near_duplicates(
         found = materialise(found, "links")
         links = found if links is None else links.unionAll(found)
         labels = connected_components(links, materialise)
+        release(spark)
 
     for seed in (1, 2):
         placed = labelled(lists)
@@ -227,7 +242,10 @@ def near_duplicates(
         pairs = placed.join(pivots.select("value", "pivot"), "value").where("component <> pivot.component")
         pairs = pairs.select(F.col("pivot.rep").alias("key"), F.col("rep").alias("id")).distinct()
         pairs = pairs.join(sketch.select("id", F.col("sketch").alias("own")), "id").join(sketch.select(F.col("id").alias("key"), F.col("sketch").alias("other")), "key")
-        pairs = materialise(pairs.where(_estimate("own", "other", k) >= estimate).select("key", "id"), "pairs")
+        # the nearest pivot is enough for a round; what it misses stays for the last step
+        pairs = pairs.withColumn("near", _estimate("own", "other", k)).where(F.col("near") >= estimate)
+        pairs = materialise(pairs.groupBy("id").agg(F.max_by("key", F.struct("near", "key")).alias("key")), "pairs")
+        release(spark)
         # a hot pivot's members are dealt out over parts, each with its own copy of the pivot
         parts = pairs.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
         members = pairs.join(parts, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"))
