@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, language_id, near_dedup, packing, quality, token_files, toxicity
+from . import byte_bpe, flac, language_id, near_dedup, nearest, packing, quality, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.query,
         "op2_toxicity": toxicity.query,
         "op3_token_files": token_files.query,
+        "op4_nearest": nearest.query,
         "op5_language_id": language_id.query,
         "op6_byte_bpe": byte_bpe.query,
         "op7_near_dedup": near_dedup.query,
