@@ -14,7 +14,7 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
    compared with the pivot of best estimate, and links join components.
 4. What is left are lists that hold several components.  Each member of a smaller
    component is compared with every member of the larger ones, in blocks of
-   ``BLOCK`` members, so no link between components is missed.
+   ``BLOCK`` members, first by sketch and then in full, so no link is missed.
 
 ``need`` and the estimate's threshold lie four standard deviations below what a
 similarity of 0.8 gives; sets of at most ``0.8 k`` shingles are handled exactly.
@@ -134,53 +134,94 @@ def _estimate(a: str, b: str, k: int):
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
+def _groups(batches: Iterator, decode) -> Iterator:
+    """(key, part, id, own values, index of the block) for every row of side 1, block by block.
+
+    The index holds all values of the block's rows of side 0 in order, with their
+    owners, and the owners' ids and sizes.
+    """
+    key, ids, sets, index = None, [], [], None
+    for batch in batches:
+        for k1, k2, side, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (k1, k2) != key:
+                key, ids, sets, index = (k1, k2), [], [], None
+            own = decode(raw)
+            if side == 0:
+                ids.append(doc), sets.append(own)
+                continue
+            if not ids:
+                continue
+            if index is None:
+                values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+                order = np.argsort(values, kind="stable")
+                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, sets
+            yield k1, k2, doc, own, index
+        yield None  # the batch is over
+
+
+def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
+    """How many values each member of a block shares with a set."""
+    values, owner, sizes = index[:3]
+    first = np.searchsorted(values, own)
+    spans = np.searchsorted(values, own, side="right") - first
+    at = np.repeat(first - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))
+    return np.bincount(owner[at], minlength=len(sizes))
+
+
+def _ordered(work: DataFrame, payload: str) -> DataFrame:
+    return work.select("key", "part", "side", "id", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+
+
+def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
+    """(id, key, part) of the rows of side 1 whose sketch comes near that of a row of side 0 of their block."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        out: list[tuple] = []
+        for item in _groups(batches, lambda raw: np.array(raw, dtype=np.int64)):
+            if item is None:
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["id", "key", "part"])
+                out = []
+                continue
+            key, part, doc, own, index = item
+            both = _shared(own, index)
+            for i in np.flatnonzero(both >= estimate * np.minimum(k, index[2] + len(own) - both)):
+                union = np.union1d(own, index[4][i])[:k]
+                common = np.intersect1d(own, index[4][i], assume_unique=True)
+                if np.isin(union, common, assume_unique=True).sum() >= estimate * len(union):
+                    out.append((doc, key, part))
+                    break
+
+    return _ordered(work, "sketch").mapInArrow(run, "id bigint, key bigint, part int")
+
+
 def compare(work: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) between the rows of side 1 and side 0 of each (key, part) whose sets are similar.
 
-    ``work`` has key, part, side, id, hashes.  A group holds at most a block of
-    side 0; side 1 streams past it.  One link per row of side 1 is enough.
+    A group holds at most a block of side 0; side 1 streams past it.  One link per
+    row of side 1 is enough, since side 0 is of one component.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key = None
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        index = None
-        for batch in batches:
-            found_a, found_b = [], []
-            for k1, k2, side, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (k1, k2) != key:
-                    key, ids, sets, index = (k1, k2), [], [], None
-                own = unpack_set(raw)
-                if side == 0:
-                    ids.append(doc), sets.append(own)
-                    continue
-                if not ids:
-                    continue
-                if index is None:
-                    values = np.concatenate(sets)
-                    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                    order = np.argsort(values, kind="stable")
-                    index = values[order], owner[order], np.array([len(s) for s in sets])
-                values, owner, sizes = index
-                first, last = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
-                spans = last - first
-                total = int(spans.sum())
-                if not total:
-                    continue
-                at = np.repeat(first - np.cumsum(spans) + spans, spans) + np.arange(total)
-                both = np.bincount(owner[at], minlength=len(sizes))
-                hit = np.flatnonzero(100 * both >= similarity * (sizes + len(own) - both))
-                hit = hit[np.array([ids[i] != doc for i in hit], dtype=bool)] if len(hit) else hit
-                if len(hit):
-                    found_a.append(doc), found_b.append(ids[int(hit[0])])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    grouped = work.select("key", "part", "side", "id", "hashes").repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    return grouped.mapInArrow(run, "a bigint, b bigint")
+        out: list[tuple] = []
+        for item in _groups(batches, unpack_set):
+            if item is None:
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+                continue
+            _, _, doc, own, index = item
+            both = _shared(own, index)
+            for i in np.flatnonzero(100 * both >= similarity * (index[2] + len(own) - both)):
+                if index[3][i] != doc:
+                    out.append((doc, index[3][i]))
+                    break
+
+    return _ordered(work, "hashes").mapInArrow(run, "a bigint, b bigint")
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,7 +308,11 @@ def near_duplicates(
     movers = pairs.join(blocks, "key").select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
     nodes = placed.select(F.col("rep").alias("id"), F.col("component").alias("key")).distinct()
     stayers = nodes.join(blocks, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"))
-    add(compare(_with_sets(materialise(movers.unionAll(stayers), "work"), sets), similarity))
+    movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
+    near = materialise(promising(sketch.join(small(movers.unionAll(stayers)), "id"), k, estimate), "near")
+    release(spark)
+    stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi").select("id", "key", "part", "side")
+    add(compare(_with_sets(materialise(near.withColumn("side", F.lit(1)).unionAll(stayers), "work"), sets), similarity))
 
     known = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("print", F.coalesce("component", "rep").alias("component"))
