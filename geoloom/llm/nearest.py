@@ -6,7 +6,7 @@ vector of the table is then routed to one leaf of each tree.  A query walks all
 trees through one shared priority queue, nearest side first, until the leaves it
 has opened hold enough vectors.  Leaf candidates are reranked by the exact
 distance in double precision, leaf by leaf, and the lists of the leaves merged; a
-leaf passes on only what is no farther than the sample's own ``k``-th neighbour.
+leaf passes on only what is no farther than the ``k``-th sample row in open leaves.
 
 ``share`` is set for recall on data without structure: unit vectors drawn evenly
 from a sphere in 64 dimensions need it to reach 0.9 (measured: 0.65 at 0.16 of
@@ -63,6 +63,7 @@ class Forest:
         width = sample.shape[1] if sample.ndim == 2 else 0
         self.normals = np.array(self.normals).reshape(-1, width)
         self.offsets, self.children = np.array(self.offsets), np.array(self.children, dtype=np.int64).reshape(-1, 2)
+        self.places = self.route(sample)
 
     def _grow(self, sample: np.ndarray, rows: np.ndarray, leaf: int, rng) -> int:
         stack, root = [(rows, None, 0)], None
@@ -112,11 +113,14 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def bound(self, query: np.ndarray, k: int) -> float:
-        """A distance that the k nearest of the whole table cannot exceed: that of the sample's k-th."""
-        if len(self.sample) < k:
+    def bound(self, query: np.ndarray, opened: list[int], k: int) -> float:
+        """A distance that the k nearest in the opened leaves cannot exceed: that of the k-th of their sample rows."""
+        inside = np.zeros(self.leaves, dtype=bool)
+        inside[opened] = True
+        own = self.sample[inside[self.places].any(axis=1)]
+        if len(own) < k:
             return float("inf")
-        return float(np.partition(np.sqrt(((self.sample - query) ** 2).sum(axis=1)), k - 1)[k - 1])
+        return float(np.partition(np.sqrt(((own - query) ** 2).sum(axis=1)), k - 1)[k - 1])
 
     def search(self, query: np.ndarray, counts: list[int], wanted: int) -> list[int]:
         """Leaves to open for a query, best first, until they hold ``wanted`` vectors."""
@@ -213,7 +217,7 @@ def nearest(
         for batch in batches:
             vectors = [np.array(v, dtype=np.float64) for v in batch.column(1).to_pylist()]
             opened = [held.value.search(v, counts, search) for v in vectors]
-            bounds = [held.value.bound(v, k + 1) for v in vectors]
+            bounds = [held.value.bound(v, own, k + 1) for v, own in zip(vectors, opened, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(opened, pa.list_(pa.int64())), pa.array(bounds, pa.float64())], names=["query", "embedding", "opened", "bound"])
 
     walked = groups.select("query", "embedding").mapInArrow(walk, "query bigint, embedding array<double>, opened array<bigint>, bound double")
