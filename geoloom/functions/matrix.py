@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vector import Vector, col, cross, dot, minus, normalize, total
 
 Matrix = tuple
+NUMBERS = T.ArrayType(T.DoubleType())
 
 
 def identity(n: int = 4) -> Matrix:
@@ -195,7 +197,7 @@ def quaternion_product(a: Vector, b: Vector) -> Vector:
     return bw * ax + bx * aw + by * az - bz * ay, bw * ay - bx * az + by * aw + bz * ax, bw * az + bx * ay - by * ax + bz * aw, bw * aw - bx * ax - by * ay - bz * az
 
 
-def _batch(function, kind: str):
+def _batch(function, kind: T.DataType):
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
         def one(flat):
@@ -242,10 +244,10 @@ def lu(a: np.ndarray) -> np.ndarray:
 
 
 #: Row-major square matrices as array<double> in, arrays out; null for matrices that have no answer.
-array_inverse = _batch(lambda a: np.linalg.inv(a).ravel().tolist(), "array<double>")
-array_determinant = _batch(lambda a: float(np.linalg.det(a)), "double")
-array_lu = _batch(lambda a: lu(a).ravel().tolist(), "array<double>")
-array_cholesky = _batch(lambda a: np.linalg.cholesky(a).ravel().tolist(), "array<double>")
-array_exponential = _batch(lambda a: expm(a).ravel().tolist(), "array<double>")
-array_eigenvalues = _batch(lambda a: sorted(float(v.real) for v in np.linalg.eigvals(a) if abs(v.imag) < 1e-9), "array<double>")
-array_singular_values = _batch(lambda a: np.linalg.svd(a, compute_uv=False).tolist(), "array<double>")
+array_inverse = _batch(lambda a: np.linalg.inv(a).ravel().tolist(), NUMBERS)
+array_determinant = _batch(lambda a: float(np.linalg.det(a)), T.DoubleType())
+array_lu = _batch(lambda a: lu(a).ravel().tolist(), NUMBERS)
+array_cholesky = _batch(lambda a: np.linalg.cholesky(a).ravel().tolist(), NUMBERS)
+array_exponential = _batch(lambda a: expm(a).ravel().tolist(), NUMBERS)
+array_eigenvalues = _batch(lambda a: sorted(float(v.real) for v in np.linalg.eigvals(a) if abs(v.imag) < 1e-9), NUMBERS)
+array_singular_values = _batch(lambda a: np.linalg.svd(a, compute_uv=False).tolist(), NUMBERS)

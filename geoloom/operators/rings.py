@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.vector import ccw_angle, cross2, minus
@@ -27,17 +27,21 @@ def _wings(points: DataFrame, ring: str, seq: str) -> DataFrame:
     )
 
 
-CROSS = F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
-STEP = F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2)
+def edge_cross() -> Column:
+    return F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
+
+
+def edge_length() -> Column:
+    return F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2)
 
 
 def measures(points: DataFrame, ring: str = "ring", seq: str = "seq") -> DataFrame:
     """ring, n, area (counter-clockwise positive), perimeter, centroid, bounds."""
-    area = F.sum(CROSS) / 2
+    area = F.sum(edge_cross()) / 2
     return edges(points, ring, seq).groupBy(ring).agg(
-        F.count("*").alias("n"), area.alias("area"), F.sum(STEP).alias("perimeter"),
-        F.try_divide(F.sum((F.col("x") + F.col("x2")) * CROSS), 6 * area).alias("cx"),
-        F.try_divide(F.sum((F.col("y") + F.col("y2")) * CROSS), 6 * area).alias("cy"),
+        F.count("*").alias("n"), area.alias("area"), F.sum(edge_length()).alias("perimeter"),
+        F.try_divide(F.sum((F.col("x") + F.col("x2")) * edge_cross()), 6 * area).alias("cx"),
+        F.try_divide(F.sum((F.col("y") + F.col("y2")) * edge_cross()), 6 * area).alias("cy"),
         F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
     )
 
@@ -87,7 +91,7 @@ def drop_collinear(points: DataFrame, tolerance: float = 1e-9, ring: str = "ring
 
 def split_long_edges(points: DataFrame, longest: float, ring: str = "ring", seq: str = "seq") -> DataFrame:
     """Edges longer than ``longest`` in 1 + floor(length / longest) equal parts."""
-    parts = F.when(STEP > longest, 1 + F.floor(STEP / longest)).otherwise(1).cast("int")
+    parts = F.when(edge_length() > longest, 1 + F.floor(edge_length() / longest)).otherwise(1).cast("int")
     t = F.col("part") / F.col("parts")
     cut = edges(points, ring, seq).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cut.select(ring, seq, "part", (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def summary(rows: DataFrame, group: str, value: str, target: float = 0.0) -> DataFrame:
@@ -66,12 +67,12 @@ def t_tail(t: float, freedom: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_probability(t: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([t_tail(a, b) if a == a and b == b else None for a, b in zip(t, freedom, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
 
