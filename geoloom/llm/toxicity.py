@@ -24,7 +24,6 @@ long texts are scored whole; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id
 
-SAMPLE = 2000
+SAMPLE = 1500
 M = 96
 SPAN = 6
 DECAY = 0.6
@@ -108,19 +107,31 @@ class Kernel:
         return (np.bincount(np.repeat(owners, spans) * m + self.owner[place], weights=value, minlength=n * m).reshape(n, m)) ** 2
 
 
-def choose_landmarks(docs: list[list[list[str]]], labels: np.ndarray, m: int = M) -> list[str]:
+class Corpus:
+    """Training texts as word numbers: each distinct word is held once."""
+
+    def __init__(self, texts: list):
+        number: dict[str, int] = {}
+        self.flat, self.sizes = [], []  # per text: word numbers, and words of each sentence
+        for text in texts:
+            parts = sentences(text)
+            self.flat.append(np.array([number.setdefault(w, len(number)) for s in parts for w in s], dtype=np.int32))
+            self.sizes.append(np.array([len(s) for s in parts], dtype=np.int32))
+        self.words = list(number)
+
+
+def choose_landmarks(corpus: Corpus, labels: np.ndarray, m: int = M) -> list[str]:
     """Words that tell the labels apart best, three quarters for the positive one, no two much alike."""
-    seen = (Counter(), Counter())
-    for doc, label in zip(docs, labels, strict=True):
-        seen[int(label)].update({w for s in doc for w in s})
+    names = corpus.words
+    counts = np.zeros((len(names), 2))
+    for flat, label in zip(corpus.flat, labels, strict=True):
+        counts[np.unique(flat), int(label)] += 1
     totals = [max(1, int((labels == v).sum())) for v in (0, 1)]
-    names = sorted(set(seen[0]) | set(seen[1]))
-    counts = np.array([[seen[0][w], seen[1][w]] for w in names], dtype=np.float64).reshape(-1, 2)
     odds = np.log((counts[:, 1] + 0.5) / (totals[1] + 1)) - np.log((counts[:, 0] + 0.5) / (totals[0] + 1))
     chosen: list[str] = []
     for sign, quota in ((1, m * 3 // 4), (-1, m)):
         score = sign * odds * counts[:, 1 if sign > 0 else 0]
-        ranked = [names[i] for i in np.lexsort((np.arange(len(names)), -score))[: 8 * m] if score[i] > 0]
+        ranked = [names[i] for i in sorted(np.argsort(-score, kind="stable")[: 8 * m], key=lambda i: (-score[i], names[i])) if score[i] > 0]
         if not ranked:
             continue
         alike = Kernel(ranked).rows(ranked)
@@ -196,37 +207,35 @@ class Model:
         model = Model(float((weight * labels).sum() / total) if total else 0.0)
         if len(set(labels.tolist())) < 2:
             return model
-        docs = [sentences(t) for t in texts]
-        landmarks = choose_landmarks(docs, labels)
+        corpus = Corpus(texts)
+        landmarks = choose_landmarks(corpus, labels)
         if not landmarks:
             return model
         kernel = Kernel(landmarks)
         gram = kernel.rows(landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-        words = sorted({w for d in docs for s in d for w in s})
-        number = {w: i for i, w in enumerate(words)}
-        own = [(i, s) for i, d in enumerate(docs) for s in d]
-        m, sizes = len(landmarks), np.array([len(t) for _, t in own])
-        x = np.zeros((len(own), m + 1), dtype=np.float32)  # the last column is the constant
-        flat = np.array([number[w] for _, t in own for w in t], dtype=np.int64)
-        row = np.repeat(np.arange(len(own)), sizes)
+        m, sizes = len(landmarks), np.concatenate(corpus.sizes)
+        flat = np.concatenate(corpus.flat)
+        x = np.zeros((len(sizes), m + 1), dtype=np.float32)  # the last column is the constant
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, row = flat[order], row[order]
-        for a in range(0, len(words), 8192):  # words in order, so that no full matrix of them exists
-            phi = (kernel.rows(words[a : a + 8192]) @ root).astype(np.float32)
+        for a in range(0, len(corpus.words), 8192):  # words in order, so that no full matrix of them exists
+            phi = (kernel.rows(corpus.words[a : a + 8192]) @ root).astype(np.float32)
             low, high = np.searchsorted(flat, [a, a + 8192])
             for c in range(low, high, 65536):
                 d = min(high, c + 65536)
                 np.add.at(x[:, :m], row[c:d], phi[flat[c:d] - a])
         x /= np.sqrt(sizes, dtype=np.float32)[:, None]
         x[:, m] = 1
-        label = np.array([labels[i] for i, _ in own])
+        label = np.repeat(labels, [len(s) for s in corpus.sizes])
         # both labels weigh alike here; the logistic model below restores their shares
         even = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label == 0).sum()))
         beta, model.bias = train_svm(x, label, even)
         model.kernel, model.beta = kernel, root @ beta
-        features = np.array([model.features(d) for d in docs])
+        word = np.concatenate([kernel.rows(corpus.words[a : a + 8192]) @ model.beta for a in range(0, len(corpus.words), 8192)])
+        features = np.array([model.features(word[own], sizes) for own, sizes in zip(corpus.flat, corpus.sizes, strict=True)])
         model.centre, model.scale = features.mean(0), features.std(0) + 1e-9
         model.logistic = train_logistic((features - model.centre) / model.scale, labels, weight / weight.mean())
         return model
@@ -240,22 +249,25 @@ class Model:
             part = new[a : a + 8192]
             self._margins.update(zip(part, (self.kernel.rows(part) @ self.beta).tolist(), strict=True))
 
-    def features(self, doc: list[list[str]]) -> np.ndarray:
-        """What the logistic model sees of a document's margins."""
-        if not doc:
+    def features(self, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What the logistic model sees of a document: margins of its words, in sentences of ``sizes``."""
+        if not len(word):
             return np.zeros(7)
-        self.margins({w for s in doc for w in s})
-        sizes = np.array([len(s) for s in doc])
-        word = np.array([self._margins[w] for s in doc for w in s])
         sums = np.add.reduceat(word, np.cumsum(sizes) - sizes)
         margin = np.sort(sums / np.sqrt(sizes) + self.bias)[::-1]
         top = np.sort(word)[::-1]
         return np.array([margin[0], margin[:3].mean(), margin.mean(), top[0], top[:3].mean(), word.mean() * 10, np.maximum(word, 0).sum() / np.sqrt(len(word))])
 
+    def _measured(self, text: str | None) -> np.ndarray:
+        doc = sentences(text)
+        self.margins({w for s in doc for w in s})
+        known = self._margins
+        return self.features(np.array([known[w] for s in doc for w in s]), np.array([len(s) for s in doc], dtype=np.int64))
+
     def score(self, texts: list) -> np.ndarray:
         if self.kernel is None:
             return np.full(len(texts), self.share)
-        features = np.array([self.features(sentences(t)) for t in texts]).reshape(-1, 7)
+        features = np.array([self._measured(t) for t in texts]).reshape(-1, 7)
         return 1 / (1 + np.exp(-np.clip((features - self.centre) / self.scale @ self.logistic[:-1] + self.logistic[-1], -30, 30)))
 
 
