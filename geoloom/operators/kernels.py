@@ -166,6 +166,9 @@ def least_box(points: np.ndarray) -> float:
 
 def delaunay2d(points: np.ndarray) -> np.ndarray:
     """Delaunay triangles: the lower hull of the points lifted to a paraboloid."""
+    if len(points) == 3:
+        size = area2d(points)
+        return np.array([[0, 1, 2]] if size > 0 else [[0, 2, 1]] if size < 0 else [], dtype=int).reshape(-1, 3)
     middle = points - points.mean(axis=0)
     lifted = np.column_stack([middle, (middle**2).sum(axis=1)])
     faces = hull3d(lifted)
@@ -216,17 +219,35 @@ OPERATIONS = {"union": lambda a, b: a | b, "intersect": lambda a, b: a & b, "sub
 
 
 def boolean(a: list[np.ndarray], b: list[np.ndarray], operation: str, digits: int = 9) -> list[np.ndarray]:
-    """Border rings of a boolean of two sets of rings (each even-odd), the result on the left of its edges.
+    """Border rings of a boolean of two sets of rings (each even-odd), the result on the left of its edges."""
+    return arrange([a, b], lambda m: OPERATIONS[operation](m[0], m[1]), digits)
+
+
+def arrange(shapes: list[list[np.ndarray]], decide, digits: int = 9) -> list[np.ndarray]:
+    """Border rings of what ``decide`` makes of the memberships in ``shapes``.
 
     All edges are cut where they meet; a piece stays if the result differs on its two sides.
     """
-    segments = [(np.asarray(p, float), np.asarray(q, float)) for ring in [*a, *b] for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True) if tuple(p) != tuple(q)]
+    shapes = [[np.round(np.asarray(r, float), digits) for r in shape] for shape in shapes]
+    segments = [(p, q) for shape in shapes for ring in shape for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True) if tuple(p) != tuple(q)]
     if not segments:
         return []
     start, end = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
     along = end - start
     scale = float(np.ptp(np.vstack([start, end]), axis=0).max())
     pieces: set[tuple] = set()
+    grain, known = 10.0 ** (1 - digits), {}
+
+    def spot(p: np.ndarray) -> tuple:
+        """The place of a point: that of a known one within a grain of it, if there is one."""
+        key = (math.floor(p[0] / grain), math.floor(p[1] / grain))
+        for near in ((key[0] + u, key[1] + v) for u in (0, -1, 1) for v in (0, -1, 1)):
+            if near in known and abs(known[near][0] - p[0]) <= grain and abs(known[near][1] - p[1]) <= grain:
+                return known[near]
+        return known.setdefault(key, (float(p[0]), float(p[1])))
+
+    for p in start:
+        spot(p)
     for i in range(len(segments)):
         cuts = [0.0, 1.0]
         rest = start - start[i]
@@ -242,13 +263,12 @@ def boolean(a: list[np.ndarray], b: list[np.ndarray], operation: str, digits: in
         for ends in (start, end):
             s = (ends[flat] - start[i]) @ along[i] / (along[i] @ along[i])
             cuts += s[(s > 0) & (s < 1)].tolist()
-        spots = [tuple(np.round(start[i] + c * along[i], digits) + 0.0) for c in sorted(set(cuts))]
+        spots = [spot(start[i] + c * along[i]) for c in sorted(set(cuts))]
         pieces.update((min(p, q), max(p, q)) for p, q in itertools.pairwise(spots) if p != q)
     table = np.array(sorted(pieces))
     middle, way = table.mean(axis=1), table[:, 1] - table[:, 0]
     side = np.stack([-way[:, 1], way[:, 0]], axis=1) / np.linalg.norm(way, axis=1)[:, None] * scale * 1e-7
-    decide = OPERATIONS[operation]
-    left, right = (decide(inside(a, middle + s), inside(b, middle + s)) for s in (side, -side))
+    left, right = (decide([inside(shape, middle + s) for shape in shapes]) for s in (side, -side))
     follow: dict[tuple, list[tuple]] = {}
     for (p, q), on_left, on_right in zip(table, left, right, strict=True):
         if on_left != on_right:
@@ -288,7 +308,7 @@ def offset(ring: np.ndarray, amount: float, joins: str = "round", deviation: flo
     if area2d(ring) < 0:
         ring = ring[::-1]
     grow, size = amount > 0, abs(amount)
-    result = [ring]
+    moved = []
     steps = max(8, math.ceil(math.pi / math.acos(max(-1.0, 1 - deviation / size)))) if size > deviation else 8
     for i, (p, q) in enumerate(zip(ring, np.roll(ring, -1, axis=0), strict=True)):
         way = (q - p) / np.linalg.norm(q - p)
@@ -298,7 +318,7 @@ def offset(ring: np.ndarray, amount: float, joins: str = "round", deviation: flo
         reflex = turn(p, q, nxt) > 0 if grow else turn(p, q, nxt) < 0
         if reflex and joins == "round":
             angles = np.arange(steps) * 2 * math.pi / steps
-            parts.append(q + size / math.cos(math.pi / steps) * 0 + size * np.stack([np.cos(angles), np.sin(angles)], axis=1))
+            parts.append(q + size * np.stack([np.cos(angles), np.sin(angles)], axis=1))
         elif reflex:
             way2 = (nxt - q) / np.linalg.norm(nxt - q)
             out2 = np.array([way2[1], -way2[0]]) * size
@@ -313,9 +333,13 @@ def offset(ring: np.ndarray, amount: float, joins: str = "round", deviation: flo
             else:
                 corner = np.array([q, q + sign * out, tip, q + sign * out2])
                 parts.append(corner[hull2d(corner)])
-        for part in parts:
-            result = boolean(result, [part], "union" if grow else "subtract")
-    return result
+        moved += [[part] for part in parts]
+
+    def decide(m: list[np.ndarray]) -> np.ndarray:
+        band = np.logical_or.reduce(m[1:])
+        return m[0] | band if grow else m[0] & ~band
+
+    return arrange([[ring], *moved], decide)
 
 
 def simplify_short_edges(ring: np.ndarray, shortest: float, least: int = 3) -> np.ndarray:
