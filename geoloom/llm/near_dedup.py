@@ -10,11 +10,12 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
    only for its rarest values: two classes that share at least ``need`` values meet
    in one of the ``shared - need + 1`` rarest (prefix filter).  A passage that many
    documents share therefore makes no candidates among documents that differ.
-3. In two *star* rounds each list offers its members one pivot; a member is
+3. In two *star* rounds each list offers its members a few pivots; a member is
    compared with the pivot of best estimate, and links join components.
-4. What is left are lists that hold several components.  Each member of a smaller
-   component is compared with every member of the larger ones, in blocks of
-   ``BLOCK`` members, first by sketch and then in full, so no link is missed.
+4. What is left are groups of classes that lists join, directly or not, and that
+   hold several components.  Each member outside a group's largest component is
+   compared with all members of other components, in blocks of ``BLOCK`` of them,
+   first by sketch and then in full, so no link between components is missed.
 
 ``need`` and the estimate's threshold lie four standard deviations below what a
 similarity of 0.8 gives; sets of at most ``0.8 k`` shingles are handled exactly.
@@ -43,6 +44,8 @@ K = 48
 NEED = 26
 ESTIMATE = 0.57
 BLOCK = 256
+#: Pivots that a list offers in a round.
+PIVOTS = 3
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 CACHE = 500_000
@@ -135,27 +138,27 @@ def _estimate(a: str, b: str, k: int):
 
 
 def _groups(batches: Iterator, decode) -> Iterator:
-    """(key, part, id, own values, index of the block) for every row of side 1, block by block.
+    """(key, part, id, component, own values, index of the block) for every row of side 1, block by block.
 
     The index holds all values of the block's rows of side 0 in order, with their
-    owners, and the owners' ids and sizes.
+    owners, and the owners' sizes, ids, components and values.
     """
-    key, ids, sets, index = None, [], [], None
+    key, ids, components, sets, index = None, [], [], [], None
     for batch in batches:
-        for k1, k2, side, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k1, k2, side, doc, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (k1, k2) != key:
-                key, ids, sets, index = (k1, k2), [], [], None
+                key, ids, components, sets, index = (k1, k2), [], [], [], None
             own = decode(raw)
             if side == 0:
-                ids.append(doc), sets.append(own)
+                ids.append(doc), components.append(component), sets.append(own)
                 continue
             if not ids:
                 continue
             if index is None:
                 values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
                 order = np.argsort(values, kind="stable")
-                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, sets
-            yield k1, k2, doc, own, index
+                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets
+            yield k1, k2, doc, component, own, index
         yield None  # the batch is over
 
 
@@ -169,11 +172,11 @@ def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
 
 
 def _ordered(work: DataFrame, payload: str) -> DataFrame:
-    return work.select("key", "part", "side", "id", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return work.select("key", "part", "side", "id", "component", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
 
 def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
-    """(id, key, part) of the rows of side 1 whose sketch comes near that of a row of side 0 of their block."""
+    """(id, key, part) of the rows of side 1 whose sketch comes near that of a row of another component in their block."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -185,11 +188,11 @@ def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["id", "key", "part"])
                 out = []
                 continue
-            key, part, doc, own, index = item
+            key, part, doc, component, own, index = item
             both = _shared(own, index)
-            for i in np.flatnonzero(both >= estimate * np.minimum(k, index[2] + len(own) - both)):
-                union = np.union1d(own, index[4][i])[:k]
-                common = np.intersect1d(own, index[4][i], assume_unique=True)
+            for i in np.flatnonzero((both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)):
+                union = np.union1d(own, index[5][i])[:k]
+                common = np.intersect1d(own, index[5][i], assume_unique=True)
                 if np.isin(union, common, assume_unique=True).sum() >= estimate * len(union):
                     out.append((doc, key, part))
                     break
@@ -198,10 +201,10 @@ def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
 
 
 def compare(work: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between the rows of side 1 and side 0 of each (key, part) whose sets are similar.
+    """Links (a, b) between rows of side 1 and rows of side 0 of other components in their (key, part), if their sets are similar.
 
-    A group holds at most a block of side 0; side 1 streams past it.  One link per
-    row of side 1 is enough, since side 0 is of one component.
+    A group holds at most a block of side 0; side 1 streams past it.  One link to
+    each component is enough.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -214,12 +217,11 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
                 continue
-            _, _, doc, own, index = item
+            _, _, doc, component, own, index = item
             both = _shared(own, index)
-            for i in np.flatnonzero(100 * both >= similarity * (index[2] + len(own) - both)):
-                if index[3][i] != doc:
-                    out.append((doc, index[3][i]))
-                    break
+            hit = np.flatnonzero((100 * both >= similarity * (index[2] + len(own) - both)) & (index[4] != component))
+            _, first = np.unique(index[4][hit], return_index=True)
+            out += [(doc, index[3][i]) for i in hit[first]]
 
     return _ordered(work, "hashes").mapInArrow(run, "a bigint, b bigint")
 
@@ -258,6 +260,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary"), "sets")
     sketch = materialise(classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "sketch"), "sketch")
+    brief = materialise(sketch.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief")), "brief")
     release(spark)
 
     links: DataFrame | None = None
@@ -276,43 +279,42 @@ def near_duplicates(
         labels = connected_components(links, materialise)
         release(spark)
 
-    for seed in (1, 2):
-        placed = labelled(lists)
-        order = F.struct(F.xxhash64("rep", F.lit(seed)).alias("order"), "rep", "component")
-        pivots = placed.groupBy("value").agg(F.min(order).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        pairs = placed.join(pivots.select("value", "pivot"), "value").where("component <> pivot.component")
-        pairs = pairs.select(F.col("pivot.rep").alias("key"), F.col("rep").alias("id")).distinct()
-        pairs = pairs.join(sketch.select("id", F.col("sketch").alias("own")), "id").join(sketch.select(F.col("id").alias("key"), F.col("sketch").alias("other")), "key")
+    for seed in (0, PIVOTS):
+        placed = materialise(labelled(lists), "placed")
+        offers = [F.min(F.struct(F.xxhash64("rep", F.lit(seed + i)).alias("order"), "rep", "component")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = placed.groupBy("value").agg(*offers, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        pivots = pivots.select("value", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.rep").alias("rep"), F.col(f"p{i}.component").alias("component")) for i in range(PIVOTS)])).alias("pivots"))
+        pairs = placed.join(pivots, "value").select(F.col("rep").alias("id"), "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("pivot"))
+        pairs = pairs.select(F.col("pivot.rep").alias("key"), "id").distinct()
+        pairs = pairs.join(brief.select("id", F.col("brief").alias("own")), "id").join(brief.select(F.col("id").alias("key"), F.col("brief").alias("other")), "key")
         # the nearest pivot is enough for a round; what it misses stays for the last step
         pairs = pairs.withColumn("near", _estimate("own", "other", k)).where(F.col("near") >= estimate)
         pairs = materialise(pairs.groupBy("id").agg(F.max_by("key", F.struct("near", "key")).alias("key")), "pairs")
         release(spark)
         # a hot pivot's members are dealt out over parts, each with its own copy of the pivot
         parts = pairs.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        members = pairs.join(parts, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"))
-        heads = parts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+        members = pairs.join(parts, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.lit(1).cast("long").alias("component"))
+        heads = parts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
         add(compare(_with_sets(materialise(members.unionAll(heads), "work"), sets), similarity))
 
-    placed = materialise(labelled(lists), "placed")
-    sizes = placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-    held = placed.select("value", "component").distinct().join(sizes, "component")
-    several = held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    held = materialise(held.join(several, "value").select("value", "component", "size"), "held")
-    # components of a list, then the members of the smaller one against each larger one
-    larger = held.select("value", F.col("component").alias("key"), F.col("size").alias("key_size"))
-    rank = F.struct("size", "component") < F.struct(F.col("key_size").alias("size"), F.col("key").alias("component"))
-    pairs = placed.join(held, ["value", "component"]).join(larger, "value").where(rank).select(F.col("rep").alias("id"), "key").distinct()
-    pairs = materialise(pairs, "pairs")
-    blocks = pairs.select("key").distinct().join(sizes, F.col("component") == F.col("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    blocks = materialise(blocks, "blocks")
-    movers = pairs.join(blocks, "key").select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
-    nodes = placed.select(F.col("rep").alias("id"), F.col("component").alias("key")).distinct()
-    stayers = nodes.join(blocks, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"))
+    # what can meet at all: classes that lists join, however indirectly
+    least = lists.groupBy("value").agg(F.min("rep").alias("a"))
+    meeting = connected_components(lists.join(least, "value").select("a", F.col("rep").alias("b")).where("a <> b").distinct(), materialise)
+    placed = labelled(meeting.select(F.col("node").alias("rep"), F.col("component").alias("key")))
+    placed = materialise(placed.select(F.col("rep").alias("id"), "key", "component"), "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    groups = sizes.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+    groups = materialise(groups.where("components > 1").select("key", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("parts")), "groups")
+    open_rows = placed.join(small(groups), "key")
+    stayers = open_rows.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component")
+    movers = open_rows.where("component <> largest").select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component")
     movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
     near = materialise(promising(sketch.join(small(movers.unionAll(stayers)), "id"), k, estimate), "near")
     release(spark)
-    stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi").select("id", "key", "part", "side")
-    add(compare(_with_sets(materialise(near.withColumn("side", F.lit(1)).unionAll(stayers), "work"), sets), similarity))
+    stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi")
+    movers = movers.join(small(near), ["id", "key", "part"], "left_semi")
+    columns = ["id", "key", "part", "side", "component"]
+    add(compare(_with_sets(materialise(movers.select(*columns).unionAll(stayers.select(*columns)), "work"), sets), similarity))
 
     known = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("print", F.coalesce("component", "rep").alias("component"))
