@@ -18,3 +18,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/geoloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_fs(uri: str):
+    """(pyarrow filesystem, path) of a URI or a plain path."""
+    import re
+
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    return fs.FileSystem.from_uri(uri)

@@ -58,7 +58,7 @@ def capsule(p: Vector, a: Vector, ra, b: Vector, rb) -> Column:
     h, r = _along(p, a, unit)
     slope = (ra - rb) / size
     shift = F.sqrt(1 - slope * slope)
-    at = (h + r * slope / shift) / size
+    at = (h - r * slope / shift) / size
     t = F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0))
     radius = ra + (rb - ra) * t
     return F.sqrt((h - t * size) ** 2 + r * r) - radius

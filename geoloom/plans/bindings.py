@@ -65,12 +65,10 @@ def surface(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cell = t.select((F.col("o_custkey") % GRID).alias("i"), (F.col("o_orderkey") % GRID).alias("j"), "o_totalprice")
     v = cell.groupBy("i", "j").agg(F.round(F.avg("o_totalprice") / 1000, 3).alias("z"))
     v = v.select(F.lit(1).cast("long").alias("mesh"), (F.col("i") * GRID + F.col("j")).alias("v"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "z")
-    here = F.array_sort(F.collect_set("v"))
-    known = v.groupBy("mesh").agg(here.alias("known"))  # GRID squared numbers at most
     n = F.col("v")
-    cut = v.join(F.broadcast(known), "mesh").where((n % GRID < GRID - 1) & (n < GRID * (GRID - 1))).where(
-        F.array_contains("known", n + 1) & F.array_contains("known", n + GRID) & F.array_contains("known", n + GRID + 1)
-    )
+    cut = v.where((n % GRID < GRID - 1) & (n < GRID * (GRID - 1)))
+    for step in (1, GRID, GRID + 1):
+        cut = cut.join(v.select((n - step).alias("v")), "v", "left_semi")
     two = F.array(F.struct((n * 2).alias("f"), n.alias("a"), (n + GRID).alias("b"), (n + GRID + 1).alias("c")), F.struct((n * 2 + 1).alias("f"), n.alias("a"), (n + GRID + 1).alias("b"), (n + 1).alias("c")))
     return v, cut.select("mesh", F.explode(two).alias("t")).select("mesh", "t.*")
 

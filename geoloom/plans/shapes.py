@@ -122,6 +122,7 @@ def icp_transform(spark, d):
 
     def run(frame):
         p = _xyz(frame)
+        p = p - p.mean(axis=0)
         c, s = math.cos(0.02), math.sin(0.02)
         r, t, error = kn.register(p, p @ np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) + 0.01)
         return pd.DataFrame({"error": [error]})
