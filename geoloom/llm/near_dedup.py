@@ -48,7 +48,8 @@ BLOCK = 256
 PIVOTS = 3
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-CACHE = 500_000
+CACHE = 150_000
+ROWS = 500
 
 
 class Shingler:
@@ -81,6 +82,13 @@ class Shingler:
         return np.unique(value.view(np.int64))
 
 
+def _slices(batches: Iterator) -> Iterator:
+    """Batches in parts of ``ROWS`` rows, which bounds what Python holds at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, print (16 bytes of the set), sketch (array<long>, ascending)."""
 
@@ -88,7 +96,7 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
         import pyarrow as pa
 
         shingles = Shingler(words)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -144,7 +152,7 @@ def _groups(batches: Iterator, decode) -> Iterator:
     owners, and the owners' sizes, ids, components and values.
     """
     key, ids, components, sets, index = None, [], [], [], None
-    for batch in batches:
+    for batch in _slices(batches):
         for k1, k2, side, doc, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (k1, k2) != key:
                 key, ids, components, sets, index = (k1, k2), [], [], [], None
@@ -252,7 +260,7 @@ def near_duplicates(
         import pyarrow as pa
 
         shingles = Shingler(words)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = [pack_set(shingles(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "hashes"])
 

@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import SPACE_CHUNK
 
-CACHE = 800_000
+CACHE = 500_000
 JOIN = 256
 
 

@@ -36,7 +36,7 @@ SAMPLE = 1500
 M = 96
 SPAN = 6
 DECAY = 0.6
-CACHE = 400_000
+CACHE = 150_000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -319,8 +319,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(held.value.score(batch.column(at).to_pylist()) < threshold))
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                yield part.filter(pa.array(held.value.score(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, schema)
 
