@@ -115,7 +115,7 @@ def site_of(host: str, path: str) -> tuple[Column, Column]:
 def _strength(between: float, groups: float, outer: float, within: float, spread: float) -> float:
     """Prior strength (pseudo-documents) from sums of squares; large if sites do not differ."""
     excess = between - (groups - outer) * within
-    if spread <= 0 or excess <= 0 or within <= 0:
+    if spread <= 0 or excess <= 0:
         return 1e6
     return float(min(max(within / (excess / spread), 1.0), 1e6))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id
 
-SAMPLE = 1500
+SAMPLE = 2000
 M = 96
 SPAN = 6
 DECAY = 0.6
