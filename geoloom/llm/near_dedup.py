@@ -12,10 +12,10 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
    documents share therefore makes no candidates among documents that differ.
 3. In two *star* rounds each list offers its members a few pivots; a member is
    compared with the pivot of best estimate, and links join components.
-4. What is left are groups of classes that lists join, directly or not, and that
-   hold several components.  Each member outside a group's largest component is
-   compared with all members of other components, in blocks of ``BLOCK`` of them,
-   first by sketch and then in full, so no link between components is missed.
+4. What is left are lists that hold several components.  Each member of a smaller
+   component is compared with every member of the large components in its lists,
+   and members of small components with each other, in blocks of ``BLOCK``, first
+   by sketch and then in full, so no link between components is missed.
 
 ``need`` and the estimate's threshold lie four standard deviations below what a
 similarity of 0.8 gives; sets of at most ``0.8 k`` shingles are handled exactly.
@@ -254,7 +254,11 @@ def near_duplicates(
     )
     lists = materialise(_inverted_lists(classes, k, need), "lists")
     meeting = materialise(lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "meeting")
-    lists = materialise(lists.join(meeting, "value"), "lists")
+    # lists of the same members, as two near copies have many, are one
+    members = lists.join(meeting.select("value"), "value")
+    print_of = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    once = members.groupBy("value").agg(F.count("*").alias("n"), *print_of).groupBy("n", "x0", "x1").agg(F.min("value").alias("value")).select("value")
+    lists = materialise(members.join(once, "value"), "lists")
 
     def hash_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -267,7 +271,7 @@ def near_duplicates(
     wanted = materialise(lists.select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary"), "sets")
-    sketch = materialise(classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "sketch"), "sketch")
+    sketch = classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "sketch")
     brief = materialise(sketch.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief")), "brief")
     release(spark)
 
@@ -305,19 +309,29 @@ def near_duplicates(
         heads = parts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
         add(compare(_with_sets(materialise(members.unionAll(heads), "work"), sets), similarity))
 
-    # what can meet at all: classes that lists join, however indirectly
-    least = lists.groupBy("value").agg(F.min("rep").alias("a"))
-    meeting = connected_components(lists.join(least, "value").select("a", F.col("rep").alias("b")).where("a <> b").distinct(), materialise)
-    placed = labelled(meeting.select(F.col("node").alias("rep"), F.col("component").alias("key")))
-    placed = materialise(placed.select(F.col("rep").alias("id"), "key", "component"), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    groups = sizes.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("largest"))
-    groups = materialise(groups.where("components > 1").select("key", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("parts")), "groups")
-    open_rows = placed.join(small(groups), "key")
-    stayers = open_rows.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component")
-    movers = open_rows.where("component <> largest").select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component")
+    # what is left: lists of several components
+    placed = materialise(labelled(lists), "placed")
+    nodes = placed.select(F.col("rep").alias("id"), "component").distinct()
+    sizes = materialise(nodes.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
+    placed = materialise(placed.join(mixed, "value").join(sizes, "component"), "mixed")
+    # members of smaller components against each large one that they share a list with
+    large = placed.where(F.col("size") > BLOCK).select("value", F.col("component").alias("other"), F.col("size").alias("other_size")).distinct()
+    rank = F.struct("size", "component") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("component"))
+    facing = materialise(placed.join(large, "value").where(rank).select(F.col("rep").alias("id"), "component", "other", "other_size").distinct(), "facing")
+    parts_of = F.ceil(F.col("other_size") / BLOCK).cast("int")
+    name = F.xxhash64(F.lit("component"), "other").alias("key")
+    movers = facing.select("id", name, F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"), F.lit(1).alias("side"), "component")
+    faced = facing.select("other", "other_size").distinct()
+    stayers = nodes.join(small(faced), F.col("component") == F.col("other")).select("id", name, F.pmod(F.xxhash64("id"), parts_of).cast("int").alias("part"), F.lit(0).alias("side"), "component")
+    # members of small components of a list against each other
+    minor = placed.where(F.col("size") <= BLOCK)
+    several = minor.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    minor = materialise(minor.join(several.select("value", "parts"), "value").select(F.col("rep").alias("id"), F.xxhash64(F.lit("list"), "value").alias("key"), "parts", "component"), "minor")
+    movers = movers.unionAll(minor.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
+    stayers = stayers.unionAll(minor.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
     movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
-    near = materialise(promising(sketch.join(small(movers.unionAll(stayers)), "id"), k, estimate), "near")
+    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, estimate), "near")
     release(spark)
     stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi")
     movers = movers.join(small(near), ["id", "key", "part"], "left_semi")
