@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import matrix as mx
 from geoloom.functions import surfaces as sf
 from geoloom.functions import vector as vc
-from geoloom.operators import joins, mesh, rings, statistics, voxels
+from geoloom.operators import isosurface, joins, mesh, rings, statistics, voxels
 from geoloom.plans import bindings as bd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,6 +557,33 @@ def point_in_box(spark, d):
     return bd.points3d(spark, d).where(vc.in_box(p3(), (10.0, 20.0, 2.0), (30.0, 50.0, 8.0))).groupBy("g").agg(F.count("*").alias("inside"))
 
 
+LAYERS = "layers AS (SELECT g, CAST(floor(x) AS BIGINT) AS level, CAST(count(*) AS DOUBLE) AS area FROM points3d GROUP BY 1, 2)"
+
+
+def _layers(spark, d):
+    return bd.points3d(spark, d).groupBy("g", F.floor("x").alias("level")).agg(F.count("*").cast("double").alias("area"))
+
+
+@query(f"WITH {bd.POINTS3D}, {LAYERS} SELECT g, round(sum(v), 4) AS volume, round(sum(v * h) / sum(v), 6) AS centre FROM (SELECT g, (lead(level) OVER w - level) * (lead(area) OVER w + area) / 2 AS v, (lead(level) OVER w + level) / 2 AS h FROM layers WINDOW w AS (PARTITION BY g ORDER BY level)) GROUP BY g")
+def cross_section_volume(spark, d):
+    v = isosurface.layered_volume(_layers(spark, d), "g", "level", "area")
+    return v.select("g", near("volume").alias("volume"), near("centre", 6).alias("centre"))
+
+
+@query(f"WITH {bd.POINTS3D}, {LAYERS}, odd AS (SELECT g, level, area FROM layers WHERE level % 3 <> 2), span AS (SELECT g, unnest(generate_series(min(level), max(level))) AS level FROM odd GROUP BY g) SELECT s.g, s.level, (SELECT arg_max(area, o.level) FROM odd o WHERE o.g = s.g AND o.level <= s.level) AS area FROM span s")
+def cross_section_missing_layers(spark, d):
+    return isosurface.fill_missing_layers(_layers(spark, d).where("level % 3 <> 2"), "g", "level", "area")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS solid, CAST(0 AS BIGINT) AS open_edges, CAST(2 AS BIGINT) AS euler")
+def isosurface_sphere(spark, d):
+    """Surface of a sphere cut from a sphere-shaped field: closed and of one piece."""
+    samples = isosurface.sample_grid(spark, (-1.3, -1.3, -1.3), 0.2, (14, 14, 14), lambda p: sf.sphere(p, (0.01, 0.02, 0.03), 1.0))
+    soup = isosurface.triangles(samples, 0.2).withColumn("mesh", F.lit(1).cast("long")).withColumn("f", F.monotonically_increasing_id())
+    whole = mesh.integrity(mesh.clean_faces(mesh.weld(soup, 9)[1]))
+    return whole.select(F.col("mesh").alias("solid"), F.col("open").alias("open_edges"), "euler")
+
+
 # ---------------------------------------------------------------- order, trees
 
 

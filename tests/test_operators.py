@@ -78,3 +78,13 @@ def test_stream_of_points(spark, tmp_path):
     run.awaitTermination(60)
     got = {r.g: (r.n, r.max_x, r.max_y) for r in spark.table("bounds").collect()}
     assert got == {"a": (2, 3.0, 5.0), "b": (1, 0.0, 0.0)}
+
+
+def test_isosurface_of_a_sphere(spark):
+    from geoloom.functions import surfaces as sf
+    from geoloom.operators import isosurface
+
+    samples = isosurface.sample_grid(spark, (-1.3, -1.3, -1.3), 0.1, (27, 27, 27), lambda p: sf.sphere(p, (0.01, 0.02, 0.03), 1.0))
+    m = mesh.solid_measures(isosurface.triangles(samples, 0.1).withColumn("mesh", F.lit(1))).first()
+    assert abs(m.volume / (4 / 3 * np.pi) - 1) < 0.02 and abs(m.area / (4 * np.pi) - 1) < 0.03
+    assert np.allclose([m.cx, m.cy, m.cz], [0.01, 0.02, 0.03], atol=1e-2)
