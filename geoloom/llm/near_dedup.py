@@ -8,7 +8,8 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
    so copies cost one row each.
 2. Retained values that one class alone has are dropped, and each class keeps lists
    only for its rarest values: two classes that share at least ``need`` values meet
-   in one of the ``shared - need + 1`` rarest (prefix filter).  A passage that many
+   in one of the ``shared - need + 1`` rarest (prefix filter).  A member whose
+   neighbours by set size differ too much to be similar leaves a list.  A passage that many
    documents share therefore makes no candidates among documents that differ.
 3. In two *star* rounds each list offers its members a few pivots; a member is
    compared with the pivot of best estimate, and links join components.
@@ -33,7 +34,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.graph import connected_components
@@ -129,14 +130,14 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def _inverted_lists(classes: DataFrame, k: int, need: int) -> DataFrame:
-    """(value, rep): the lists that candidates meet in."""
+    """(value, rep, n): the lists that candidates meet in, with the sizes of the members' sets."""
     postings = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
     shared = postings.join(common, "value").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("values"))
     exact = F.ceil(F.col("n_shingles") * 0.8)
     wanted = F.when(F.col("n_shingles") <= int(0.8 * k), exact).otherwise(F.lit(need)).cast("int")
     rarest = F.slice("values", F.lit(1), F.greatest(F.size("values") - wanted + 1, F.lit(0)))
-    return shared.select("rep", F.explode(rarest).alias("held")).select(F.col("held.value").alias("value"), "rep")
+    return shared.select("rep", F.col("n_shingles").alias("n"), F.explode(rarest).alias("held")).select(F.col("held.value").alias("value"), "rep", "n")
 
 
 def _estimate(a: str, b: str, k: int):
@@ -253,9 +254,13 @@ def near_duplicates(
         real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
     lists = materialise(_inverted_lists(classes, k, need), "lists")
-    meeting = materialise(lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "meeting")
+    meeting = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
+    # sets that are similar are of similar size, so a member far from both its neighbours by size has no partner here
+    by_size = Window.partitionBy("value").orderBy("n", "rep")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    close = (F.col("n") * similarity <= before * 100) | (after * similarity <= F.col("n") * 100)
+    members = materialise(lists.join(meeting, "value").withColumn("close", close).where("close").select("value", "rep"), "members")
     # lists of the same members, as two near copies have many, are one
-    members = lists.join(meeting.select("value"), "value")
     print_of = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
     once = members.groupBy("value").agg(F.count("*").alias("n"), *print_of).groupBy("n", "x0", "x1").agg(F.min("value").alias("value")).select("value")
     lists = materialise(members.join(once, "value"), "lists")
