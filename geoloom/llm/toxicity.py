@@ -37,6 +37,8 @@ M = 96
 SPAN = 6
 DECAY = 0.6
 CACHE = 150_000
+#: Words whose kernel rows are worked out at once.
+WORDS = 2048
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -221,9 +223,9 @@ class Model:
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, row = flat[order], row[order]
-        for a in range(0, len(corpus.words), 8192):  # words in order, so that no full matrix of them exists
-            phi = (kernel.rows(corpus.words[a : a + 8192]) @ root).astype(np.float32)
-            low, high = np.searchsorted(flat, [a, a + 8192])
+        for a in range(0, len(corpus.words), WORDS):  # words in order, so that no full matrix of them exists
+            phi = (kernel.rows(corpus.words[a : a + WORDS]) @ root).astype(np.float32)
+            low, high = np.searchsorted(flat, [a, a + WORDS])
             for c in range(low, high, 65536):
                 d = min(high, c + 65536)
                 np.add.at(x[:, :m], row[c:d], phi[flat[c:d] - a])
@@ -234,7 +236,7 @@ class Model:
         even = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label == 0).sum()))
         beta, model.bias = train_svm(x, label, even)
         model.kernel, model.beta = kernel, root @ beta
-        word = np.concatenate([kernel.rows(corpus.words[a : a + 8192]) @ model.beta for a in range(0, len(corpus.words), 8192)])
+        word = np.concatenate([kernel.rows(corpus.words[a : a + WORDS]) @ model.beta for a in range(0, len(corpus.words), WORDS)])
         features = np.array([model.features(word[own], sizes) for own, sizes in zip(corpus.flat, corpus.sizes, strict=True)])
         model.centre, model.scale = features.mean(0), features.std(0) + 1e-9
         model.logistic = train_logistic((features - model.centre) / model.scale, labels, weight / weight.mean())
@@ -245,8 +247,8 @@ class Model:
         if len(self._margins) > CACHE:
             self._margins.clear()
         new = sorted(words.difference(self._margins))
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
+        for a in range(0, len(new), WORDS):
+            part = new[a : a + WORDS]
             self._margins.update(zip(part, (self.kernel.rows(part) @ self.beta).tolist(), strict=True))
 
     def features(self, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
