@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import SPACE_CHUNK
 
-CACHE = 500_000
+CACHE = 250_000
 JOIN = 256
 
 
