@@ -33,7 +33,7 @@ def test_toxicity_held_out(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
     held = got[got.held_out]
-    assert auc(held.score.to_numpy(), held.toxic.to_numpy()) > 0.93 and held[held.toxic == 0].predicted.mean() < 0.02 and held[held.toxic == 1].predicted.mean() > 0.7
+    assert auc(held.score.to_numpy(), held.toxic.to_numpy()) > 0.93 and held[held.toxic == 0].predicted.mean() < 0.02 and held[held.toxic == 1].predicted.mean() > 0.75
 
 
 @pytest.fixture(scope="module")
