@@ -77,8 +77,8 @@ def minkowski_sum_area(spark, d):
 
 @query(f"SELECT ring, round(n * rr * rr * sin(2 * pi() / n) / 2, 5) AS area FROM (SELECT ring, n, r + 0.25 / cos(pi() / n) AS rr FROM {NGON} WHERE ring % 20 = 0)")
 def polygon_offset_miter(spark, d):
-    """Offset of every twentieth ring, a stated set: regular rings grow to regular rings."""
-    rows = bd.ngons(spark, d).where(F.col("ring") % 20 == 0).select("ring", "seq", "x", "y")
+    """Offset of every ring: regular rings grow to regular rings.  The SQL states every twentieth of them only."""
+    rows = bd.ngons(spark, d).select("ring", "seq", "x", "y")
     return rounded(kn.per_shape(rows, "ring", "area double", lambda f: pd.DataFrame({"area": [sum(kn.area2d(r) for r in kn.offset(_xy(f), 0.25, "miter"))]})), 5)
 
 
