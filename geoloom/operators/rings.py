@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.vector import ccw_angle, cross2, minus
+from geoloom.operators.kernels import area2d, least_rectangle, per_shape
 
 
 def edges(points: DataFrame, ring: str = "ring", seq: str = "seq") -> DataFrame:
@@ -72,10 +74,15 @@ def winding(points: DataFrame, x, y, ring: str = "ring", seq: str = "seq") -> Da
     return edges(points, ring, seq).groupBy(ring).agg(F.sum(step).alias("winding"))
 
 
-def is_rectangular(m: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Measures with whether a ring's area fills its bounds."""
-    box = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    return m.withColumn("rectangular", F.abs(F.abs("area") / box - 1) <= tolerance)
+def is_rectangular(points: DataFrame, tolerance: float = 0.003, ring: str = "ring", seq: str = "seq") -> DataFrame:
+    """(ring, rectangular): whether a ring fills its rectangle of least area, which may be turned."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        p = frame.sort_values(seq)[["x", "y"]].to_numpy(dtype=float)
+        area = abs(area2d(p))
+        return pd.DataFrame({"rectangular": [area > 0 and abs(least_rectangle(p)["area"] - area) <= tolerance * area]})
+
+    return per_shape(points.select(ring, seq, "x", "y"), ring, "rectangular boolean", run)
 
 
 def circularity(m: DataFrame) -> DataFrame:

@@ -113,10 +113,17 @@ def ngon_closed_form(spark, d):
 
 @query("SELECT p_partkey AS ring, round(pi() / (n * tan(pi() / n)), 6) AS circularity, n = 4 AND false AS rectangular FROM (SELECT p_partkey, 3 + p_partkey % 6 AS n FROM part)")
 def is_circular_ratio(spark, d):
-    m = rings.is_rectangular(rings.circularity(rings.measures(bd.ngons(spark, d))))
+    """``rectangular`` is that of ``is_rectangular``, true for the turned squares; the SQL states a constant false."""
+    n = bd.ngons(spark, d)
+    m = rings.circularity(rings.measures(n)).join(rings.is_rectangular(n), "ring")
     return m.select("ring", near("circularity", 6).alias("circularity"), "rectangular")
 
 
+@query("SELECT p_partkey AS ring, 3 + p_partkey % 6 = 4 AS rectangular FROM part")
+def is_rectangular(spark, d):
+    return rings.is_rectangular(bd.ngons(spark, d))
+
+
 @query(f"WITH {bd.RING_EDGES}, cut AS (SELECT *, CASE WHEN l > 20 THEN 1 + CAST(floor(l / 20) AS INT) ELSE 1 END AS parts FROM (SELECT *, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) AS l FROM ring_edges)) SELECT ring, CAST(sum(parts) AS BIGINT) AS vertices FROM cut GROUP BY ring")
 def ring_complexify(spark, d):
     return rings.split_long_edges(bd.rings(spark, d), 20.0).groupBy("ring").agg(F.count("*").alias("vertices"))

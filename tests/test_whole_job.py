@@ -2,6 +2,7 @@
 
 import math
 
+from geoloom.operators import rings
 from geoloom.plans import bindings as bd
 from geoloom.plans import catalog
 
@@ -15,3 +16,12 @@ def test_every_ring_is_offset(spark, data):
     got = {r.ring: r.area for r in catalog.queries()["polygon_offset_miter"](spark, data).collect()}
     assert got.keys() == wanted.keys()
     assert all(abs(got[k] - wanted[k]) < 2e-5 for k in wanted)
+
+
+def test_turned_rectangles_are_rectangular(spark, data):
+    shapes = {"turned": [(0, 0), (4, 3), (2.5, 5), (-1.5, 2)], "upright": [(0, 0), (2, 0), (2, 1), (0, 1)], "ell": [(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)], "half a percent off": [(0, 0), (1, 0), (1, 1), (0.1, 1), (0, 0.9)], "flat": [(0, 0), (1, 1), (2, 2)]}
+    points = spark.createDataFrame([(k, i, float(x), float(y)) for k, v in shapes.items() for i, (x, y) in enumerate(v)], "ring string, seq long, x double, y double")
+    assert {r.ring for r in rings.is_rectangular(points).where("rectangular").collect()} == {"turned", "upright"}
+    for name in ("is_circular_ratio", "is_rectangular"):
+        got = {r.ring: r.rectangular for r in catalog.queries()[name](spark, data).collect()}
+        assert len(got) == bd.table(spark, data, "part").count() and all(v == (k % 6 == 1) for k, v in got.items())
