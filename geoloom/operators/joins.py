@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +41,20 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, axes: tupl
     return found.where(F.col("distance") <= radius).select("query", "id", "distance")
 
 
+def finite(axes: tuple[str, ...]) -> Column:
+    """Whether all coordinates are numbers; NaN counts as greater than infinity."""
+    return reduce(and_, [F.abs(F.col(a).cast("double")) < float("inf") for a in axes])
+
+
 def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x", "y"), growth: float = 2.0, rounds: int = 40) -> DataFrame:
     """(query, rank, id, distance): the ``k`` nearest points, ties to the smaller id.
 
     A round joins within a radius; queries that found ``k`` are done, since all
-    others lie farther, and the rest go on with a larger radius.
+    others lie farther, and the rest go on with a larger radius.  Points and queries
+    with a coordinate that is null or not finite have no distance and are left out.
+    Queries still open after ``rounds`` are an error.
     """
+    points, queries = points.where(finite(axes)), queries.where(finite(axes))
     total, done, open_queries = points.count(), None, queries
     for _ in range(rounds):
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
@@ -53,9 +64,11 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, a
         part = found.join(full, "query", "left_semi")
         done = part if done is None else done.unionAll(part)
         open_queries = open_queries.join(full, "query", "left_anti")
-        if open_queries.isEmpty():
+        if not total or open_queries.isEmpty():
             break
         radius *= growth
+    else:
+        raise ValueError(f"queries without their {k} nearest points after {rounds} rounds")
     return done.select("query", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 

@@ -2,7 +2,9 @@
 
 import math
 
-from geoloom.operators import rings
+import pytest
+
+from geoloom.operators import joins, rings
 from geoloom.plans import bindings as bd
 from geoloom.plans import catalog
 
@@ -25,3 +27,16 @@ def test_turned_rectangles_are_rectangular(spark, data):
     for name in ("is_circular_ratio", "is_rectangular"):
         got = {r.ring: r.rectangular for r in catalog.queries()[name](spark, data).collect()}
         assert len(got) == bd.table(spark, data, "part").count() and all(v == (k % 6 == 1) for k, v in got.items())
+
+
+def test_nearest_join_with_coordinates_that_are_no_numbers(spark):
+    rows = [(0, 0.0, 0.0), (1, 3.0, 4.0), (2, None, 1.0), (3, 1.0, float("nan")), (4, float("inf"), 0.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    found = joins.nearest_join(points, points.withColumnRenamed("id", "query"), 3, 1.0).collect()
+    assert {(r["query"], r["rank"], r["id"], r["distance"]) for r in found} == {(0, 1, 0, 0.0), (0, 2, 1, 5.0), (1, 1, 1, 0.0), (1, 2, 0, 5.0)}
+
+
+def test_nearest_join_leaves_no_query_out_silently(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 1000.0, 0.0)], "id long, x double, y double")
+    with pytest.raises(ValueError, match="after 3 rounds"):
+        joins.nearest_join(points, points.withColumnRenamed("id", "query"), 2, 1.0, rounds=3)
