@@ -16,10 +16,13 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
 4. What is left are lists that hold several components.  Each member of a smaller
    component is compared with every member of the large components in its lists,
    and members of small components with each other, in blocks of ``BLOCK``, first
-   by sketch and then in full, so no link between components is missed.
+   by sketch and then in full.
 
-``need`` and the estimate's threshold lie four standard deviations below what a
-similarity of 0.8 gives; sets of at most ``0.8 k`` shingles are handled exactly.
+A link between components is missed if the sketches share under ``need`` values or
+the last step's estimate is under ``least``: 19 or fewer of 48, with a chance of
+about 1e-9 each for a pair at a similarity of 0.8 (binomial model, not measured).
+``estimate`` holds for the star rounds, whose misses stay for the last step; sets of
+at most ``0.8 k`` shingles are handled exactly.
 No group is expanded into its pairs and nothing per document reaches the driver.
 
 Defined results: null and empty texts and texts without words have the empty set
@@ -42,8 +45,10 @@ from geoloom.operators.graph import connected_components
 from .common import materialise, release
 
 K = 48
-NEED = 26
+NEED = 20
 ESTIMATE = 0.57
+#: Estimate from which the last step compares in full.
+LEAST = 0.4
 BLOCK = 256
 #: Pivots that a list offers in a round.
 PIVOTS = 3
@@ -240,7 +245,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: int = 80, k: int = K, need: int = NEED, estimate: float = ESTIMATE,
+    docs: DataFrame, words: int = 5, similarity: int = 80, k: int = K, need: int = NEED, estimate: float = ESTIMATE, least: float = LEAST,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
@@ -336,7 +341,7 @@ def near_duplicates(
     movers = movers.unionAll(minor.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
     stayers = stayers.unionAll(minor.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
     movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
-    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, estimate), "near")
+    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, least), "near")
     release(spark)
     stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi")
     movers = movers.join(small(near), ["id", "key", "part"], "left_semi")
