@@ -138,6 +138,17 @@ def polygon_simplify(spark, d):
     return kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "kept long", lambda f: pd.DataFrame({"kept": [len(kn.simplify_short_edges(_xy(f), 1e-9))]}))
 
 
+@query()
+def polygon_simplify_rings(spark, d):
+    """Corners of the customers' rings after edges shorter than 20 have collapsed."""
+
+    def run(frame):
+        p = kn.simplify_short_edges(_xy(frame), 20.0)
+        return pd.DataFrame({"corner": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})
+
+    return rounded(kn.per_shape(bd.rings(spark, d), "ring", "corner long, x double, y double", run), 6)
+
+
 @query(f"WITH {bd.POINTS3D} SELECT CAST(count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT), CAST(floor(y / 4) AS BIGINT), CAST(floor(z / 4) AS BIGINT) FROM points3d)")
 def voxel_dense_sparse(spark, d):
     """Cells to ranges and back are the same cells."""

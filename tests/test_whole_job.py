@@ -52,3 +52,30 @@ def test_a_pair_at_the_limit_with_unlike_sketches_is_linked(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in near_duplicates(docs, words=1).collect()} == {0}
     assert {r.component_id for r in near_duplicates(docs, words=1, need=26, least=0.57).collect()} == {0, 1}
+
+
+def shortest_edges_collapsed(ring, shortest):
+    """(index, point) of the kept corners: the least edge by length and its corners' numbers, found anew each time."""
+    ring = list(enumerate(ring))
+    while len(ring) > 3:
+        size, i, j, at = min((math.dist(p, q), i, j, at) for at, ((i, p), (j, q)) in enumerate(zip(ring, [*ring[1:], ring[0]], strict=True)))
+        if size >= shortest:
+            break
+        p, q = ring[at][1], ring[(at + 1) % len(ring)][1]
+        ring[at] = i, ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2)
+        del ring[(at + 1) % len(ring)]
+    return [p for _, p in sorted(ring)]
+
+
+def test_short_edges_of_real_rings_collapse(spark, data):
+    rows, got = {}, {}
+    for r in bd.rings(spark, data).orderBy("ring", "seq").collect():
+        rows.setdefault(r.ring, []).append((r.x, r.y))
+    for r in catalog.queries()["polygon_simplify_rings"](spark, data).orderBy("ring", "corner").collect():
+        got.setdefault(r.ring, []).append((r.x, r.y))
+    assert got.keys() == rows.keys()
+    for k, ring in rows.items():
+        wanted = shortest_edges_collapsed(ring, 20.0)
+        print("ring", k, "corners", len(ring), "kept", len(wanted))
+        assert 3 < len(wanted) < len(ring)
+        assert len(got[k]) == len(wanted) and all(math.dist(p, q) < 2e-6 for p, q in zip(got[k], wanted, strict=True))
