@@ -294,7 +294,11 @@ def arrange(shapes: list[list[np.ndarray]], decide, digits: int = 9) -> list[np.
 
 
 def minkowski_convex(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum of two convex rings: their edges in order of direction."""
+    """Sum of two convex rings: their edges in order of direction; an error if a ring is not convex."""
+    for ring in (a, b):
+        whole = area2d(ring[hull2d(ring)])
+        if abs(whole - abs(area2d(ring))) > 1e-9 * whole:
+            raise ValueError("a ring is not convex")
     a, b = a[hull2d(a)], b[hull2d(b)]
     edges = np.vstack([np.roll(r, -1, axis=0) - r for r in (a, b)])
     order = np.argsort(np.arctan2(edges[:, 1], edges[:, 0]) % (2 * math.pi), kind="stable")

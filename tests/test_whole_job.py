@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from geoloom.llm.near_dedup import Shingler, near_duplicates
 from geoloom.operators import joins, rings
+from geoloom.operators import kernels as kn
 from geoloom.plans import bindings as bd
 from geoloom.plans import catalog
 
@@ -79,3 +81,11 @@ def test_short_edges_of_real_rings_collapse(spark, data):
         print("ring", k, "corners", len(ring), "kept", len(wanted))
         assert 3 < len(wanted) < len(ring)
         assert len(got[k]) == len(wanted) and all(math.dist(p, q) < 2e-6 for p, q in zip(got[k], wanted, strict=True))
+
+
+def test_minkowski_sum_of_a_ring_that_is_not_convex_is_an_error():
+    square, ell = np.array([[0.0, 0], [2, 0], [2, 2], [0, 2]]), np.array([[0.0, 0], [3, 0], [3, 1], [1, 1], [1, 3], [0, 3]])
+    assert kn.area2d(kn.minkowski_convex(square, square[::-1])) == pytest.approx(16)
+    for pair in ((ell, square), (square, ell)):
+        with pytest.raises(ValueError, match="not convex"):
+            kn.minkowski_convex(*pair)
