@@ -1,21 +1,128 @@
 """Encoding of whole texts with the ``tokenizers`` library, chunk by chunk.
 
 The vocabularies used here never join characters across a change from non-space
-to space, so a text's ids are the ids of its chunks in order.  A worker keeps the
-ids of chunks it has met (two generations of ``CACHE``, so that common chunks stay;
-the result is the same with any size) and hands new ones to the library in groups.
+to space, or from a letter to a sign, so a text's ids are the ids of its chunks in
+order.  Chunks are cut on
+the bytes of an Arrow column, numbered by Arrow's dictionary encoding, and put
+together again by array lookups; only distinct chunks become Python objects.  A
+worker keeps the ids of chunks it has met (``CACHE`` of them; the result is the
+same with any size) and hands new ones to the library in groups.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
-from .common import SPACE_CHUNK
-
-CACHE = 250_000
+CACHE = 1_000_000
 JOIN = 256
+GROUP = 16_000_000
+
+def _bytes_in(chars: str) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[np.frombuffer(chars.encode("latin-1"), np.uint8)] = True
+    return table
+
+
+_SPACE = _bytes_in(" \t\n\v\f\r")
+#: Signs that never share a match with a letter before them; no apostrophe (contractions) and none of ``<|>`` (special strings).
+_SIGN = _bytes_in("!\"#$%&()*+,-./:;=?@[]^_`{}~\\")
+_LETTER = _bytes_in("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: White space beyond ASCII, in UTF-8.
+_WIDE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_WIDE_LAST = np.zeros(256, dtype=bool)
+_WIDE_LAST[[c[-1] for c in _WIDE]] = True
+_WIDE_BEFORE = np.zeros(256, dtype=bool)
+_WIDE_BEFORE[[c[-2] for c in _WIDE]] = True
+
+
+def chunk_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where chunks start in UTF-8 bytes.
+
+    At ``firsts``, at an ASCII space after a non-space, and at a sign after a
+    letter (ASCII, or U+00C0 to U+00FF without the two signs among them).
+    """
+    start = np.zeros(len(data), dtype=bool)
+    if len(data) > 1:
+        space, sign = _SPACE[data], np.flatnonzero(_SIGN[data[1:]]) + 1
+        np.logical_and(space[1:], ~space[:-1], out=start[1:])
+        last, before = data[sign - 1], data[np.maximum(sign - 2, 0)]
+        accented = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        start[sign[_LETTER[last] | accented]] = True
+        after = np.flatnonzero(start & space)
+        after = after[_WIDE_LAST[data[after - 1]] & (after > 1)]
+        after = after[_WIDE_BEFORE[data[after - 2]]]
+        for place in after.tolist():
+            if data[max(0, place - 3) : place].tobytes().endswith(_WIDE):
+                start[place] = False
+    start[firsts[firsts < len(data)]] = True
+    return np.flatnonzero(start)
+
+
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of an Arrow string column (null: empty) and the offsets of its rows."""
+    import pyarrow as pa
+
+    flat = column.fill_null("").cast(pa.large_binary())
+    if not len(flat):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, places, data = flat.buffers()
+    offsets = np.frombuffer(places, np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def row_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about ``limit`` bytes, of one row at least."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+        yield start, min(stop, n)
+        start = stop
+
+
+def number_chunks(data: np.ndarray, offsets: np.ndarray):
+    """(distinct chunks as an Arrow binary array, number of each chunk, chunks before each row)."""
+    import pyarrow as pa
+
+    starts = chunk_starts(data, offsets[:-1])
+    ends = np.append(starts, len(data)).astype(np.int64)
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = chunks.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+
+class Ragged:
+    """Growing rows of numbers in one array; ``gather`` concatenates chosen rows."""
+
+    def __init__(self, dtype=np.uint32):
+        self._flat, self._first, self._count = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.rows = self._size = 0
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n - len(array), len(array) // 2), array.dtype)])
+
+    def extend(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Append rows of ``counts`` numbers each, which follow each other in ``flat``."""
+        n, size = self.rows + len(counts), self._size + len(flat)
+        self._flat, self._first, self._count = self._room(self._flat, size), self._room(self._first, n), self._room(self._count, n)
+        self._flat[self._size : size] = flat
+        self._count[self.rows : n] = counts
+        self._first[self.rows : n] = self._size + np.cumsum(counts) - counts
+        self.rows, self._size = n, size
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        return self._count[rows]
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The numbers of ``rows``, one row after the other."""
+        counts = self._count[rows]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._flat[np.repeat(self._first[rows] - ends + counts, counts) + np.arange(total)]
 
 
 class TextEncoder:
@@ -29,8 +136,7 @@ class TextEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
-        self._ids: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}  # the generation before; what is met again moves on
+        self._forget()
 
     @classmethod
     def load(cls, path: str) -> TextEncoder:
@@ -39,43 +145,70 @@ class TextEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, new: list[str]) -> None:
+    def _forget(self) -> None:
+        self._row: dict[bytes, int] = {}
+        self._ids = Ragged()
+
+    def _learn(self, new: list[bytes]) -> None:
         """Ids of new chunks.
 
         Chunks from a space to a non-space can follow each other in one text
         without touching, so they are encoded ``JOIN`` at a time and told apart by
         the library's character offsets.  Others are encoded alone.
         """
-        joined = [c for c in new if c[0].isspace() and c[0] not in "\x1c\x1d\x1e\x1f" and not c[-1].isspace()]
-        alone = set(new).difference(joined)
-        for chunk, found in zip(alone, self._library.encode_batch(list(alone), add_special_tokens=False), strict=True):
-            self._ids[chunk] = np.array(found.ids, dtype=np.uint32).tobytes()
-        groups = [joined[a : a + JOIN] for a in range(0, len(joined), JOIN)]
-        for group, found in zip(groups, self._library.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            starts = np.cumsum([0, *map(len, group)])
-            ids = np.array(found.ids, dtype=np.uint32)
-            first = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(first, starts)
-            packed = ids.tobytes()
-            for chunk, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self._ids[chunk] = packed[4 * a : 4 * b]
+        texts = [c.decode() for c in new]
+        apart = [t[0] in " \t\n\v\f\r" and not (t[-1].isspace() and t[-1] not in "\x1c\x1d\x1e\x1f") for t in texts]
+        alone = [t for t, joins in zip(texts, apart, strict=True) if not joins]
+        joined = [t for t, joins in zip(texts, apart, strict=True) if joins]
+        order = [c for c, joins in zip(new, apart, strict=True) if not joins] + [c for c, joins in zip(new, apart, strict=True) if joins]
+        self._row.update(zip(order, range(self._ids.rows, self._ids.rows + len(order)), strict=True))
+        for a in range(0, len(alone), 4096):
+            found = [e.ids for e in self._library.encode_batch(alone[a : a + 4096], add_special_tokens=False)]
+            self._ids.extend(np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64))
+        for a in range(0, len(joined), 64 * JOIN):
+            groups = [joined[b : min(b + JOIN, a + 64 * JOIN)] for b in range(a, min(a + 64 * JOIN, len(joined)), JOIN)]
+            for group, found in zip(groups, self._library.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                starts = np.cumsum([0, *map(len, group)])
+                first = np.fromiter((o[0] for o in found.offsets), dtype=np.int64)
+                self._ids.extend(np.array(found.ids, dtype=np.uint32), np.diff(np.searchsorted(first, starts)))
+
+    def rows_of(self, distinct) -> np.ndarray:
+        """Rows of the id store that hold the ids of distinct chunks (an Arrow binary array)."""
+        chunks = distinct.to_pylist()
+        found = list(map(self._row.get, chunks))
+        new = [c for c, row in zip(chunks, found, strict=True) if row is None]
+        if new:
+            if len(self._row) + len(new) > CACHE:
+                self._forget()
+                new = chunks
+            self._learn(new)
+            found = list(map(self._row.__getitem__, chunks))
+        return np.array(found, dtype=np.int64)
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(uint32 ids of all rows, offsets of each row's ids); ``end`` follows each row if given."""
+        distinct, numbers, before = number_chunks(data, offsets)
+        rows = self.rows_of(distinct)[numbers] if len(numbers) else np.zeros(0, np.int64)
+        sizes = np.concatenate([[0], np.cumsum(self._ids.counts(rows))])[before]
+        ids = self._ids.gather(rows)
+        if end is None:
+            return ids, sizes
+        out = np.full(len(ids) + len(offsets) - 1, end, dtype=np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(offsets) - 1), np.diff(sizes))] = ids
+        return out, sizes + np.arange(len(offsets))
+
+    def encode_column(self, column, end: int | None = None, limit: int = GROUP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row + 1, ids, offsets) of groups of rows of an Arrow string column (null: empty)."""
+        data, offsets = text_bytes(column)
+        for a, b in row_groups(offsets, limit):
+            own = offsets[a : b + 1]
+            yield a, b, *self.encode_flat(data[own[0] : own[-1]], own - own[0], end)
 
     def encode(self, texts: list, end: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text (null: empty), with ``end`` appended if given."""
-        cut = SPACE_CHUNK.findall
-        if len(self._ids) > CACHE:
-            self._old, self._ids = self._ids, {}
-        known, old = self._ids, self._old
-        last = b"" if end is None else np.array([end], dtype=np.uint32).tobytes()
-        chunks = [cut(t or "") for t in texts]
-        found = [[*map(known.get, part), last] for part in chunks]
-        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
-        new = {part[i] for part, own in zip(chunks, gaps, strict=True) for i in own}
-        if old:
-            known.update((c, old[c]) for c in new if c in old)
-            new.difference_update(known)
-        self._learn(list(new))
-        for part, ids, own in zip(chunks, found, gaps, strict=True):
-            for i in own:
-                ids[i] = known[part[i]]
-        return [np.frombuffer(b"".join(ids), dtype=np.uint32) for ids in found]
+        import pyarrow as pa
+
+        out: list[np.ndarray] = []
+        for _, _, ids, offsets in self.encode_column(pa.array(texts, pa.string()), end):
+            out += np.split(ids, offsets[1:-1])
+        return out

@@ -120,15 +120,48 @@ def test_packing_edge_cases(spark):
 
 
 @pytest.mark.parametrize("sizes", [[1024] * 5, [1] * 3000, [700, 300, 24] * 10, list(range(1, 1025))])
-def test_plan_uses_every_piece_once(sizes):
-    lengths = np.bincount(sizes, minlength=1025)
-    used = np.zeros(1025, int)
-    total = 0
-    for filling, count in packing.plan(lengths):
-        assert sum(filling) <= 1024
-        total += count
-        np.add.at(used, list(filling), count)
-    assert (used == lengths).all() and total <= -(-sum(sizes) // 1024) + 2
+def test_rounds_use_every_piece_once(spark, sizes):
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "id long, size int")
+    placed, used = packing.place(spark, pieces)
+    got = placed.join(pieces, "id").toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.id) == list(range(len(sizes)))
+    inside = got.groupby("sequence_id")["size"]
+    assert (inside.cumsum() - got["size"] == got.offset).all() and inside.sum().max() <= 1024
+    assert got.sequence_id.nunique() <= -(-sum(sizes) // 1024) + 2 and got.sequence_id.max() < used
+
+
+def plain_sweep(kinds):
+    """Brackets by a stack: (gap, piece) pairs, open pieces, open gaps from the last."""
+    stack, pairs, left = [], [], []
+    for i, kind in enumerate(kinds):
+        if kind == packing.GAP:
+            stack.append(i)
+        elif stack:
+            pairs.append((stack.pop(), i))
+        else:
+            left.append(i)
+    return pairs, left, stack[::-1]
+
+
+def test_sweep_and_hand_over_are_one_stack():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        kinds = rng.integers(0, 2, rng.integers(0, 60))
+        cuts = [0, *sorted(rng.integers(0, len(kinds) + 1, 3).tolist()), len(kinds)]
+        pairs, counts, held = set(), {}, {}
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            gaps, pieces, open_pieces, open_gaps = packing.match(kinds[a:b])
+            pairs |= set(zip((gaps + a).tolist(), (pieces + a).tolist()))
+            for kind, rows in ((packing.PIECE, open_pieces), (packing.GAP, open_gaps)):
+                held[kind, part] = (rows + a).tolist()
+                if len(rows):
+                    counts[part, kind] = len(rows)
+        by_match = {}
+        for kind, part, a, b, first in packing.hand_over(counts):
+            for rank in range(a, b):
+                by_match.setdefault(first + rank - a, {})[kind] = held[kind, part][rank]
+        pairs |= {(m[packing.GAP], m[packing.PIECE]) for m in by_match.values()}
+        assert pairs == set(plain_sweep(kinds)[0])
 
 
 PAYLOADS = [b"", b"a" * 10, bytes(range(256)) * 9, np.random.default_rng(0).integers(0, 256, 5000, dtype=np.uint8).tobytes(), b"hello world " * 400, bytes([0, 255] * 3000), b"\x00" * 576]
