@@ -45,7 +45,7 @@ def tik():
 
 def test_byte_bpe_is_tiktokens(spark):
     ranks, own = tik()
-    rows = byte_bpe.byte_bpe(hard(spark), ranks, P.PATTERN, most_chunks=3, group=40).collect()
+    rows = byte_bpe.byte_bpe(hard(spark), ranks, P.PATTERN, block_bytes=40).collect()
     assert len(rows) == len(HARD) + 2
     for r in rows:
         text = ("no id" if r.doc_id is None else HARD[r.doc_id]) or ""
@@ -56,7 +56,9 @@ def test_byte_bpe_is_tiktokens(spark):
 def test_op6_on_whole_documents(spark, data):
     _, own = tik()
     texts = pd.read_parquet(f"{data}/documents.parquet").set_index("doc_id").text
-    for r in byte_bpe.query(spark, data).collect():
+    rows = byte_bpe.query(spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts.index)
+    for r in rows:
         packed = np.array(own.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
         assert (r.ids_sha256, r.decoded_sha256) == (hashlib.sha256(packed).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
