@@ -1,16 +1,7 @@
-"""Token-id files: an adaptive context-mixing range coder over blocks of ids.
+"""Token-id files: ids of documents, coded by an adaptive context-mixing range coder.
 
-Model (reset at every block).  An order-2 table holds the id that last followed
-the two previous ids, an order-1 table the one that followed the previous id, an
-order-0 table the last id seen in each of 256 classes.  For "is it the order-2
-id?" and "is it the order-1 id?" three adaptive probabilities, chosen by order-2,
-order-1 and order-0 evidence, are mixed in the logistic domain with weights
-learned online.  A miss goes to the order-0 table and then to a size tier with
-raw bits.  All arithmetic is on integers, so any machine decodes any file.
-
-A range coder (48-bit low, 16-bit words, carries resolved at the end) takes the
-symbol's interval.  Blocks share nothing: ``LANES`` of them are coded side by
-side, token *t* of every block in one numpy step.
+``range_coder`` has the model and the coder.  Blocks of 262,144 ids share nothing;
+``GROUP`` of them are coded at once, which bounds what a task holds.
 
 File: ``MAGIC``; blocks, each with count, size and CRC-32 of its ids; a table of
 (document id, ids, null mark); and a footer that says where the table begins.
@@ -32,290 +23,57 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, open_fs, text_groups
-from .tokens import TextEncoder
+from .common import materialise, new_folder, open_fs
+from .range_coder import BLOCK, GROUP, decode_blocks, encode_blocks
+from .tokens import TextEncoder, row_groups
 
-MAGIC = b"GLTOK1\n\0"
-BLOCK = 2048
-LANES = 2048
+MAGIC = b"GLTOK2\n\0"
 END = 2
-SLOTS1, SLOTS2 = 1024, 2048
-#: raw bits after each symbol: order-2, order-1, order-0 hit, then tiers by size
-RAW = np.array([0, 0, 8, 9, 12, 16, 16], dtype=np.int64)
-HIT2, HIT1, HIT0, TIER = 0, 1, 2, 3
-LIMITS = (1 << 9, 1 << 12, 1 << 16)
-_PROBS = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.clip(np.rint(np.log(_PROBS / (1 - _PROBS)) * 256), -2047, 2047).astype(np.int64)
-SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int64)
-
-
-class Lanes:
-    """Model state of ``n`` blocks; ``bounds`` before a token, ``update`` after it."""
-
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.two = np.zeros(n * SLOTS2, dtype=np.int32)  # id << 2 | confidence
-        self.one = np.zeros(n * SLOTS1, dtype=np.int32)
-        self.zero = np.full(n * 256, -1, dtype=np.int32)
-        self.before1 = np.zeros(n, dtype=np.int64)
-        self.before2 = np.zeros(n, dtype=np.int64)
-        self.past = np.zeros(n, dtype=np.int64)
-        # [decision][evidence], 16 contexts a lane; [decision][evidence] weights
-        self.probs = [[np.full(n * 16, p, dtype=np.int64) for _ in range(3)] for p in (4000, 12000)]
-        self.weights = [[np.full(n, 26000, dtype=np.int64) for _ in range(3)] for _ in range(2)]
-        self.rest = np.full((4, n * 4), 32768, dtype=np.int64)
-        self.base1, self.base2, self.base0, self.base16 = self.lane * SLOTS1, self.lane * SLOTS2, self.lane * 256, self.lane * 16
-
-    def bounds(self) -> np.ndarray:
-        """Cumulative bounds [8, n] of the seven symbols on a scale of 65536."""
-        self.at1 = self.base1 + ((self.before1 * 0x9E3779B1 >> 15) & (SLOTS1 - 1))
-        self.at2 = self.base2 + (((self.before1 * 0x9E3779B1 + self.before2 * 0x85EBCA77) >> 15) & (SLOTS2 - 1))
-        one, two = self.one[self.at1].astype(np.int64), self.two[self.at2].astype(np.int64)
-        sure1, sure2 = one & 3, two & 3
-        self.first, self.second = np.where(sure1 > 0, one >> 2, -1), np.where(sure2 > 0, two >> 2, -1)
-        self.sure1, self.sure2 = sure1, sure2
-        same = self.first == self.second
-        self.contexts = [self.base16 + sure2 * 4 + sure1, self.base16 + sure1 * 2 + same, self.base16 + self.past]
-        self.inputs, self.mixed = [], []
-        out = np.empty((8, self.n), dtype=np.int64)
-        out[0] = 0
-        out[7] = 65536
-        left = np.full(self.n, 65536 - 8, dtype=np.int64)  # every symbol keeps one unit
-        base = np.zeros(self.n, dtype=np.int64)
-        for decision in range(2):
-            inputs = [STRETCH[self.probs[decision][e][self.contexts[e]] >> 4] for e in range(3)]
-            w = self.weights[decision]
-            dot = (inputs[0] * w[0] + inputs[1] * w[1] + inputs[2] * w[2]) >> 16
-            p = SQUASH[np.clip(dot, -2047, 2047) + 2048]
-            self.inputs.append(inputs)
-            self.mixed.append(p)
-            part = left * p >> 12
-            base = base + part + 1
-            left = left - part
-            out[decision + 1] = base
-        self.small = self.lane * 4 + (self.past & 3)
-        for i in range(4):
-            part = left * self.rest[i][self.small] >> 16
-            base = base + part + 1
-            left = left - part
-            out[i + 3] = base
-        return out
-
-    def symbols(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and raw value of each lane's next id."""
-        slot = self.zero[self.base0 + (ids & 255)]
-        tier = np.where(ids < LIMITS[0], TIER, np.where(ids < LIMITS[1], TIER + 1, np.where(ids < LIMITS[2], TIER + 2, TIER + 3)))
-        symbol = np.where(ids == self.second, HIT2, np.where(ids == self.first, HIT1, np.where(slot == ids, HIT0, tier)))
-        raw = np.where(symbol == HIT0, ids & 255, np.where(symbol > HIT0, ids & 0xFFFF, 0))
-        return symbol, raw
-
-    def resolve(self, symbol: np.ndarray, raw: np.ndarray, high: np.ndarray | None) -> np.ndarray:
-        """The id that a symbol and its raw value mean."""
-        ids = np.where(symbol == HIT2, self.second, np.where(symbol == HIT1, self.first, np.where(symbol == HIT0, self.zero[self.base0 + (raw & 255)], raw)))
-        return ids if high is None else np.where(symbol == 6, raw | high << 16, ids)
-
-    def update(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        """Learn from the id just coded."""
-        for decision in range(2):
-            hit = symbol == decision
-            target = np.where(hit, 65535, 0)
-            error = ((target >> 4) - self.mixed[decision]) * 6
-            live = None
-            if decision:
-                live = symbol > 0
-                error = np.where(live, error, 0)
-            for e in range(3):
-                self.weights[decision][e] += (self.inputs[decision][e] * error + 0x8000) >> 16
-                table, at = self.probs[decision][e], self.contexts[e]
-                old = table[at]
-                step = (target - old) >> 4
-                table[at] = old + (step if live is None else np.where(live, step, 0))
-        for i in range(4):
-            old = self.rest[i][self.small]
-            live = symbol >= HIT0 + i
-            self.rest[i][self.small] = old + np.where(live, (np.where(symbol == HIT0 + i, 65535, 0) - old) >> 4, 0)
-        self.one[self.at1] = ids << 2 | np.where(ids == self.first, np.minimum(self.sure1 + 1, 3), 1)
-        self.two[self.at2] = ids << 2 | np.where(ids == self.second, np.minimum(self.sure2 + 1, 3), 1)
-        self.zero[self.base0 + (ids & 255)] = ids
-        self.before2, self.before1 = self.before1, ids
-        self.past = (self.past << 2 | np.minimum(symbol, 3)) & 15
-
-
-def _blocks_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as rows of a block each, the last row padded, and the count of every row."""
-    rows = -(-len(ids) // BLOCK)
-    width = min(BLOCK, len(ids))
-    padded = np.zeros(rows * width, dtype=np.int64)
-    padded[: len(ids)] = ids
-    counts = np.full(rows, width, dtype=np.int64)
-    if rows:
-        counts[-1] = len(ids) - (rows - 1) * width
-    return padded.reshape(rows, width) if rows else np.zeros((0, 0), np.int64), counts
-
-
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    """Coded bytes of blocks (rows of ids)."""
-    n, width = ids.shape
-    model, steps = Lanes(n), np.ascontiguousarray(ids.T)
-    low, size = np.zeros(n, dtype=np.int64), np.full(n, 1 << 48, dtype=np.int64)
-    words, place = np.zeros((n, width + 64), dtype=np.uint32), np.zeros(n, dtype=np.int64)
-    lane = model.lane
-
-    def put(start: np.ndarray, length: np.ndarray) -> None:
-        nonlocal low, size
-        unit = size >> 16
-        low += unit * start
-        size = unit * length
-        full = np.flatnonzero(size < 1 << 32)
-        if len(full):
-            part = low[full]
-            words[full, place[full]] = part >> 32
-            low[full] = (part & 0xFFFFFFFF) << 16
-            size[full] <<= 16
-            place[full] += 1
-
-    for t in range(width):
-        if t % 16 == 0 and int(place.max()) + 64 > words.shape[1]:
-            words = np.concatenate([words, np.zeros((n, width // 2 + 64), dtype=np.uint32)], axis=1)
-        bounds = model.bounds().ravel()
-        symbol, raw = model.symbols(steps[t])
-        at = symbol * n + lane
-        start = bounds[at]
-        put(start, bounds[at + n] - start)
-        shift = 16 - RAW[symbol]
-        put(raw << shift, 1 << shift)
-        if (symbol == 6).any():
-            wide = symbol == 6
-            put(np.where(wide, steps[t] >> 16, 0), np.where(wide, 1, 65536))
-        model.update(symbol, steps[t])
-    for down in (32, 16, 0):
-        words[lane, place] = (low >> down) & (0x1FFFF if down == 32 else 0xFFFF)
-        place += 1
-        if int(place.max()) >= words.shape[1]:
-            words = np.concatenate([words, np.zeros((n, 8), dtype=np.uint32)], axis=1)
-    for column in range(int(place.max()) - 1, 0, -1):
-        carry = words[:, column] >> 16
-        words[:, column - 1] += carry
-    whole = words.astype("<u2")
-    return [whole[i, : place[i]].tobytes() for i in range(n)]
-
-
-def _decode_lanes(parts: list[bytes], width: int) -> np.ndarray:
-    """Ids [blocks, width] of coded bytes."""
-    n = len(parts)
-    longest = max(map(len, parts)) // 2 + 8
-    words = np.zeros((n, longest), dtype=np.int64)
-    for i, part in enumerate(parts):
-        words[i, : len(part) // 2] = np.frombuffer(part, "<u2")
-    model, out = Lanes(n), np.zeros((width, n), dtype=np.int64)
-    code, place = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2], np.full(n, 3, dtype=np.int64)
-    size, lane = np.full(n, 1 << 48, dtype=np.int64), model.lane
-    flat, base = words.ravel(), np.arange(n) * longest
-
-    def renew() -> None:
-        full = np.flatnonzero(size < 1 << 32)
-        if len(full):
-            code[full] = code[full] << 16 | flat[base[full] + np.minimum(place[full], longest - 1)]
-            size[full] <<= 16
-            place[full] += 1
-
-    for t in range(width):
-        bounds = model.bounds()
-        unit = size >> 16
-        target = np.minimum(code // unit, 65535)
-        symbol = (target >= bounds[1]).astype(np.int64)
-        for i in range(2, 7):
-            symbol += target >= bounds[i]
-        at, bounds = symbol * n + lane, bounds.ravel()
-        start = bounds[at]
-        code -= unit * start
-        size = unit * (bounds[at + n] - start)
-        renew()
-        shift, unit = 16 - RAW[symbol], size >> 16
-        raw = np.minimum(code // unit, 65535) >> shift
-        code -= unit * (raw << shift)
-        size = unit << shift
-        renew()
-        high = None
-        if (symbol == 6).any():
-            wide, unit = symbol == 6, size >> 16
-            high = np.where(wide, np.minimum(code // unit, 65535), 0)
-            code -= unit * high
-            size = np.where(wide, unit, unit << 16)
-            renew()
-        ids = model.resolve(symbol, raw, high)
-        model.update(symbol, ids)
-        out[t] = ids
-    return out.T
-
-
-def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(count, CRC-32 of the ids, coded bytes) of every block of a stream of ids."""
-    if len(ids) and int(ids.max()) >= 1 << 29:
-        raise ValueError("ids must be below 2**29")
-    rows, counts = _blocks_of(ids)
-    out = []
-    for a in range(0, len(rows), LANES):
-        coded = _encode_lanes(rows[a : a + LANES])
-        for row, count, part in zip(rows[a : a + LANES], counts[a : a + LANES], coded, strict=True):
-            out.append((int(count), zlib.crc32(row[:count].astype("<u4").tobytes()), part))
-    return out
-
-
-def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """Ids of blocks in order; each is checked against its CRC."""
-    out: list[np.ndarray] = []
-    for a in range(0, len(blocks), LANES):
-        own = blocks[a : a + LANES]
-        rows = _decode_lanes([part for _, _, part in own], max(count for count, _, _ in own))
-        for row, (count, crc, _) in zip(rows, own, strict=True):
-            ids = row[:count].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError("block checksum")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 class FileWriter:
-    """Writes documents' ids; blocks go out whenever ``LANES`` of them are full."""
+    """Writes documents' ids; blocks go out whenever ``GROUP`` of them are full."""
 
     def __init__(self, sink):
         self._sink, self._at = sink, 0
         self._pending: list[np.ndarray] = []
-        self._size = self.tokens = 0
-        self._docs: list[tuple[int, int, int]] = []
+        self._size = self.tokens = self.docs = 0
+        self._table: list[np.ndarray] = []
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
         self._sink.write(data)
         self._at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self._docs.append((doc_id or 0, len(ids), doc_id is None))
-        self._pending.append(ids)
-        self._size += len(ids)
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents of ``counts`` ids each, which follow each other in ``ids``."""
+        self._table.append(np.stack([np.where(null, 0, doc_ids), counts, null], axis=1).astype("<i8"))
+        self.docs += len(counts)
         self.tokens += len(ids)
-        if self._size >= LANES * BLOCK:
-            self._flush(False)
+        for a in range(0, len(ids), GROUP * BLOCK):
+            self._pending.append(ids[a : a + GROUP * BLOCK])
+            self._size += len(self._pending[-1])
+            if self._size >= GROUP * BLOCK:
+                self._flush(False)
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self._pending) if self._pending else np.zeros(0, np.uint32)
-        cut = len(ids) if last else len(ids) // (LANES * BLOCK) * LANES * BLOCK
+        cut = len(ids) if last else len(ids) // (GROUP * BLOCK) * GROUP * BLOCK
         for count, crc, part in encode_blocks(ids[:cut]):
             self._put(struct.pack("<III", count, len(part), crc) + part)
-        self._pending, self._size = [ids[cut:]], len(ids) - cut
+        self._pending, self._size = [ids[cut:].copy()], len(ids) - cut
 
     def close(self) -> None:
         self._flush(True)
-        table = np.array(self._docs, dtype="<i8").reshape(-1, 3).tobytes()
+        table = np.concatenate(self._table or [np.zeros((0, 3), "<i8")]).tobytes()
         at, packed = self._at, zlib.compress(table)
         self._put(packed)
-        self._put(struct.pack("<QIII", at, len(packed), zlib.crc32(table), len(self._docs)) + MAGIC)
+        self._put(struct.pack("<QIII", at, len(packed), zlib.crc32(table), self.docs) + MAGIC)
         self._sink.close()
 
 
-def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(document id, ids) of a file; holds the ids of ``LANES`` blocks and one document at a time."""
+def read_file(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, null marks, counts, ids) of runs of a file's documents; holds ``GROUP`` blocks and one document more."""
     source.seek(0, 2)
     end = source.tell()
     source.seek(end - 28)
@@ -330,26 +88,28 @@ def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
     docs = np.frombuffer(table, "<i8").reshape(n, 3)
     source.seek(len(MAGIC))
     place = len(MAGIC)
-
-    def chunks() -> Iterator[np.ndarray]:
-        nonlocal place
-        while place < at:
+    ends = np.cumsum(docs[:, 1])
+    done = before = 0  # documents given out, ids of them
+    held: list[np.ndarray] = []
+    have = 0
+    while done < n:
+        if place < at:
             blocks = []
-            while place < at and len(blocks) < LANES:
+            while place < at and len(blocks) < GROUP:
                 count, length, check = struct.unpack("<III", source.read(12))
                 blocks.append((count, check, source.read(length)))
                 place += 12 + length
-            yield decode_blocks(blocks)
-
-    stream, held = chunks(), np.zeros(0, "<u4")
-    for doc_id, count, null in docs.tolist():
-        parts, have = [held], len(held)
-        while have < count:
-            parts.append(next(stream))
-            have += len(parts[-1])
-        whole = np.concatenate(parts) if len(parts) > 1 else held
-        held = whole[count:]
-        yield None if null else doc_id, whole[:count]
+            held.append(decode_blocks(blocks))
+            have += len(held[-1])
+        stop = int(np.searchsorted(ends, before + have, side="right"))
+        if stop == done:
+            if place >= at:
+                raise ValueError("ids end before the documents do")
+            continue
+        whole = np.concatenate(held) if len(held) != 1 else held[0]
+        cut = int(ends[stop - 1]) - before
+        yield docs[done:stop, 0], docs[done:stop, 2] != 0, docs[done:stop, 1], whole[:cut]
+        held, have, before, done = [whole[cut:].copy()], len(whole) - cut, before + cut, stop
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
@@ -366,22 +126,21 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
         from pyspark import TaskContext
 
         writer = path = None
-        count, part = 0, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         encoder = TextEncoder.load(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_groups(texts, 4_000_000):
-                for doc_id, coded in zip(ids[a:b], encoder.encode(texts[a:b], end), strict=True):
-                    if writer is None:
-                        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
-                        files, inner = open_fs(path)
-                        files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                        writer = FileWriter(files.open_output_stream(inner))
-                    writer.add(doc_id, coded)
-                    count += 1
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for a, b, ids, offsets in encoder.encode_column(batch.column(1), end):
+                if writer is None:
+                    path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
+                    files, inner = open_fs(path)
+                    files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    writer = FileWriter(files.open_output_stream(inner))
+                writer.add(doc_ids[a:b], null[a:b], np.diff(offsets), ids)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "docs": [count], "tokens": [writer.tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "docs": [writer.docs], "tokens": [writer.tokens]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -394,22 +153,18 @@ def read_files(spark, manifest: list[tuple[str, int]]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files, inner = open_fs(path)
-                rows: list[tuple] = []
-                size = 0
                 with files.open_input_file(inner) as source:
-                    for doc_id, ids in read_file(source):
-                        rows.append((doc_id, start, ids.astype(np.int32)))
+                    for doc_ids, null, counts, ids in read_file(source):
+                        ends = np.cumsum(counts)
+                        for a, b in row_groups(np.concatenate([[0], ends]), 1_000_000):
+                            first = int(ends[a - 1]) if a else 0
+                            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[a:b] - first]), pa.int32()), pa.array(ids[first : ends[b - 1]].astype(np.int32)))
+                            columns = [pa.array(doc_ids[a:b], pa.int64(), mask=null[a:b]), pa.array(start + ends[a:b] - counts[a:b], pa.int64()), own]
+                            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
                         start += len(ids)
-                        size += len(ids)
-                        if size > 1_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                            rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     files = spark.createDataFrame(manifest, "path string, start bigint").repartition(max(1, len(manifest)))
     return files.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")

@@ -80,12 +80,34 @@ def test_coder_compresses_and_detects_damage():
     blocks = token_files.encode_blocks(ids)
     assert sum(len(b[2]) for b in blocks) < 1.6 * len(ids)
     count, crc, part = blocks[0]
-    with pytest.raises(ValueError):
-        token_files.decode_blocks([(count, crc, bytes([part[0] ^ 64]) + part[1:])])
+    for at in (0, 1, 5, len(part) // 2):
+        with pytest.raises(ValueError):
+            token_files.decode_blocks([(count, crc, part[:at] + bytes([part[at] ^ 64]) + part[at + 1 :])])
     with pytest.raises(ValueError):
         token_files.encode_blocks(np.array([1 << 29], np.uint32))
 
 
+def test_coder_beats_order_0_and_zlib(data):
+    docs = pd.read_parquet(f"{data}/../sf0.01/documents.parquet")
+    ids = np.concatenate(TextEncoder(P.path("word_bpe_49k.json")).encode(docs.text.tolist(), 2))
+    coded = sum(len(b[2]) for b in token_files.encode_blocks(ids))
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert coded < -(share * np.log2(share)).sum() * len(ids) / 8
+    assert coded < sum(len(zlib.compress(ids[a : a + token_files.BLOCK].astype("<u2").tobytes())) for a in range(0, len(ids), token_files.BLOCK))
+
+
+def test_op3_on_whole_documents(spark, data):
+    """Every digest against the library's ids."""
+    one, texts = library("word_bpe_49k.json"), pd.read_parquet(f"{data}/documents.parquet").sort_values("doc_id")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.query(spark, data).collect()}
+    start, wanted = 0, {}
+    for doc_id, text in zip(texts.doc_id, texts.text):
+        ids = np.array([*one(text), 2], "<u4")
+        wanted[doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == wanted
+
+
 def test_token_files_round_trip(spark):
     one = library("word_bpe_49k.json")
     rows = token_files.round_trip(hard(spark), P.path("word_bpe_49k.json")).collect()
