@@ -48,7 +48,7 @@ BUCKETS = 8192
 BLOCK = 24_000_000
 SPREAD = 1024
 #: words of a packed row, and of documents put together at once
-PACK, AT_ONCE = 400_000, 2_000_000
+PACK, AT_ONCE = 400_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,7 +124,7 @@ class RankLiteral:
 def _zstd(data: np.ndarray | bytes) -> bytes:
     import pyarrow as pa
 
-    return pa.Codec("zstd", 1).compress(memoryview(data), asbytes=True)
+    return pa.Codec("zstd", 3).compress(memoryview(data), asbytes=True)
 
 
 def _unzstd(data: bytes, size: int) -> bytes:
@@ -157,7 +157,7 @@ ONE_WORD = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0
 
 
 def _cut(batches: Iterator, pattern: str, folder: str, block_bytes: int) -> Iterator:
-    """Stores blocks of documents as word numbers; gives (block, number, salt, word) of their distinct words."""
+    """Stores blocks of documents as word numbers, commoner words lower; gives (block, number, salt, word) of their distinct words."""
     import pyarrow as pa
     import regex
     from pyspark import TaskContext
@@ -179,17 +179,20 @@ def _cut(batches: Iterator, pattern: str, folder: str, block_bytes: int) -> Iter
             rows.extend(np.arange(len(single), dtype=np.uint32), np.ones(len(single), np.int64))
             rows.extend(np.array([w for words in split for w in words], np.uint32), np.array([len(words) for words in split], np.int64))
             row_of[single], row_of[several] = np.arange(len(single)), len(single) + np.arange(len(several))
-            used = row_of[numbers]
+            used = row_of[numbers].astype(np.int32)
             sizes = np.concatenate([[0], np.cumsum(rows.counts(used))])[before]
-            _store(f"{folder}/{block}", batch.column(0).slice(a, b - a), np.diff(sizes), rows.gather(used))
+            held = rows.gather(used)
+            order = np.argsort(-np.bincount(held, minlength=len(single) + len(more)), kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            _store(f"{folder}/{block}", batch.column(0).slice(a, b - a), np.diff(sizes), number[held])
+            del numbers, before, used, held
             # the row of number -1 stands for the block itself, which may have no words
-            parts = [(pa.array([b""], pa.binary()), -1), (distinct.take(pa.array(single)).cast(pa.binary()), 0), (pa.array(list(more), pa.binary()), len(single))]
-            for words, first in parts:
-                for c in range(0, len(words), 50_000):
-                    part = words.slice(c, 50_000)
-                    n = len(part)
-                    columns = [np.full(n, block), np.arange(first + c, first + c + n, dtype=np.int32), np.full(n, salt, np.int32), part]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "number", "salt", "word"])
+            words = pa.concat_arrays([distinct.take(pa.array(single)), pa.array(list(more), pa.large_binary())]).take(pa.array(order))
+            for part, first in [(pa.array([b""], pa.binary()), -1), *((words.slice(c, 50_000).cast(pa.binary()), c) for c in range(0, len(words), 50_000))]:
+                n = len(part)
+                columns = [np.full(n, block), np.arange(first, first + n, dtype=np.int32), np.full(n, salt, np.int32), part]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "number", "salt", "word"])
             block += 1
 
 

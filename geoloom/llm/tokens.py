@@ -19,6 +19,7 @@ import numpy as np
 CACHE = 1_000_000
 JOIN = 256
 GROUP = 16_000_000
+AT_ONCE = 1 << 18
 
 def _bytes_in(chars: str) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
@@ -118,11 +119,18 @@ class Ragged:
         return self._count[rows]
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
-        """The numbers of ``rows``, one row after the other."""
-        counts = self._count[rows]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._flat[np.repeat(self._first[rows] - ends + counts, counts) + np.arange(total)]
+        """The numbers of ``rows``, one row after the other; index arrays are made for ``AT_ONCE`` rows at a time."""
+        out = np.empty(int(self._count[rows].sum()), self._flat.dtype)
+        at = 0
+        for a in range(0, len(rows), AT_ONCE):
+            part = rows[a : a + AT_ONCE]
+            counts = self._count[part]
+            ends = np.cumsum(counts)
+            index = np.repeat(self._first[part] - ends + counts, counts)
+            index += np.arange(len(index))
+            self._flat.take(index, out=out[at : at + len(index)])
+            at += len(index)
+        return out
 
 
 class TextEncoder:
