@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import new_folder, open_fs
-from .tokens import Ragged, number_chunks, row_groups, text_bytes
+from .tokens import Ragged, number_chunks, row_groups, text_bytes, totals_before
 
 BUCKETS = 8192
 BLOCK = 24_000_000
@@ -180,7 +180,7 @@ def _cut(batches: Iterator, pattern: str, folder: str, block_bytes: int) -> Iter
             rows.extend(np.array([w for words in split for w in words], np.uint32), np.array([len(words) for words in split], np.int64))
             row_of[single], row_of[several] = np.arange(len(single)), len(single) + np.arange(len(several))
             used = row_of[numbers].astype(np.int32)
-            sizes = np.concatenate([[0], np.cumsum(rows.counts(used))])[before]
+            sizes = totals_before(rows.counts(used), before)
             held = rows.gather(used)
             order = np.argsort(-np.bincount(held, minlength=len(single) + len(more)), kind="stable")
             number = np.empty(len(order), np.uint32)
@@ -286,7 +286,7 @@ def _assemble(batches: Iterator, folder: str, keep: bool) -> Iterator:
             rows = row_of[numbers[ends[a] : ends[b]].astype(np.int64) + 1]
             own = ends[a : b + 1] - ends[a]
             ids, text = coded.gather(rows).astype("<u4", copy=False), plain.gather(rows)
-            at, to = (np.concatenate([[0], np.cumsum(x.counts(rows))])[own] for x in (coded, plain))
+            at, to = (totals_before(x.counts(rows), own) for x in (coded, plain))
             packed_ids, decoded = memoryview(ids).cast("B"), memoryview(text)
             out = [doc_ids.slice(a, b - a), np.diff(at)]
             out.append([hashlib.sha256(packed_ids[4 * p : 4 * q]).hexdigest() for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])

@@ -4,9 +4,10 @@ The vocabularies used here never join characters across a change from non-space
 to space, or from a letter to a sign, so a text's ids are the ids of its chunks in
 order.  Chunks are cut on
 the bytes of an Arrow column, numbered by Arrow's dictionary encoding, and put
-together again by array lookups; only distinct chunks become Python objects.  A
-worker keeps the ids of chunks it has met (``CACHE`` of them; the result is the
-same with any size) and hands new ones to the library in groups.
+together again by array lookups; only chunks not met before become Python objects,
+which the library encodes in groups.  A worker keeps the ids of ``CACHE`` chunks,
+as Arrow and numpy arrays, and when these are full those met most often (the result
+is the same with any size).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE = 1_000_000
+CACHE = 600_000
 JOIN = 256
 GROUP = 16_000_000
 AT_ONCE = 1 << 18
@@ -95,6 +96,12 @@ def number_chunks(data: np.ndarray, offsets: np.ndarray):
     return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
 
 
+def totals_before(counts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sum of the first n counts for each n of ``places``."""
+    totals = np.cumsum(counts)
+    return np.where(places > 0, totals[places - 1], 0) if len(totals) else np.zeros(len(places), np.int64)
+
+
 class Ragged:
     """Growing rows of numbers in one array; ``gather`` concatenates chosen rows."""
 
@@ -118,6 +125,12 @@ class Ragged:
     def counts(self, rows: np.ndarray) -> np.ndarray:
         return self._count[rows]
 
+    def select(self, rows: np.ndarray) -> Ragged:
+        """Another store, of these rows."""
+        out = Ragged(self._flat.dtype)
+        out.extend(self.gather(rows), self._count[rows])
+        return out
+
     def gather(self, rows: np.ndarray) -> np.ndarray:
         """The numbers of ``rows``, one row after the other; index arrays are made for ``AT_ONCE`` rows at a time."""
         out = np.empty(int(self._count[rows].sum()), self._flat.dtype)
@@ -153,23 +166,31 @@ class TextEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _forget(self) -> None:
-        self._row: dict[bytes, int] = {}
-        self._ids = Ragged()
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Keep only these rows, or none."""
+        import pyarrow as pa
+
+        if keep is None:
+            self._known, self._ids, self._met = pa.array([], pa.large_binary()), Ragged(), np.zeros(0, np.int32)
+        else:
+            self._known, self._ids, self._met = self._known.take(pa.array(keep)), self._ids.select(keep), self._met[keep]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of new chunks.
+    def _learn(self, new) -> None:
+        """Ids of new chunks (an Arrow binary array).
 
         Chunks from a space to a non-space can follow each other in one text
         without touching, so they are encoded ``JOIN`` at a time and told apart by
         the library's character offsets.  Others are encoded alone.
         """
-        texts = [c.decode() for c in new]
+        import pyarrow as pa
+
+        texts = new.cast(pa.large_string()).to_pylist()
         apart = [t[0] in " \t\n\v\f\r" and not (t[-1].isspace() and t[-1] not in "\x1c\x1d\x1e\x1f") for t in texts]
         alone = [t for t, joins in zip(texts, apart, strict=True) if not joins]
         joined = [t for t, joins in zip(texts, apart, strict=True) if joins]
-        order = [c for c, joins in zip(new, apart, strict=True) if not joins] + [c for c, joins in zip(new, apart, strict=True) if joins]
-        self._row.update(zip(order, range(self._ids.rows, self._ids.rows + len(order)), strict=True))
+        order = np.argsort(np.array(apart), kind="stable")
+        self._known = pa.concat_arrays([self._known, new.take(pa.array(order))])
+        self._met = np.concatenate([self._met, np.zeros(len(new), np.int32)])
         for a in range(0, len(alone), 4096):
             found = [e.ids for e in self._library.encode_batch(alone[a : a + 4096], add_special_tokens=False)]
             self._ids.extend(np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64))
@@ -182,27 +203,33 @@ class TextEncoder:
 
     def rows_of(self, distinct) -> np.ndarray:
         """Rows of the id store that hold the ids of distinct chunks (an Arrow binary array)."""
-        chunks = distinct.to_pylist()
-        found = list(map(self._row.get, chunks))
-        new = [c for c, row in zip(chunks, found, strict=True) if row is None]
-        if new:
-            if len(self._row) + len(new) > CACHE:
-                self._forget()
-                new = chunks
-            self._learn(new)
-            found = list(map(self._row.__getitem__, chunks))
-        return np.array(found, dtype=np.int64)
+        import pyarrow.compute as pc
+
+        found = pc.index_in(distinct, value_set=self._known)
+        if found.null_count:
+            if len(self._known) + found.null_count > CACHE:
+                self._met[found.drop_null().to_numpy()] += 1
+                again = np.flatnonzero(self._met > 1)
+                self._forget(np.sort(again[np.argsort(-self._met[again], kind="stable")[: CACHE // 2]]))
+                found = pc.index_in(distinct, value_set=self._known)
+            self._learn(distinct.filter(found.is_null()))
+            found = pc.index_in(distinct, value_set=self._known)
+        rows = found.to_numpy()
+        self._met[rows] += 1
+        return rows
 
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(uint32 ids of all rows, offsets of each row's ids); ``end`` follows each row if given."""
         distinct, numbers, before = number_chunks(data, offsets)
         rows = self.rows_of(distinct)[numbers] if len(numbers) else np.zeros(0, np.int64)
-        sizes = np.concatenate([[0], np.cumsum(self._ids.counts(rows))])[before]
+        sizes = totals_before(self._ids.counts(rows), before)
         ids = self._ids.gather(rows)
         if end is None:
             return ids, sizes
-        out = np.full(len(ids) + len(offsets) - 1, end, dtype=np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(offsets) - 1), np.diff(sizes))] = ids
+        inside = np.ones(len(ids) + len(offsets) - 1, dtype=bool)
+        inside[sizes[1:] + np.arange(len(offsets) - 1)] = False
+        out = np.full(len(inside), end, dtype=np.uint32)
+        out[inside] = ids
         return out, sizes + np.arange(len(offsets))
 
     def encode_column(self, column, end: int | None = None, limit: int = GROUP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
