@@ -147,38 +147,66 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     return ordered.mapInArrow(run, "part int, path string, docs bigint, tokens bigint")
 
 
+def read_runs(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, null marks, starts, counts, ids) of runs of documents of the files in (path, ids before it) batches."""
+    for batch in batches:
+        for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            files, inner = open_fs(path)
+            with files.open_input_file(inner) as source:
+                for doc_ids, null, counts, ids in read_file(source):
+                    yield doc_ids, null, start + np.cumsum(counts) - counts, counts, ids
+                    start += len(ids)
+
+
+def _files(spark, manifest: list[tuple[str, int]]) -> DataFrame:
+    return spark.createDataFrame(manifest, "path string, start bigint").repartition(max(1, len(manifest)))
+
+
 def read_files(spark, manifest: list[tuple[str, int]]) -> DataFrame:
     """doc_id, start, ids of the files (path, ids before it), read where the tasks run."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                files, inner = open_fs(path)
-                with files.open_input_file(inner) as source:
-                    for doc_ids, null, counts, ids in read_file(source):
-                        ends = np.cumsum(counts)
-                        for a, b in row_groups(np.concatenate([[0], ends]), 1_000_000):
-                            first = int(ends[a - 1]) if a else 0
-                            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[a:b] - first]), pa.int32()), pa.array(ids[first : ends[b - 1]].astype(np.int32)))
-                            columns = [pa.array(doc_ids[a:b], pa.int64(), mask=null[a:b]), pa.array(start + ends[a:b] - counts[a:b], pa.int64()), own]
-                            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
-                        start += len(ids)
-
-    files = spark.createDataFrame(manifest, "path string, start bigint").repartition(max(1, len(manifest)))
-    return files.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+        for doc_ids, null, starts, counts, ids in read_runs(batches):
+            ends = np.cumsum(counts)
+            for a, b in row_groups(np.concatenate([[0], ends]), 1_000_000):
+                first = int(ends[a - 1]) if a else 0
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[a:b] - first]), pa.int32()), pa.array(ids[first : ends[b - 1]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=null[a:b]), pa.array(starts[a:b], pa.int64()), own], names=["doc_id", "start", "ids"])
 
+    return _files(spark, manifest).mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the documents' ids and read them back: doc_id, start, ids."""
+
+def read_digests(spark, manifest: list[tuple[str, int]]) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the files, worked out where they are read so that no ids move."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for doc_ids, null, starts, counts, ids in read_runs(batches):
+            raw, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(counts)
+            crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            columns = [pa.array(doc_ids, pa.int64(), mask=null), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _files(spark, manifest).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def write_whole(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """Write the documents' ids; (path, ids before it) of the files in order of document ids, one row a file."""
     spark = docs.sparkSession
     written = materialise(write_files(docs, new_folder(spark, "tokens"), tokenizer, id_col, text_col), "token-files")
     manifest, before = [], 0
-    for row in sorted(written.collect(), key=lambda r: r["part"]):  # one row a file
+    for row in sorted(written.collect(), key=lambda r: r["part"]):
         manifest.append((row["path"], before))
         before += row["tokens"]
-    return read_files(spark, manifest)
+    return manifest
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the documents' ids and read them back: doc_id, start, ids."""
+    return read_files(docs.sparkSession, write_whole(docs, tokenizer, id_col, text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -186,15 +214,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    back = round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-    def digest(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            lists = batch.column(2)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            crcs = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return back.mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_digests(spark, write_whole(docs, public_tokenizers.path("word_bpe_49k.json")))

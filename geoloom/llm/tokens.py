@@ -176,45 +176,32 @@ class TextEncoder:
             self._known, self._ids, self._met = self._known.take(pa.array(keep)), self._ids.select(keep), self._met[keep]
 
     def _learn(self, new) -> None:
-        """Ids of new chunks (an Arrow binary array).
-
-        Chunks from a space to a non-space can follow each other in one text
-        without touching, so they are encoded ``JOIN`` at a time and told apart by
-        the library's character offsets.  Others are encoded alone.
-        """
+        """Ids of new chunks (an Arrow binary array), which the library takes ``JOIN`` at a time as words that do not touch."""
         import pyarrow as pa
 
-        texts = new.cast(pa.large_string()).to_pylist()
-        apart = [t[0] in " \t\n\v\f\r" and not (t[-1].isspace() and t[-1] not in "\x1c\x1d\x1e\x1f") for t in texts]
-        alone = [t for t, joins in zip(texts, apart, strict=True) if not joins]
-        joined = [t for t, joins in zip(texts, apart, strict=True) if joins]
-        order = np.argsort(np.array(apart), kind="stable")
-        self._known = pa.concat_arrays([self._known, new.take(pa.array(order))])
+        for a in range(0, len(new), 64 * JOIN):
+            texts = new.slice(a, 64 * JOIN).cast(pa.large_string()).to_pylist()
+            groups = [texts[b : b + JOIN] for b in range(0, len(texts), JOIN)]
+            for group, found in zip(groups, self._library.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+                self._ids.extend(np.array(found.ids, dtype=np.uint32), np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(group)))
+        self._known = pa.concat_arrays([self._known, new])
         self._met = np.concatenate([self._met, np.zeros(len(new), np.int32)])
-        for a in range(0, len(alone), 4096):
-            found = [e.ids for e in self._library.encode_batch(alone[a : a + 4096], add_special_tokens=False)]
-            self._ids.extend(np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64))
-        for a in range(0, len(joined), 64 * JOIN):
-            groups = [joined[b : min(b + JOIN, a + 64 * JOIN)] for b in range(a, min(a + 64 * JOIN, len(joined)), JOIN)]
-            for group, found in zip(groups, self._library.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                starts = np.cumsum([0, *map(len, group)])
-                first = np.fromiter((o[0] for o in found.offsets), dtype=np.int64)
-                self._ids.extend(np.array(found.ids, dtype=np.uint32), np.diff(np.searchsorted(first, starts)))
 
     def rows_of(self, distinct) -> np.ndarray:
         """Rows of the id store that hold the ids of distinct chunks (an Arrow binary array)."""
         import pyarrow.compute as pc
 
         found = pc.index_in(distinct, value_set=self._known)
+        if found.null_count and len(self._known) + found.null_count > CACHE:
+            self._met[found.drop_null().to_numpy()] += 1
+            again = np.flatnonzero(self._met > 1)
+            self._forget(np.sort(again[np.argsort(-self._met[again], kind="stable")[: CACHE // 2]]))
+            found = pc.index_in(distinct, value_set=self._known)
+        rows = found.fill_null(-1).to_numpy()
         if found.null_count:
-            if len(self._known) + found.null_count > CACHE:
-                self._met[found.drop_null().to_numpy()] += 1
-                again = np.flatnonzero(self._met > 1)
-                self._forget(np.sort(again[np.argsort(-self._met[again], kind="stable")[: CACHE // 2]]))
-                found = pc.index_in(distinct, value_set=self._known)
+            missing = rows < 0
+            rows = np.where(missing, len(self._known) - 1 + np.cumsum(missing), rows)
             self._learn(distinct.filter(found.is_null()))
-            found = pc.index_in(distinct, value_set=self._known)
-        rows = found.to_numpy()
         self._met[rows] += 1
         return rows
 
