@@ -136,6 +136,18 @@ def inverse(a: Matrix) -> Matrix:
     return tuple(tuple((1 if (i + j) % 2 == 0 else -1) * determinant(_without(a, j, i)) / bottom for j in range(n)) for i in range(n))
 
 
+def is_singular(a: Matrix, tolerance: float = 1e-12) -> Column:
+    """Whether the determinant is negligible beside the product of the row lengths."""
+    size = F.lit(1.0)
+    for row in a:
+        size = size * F.sqrt(dot(tuple(col(x) for x in row), row))
+    return F.abs(col(determinant(a))) <= tolerance * size
+
+
+def column(a: Matrix, j: int) -> Vector:
+    return tuple(row[j] for row in a)
+
+
 def solve(a: Matrix, b: Vector) -> Vector:
     """Cramer's rule for up to four unknowns; null if singular."""
     det = determinant(a)
@@ -243,6 +255,12 @@ def lu(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def eigenvectors(a: np.ndarray) -> list[float]:
+    values, vectors = np.linalg.eigh(a)
+    lead = vectors[np.abs(vectors).argmax(axis=0), np.arange(len(a))]
+    return [*values.tolist(), *(vectors * np.sign(lead)).T.ravel().tolist()]
+
+
 #: Row-major square matrices as array<double> in, arrays out; null for matrices that have no answer.
 array_inverse = _batch(lambda a: np.linalg.inv(a).ravel().tolist(), NUMBERS)
 array_determinant = _batch(lambda a: float(np.linalg.det(a)), T.DoubleType())
@@ -250,4 +268,6 @@ array_lu = _batch(lambda a: lu(a).ravel().tolist(), NUMBERS)
 array_cholesky = _batch(lambda a: np.linalg.cholesky(a).ravel().tolist(), NUMBERS)
 array_exponential = _batch(lambda a: expm(a).ravel().tolist(), NUMBERS)
 array_eigenvalues = _batch(lambda a: sorted(float(v.real) for v in np.linalg.eigvals(a) if abs(v.imag) < 1e-9), NUMBERS)
+#: of symmetric matrices: ascending eigenvalues, then the unit eigenvectors one after the other, largest entry positive
+array_eigenvectors = _batch(lambda a: eigenvectors(a), NUMBERS)
 array_singular_values = _batch(lambda a: np.linalg.svd(a, compute_uv=False).tolist(), NUMBERS)

@@ -164,3 +164,115 @@ def line_key(anchor: Vector, direction: Vector) -> tuple[Column, Column, Column,
     u = (F.cos(polar) * F.cos(azimuth), F.cos(polar) * F.sin(azimuth), -F.sin(polar))
     v = (-F.sin(azimuth), F.cos(azimuth), F.lit(0.0))
     return polar, azimuth, dot(foot, u), dot(foot, v)
+
+
+def roll_cylinder(arc, height, anchor: Vector, axis: Vector, zero: Vector, radius) -> Vector:
+    """The point of a cylinder with an arc length and a height; undoes ``unroll_cylinder``."""
+    angle = arc / radius
+    side = cross(axis, zero)
+    return tuple(a + height * w + radius * (F.cos(angle) * z + F.sin(angle) * s) for a, w, z, s in zip(anchor, axis, zero, side, strict=True))
+
+
+def nearest_on_sphere(p: Vector, centre: Vector, radius) -> Vector:
+    rest = minus(p, centre)
+    size = length(rest)
+    return tuple(c + F.when(size > 0, r * radius / size) for c, r in zip(centre, rest, strict=True))
+
+
+def nearest_on_cylinder(p: Vector, anchor: Vector, axis: Vector, radius) -> Vector:
+    """Foot on an infinite cylinder about a unit axis; null on the axis."""
+    rest = minus(p, anchor)
+    h = dot(rest, axis)
+    out = minus(rest, tuple(h * w for w in axis))
+    size = length(out)
+    return tuple(a + h * w + F.when(size > 0, o * radius / size) for a, w, o in zip(anchor, axis, out, strict=True))
+
+
+def nearest_on_ring(p: Vector, centre: Vector, axis: Vector, radius) -> Vector:
+    """Nearest point of the circle in the plane through the centre, normal to the unit axis."""
+    rest = minus(p, centre)
+    out = minus(rest, tuple(dot(rest, axis) * w for w in axis))
+    size = length(out)
+    return tuple(c + F.when(size > 0, o * radius / size) for c, o in zip(centre, out, strict=True))
+
+
+def nearest_on_torus(p: Vector, centre: Vector, axis: Vector, major, minor) -> Vector:
+    return nearest_on_sphere(p, nearest_on_ring(p, centre, axis, major), minor)
+
+
+def line_capped_cylinder(start: Vector, direction: Vector, anchor: Vector, axis: Vector, radius, height) -> tuple[Column, Column]:
+    """Entry and exit of a line and a closed cylinder from the anchor to ``height``: the side's span cut to the slab's."""
+    near, far = line_cylinder(start, direction, anchor, axis, radius)
+    rest, slope = dot(minus(start, anchor), axis), dot(direction, axis)
+    inside_side = length(cross(minus(start, anchor), axis)) <= radius
+    parallel = length(cross(direction, axis)) < 1e-12
+    wide = F.lit(float("inf"))
+    near, far = F.when(parallel & inside_side, -wide).otherwise(near), F.when(parallel & inside_side, wide).otherwise(far)
+    t1, t2 = F.try_divide(-rest, slope), F.try_divide(height - rest, slope)
+    level = slope == 0
+    within = (rest >= 0) & (rest <= height)
+    low = F.when(level & within, -wide).when(~level, F.least(t1, t2))
+    high = F.when(level & within, wide).when(~level, F.greatest(t1, t2))
+    enter, leave = F.greatest(near, low), F.least(far, high)
+    meets = near.isNotNull() & low.isNotNull() & (enter <= leave)
+    return F.when(meets, enter), F.when(meets, leave)
+
+
+def line_torus_quartic(start: Vector, direction: Vector, centre: Vector, axis: Vector, major, minor) -> tuple[Column, ...]:
+    """Coefficients, highest power first, of the quartic whose real roots are the line's parameters on a torus."""
+    rest = minus(start, centre)
+    dd, rd, rr = dot(direction, direction), dot(rest, direction), dot(rest, rest)
+    dh, rh = dot(direction, axis), dot(rest, axis)
+    k, m = rr + major * major - minor * minor, 4 * major * major
+    return dd * dd, 4 * dd * rd, 2 * dd * k + 4 * rd * rd - m * (dd - dh * dh), 4 * rd * k - 2 * m * (rd - rh * dh), k * k - m * (rr - rh * rh)
+
+
+def capsule_hits(start: Vector, direction: Vector, a: Vector, b: Vector, radius) -> tuple[Column, Column]:
+    """Entry and exit of a line and a capsule of one radius: the hull of what its two balls and its closed cylinder give."""
+    along = minus(b, a)
+    size = F.sqrt(length_squared(tuple(map(col, along))))
+    unit = tuple(x / size for x in along)
+    parts = [line_sphere(start, direction, a, radius), line_sphere(start, direction, b, radius), line_capped_cylinder(start, direction, a, unit, radius, size)]
+    return F.least(*[p[0] for p in parts]), F.greatest(*[p[1] for p in parts])
+
+
+def quadric_kind(c: tuple) -> Column:
+    """Name of a quadric without mixed terms, after its squares are completed: sphere, ellipsoid, cylinder, cone, hyperboloid, paraboloid or other."""
+    squares, linear = c[:3], c[6:9]
+    negligible = [F.abs(col(s)) < 1e-12 for s in squares]
+    zeros = sum((n.cast("int") for n in negligible[1:]), negligible[0].cast("int"))
+    positive = sum(((col(s) > 1e-12).cast("int") for s in squares[1:]), (col(squares[0]) > 1e-12).cast("int"))
+    rest = col(c[9])
+    for s, v, n in zip(squares, linear, negligible, strict=True):
+        rest = rest - F.when(n, 0.0).otherwise(v * v / (4 * F.when(n, 1.0).otherwise(col(s))))
+    open_way = F.lit(False)
+    for v, n in zip(linear, negligible, strict=True):
+        open_way = open_way | (n & (F.abs(col(v)) > 1e-12))
+    even = (F.greatest(*map(col, squares)) - F.least(*map(col, squares))) < 1e-12
+    one_way = (positive == 3) | ((positive == 0) & (zeros == 0))
+    return (
+        F.when((zeros == 0) & one_way & even, "sphere").when((zeros == 0) & one_way, "ellipsoid").when((zeros == 0) & (F.abs(rest) < 1e-9), "cone").when(zeros == 0, "hyperboloid")
+        .when((zeros == 1) & open_way, "paraboloid").when(zeros == 1, "cylinder").otherwise("other")
+    )
+
+
+def conic_distance(p: tuple, c: tuple) -> Column:
+    """First-order distance of a point of the plane and a conic (xx, xy, yy, x, y, constant)."""
+    x, y = p
+    value = c[0] * x * x + c[1] * x * y + c[2] * y * y + c[3] * x + c[4] * y + c[5]
+    slope = F.sqrt((2 * c[0] * x + c[1] * y + c[3]) ** 2 + (c[1] * x + 2 * c[2] * y + c[4]) ** 2)
+    return F.when(slope > 0, F.abs(value) / slope)
+
+
+def line_conic(start: tuple, direction: tuple, c: tuple) -> tuple[Column, Column]:
+    """Both parameters of a line of the plane on a conic, ascending for a positive leading term; null if it misses."""
+    (x, y), (u, v) = start, direction
+    a = c[0] * u * u + c[1] * u * v + c[2] * v * v
+    b = 2 * c[0] * x * u + c[1] * (x * v + y * u) + 2 * c[2] * y * v + c[3] * u + c[4] * v
+    k = c[0] * x * x + c[1] * x * y + c[2] * y * y + c[3] * x + c[4] * y + c[5]
+    return _both_roots(a, b, k)
+
+
+def conic_of_quadric(c: tuple, z) -> tuple:
+    """Conic (xx, xy, yy, x, y, constant) in which the plane at height z cuts a quadric."""
+    return c[0], c[3], c[1], c[6] + c[4] * z, c[7] + c[5] * z, c[2] * z * z + c[8] * z + c[9]

@@ -350,3 +350,39 @@ def in_box(p: Vector, low: Vector, high: Vector, edge_counts: bool = True) -> Co
 def boxes_overlap(low1: Vector, high1: Vector, low2: Vector, high2: Vector) -> Column:
     """Whether two boxes share an inner point."""
     return reduce(lambda x, y: x & y, [(a < d) & (c < b) for a, b, c, d in zip(low1, high1, low2, high2, strict=True)])
+
+
+def most_orthogonal(candidates: list, a: Vector) -> Column:
+    """Index of the candidate direction whose cosine with ``a`` is nearest zero; ties to the first."""
+    sizes = [F.abs(dot(tuple(map(col, c)), a)) / math.sqrt(sum(x * x for x in c)) for c in candidates]
+    best, out = F.least(*sizes), F.lit(len(candidates) - 1)
+    for i in range(len(candidates) - 2, -1, -1):
+        out = F.when(sizes[i] == best, i).otherwise(out)
+    return out
+
+
+def line_circle(start: Vector, unit: Vector, centre: Vector, radius) -> tuple[Column, Column]:
+    """Both parameters along a unit direction of the plane, ascending; null if the line misses the circle."""
+    rest = minus(start, centre)
+    along = dot(rest, unit)
+    inner = along * along - (dot(rest, rest) - radius * radius)
+    root = F.sqrt(F.when(inner >= 0, inner))
+    return -along - root, -along + root
+
+
+def plane_axes(normal: Vector) -> tuple[Vector, Vector]:
+    """Two unit directions that complete a unit normal to a right-handed frame."""
+    u = perpendicular(normal)
+    return u, cross(normal, u)
+
+
+def to_plane(p: Vector, normal: Vector) -> tuple[Column, Column, Column]:
+    """Coordinates in the plane through the origin with a unit normal, and the height over it."""
+    u, v = plane_axes(normal)
+    return dot(p, u), dot(p, v), dot(p, normal)
+
+
+def from_plane(uv: tuple, normal: Vector, height, axes: tuple[Vector, Vector] | None = None) -> Vector:
+    """The point in space of plane coordinates and a height; ``axes`` are those of ``plane_axes`` if at hand."""
+    u, v = axes or plane_axes(normal)
+    return tuple(uv[0] * a + uv[1] * b + height * n for a, b, n in zip(u, v, normal, strict=True))

@@ -13,6 +13,8 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def per_shape(rows: DataFrame, group: str, schema: str, kernel) -> DataFrame:
@@ -27,6 +29,64 @@ def per_shape(rows: DataFrame, group: str, schema: str, kernel) -> DataFrame:
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, {schema}")
 
 
+def per_arrays(rows: DataFrame, group: str, columns: list[str], schema: str, kernel, order: list[str] | None = None) -> DataFrame:
+    """``kernel`` (an array of a group's rows by ``columns`` in, tuples of ``schema`` without the group out) for every group.
+
+    Groups are dealt to all shuffle partitions and come many to an Arrow batch, so
+    small shapes do not each pay for a call into Python.  Rows of a null group are
+    a group.
+    """
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[group]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(group, *[c for c in order or [] if c not in columns], *columns).repartition(parts, group).sortWithinPartitions(group, *(order or []))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = None
+        out: list[list] = []
+
+        def done(key, pieces: list[np.ndarray]) -> None:
+            out.extend((key, *row) for row in kernel(pieces[0] if len(pieces) == 1 else np.concatenate(pieces)))
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        names = [group, *[part.split()[0] for part in schema.split(",")]]
+        kinds = [_arrow(kind), *[_arrow(part.split(None, 1)[1].strip()) for part in schema.split(",")]]
+        key, pieces = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            numbers, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            values = np.column_stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns])
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in itertools.pairwise(cuts):
+                own = keys[numbers[a]]
+                if pieces and own != key:
+                    done(key, pieces)
+                    pieces = []
+                key = own
+                pieces.append(values[a:b])
+            if len(out) > 10_000:
+                yield flush()
+                out.clear()
+        if pieces:
+            done(key, pieces)
+        if out:
+            yield flush()
+
+    return dealt.mapInArrow(run, f"{group} {kind}, {schema}")
+
+
+def _arrow(kind: str):
+    import pyarrow as pa
+
+    names = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    return names[kind]
+
+
 def turn(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
@@ -128,18 +188,65 @@ def hull3d(points: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
         return np.zeros((0, 3), int)
     if heights[e] > 0:
         b, c = c, b
-    faces = {(a, b, c), (a, c, e), (c, b, e), (b, a, e)}
-    for p in range(len(points)):
-        table = np.array(sorted(faces))
+    return _grow_hull(points, [(a, b, c), (a, c, e), (c, b, e), (b, a, e)], eps)
+
+
+def _grow_hull(points: np.ndarray, start: list[tuple[int, int, int]], eps: float) -> np.ndarray:
+    """Hull from a first tetrahedron: every face keeps the outside points given to it, and the farthest joins next.
+
+    A point is looked at again only when its face goes, and then only against the new faces.
+    """
+    faces: dict[int, tuple[int, int, int]] = {}
+    planes: dict[int, tuple[np.ndarray, float]] = {}
+    outside: dict[int, np.ndarray] = {}
+    across: dict[tuple[int, int], int] = {}
+    count = itertools.count()
+
+    def add(triples: list[tuple[int, int, int]], left: np.ndarray) -> None:
+        table = np.array(triples)
         n = np.cross(points[table[:, 1]] - points[table[:, 0]], points[table[:, 2]] - points[table[:, 0]])
-        over = ((points[p] - points[table[:, 0]]) * n).sum(axis=1) > eps * np.linalg.norm(n, axis=1)
-        if not over.any():
-            continue
-        seen = [tuple(int(v) for v in f) for f in table[over]]
-        rim = {(f[i], f[(i + 1) % 3]) for f in seen for i in range(3)}
-        faces.difference_update(seen)
-        faces.update((u, v, p) for u, v in rim if (v, u) not in rim)
-    return np.array(sorted(faces))
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        d = (n * points[table[:, 0]]).sum(axis=1)
+        over = points[left] @ n.T - d
+        best = over.argmax(axis=1) if len(left) else np.zeros(0, int)
+        seen = over[np.arange(len(left)), best] > eps if len(left) else np.zeros(0, bool)
+        for i, triple in enumerate(triples):
+            name = next(count)
+            faces[name], planes[name] = triple, (n[i], float(d[i]))
+            mine = left[seen & (best == i)]
+            if len(mine):
+                outside[name] = mine
+            for k in range(3):
+                across[triple[k], triple[(k + 1) % 3]] = name
+
+    add(start, np.setdiff1d(np.arange(len(points)), np.array(start).ravel()))
+    while outside:
+        name = next(iter(outside))
+        n, d = planes[name]
+        p = int(outside[name][np.argmax(points[outside[name]] @ n - d)])
+        visible, stack, rim = {name}, [name], []
+        while stack:
+            f = faces[stack.pop()]
+            for k in range(3):
+                u, v = f[k], f[(k + 1) % 3]
+                other = across[v, u]
+                if other in visible:
+                    continue
+                n, d = planes[other]
+                if points[p] @ n - d > eps:
+                    visible.add(other)
+                    stack.append(other)
+                else:
+                    rim.append((u, v))
+        rim = [(u, v) for u, v in rim if across[v, u] not in visible]
+        left = [outside.pop(f) for f in visible if f in outside]
+        for f in visible:
+            for k in range(3):
+                across.pop((faces[f][k], faces[f][(k + 1) % 3]), None)
+            del faces[f], planes[f]
+        whole = np.concatenate(left) if left else np.zeros(0, int)
+        add([(u, v, p) for u, v in rim], whole[whole != p])
+    return np.array(sorted(faces.values()))
 
 
 def mesh_volume(points: np.ndarray, faces: np.ndarray) -> float:
@@ -312,6 +419,8 @@ def offset(ring: np.ndarray, amount: float, joins: str = "round", deviation: flo
     if area2d(ring) < 0:
         ring = ring[::-1]
     grow, size = amount > 0, abs(amount)
+    if grow and joins == "miter" and _is_convex(ring):
+        return [_mitered(ring, size)]
     moved = []
     steps = max(8, math.ceil(math.pi / math.acos(max(-1.0, 1 - deviation / size)))) if size > deviation else 8
     for i, (p, q) in enumerate(zip(ring, np.roll(ring, -1, axis=0), strict=True)):
@@ -346,6 +455,28 @@ def offset(ring: np.ndarray, amount: float, joins: str = "round", deviation: flo
     return arrange([[ring], *moved], decide)
 
 
+def _is_convex(ring: np.ndarray) -> bool:
+    """Whether a counter-clockwise ring turns left at every corner, once around."""
+    step = np.roll(ring, -1, axis=0) - ring
+    after = np.roll(step, -1, axis=0)
+    bend = step[:, 0] * after[:, 1] - step[:, 1] * after[:, 0]
+    return bool((bend > 0).all() and abs(np.arctan2(bend, (step * after).sum(axis=1)).sum() - 2 * math.pi) < 1e-6)
+
+
+def _mitered(ring: np.ndarray, size: float) -> np.ndarray:
+    """A convex ring grown by ``size``: neighbouring sides meet where they are moved to."""
+    way = np.roll(ring, -1, axis=0) - ring
+    out = np.stack([way[:, 1], -way[:, 0]], axis=1) / np.linalg.norm(way, axis=1)[:, None]
+    before = np.roll(out, 1, axis=0)
+    return ring + size * (out + before) / (1 + (out * before).sum(axis=1))[:, None]
+
+
+def minkowski(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Border rings of the sum of two simple rings: the union of the sums of their triangles."""
+    parts = [minkowski_convex(a[s], b[t]) for s in triangulate(a) for t in triangulate(b)]
+    return arrange([[p] for p in parts], lambda m: np.logical_or.reduce(m))
+
+
 def simplify_short_edges(ring: np.ndarray, shortest: float, least: int = 3) -> np.ndarray:
     """Shortest edges collapse to their middle while they are shorter than ``shortest`` and points remain."""
     points = {i: ring[i] for i in range(len(ring))}
@@ -464,3 +595,14 @@ def poisson_points(ring: np.ndarray, gap: float, seed: int = 0, tries: int = 30)
 def roots(coefficients: np.ndarray) -> np.ndarray:
     """Complex roots of a polynomial, highest power first."""
     return np.sort_complex(np.roots(coefficients))
+
+
+def _real_roots(coefficients: np.ndarray) -> list[float]:
+    found = np.roots(coefficients)
+    return sorted(found.real[np.abs(found.imag) < 1e-7 * (1 + np.abs(found.real))].tolist())
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def real_roots(coefficients: pd.Series) -> pd.Series:
+    """Ascending real roots of polynomials held as arrays, highest power first."""
+    return coefficients.map(lambda c: None if c is None else _real_roots(np.asarray(c, float)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.vector import ccw_angle, cross2, minus
-from geoloom.operators.kernels import area2d, least_rectangle, per_shape
+from geoloom.operators.kernels import area2d, least_ball, least_rectangle, per_arrays
 
 
 def edges(points: DataFrame, ring: str = "ring", seq: str = "seq") -> DataFrame:
@@ -74,15 +74,29 @@ def winding(points: DataFrame, x, y, ring: str = "ring", seq: str = "seq") -> Da
     return edges(points, ring, seq).groupBy(ring).agg(F.sum(step).alias("winding"))
 
 
+def per_ring(points: DataFrame, kernel, schema: str, ring: str = "ring", seq: str = "seq") -> DataFrame:
+    """``kernel`` (corners in order in, tuples out) for every ring."""
+    return per_arrays(points, ring, ["x", "y"], schema, kernel, [seq])
+
+
 def is_rectangular(points: DataFrame, tolerance: float = 0.003, ring: str = "ring", seq: str = "seq") -> DataFrame:
     """(ring, rectangular): whether a ring fills its rectangle of least area, which may be turned."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        p = frame.sort_values(seq)[["x", "y"]].to_numpy(dtype=float)
-        area = abs(area2d(p))
-        return pd.DataFrame({"rectangular": [area > 0 and abs(least_rectangle(p)["area"] - area) <= tolerance * area]})
+    def run(rows: np.ndarray) -> list[tuple]:
+        area = abs(area2d(rows))
+        return [(bool(area > 0 and abs(least_rectangle(rows)["area"] - area) <= tolerance * area),)]
+
+    return per_ring(points, run, "rectangular boolean", ring, seq)
+
+
+def is_circular(points: DataFrame, tolerance: float = 0.003, ring: str = "ring", seq: str = "seq") -> DataFrame:
+    """(ring, share, circular): the share of its least circle that a ring fills, and whether both areas agree."""
+
+    def run(rows: np.ndarray) -> list[tuple]:
+        area, whole = abs(area2d(rows)), math.pi * least_ball(rows)[1] ** 2
+        return [(area / whole if whole > 0 else None, bool(area > 0 and abs(whole - area) <= tolerance * area))]
 
-    return per_shape(points.select(ring, seq, "x", "y"), ring, "rectangular boolean", run)
+    return per_ring(points, run, "share double, circular boolean", ring, seq)
 
 
 def circularity(m: DataFrame) -> DataFrame:

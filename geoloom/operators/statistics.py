@@ -183,3 +183,19 @@ def inertia_axes(points: DataFrame, group: str) -> DataFrame:
         return row[group], *map(float, mean), *map(float, v * np.sign(v[np.argmax(np.abs(v))]))
 
     return _solve_rows(moments(points, group, 2), f"{group} {kind}, cx double, cy double, cz double, dx double, dy double, dz double", one)
+
+
+def point_to_lines(lines: DataFrame, group: str) -> DataFrame:
+    """Point of least squared distance to lines (px, py, pz) along unit (wx, wy, wz) per group: normal equations from twelve sums."""
+    kind = dict(lines.dtypes)[group]
+    p, w = [F.col(f"p{a}") for a in "xyz"], [F.col(f"w{a}") for a in "xyz"]
+    along = sum((a * b for a, b in zip(p[1:], w[1:], strict=True)), p[0] * w[0])
+    sums = lines.groupBy(group).agg(
+        *[F.sum((1.0 if i == j else 0.0) - w[i] * w[j]).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)], *[F.sum(p[i] - along * w[i]).alias(f"b{i}") for i in range(3)]
+    )
+
+    def one(row: dict) -> tuple:
+        left = np.array([[row[f"a{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+        return row[group], *map(float, np.linalg.lstsq(left, np.array([row[f"b{i}"] for i in range(3)]), rcond=None)[0])
+
+    return _solve_rows(sums, f"{group} {kind}, x double, y double, z double", one)

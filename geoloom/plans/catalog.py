@@ -1,55 +1,20 @@
-"""Catalogue of queries over the driver's tables, each with its SQL.
-
-Floats are rounded alike on both sides, since sums depend on their order in the
-last digits.
-"""
+"""Catalogue of queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import matrix as mx
 from geoloom.functions import surfaces as sf
 from geoloom.functions import vector as vc
-from geoloom.operators import isosurface, joins, mesh, rings, statistics, voxels
+from geoloom.operators import assembly, isosurface, joins, mesh, rings, statistics, voxels
 from geoloom.plans import bindings as bd
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its SQL if there is one."""
-
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-def near(column: Column | str, digits: int = 4) -> Column:
-    return F.round(column, digits) + 0.0
-
-
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """All doubles rounded, negative zero made zero."""
-    return df.select(*[near(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+from geoloom.plans import expressions, shapes, surfaces  # noqa: F401
+from geoloom.plans.bindings import mesh_vertices
+from geoloom.plans.registry import QUERIES, SQL, near, oracle_sql, queries, query, rounded  # noqa: F401
 
 
 def p3() -> tuple:
@@ -111,14 +76,23 @@ def ngon_closed_form(spark, d):
     return rounded(rings.measures(bd.ngons(spark, d)).select("ring", "area", "perimeter"), 6)
 
 
-@query("SELECT p_partkey AS ring, round(pi() / (n * tan(pi() / n)), 6) AS circularity, n = 4 AND false AS rectangular FROM (SELECT p_partkey, 3 + p_partkey % 6 AS n FROM part)")
+@query("SELECT p_partkey AS ring, round(pi() / (n * tan(pi() / n)), 6) AS circularity, n = 4 AS rectangular FROM (SELECT p_partkey, 3 + p_partkey % 6 AS n FROM part)")
 def is_circular_ratio(spark, d):
-    """``rectangular`` is that of ``is_rectangular``, true for the turned squares; the SQL states a constant false."""
     n = bd.ngons(spark, d)
     m = rings.circularity(rings.measures(n)).join(rings.is_rectangular(n), "ring")
     return m.select("ring", near("circularity", 6).alias("circularity"), "rectangular")
 
 
+@query("SELECT ring, round(n * sin(2 * pi() / n) / (2 * pi()), 6) AS share, abs(n * sin(2 * pi() / n) / (2 * pi()) - 1) <= 0.003 AS circular FROM (SELECT p_partkey AS ring, 3 + p_partkey % 90 AS n FROM part)")
+def is_circular(spark, d):
+    """Regular rings of 3 to 92 corners fill their least circle to a known share; only those of many corners count as circles."""
+    k = F.col("p_partkey")
+    corners = bd.table(spark, d, "part").select(k.alias("ring"), (3 + k % 90).alias("n"), (F.col("p_size") / 50).alias("r")).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    angle = 2 * math.pi * F.col("seq") / F.col("n")
+    found = rings.is_circular(corners.select("ring", "seq", (3 + F.col("r") * F.cos(angle)).alias("x"), (4 + F.col("r") * F.sin(angle)).alias("y")))
+    return found.select("ring", near("share", 6).alias("share"), "circular")
+
+
 @query("SELECT p_partkey AS ring, 3 + p_partkey % 6 = 4 AS rectangular FROM part")
 def is_rectangular(spark, d):
     return rings.is_rectangular(bd.ngons(spark, d))
@@ -257,18 +231,14 @@ def plane_fit(spark, d):
     return statistics.plane_fit(bottom, "mesh").select("mesh", near("mse", 6).alias("mse"), near("d", 6).alias("d"))
 
 
-def mesh_vertices(soup: DataFrame) -> DataFrame:
-    return mesh.weld(soup, 6)[0]
-
-
 # ---------------------------------------------------------------- joins
 
-ASKED = "asked AS (SELECT id AS query, x AS qx, y AS qy FROM points2d WHERE id % 50 = 0)"
+ASKED = "asked AS (SELECT id AS query, x AS qx, y AS qy FROM points2d WHERE id % 20 = 0)"
 
 
 def _asked(p: DataFrame) -> DataFrame:
-    """The stated query set: every fiftieth point."""
-    return p.where(F.col("id") % 50 == 0).select(F.col("id").alias("query"), "x", "y")
+    """The stated query set: every point whose id is divisible by 20."""
+    return p.where(F.col("id") % 20 == 0).select(F.col("id").alias("query"), "x", "y")
 
 
 @query(f"WITH {bd.POINTS2D}, {ASKED} SELECT query, n AS rank, id, round(d, 6) AS distance FROM (SELECT query, id, d, row_number() OVER (PARTITION BY query ORDER BY d, id) AS n FROM (SELECT query, id, sqrt((x - qx) ** 2 + (y - qy) ** 2) AS d FROM asked, points2d)) WHERE n <= 3")
@@ -614,7 +584,4 @@ def assembly_flatten(spark, d):
     return assembly.flatten(tree.withColumn("step", F.when(F.col("parent").isNull(), 0).otherwise(F.substring("node", 2, 20).cast("long")).cast("long")))
 
 
-from geoloom.operators import assembly  # noqa: E402
-from geoloom.plans import shapes  # noqa: E402,F401
-
 FLAGSHIP = mesh_volume_centroid

@@ -1,165 +1,383 @@
-"""Queries whose work is a kernel on one shape; their results are invariants SQL can state, or none."""
+"""Queries whose work is a kernel on one shape, with closed forms of shapes made so that SQL can state the result."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import kernels as kn
-from geoloom.operators import voxels
+from geoloom.operators import rings, solids, voxels
 from geoloom.plans import bindings as bd
-from geoloom.plans.catalog import near, query, rounded
+from geoloom.plans.bindings import mesh_vertices
+from geoloom.plans.registry import query, rounded
 
 NGON = "(SELECT p_partkey AS ring, 3 + p_partkey % 6 AS n, p_size / 50.0 AS r FROM part)"
+CUBOID = "(SELECT p_partkey AS mesh, p_size / 10.0 + 1 AS a, p_partkey % 7 + 1 AS b, p_partkey % 3 + 1 AS c, p_partkey % 20 * 10 AS x FROM part)"
 
 
-def _xy(frame: pd.DataFrame) -> np.ndarray:
-    return frame.sort_values("seq")[["x", "y"]].to_numpy(dtype=float) if "seq" in frame else frame[["x", "y"]].to_numpy(dtype=float)
+def ngon_rows(spark, d, kernel, schema: str) -> DataFrame:
+    return rings.per_ring(bd.ngons(spark, d), kernel, schema)
 
 
-def _xyz(frame: pd.DataFrame) -> np.ndarray:
-    return frame[["x", "y", "z"]].to_numpy(dtype=float)
+def cuboid_rows(spark, d, kernel, schema: str) -> DataFrame:
+    return kn.per_arrays(mesh_vertices(bd.cuboids(spark, d)), "mesh", ["x", "y", "z"], schema, kernel, ["x", "y", "z"])
+
+
+def per_part(spark, d, kernel, schema: str) -> DataFrame:
+    """``kernel`` of (p_partkey, p_size) for shapes that it makes itself."""
+    t = bd.table(spark, d, "part").select(F.col("p_partkey").alias("ring"), F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    return kn.per_arrays(t, "ring", ["k", "s"], schema, lambda rows: [kernel(int(k), float(s)) for k, s in rows])
 
 
 @query(f"SELECT ring, n AS corners, round(n * r * r * sin(2 * pi() / n) / 2, 6) AS area FROM {NGON}")
 def hull2d(spark, d):
-    def run(frame):
-        p = _xy(frame)
-        h = kn.hull2d(p)
-        return pd.DataFrame({"corners": [len(h)], "area": [kn.area2d(p[h])]})
+    """Hulls of regular rings with their middle and points halfway to it."""
+
+    def run(p):
+        more = np.vstack([p, p.mean(axis=0)[None], (p + p.mean(axis=0)) / 2])
+        h = kn.hull2d(more)
+        return [(len(h), kn.area2d(more[h]))]
 
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "corners long, area double", run), 6)
+    return rounded(ngon_rows(spark, d, run, "corners long, area double"), 6)
 
 
 @query(f"SELECT ring, round(r, 6) AS radius FROM {NGON}")
 def min_circle(spark, d):
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "radius double", lambda f: pd.DataFrame({"radius": [kn.least_ball(_xy(f))[1]]})), 6)
+    return rounded(ngon_rows(spark, d, lambda p: [(kn.least_ball(p)[1],)], "radius double"), 6)
 
 
 @query(f"SELECT ring, round(CASE n WHEN 3 THEN sqrt(3) * r * 1.5 * r WHEN 4 THEN 2 * r * r WHEN 6 THEN sqrt(3) * r * 2 * r WHEN 8 THEN (2 * r * cos(pi() / 8)) ** 2 WHEN 5 THEN 2 * r * sin(2 * pi() / 5) * r * (1 + cos(pi() / 5)) ELSE 2 * r * sin(3 * pi() / 7) * r * (1 + cos(pi() / 7)) END, 6) AS area FROM {NGON}")
 def min_area_rect(spark, d):
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "area double", lambda f: pd.DataFrame({"area": [kn.least_rectangle(_xy(f))["area"]]})), 6)
+    return rounded(ngon_rows(spark, d, lambda p: [(kn.least_rectangle(p)["area"],)], "area double"), 6)
+
+
+def star(k: int, s: float) -> np.ndarray:
+    """A star: corners at radii r and r / 2 in turn."""
+    n = 3 + k % 6
+    angle = math.pi * np.arange(2 * n) / n
+    reach = np.where(np.arange(2 * n) % 2 == 0, 1.0, 0.5) * s / 50
+    return np.column_stack([k % 20 + reach * np.cos(angle), reach * np.sin(angle)])
 
 
-@query(f"SELECT ring, n - 2 AS triangles, round(n * r * r * sin(2 * pi() / n) / 2, 6) AS area FROM {NGON}")
+@query(f"SELECT ring, 2 * n - 2 AS triangles, round(n * r * (r / 2) * sin(pi() / n), 6) AS area FROM {NGON}")
 def triangulate_area(spark, d):
-    def run(frame):
-        p = _xy(frame)
-        t = kn.triangulate(p)
-        return pd.DataFrame({"triangles": [len(t)], "area": [sum(kn.area2d(p[i]) for i in t)]})
+    """Stars, which are not convex: as many triangles as corners less two, none turned, and the whole area."""
+
+    def run(k, s):
+        p = star(k, s)
+        sizes = [kn.area2d(p[t]) for t in kn.triangulate(p)]
+        return (len([x for x in sizes if x > 0]), sum(sizes))
+
+    return rounded(per_part(spark, d, run, "triangles long, area double"), 6)
+
+
+#: a square of side a and its copy moved by the shares f and g of a side
+MOVED = "(SELECT p_partkey AS ring, p_size / 10.0 + 1 AS a, p_partkey % 5 / 5.0 AS f, p_partkey % 7 / 7.0 AS g FROM part)"
+
 
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "triangles long, area double", run), 6)
+def squares(k: int, s: float) -> tuple[np.ndarray, np.ndarray]:
+    a = s / 10 + 1
+    one = np.array([[0.0, 0], [a, 0], [a, a], [0, a]])
+    return one, one + [k % 5 / 5 * a, k % 7 / 7 * a]
 
 
-@query(f"SELECT ring, round(0.0, 5) AS gap FROM {NGON}")
+@query(f"SELECT ring, round(a * a * (2 - (1 - f) * (1 - g)), 5) AS both, round(a * a * (1 - f) * (1 - g), 5) AS common, round(a * a * (1 - (1 - f) * (1 - g)), 5) + 0.0 AS rest, round(2 * a * a * (1 - (1 - f) * (1 - g)), 5) + 0.0 AS either FROM {MOVED}")
 def polygon_boolean_area(spark, d):
-    """Union plus intersection has the area of both operands; so have the parts of an exclusive or."""
+    """Union, intersection, difference and exclusive or of a square and its moved copy."""
+
+    def run(k, s):
+        a, b = squares(k, s)
+        return tuple(sum(kn.area2d(r) for r in kn.boolean([a], [b], o)) for o in ("union", "intersect", "subtract", "xor"))
+
+    return rounded(per_part(spark, d, run, "both double, common double, rest double, either double"), 5)
+
+
+@query(f"SELECT ring, CASE WHEN f = 0 AND g = 0 THEN 'equal' ELSE 'intersection' END AS moved, 'b_inside_a' AS small, 'separated' AS far FROM {MOVED}")
+def polygon_interaction(spark, d):
+    """How a square lies to its moved copy, to a small one within and to one beside it."""
+
+    def run(k, s):
+        a, b = squares(k, s)
+        return solids.interaction([a], [b]), solids.interaction([a], [a * 0.5 + 0.1]), solids.interaction([a], [a + 2 * a.max()])
+
+    return per_part(spark, d, run, "moved string, small string, far string")
+
+
+@query("SELECT ring, n, n // 2 AS holes, n // 2 + n % 2 AS trees FROM (SELECT p_partkey AS ring, 1 + p_partkey % 5 AS n FROM part)")
+def polygon_nesting(spark, d):
+    """Squares one in another: every second one is a hole, and each outer ring with its hole is a tree."""
+
+    def run(k, s):
+        n = 1 + k % 5
+        nest = [np.array([[i, i], [20.0 - i, i], [20.0 - i, 20.0 - i], [i, 20.0 - i]]) for i in range(n)]
+        trees = solids.shallow_trees(nest)
+        return n, sum(len(t) - 1 for t in trees), len(trees)
+
+    return per_part(spark, d, run, "n long, holes long, trees long")
 
-    def run(frame):
-        a = _xy(frame)
-        b = a + np.array([0.3, 0.2]) * float(np.ptp(a[:, 0]))
-        size = {o: sum(kn.area2d(r) for r in kn.boolean([a], [b], o)) for o in kn.OPERATIONS}
-        both = kn.area2d(a) + kn.area2d(b)
-        gap = abs(size["union"] + size["intersect"] - both) + abs(size["xor"] - size["union"] + size["intersect"]) + abs(size["subtract"] + size["intersect"] - kn.area2d(a))
-        return pd.DataFrame({"gap": [gap]})
 
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "gap double", run), 5)
+@query(f"SELECT ring, n AS turns, true AS mirrored FROM {NGON}")
+def polygon_symmetry(spark, d):
+    return ngon_rows(spark, d, lambda p: [(solids.rotational_symmetry(p), solids.flipped_symmetry(p))], "turns long, mirrored boolean")
 
 
-@query(f"SELECT ring, round(n * r * r * sin(2 * pi() / n) / 2 * 4, 6) AS area FROM {NGON}")
+@query(f"""SELECT ring, round(n * r * r * sin(2 * pi() / n) / 2 + r * r + r * ((SELECT max(r * cos(2 * pi() * i / n)) - min(r * cos(2 * pi() * i / n)) + max(r * sin(2 * pi() * i / n)) - min(r * sin(2 * pi() * i / n)) FROM (SELECT unnest(generate_series(0, n - 1)) AS i))), 6) AS area FROM {NGON}""")
 def minkowski_sum_area(spark, d):
-    """A convex ring added to itself has four times its area."""
-    return rounded(kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "area double", lambda f: pd.DataFrame({"area": [kn.area2d(kn.minkowski_convex(_xy(f), _xy(f)))]})), 6)
+    """A regular ring and an upright square of side r: both areas, and r for each unit of the ring's width and height."""
 
+    def run(k, s):
+        n, r = 3 + k % 6, s / 50
+        angle = 2 * math.pi * np.arange(n) / n
+        ring = r * np.column_stack([np.cos(angle), np.sin(angle)])
+        return (kn.area2d(kn.minkowski_convex(ring, r * np.array([[0.0, 0], [1, 0], [1, 1], [0, 1]]))),)
 
-@query(f"SELECT ring, round(n * rr * rr * sin(2 * pi() / n) / 2, 5) AS area FROM (SELECT ring, n, r + 0.25 / cos(pi() / n) AS rr FROM {NGON} WHERE ring % 20 = 0)")
+    return rounded(per_part(spark, d, run, "area double"), 6)
+
+
+@query("SELECT p_partkey AS ring, round((2 * a + b) ** 2 - a * a, 5) AS area FROM (SELECT p_partkey, p_size / 10.0 + 1 AS a, (p_size / 10.0 + 1) / (2 + p_partkey % 5) AS b FROM part)")
+def minkowski_of_ells(spark, d):
+    """An L of arms 2a and a square of side b: the notch keeps its size, since both its sides move by b."""
+
+    def run(k, s):
+        a = s / 10 + 1
+        b = a / (2 + k % 5)
+        ell = a * np.array([[0.0, 0], [2, 0], [2, 1], [1, 1], [1, 2], [0, 2]])
+        return (sum(kn.area2d(r) for r in kn.minkowski(ell, b * np.array([[0.0, 0], [1, 0], [1, 1], [0, 1]]))),)
+
+    return rounded(per_part(spark, d, run, "area double"), 5)
+
+
+@query(f"SELECT ring, round(n * rr * rr * sin(2 * pi() / n) / 2, 5) AS area FROM (SELECT ring, n, r + 0.25 / cos(pi() / n) AS rr FROM {NGON})")
 def polygon_offset_miter(spark, d):
-    """Offset of every ring: regular rings grow to regular rings.  The SQL states every twentieth of them only."""
-    rows = bd.ngons(spark, d).select("ring", "seq", "x", "y")
-    return rounded(kn.per_shape(rows, "ring", "area double", lambda f: pd.DataFrame({"area": [sum(kn.area2d(r) for r in kn.offset(_xy(f), 0.25, "miter"))]})), 5)
+    """Offset of every ring: regular rings grow to regular rings."""
+    return rounded(ngon_rows(spark, d, lambda p: [(sum(kn.area2d(r) for r in kn.offset(p, 0.25, "miter")),)], "area double"), 5)
 
 
-@query("SELECT p_partkey AS mesh, CAST(8 AS BIGINT) AS corners, round((p_size / 10.0 + 1) * (p_partkey % 7 + 1) * (p_partkey % 3 + 1), 6) AS volume FROM part")
-def hull3d(spark, d):
-    def run(frame):
-        p = _xyz(frame)
-        f = kn.hull3d(p)
-        return pd.DataFrame({"corners": [len(set(f.ravel().tolist()))], "volume": [kn.mesh_volume(p, f)]})
+@query("SELECT p_partkey AS ring, round((a - 0.4) ** 2, 5) AS inward, round(a * a + 4 * a * 0.2 + 4 * 0.04 * (2 * sqrt(2) - 2), 5) AS square, abs(0) AS gap FROM (SELECT p_partkey, p_size / 10.0 + 1 AS a FROM part)")
+def polygon_offset_square_round(spark, d):
+    """A square moved inward, and outward with square joins; ``gap`` counts round joins off the closed form by 0.1 % or more."""
 
-    from geoloom.plans.catalog import mesh_vertices
+    def run(k, s):
+        a = s / 10 + 1
+        ring = np.array([[0.0, 0], [a, 0], [a, a], [0, a]])
+        size = {j: sum(kn.area2d(r) for r in kn.offset(ring, x, j)) for j, x in (("miter", -0.2), ("square", 0.2), ("round", 0.2))}
+        whole = a * a + 4 * a * 0.2 + math.pi * 0.04
+        return size["miter"], size["square"], int(abs(size["round"] - whole) > 0.001 * whole)
 
-    return rounded(kn.per_shape(mesh_vertices(bd.cuboids(spark, d)), "mesh", "corners long, volume double", run), 6)
+    return rounded(per_part(spark, d, run, "inward double, square double, gap int"), 5)
 
 
-@query("SELECT p_partkey AS mesh, round((p_size / 10.0 + 1) * (p_partkey % 7 + 1) * (p_partkey % 3 + 1), 5) AS volume, round(sqrt((p_size / 10.0 + 1) ** 2 + (p_partkey % 7 + 1) ** 2 + (p_partkey % 3 + 1) ** 2) / 2, 5) AS radius FROM part")
-def min_box_and_sphere(spark, d):
-    def run(frame):
-        p = _xyz(frame)
-        return pd.DataFrame({"volume": [kn.least_box(p)], "radius": [kn.least_ball(p)[1]]})
+@query(f"SELECT mesh, CAST(8 AS BIGINT) AS corners, round(a * b * c, 6) AS volume FROM {CUBOID}")
+def hull3d(spark, d):
+    """Hulls of the corners of cuboids, with their middle and the middles between corners."""
 
-    from geoloom.plans.catalog import mesh_vertices
+    def run(p):
+        more = np.vstack([p, p.mean(axis=0)[None], (p + np.roll(p, 1, axis=0)) / 2])
+        f = kn.hull3d(more)
+        return [(len(set(f.ravel().tolist())), kn.mesh_volume(more, f))]
 
-    return rounded(kn.per_shape(mesh_vertices(bd.cuboids(spark, d)), "mesh", "volume double, radius double", run), 5)
+    return rounded(cuboid_rows(spark, d, run, "corners long, volume double"), 6)
 
 
-@query(f"SELECT ring, n - 2 AS triangles FROM {NGON}")
+@query(f"SELECT mesh, round(a * b * c, 5) AS volume, round(sqrt(a * a + b * b + c * c) / 2, 5) AS radius FROM {CUBOID}")
+def min_box_and_sphere(spark, d):
+    """Least box and ball of cuboids that are turned about two axes."""
+    turn = np.array([[math.cos(0.4), math.sin(0.4), 0], [-math.sin(0.4), math.cos(0.4), 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, math.cos(0.7), math.sin(0.7)], [0, -math.sin(0.7), math.cos(0.7)]])
+    return rounded(cuboid_rows(spark, d, lambda p: [(kn.least_box(p @ turn), kn.least_ball(p @ turn)[1])], "volume double, radius double"), 5)
+
+
+@query(f"SELECT ring, n AS triangles, round(n * r * r * sin(2 * pi() / n) / 2, 6) AS area, CAST(0 AS BIGINT) AS inside_circles FROM {NGON}")
 def delaunay_triangles(spark, d):
-    """Corners moved off their circle a little, so that the triangulation is one."""
+    """A regular ring with its middle: a fan, and no point in the circle of a triangle."""
 
-    def run(frame):
-        p = _xy(frame)
-        return pd.DataFrame({"triangles": [len(kn.delaunay2d(p + 1e-4 * np.arange(len(p))[:, None] ** 2 * (p - p.mean(axis=0))))]})
+    def run(p):
+        more = np.vstack([p, p.mean(axis=0)[None]])
+        t = kn.delaunay2d(more)
+        balls = [kn.ball_through(more[x]) for x in t]
+        return [(len(t), sum(kn.area2d(more[x]) for x in t), sum(int((np.linalg.norm(more - c, axis=1) < r * (1 - 1e-9)).sum()) for c, r in balls))]
 
-    return kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "triangles long", run)
+    return rounded(ngon_rows(spark, d, run, "triangles long, area double, inside_circles long"), 6)
 
 
-@query()
+@query(f"SELECT mesh, 0.02 AS angle, 0.01 AS tx, 0.01 AS ty, 0.01 AS tz, 0.0 AS error FROM {CUBOID}")
 def icp_transform(spark, d):
-    """A cloud and its copy moved by a known motion: the gap that registration leaves."""
+    """A cloud and its copy moved by a known motion: the motion that registration finds, and the gap it leaves."""
 
-    def run(frame):
-        p = _xyz(frame)
+    def run(p):
         p = p - p.mean(axis=0)
         c, s = math.cos(0.02), math.sin(0.02)
         r, t, error = kn.register(p, p @ np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) + 0.01)
-        return pd.DataFrame({"error": [error]})
+        return [(math.atan2(r[0, 1], r[0, 0]), *t.tolist(), error)]
 
-    from geoloom.plans.catalog import mesh_vertices
+    return rounded(cuboid_rows(spark, d, run, "angle double, tx double, ty double, tz double, error double"), 6)
 
-    return rounded(kn.per_shape(mesh_vertices(bd.cuboids(spark, d)), "mesh", "error double", run), 6)
 
-
-@query("SELECT p_partkey AS ring, CAST(CASE WHEN (p_size / 50.0) * 2 * sin(pi() / (3 + p_partkey % 6)) < 0 THEN 0 ELSE 3 + p_partkey % 6 END AS BIGINT) AS kept FROM part")
+@query(f"SELECT ring, n AS kept, 2 * n AS given FROM {NGON}")
 def polygon_simplify(spark, d):
-    """Nothing is shorter than the least length, so all corners stay."""
-    return kn.per_shape(bd.ngons(spark, d).select("ring", "seq", "x", "y"), "ring", "kept long", lambda f: pd.DataFrame({"kept": [len(kn.simplify_short_edges(_xy(f), 1e-9))]}))
+    """Every corner is doubled by one a thousandth of the radius away; edges below a hundredth collapse, so the corners are left."""
+
+    def run(k, s):
+        n, r = 3 + k % 6, s / 50
+        angle = 2 * math.pi * np.repeat(np.arange(n), 2) / n + np.tile([0.0, 1e-3], n)
+        ring = r * np.column_stack([np.cos(angle), np.sin(angle)])
+        return len(kn.simplify_short_edges(ring, 0.01 * r)), len(ring)
+
+    return per_part(spark, d, run, "kept long, given long")
+
+
+@query(f"SELECT ring, n AS corners, round(n * r * r * sin(2 * pi() / n) / 2, 5) AS area FROM {NGON}")
+def polygon_simplify_by_area(spark, d):
+    """Middles of sides go at no change of area; a budget of a millionth takes no corner."""
+
+    def run(p):
+        more = np.stack([p, (p + np.roll(p, -1, axis=0)) / 2], axis=1).reshape(-1, 2)
+        kept = kn.simplify_area(more, 1e-6 * abs(kn.area2d(p)))
+        return [(len(kept), kn.area2d(kept))]
+
+    return rounded(ngon_rows(spark, d, run, "corners long, area double"), 5)
+
+
+@query(f"SELECT ring, n AS corners FROM {NGON}")
+def polygon_drop_collinear(spark, d):
+    """Corners that are left of rings with a vertex in the middle of every side."""
+    e = rings.edges(bd.ngons(spark, d))
+    middle = e.select("ring", (F.col("seq") * 2 + 1).alias("seq"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"))
+    whole = e.select("ring", (F.col("seq") * 2).alias("seq"), "x", "y").unionByName(middle)
+    return rings.drop_collinear(whole).groupBy("ring").agg(F.count("*").alias("corners"))
+
+
+@query(f"SELECT ring, round(-n * r * r * sin(2 * pi() / n) / 2, 6) AS area FROM {NGON}")
+def polygon_reverse(spark, d):
+    return rounded(rings.measures(rings.reverse(bd.ngons(spark, d))).select("ring", "area"), 6)
+
+
+@query(f"SELECT ring, round(n * r * r * sin(2 * pi() / n) / 4, 5) AS low, round(n * r * r * sin(2 * pi() / n) / 4, 5) AS high FROM {NGON}")
+def polygon_cut_at_line(spark, d):
+    """A regular ring is halved by the line through its middle and a corner's mirror axis."""
+
+    def run(p):
+        middle, n = p.mean(axis=0), np.array([0.0, 1.0])
+        at = float(middle @ n)
+        return [(kn.area2d(solids.cut_ring(p, n, at)), kn.area2d(solids.cut_ring(p, -n, -at)))]
+
+    return rounded(ngon_rows(spark, d, run, "low double, high double"), 5)
+
+
+@query(f"SELECT ring, true AS apart, true AS inside, true AS full FROM {NGON}")
+def polygon_poisson_points(spark, d):
+    """Points in a ring at least r / 4 apart: none too near, none outside, and no free place left that a grid finds beyond twice the gap."""
+
+    def run(p):
+        r = float(np.linalg.norm(p[0] - p.mean(axis=0)))
+        q = kn.poisson_points(p, r / 4, seed=7)
+        gaps = np.linalg.norm(q[:, None] - q[None], axis=2) + np.eye(len(q)) * 9e9
+        low, high = p.min(axis=0), p.max(axis=0)
+        grid = np.stack(np.meshgrid(*[np.linspace(a, b, 12) for a, b in zip(low, high, strict=True)]), axis=-1).reshape(-1, 2)
+        grid = grid[kn.inside([p], grid)]
+        return [(bool(gaps.min() >= r / 4 - 1e-12), bool(kn.inside([p], q).all()), bool((np.linalg.norm(grid[:, None] - q[None], axis=2).min(axis=1) < r / 2).all()))]
+
+    return ngon_rows(spark, d, run, "apart boolean, inside boolean, full boolean")
 
 
 @query()
 def polygon_simplify_rings(spark, d):
     """Corners of the customers' rings after edges shorter than 20 have collapsed."""
 
-    def run(frame):
-        p = kn.simplify_short_edges(_xy(frame), 20.0)
-        return pd.DataFrame({"corner": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})
+    def run(p):
+        kept = kn.simplify_short_edges(p, 20.0)
+        return [(i, float(x), float(y)) for i, (x, y) in enumerate(kept)]
 
-    return rounded(kn.per_shape(bd.rings(spark, d), "ring", "corner long, x double, y double", run), 6)
+    return rounded(rings.per_ring(bd.rings(spark, d), run, "corner long, x double, y double"), 6)
 
 
-@query(f"WITH {bd.POINTS3D} SELECT CAST(count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT), CAST(floor(y / 4) AS BIGINT), CAST(floor(z / 4) AS BIGINT) FROM points3d)")
+@query(f"WITH {bd.POINTS3D} SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS i, CAST(floor(y / 4) AS BIGINT) AS j, CAST(floor(z / 4) AS BIGINT) AS k FROM points3d")
 def voxel_dense_sparse(spark, d):
-    """Cells to ranges and back are the same cells."""
-    cells = voxels.voxelize(bd.points3d(spark, d), 4.0)
-    return voxels.cells(voxels.runs(cells)).intersect(cells).agg(F.count("*").alias("cells"))
+    """Cells to ranges and back."""
+    return voxels.cells(voxels.runs(voxels.voxelize(bd.points3d(spark, d), 4.0))).select("i", "j", "k")
 
 
-@query("SELECT p_partkey AS mesh, round(sqrt((p_partkey % 20 * 10) ** 2 + 50), 6) AS gap FROM part")
+@query(f"SELECT mesh, round(sqrt(greatest(x - 1, 0) ** 2 + 32), 6) AS gap FROM {CUBOID}")
 def convex_distance(spark, d):
-    """Least distance of a cuboid and the origin."""
-    from geoloom.plans.catalog import mesh_vertices
+    """Least distance of a cuboid and the unit cube at the origin."""
+    cube = np.array(bd.CUBE, dtype=float)
+    return rounded(cuboid_rows(spark, d, lambda p: [(kn.convex_distance(p, cube),)], "gap double"), 6)
+
+
+@query("SELECT p_partkey AS ring, round(r1, 5) AS r1, round(r2, 5) AS r2, round(r3, 5) AS r3, round(r4, 5) AS r4 FROM (SELECT p_partkey, -(p_size / 10.0) AS r1, p_partkey % 7 / 7.0 AS r2, 1.5 + p_partkey % 3 AS r3, 5 + p_size / 5.0 AS r4 FROM part)")
+def polynomial_roots(spark, d):
+    """Quartics with known real roots."""
+
+    def run(k, s):
+        return tuple(kn.roots(np.poly([-s / 10, k % 7 / 7, 1.5 + k % 3, 5 + s / 5])).real.tolist())
+
+    return rounded(per_part(spark, d, run, "r1 double, r2 double, r3 double, r4 double"), 5)
+
+
+@query(f"SELECT mesh, CAST(12 AS BIGINT) AS faces, CAST(0 AS BIGINT) AS open_edges, round(a * b * c, 6) AS volume FROM {CUBOID}")
+def mesh_fill_holes(spark, d):
+    """Cuboids without their lid get it back."""
+
+    def run(p):
+        v, f = _cuboid(p)
+        lidless = f[~(v[f][:, :, 2] == v[:, 2].max()).all(axis=1)]
+        whole = solids.fill_holes(v, lidless)
+        return [(len(whole), len(solids.border_loops(whole)), kn.mesh_volume(v, whole))]
+
+    return rounded(cuboid_rows(spark, d, run, "faces long, open_edges long, volume double"), 6)
+
+
+def _cuboid(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners and faces of a cuboid from its corners in any order."""
+    low, high = p.min(axis=0), p.max(axis=0)
+    return low + np.array(bd.CUBE) * (high - low), np.array(bd.CUBE_FACES)
+
+
+@query(f"SELECT mesh, round(a * b * c * 0.3, 6) AS below, round(a * b * c * 0.7, 6) AS above, CAST(0 AS BIGINT) AS open_edges FROM {CUBOID}")
+def mesh_cut_by_plane(spark, d):
+    """Both closed parts of a cuboid below and above three tenths of its length."""
+
+    def run(p):
+        v, f = _cuboid(p)
+        at = v[:, 0].min() + 0.3 * np.ptp(v[:, 0])
+        (v1, f1), (v2, f2) = solids.cut_solid(v, f, np.array([1.0, 0, 0]), float(at))
+        return [(kn.mesh_volume(v1, f1), kn.mesh_volume(v2, f2), len(solids.border_loops(f1)) + len(solids.border_loops(f2)))]
+
+    return rounded(cuboid_rows(spark, d, run, "below double, above double, open_edges long"), 6)
+
+
+@query(f"SELECT mesh, round(a * b, 5) AS top, round(CAST(b * c AS DOUBLE), 5) AS front, round((b * c + a * b) * sqrt(0.5), 5) AS slanted FROM {CUBOID}")
+def mesh_silhouette_area(spark, d):
+    """Shadows of cuboids from above, from the front, and from halfway between the two."""
+
+    def run(p):
+        v, f = _cuboid(p)
+        return [tuple(sum(kn.area2d(r) for r in solids.silhouette(v, f, np.array(x))) for x in ([0.0, 0, 1], [1.0, 0, 0], [1.0, 0, 1]))]
+
+    return rounded(cuboid_rows(spark, d, run, "top double, front double, slanted double"), 5)
+
+
+@query(f"SELECT mesh, CAST(4 AS BIGINT) AS faces, CAST(0 AS BIGINT) AS open_edges FROM {CUBOID}")
+def mesh_collapse_edges(spark, d):
+    """Edges of cuboids collapse until a closed body of four faces is left."""
+
+    def run(p):
+        v, f = _cuboid(p)
+        _, left = solids.collapse_edges(v, f, 4)
+        return [(len(left), len(solids.border_loops(left)))]
+
+    return cuboid_rows(spark, d, run, "faces long, open_edges long")
+
+
+@query(f"SELECT mesh, CAST(1 AS BIGINT) AS loops, CAST(4 AS BIGINT) AS corners, round(2 * (a + b), 6) AS length FROM {CUBOID}")
+def mesh_border_loops(spark, d):
+    """The rim of cuboids without their lid."""
+
+    def run(p):
+        v, f = _cuboid(p)
+        loops = solids.border_loops(f[~(v[f][:, :, 2] == v[:, 2].max()).all(axis=1)])
+        return [(len(loops), sum(map(len, loops)), sum(float(np.linalg.norm(v[x] - np.roll(v[x], -1, axis=0), axis=1).sum()) for x in loops))]
 
-    rows = mesh_vertices(bd.cuboids(spark, d))
-    return kn.per_shape(rows, "mesh", "gap double", lambda f: pd.DataFrame({"gap": [kn.convex_distance(_xyz(f), np.zeros((1, 3)))]})).select("mesh", near("gap", 6).alias("gap"))
+    return rounded(cuboid_rows(spark, d, run, "loops long, corners long, length double"), 6)

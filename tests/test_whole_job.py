@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pytest
 
-from geoloom.llm.near_dedup import Shingler, near_duplicates
 from geoloom.operators import joins, rings
 from geoloom.operators import kernels as kn
 from geoloom.plans import bindings as bd
@@ -45,17 +44,6 @@ def test_nearest_join_leaves_no_query_out_silently(spark):
         joins.nearest_join(points, points.withColumnRenamed("id", "query"), 2, 1.0, rounds=3)
 
 
-def test_a_pair_at_the_limit_with_unlike_sketches_is_linked(spark):
-    """208 of 260 words are common (0.8), but 20 of the union's 48 least and 22 of those of both sketches."""
-    hash_of = Shingler(1)
-    words = sorted((f"w{i}" for i in range(260)), key=lambda w: int(hash_of(w)[0]))
-    kinds = "c" * 20 + "ab" * 14 + "ab" * 12 + "c" * 188
-    texts = [" ".join(w for w, kind in zip(words, kinds, strict=True) if kind in ("c", own)) for own in "ab"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.component_id for r in near_duplicates(docs, words=1).collect()} == {0}
-    assert {r.component_id for r in near_duplicates(docs, words=1, need=26, least=0.57).collect()} == {0, 1}
-
-
 def shortest_edges_collapsed(ring, shortest):
     """(index, point) of the kept corners: the least edge by length and its corners' numbers, found anew each time."""
     ring = list(enumerate(ring))
