@@ -2,7 +2,7 @@
 
 A block's ids lie in *lanes* that are coded side by side: step *t* codes the *t*-th
 id of every lane in one numpy step.  All lanes share the block's model, which
-learns at fixed steps that double (``ROUNDS``), from the ids of all lanes so far; at
+learns at fixed steps that grow (``ROUNDS``), from the ids of all lanes so far; at
 the start of a block nothing is known.
 
 Order 0 counts the ids seen.  Order 1 counts the ids that followed each of the
@@ -30,11 +30,13 @@ BLOCK = LANES * STEPS
 #: blocks coded side by side
 GROUP = 8
 CLASSES = 64
-ROUNDS = (2, 4, 8, 16, 32, 64, 128, 256, 512)
+ROUNDS = (3, 12, 48, 160, 448)
 SLOTS = 1 << 15
 #: bits of a mixed distribution, and of the whole with order 2
 MIXED, WHOLE = 16, 21
 DENSE_BITS = 18
+COARSE = 1024
+COARSE_SHIFT = MIXED - 10
 
 
 def slot(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
@@ -237,17 +239,26 @@ def _decode(words: list[list[bytes]], steps: int, bits: int) -> np.ndarray:
     block = np.repeat(np.arange(blocks), lanes)
     slots = block * SLOTS
     for a, b in _rounds(steps):
-        width = 1 << max(max(m.table.shape[1] - 1 for m in models) - 1, 1).bit_length()
-        rows = max(len(m.table) for m in models)
-        most = max(len(m.ids) for m in models)
-        # rows padded to a power of two, so that the search needs no bounds
-        table = np.full((blocks, rows, width + 1), 1 << 30, np.int32)
+        rows, most = max(len(m.table) for m in models), max(len(m.ids) for m in models)
+        # where the search of a row starts, by the upper bits of what is looked for, and how far it may go
+        coarse = np.zeros((blocks, rows, COARSE), np.int32)
+        span = 1
+        for i, m in enumerate(models):
+            inner = m.table[:, 1:-1]
+            at = (inner + (1 << MIXED) // COARSE - 1) * COARSE >> MIXED
+            counts = np.bincount((at + np.arange(len(inner))[:, None] * (COARSE + 1)).ravel(), minlength=len(inner) * (COARSE + 1)).reshape(len(inner), COARSE + 1)
+            coarse[i, : len(inner)] = np.cumsum(counts, axis=1)[:, :COARSE]
+            span = max(span, int(counts.max()) + 1)
+        top = 1 << (span.bit_length() - 1)
+        # rows padded so that the search needs no bounds
+        width = most + 2 * top
+        table = np.full((blocks, rows, width), 1 << 30, np.int32)
         row, ids = np.zeros((blocks, most), np.int64), np.zeros((blocks, most), np.int64)
         for i, m in enumerate(models):
             table[i, : len(m.table), : m.table.shape[1]] = m.table
-            row[i, : len(m.row)] = (m.row + i * rows) * (width + 1)
+            row[i, : len(m.row)] = m.row + i * rows
             ids[i, : len(m.ids)] = m.ids
-        table, row, ids = table.ravel(), row.ravel(), ids.ravel()
+        table, row, ids, coarse = table.ravel(), row.ravel(), ids.ravel(), coarse.ravel()
         first = block * most
         last, share = np.concatenate([m.last for m in models]), np.concatenate([m.share for m in models])
         previous = np.concatenate([m.symbol(out[a + 1, i * lanes : (i + 1) * lanes]) for i, m in enumerate(models)]).astype(np.int64)
@@ -257,9 +268,10 @@ def _decode(words: list[list[bytes]], steps: int, bits: int) -> np.ndarray:
             unit = size >> WHOLE
             target = np.minimum(code // unit, (1 << WHOLE) - 1)
             rest = (1 << WHOLE) - part
-            inside = ((((target - part + 1) << MIXED) - 1) // rest).astype(np.int32)
-            left = row[previous + first]
-            found, step = left.copy(), width >> 1
+            inside = np.maximum((((target - part + 1) << MIXED) - 1) // rest, 0).astype(np.int32)
+            own_row = row[previous + first]
+            left = own_row * width
+            found, step = left + coarse.take(own_row * COARSE + (inside >> COARSE_SHIFT)), top
             while step:
                 found += (table.take(found + step) <= inside) * step
                 step >>= 1
