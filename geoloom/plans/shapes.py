@@ -137,12 +137,12 @@ def minkowski_sum_area(spark, d):
     return rounded(per_part(spark, d, run, "area double"), 6)
 
 
-@query("SELECT p_partkey AS ring, round((2 * a + b) ** 2 - a * a, 5) AS area FROM (SELECT p_partkey, p_size / 10.0 + 1 AS a, (p_size / 10.0 + 1) / (2 + p_partkey % 5) AS b FROM part)")
+@query("SELECT p_partkey AS ring, round((2 * a + b) ** 2 - a * a, 5) AS area FROM (SELECT p_partkey, a, a / (2 + p_partkey % 5) AS b FROM (SELECT p_partkey, p_size * 0.1012345678::DOUBLE + 1 AS a FROM part))")
 def minkowski_of_ells(spark, d):
     """An L of arms 2a and a square of side b: the notch keeps its size, since both its sides move by b."""
 
     def run(k, s):
-        a = s / 10 + 1
+        a = s * 0.1012345678 + 1
         b = a / (2 + k % 5)
         ell = a * np.array([[0.0, 0], [2, 0], [2, 1], [1, 1], [1, 2], [0, 2]])
         return (sum(kn.area2d(r) for r in kn.minkowski(ell, b * np.array([[0.0, 0], [1, 0], [1, 1], [0, 1]]))),)
