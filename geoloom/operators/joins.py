@@ -102,3 +102,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = both.unionByName(other).withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1")
     return joined.select("_row.*", value)
+
+
+def arc_join(points: DataFrame, queries: DataFrame, arc: float) -> DataFrame:
+    """(query, id, arc) of points of the unit sphere within an arc: a search by the chord, which grows with the arc."""
+    import math
+
+    found = radius_join(points, queries, 2 * math.sin(min(arc, math.pi) / 2), ("x", "y", "z"))
+    return found.select("query", "id", (2 * F.asin(F.least(F.col("distance") / 2, F.lit(1.0)))).alias("arc"))
+
+
+def drop_duplicates_on_grid(points: DataFrame, size: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """One point, that of least id, of those that round to the same place of a grid."""
+    place = [F.floor(F.col(a) / size + 0.5).alias(f"_{a}") for a in axes]
+    kept = points.select("id", *axes, *place).groupBy(*[f"_{a}" for a in axes]).agg(F.min_by(F.struct("id", *axes), "id").alias("p"))
+    return kept.select("p.*")

@@ -606,3 +606,98 @@ def _real_roots(coefficients: np.ndarray) -> list[float]:
 def real_roots(coefficients: pd.Series) -> pd.Series:
     """Ascending real roots of polynomials held as arrays, highest power first."""
     return coefficients.map(lambda c: None if c is None else _real_roots(np.asarray(c, float)))
+
+
+def conic_fit(points: np.ndarray) -> np.ndarray:
+    """Conic (xx, xy, yy, x, y, constant) of least algebraic error with unit coefficients."""
+    middle = points.mean(axis=0)
+    x, y = (points - middle).T
+    c = np.linalg.svd(np.column_stack([x * x, x * y, y * y, x, y, np.ones(len(x))]))[2][-1]
+    u, v = middle
+    moved = [c[0], c[1], c[2], c[3] - 2 * c[0] * u - c[1] * v, c[4] - 2 * c[2] * v - c[1] * u, c[5] + c[0] * u * u + c[1] * u * v + c[2] * v * v - c[3] * u - c[4] * v]
+    return np.array(moved)
+
+
+def edge_distances(ring: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Least distance of each point to the sides of a ring."""
+    way = np.roll(ring, -1, axis=0) - ring
+    rest = p[:, None, :] - ring[None]
+    t = np.clip((rest * way).sum(axis=2) / np.maximum((way * way).sum(axis=1), 1e-300), 0, 1)
+    return np.linalg.norm(rest - t[:, :, None] * way, axis=2).min(axis=1)
+
+
+def inner_circle(ring: np.ndarray, precision: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Largest circle in a ring: squares that may still hold a better centre are quartered, best bound first."""
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    half = float((high - low).max()) / 2
+    best, radius = (low + high) / 2, -math.inf
+    queue: list[tuple] = []
+
+    def look(centres: np.ndarray, size: float) -> None:
+        nonlocal best, radius
+        signed = edge_distances(ring, centres) * np.where(inside([ring], centres), 1.0, -1.0)
+        for c, s in zip(centres, signed.tolist(), strict=True):
+            if s > radius:
+                best, radius = c, s
+            heapq.heappush(queue, (-(s + size * math.sqrt(2)), size, tuple(c)))
+
+    look(np.array([(low + high) / 2]), half)
+    while queue and -queue[0][0] > radius + precision * max(half, 1e-300):
+        _, size, c = heapq.heappop(queue)
+        look(np.array(c) + size / 2 * np.array([[-1, -1], [1, -1], [-1, 1], [1, 1]]), size / 2)
+    return best, radius
+
+
+def _frame(normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    side = np.cross(normal, [0.0, 0.0, 1.0] if abs(normal[2]) < 0.9 else [1.0, 0.0, 0.0])
+    side /= np.linalg.norm(side)
+    return side, np.cross(normal, side)
+
+
+def box_along(points: np.ndarray, direction: np.ndarray) -> float:
+    """Volume of the least box with sides along a direction."""
+    unit = direction / np.linalg.norm(direction)
+    u, v = _frame(unit)
+    return least_rectangle(np.stack([points @ u, points @ v], axis=1))["area"] * float(np.ptp(points @ unit))
+
+
+def least_cylinder(points: np.ndarray) -> tuple[float, np.ndarray]:
+    """(volume, axis) of the least cylinder about points over the directions of their hull's faces and edges."""
+    faces = hull3d(points)
+    if not len(faces):
+        return 0.0, np.array([0.0, 0.0, 1.0])
+    corners = points[faces]
+    normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+    edges = np.concatenate([corners[:, i] - corners[:, i - 1] for i in range(3)])
+    ways = np.concatenate([normals, edges])
+    ways /= np.maximum(np.linalg.norm(ways, axis=1), 1e-300)[:, None]
+    lead = ways[np.arange(len(ways)), np.abs(ways).argmax(axis=1)]
+    best = math.inf, ways[0]
+    for way in ways[np.unique(np.round(ways * np.sign(lead)[:, None], 9), axis=0, return_index=True)[1]]:
+        u, v = _frame(way)
+        size = math.pi * least_ball(np.stack([points @ u, points @ v], axis=1))[1] ** 2 * float(np.ptp(points @ way))
+        if size < best[0]:
+            best = size, way
+    return best
+
+
+def triangulate_with_holes(outer: np.ndarray, holes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(points, triangles) of a ring with holes: each hole is joined to the ring by a bridge to a corner that it sees."""
+    ring = outer if area2d(outer) > 0 else outer[::-1]
+    for hole in sorted((h if area2d(h) < 0 else h[::-1] for h in holes), key=lambda h: -h[:, 0].max()):
+        start = int(np.argmax(hole[:, 0]))
+        p = hole[start]
+        sides = [(r[i], r[(i + 1) % len(r)]) for r in (ring, *holes) for i in range(len(r))]
+
+        def clear(q: np.ndarray) -> bool:
+            for a, b in sides:
+                if any(tuple(x) == tuple(y) for x in (a, b) for y in (p, q)):
+                    continue
+                if turn(p, q, a) * turn(p, q, b) <= 0 and turn(a, b, p) * turn(a, b, q) <= 0:
+                    return False
+            return True
+
+        order = np.argsort(np.linalg.norm(ring - p, axis=1))
+        at = next(int(i) for i in order if clear(ring[i]))
+        ring = np.concatenate([ring[: at + 1], np.roll(hole, -start, axis=0), p[None], ring[at:]])
+    return ring, triangulate(ring)

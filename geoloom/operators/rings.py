@@ -144,3 +144,14 @@ def scanline_hits(points: DataFrame, spacing: float, ring: str = "ring", seq: st
     hits = edges(points, ring, seq).select(ring, "x", "y", "x2", "y2", F.explode(lines).alias("line"))
     at = F.col("line") * spacing
     return hits.select(ring, "line", (F.col("x") + (at - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))).alias("x"))
+
+
+def area_normal_3d(points: DataFrame, ring: str = "ring", seq: str = "seq") -> DataFrame:
+    """(ring, area, nx, ny, nz) of rings in space: half the sum of the products of neighbouring corners, and its direction."""
+    w = Window.partitionBy(ring).orderBy(seq)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = points.select(ring, "x", "y", "z", *[F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).alias(f"{c}2") for c in "xyz"])
+    parts = {"nx": ("y", "z"), "ny": ("z", "x"), "nz": ("x", "y")}
+    sums = nxt.groupBy(ring).agg(*[F.sum(F.col(p) * F.col(f"{q}2") - F.col(q) * F.col(f"{p}2")).alias(n) for n, (p, q) in parts.items()])
+    size = F.sqrt(sum((F.col(n) ** 2 for n in ("ny", "nz")), F.col("nx") ** 2))
+    return sums.select(ring, (size / 2).alias("area"), *[F.when(size > 0, F.col(n) / size).alias(n) for n in parts])

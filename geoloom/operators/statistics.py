@@ -199,3 +199,15 @@ def point_to_lines(lines: DataFrame, group: str) -> DataFrame:
         return row[group], *map(float, np.linalg.lstsq(left, np.array([row[f"b{i}"] for i in range(3)]), rcond=None)[0])
 
     return _solve_rows(sums, f"{group} {kind}, x double, y double, z double", one)
+
+
+def axis_from_normals(normals: DataFrame, group: str) -> DataFrame:
+    """Unit direction (dx, dy, dz) per group that is most square to unit vectors (x, y, z): of least second moment about the origin."""
+    kind = dict(normals.dtypes)[group]
+
+    def one(row: dict) -> tuple:
+        second = np.array([[row["m200"], row["m110"], row["m101"]], [row["m110"], row["m020"], row["m011"]], [row["m101"], row["m011"], row["m002"]]])
+        v = np.linalg.eigh(second)[1][:, 0]
+        return row[group], *map(float, v * np.sign(v[np.argmax(np.abs(v))]))
+
+    return _solve_rows(moments(normals, group, 2), f"{group} {kind}, dx double, dy double, dz double", one)
