@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a temporary folder serves where that is unset."""
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None) or conf.get("geoloom.shared.dir", None)
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path below ``spark.checkpoint.dir`` that no other run uses.
+
+    Where that is unset a temporary folder serves, but only on one machine: with
+    other masters its files would stay where each task wrote them.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("geoloom.shared.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        conf.set("geoloom.shared.dir", base)
-    path = f"{base.rstrip('/')}/geoloom/{label}-{uuid.uuid4().hex}"
+        spark.conf.set("geoloom.shared.dir", base)
+    return f"{base.rstrip('/')}/geoloom/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a new shared folder and read it back."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

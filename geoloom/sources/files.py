@@ -6,7 +6,7 @@ will do, and parsed in Arrow batches; one file is one row, parsed by one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,15 +53,16 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
     return _contents(spark, path, formats.RING_READERS).mapInPandas(run, RINGS)
 
 
-def encode_meshes(soup: DataFrame, kind: str) -> DataFrame:
-    """(mesh, content): each mesh of a soup as a file of format ``kind``."""
+def encode_meshes(soup: DataFrame, kind: str, writer: Callable | None = None) -> DataFrame:
+    """(mesh, content): each mesh of a soup as a file of format ``kind``, or as ``writer`` has it."""
+    write = writer or formats.WRITERS[kind]
     columns = [f"{c}{a}" for c in "abc" for a in "xyz"]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         name = str(key[0])
         corners = frame.sort_values("f")[columns].to_numpy(dtype=float)
         vertices, at = np.unique(corners.reshape(-1, 3), axis=0, return_inverse=True)
-        return pd.DataFrame({"mesh": [name], "content": [formats.WRITERS[kind]((name, vertices, at.reshape(-1, 3)))]})
+        return pd.DataFrame({"mesh": [name], "content": [write((name, vertices, at.reshape(-1, 3)))]})
 
     return soup.groupBy("mesh").applyInPandas(run, "mesh string, content binary")
 

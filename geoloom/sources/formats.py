@@ -27,6 +27,11 @@ def format_of(path: str) -> str | None:
     return EXTENSIONS.get(path.rsplit(".", 1)[-1].lower())
 
 
+def extension_of(kind: str) -> str | None:
+    """File extension of a format."""
+    return next((e for e, k in EXTENSIONS.items() if k == kind), None)
+
+
 def units_of(text: str) -> float | None:
     """Millimetres of the first unit named in comments, if one is."""
     for word in re.findall(r"[a-z]+", text.lower()):
@@ -506,5 +511,23 @@ def write_dxf(rings: list[np.ndarray]) -> bytes:
     return ("\n".join([*rows, "0", "ENDSEC", "0", "EOF"]) + "\n").encode()
 
 
+def write_csv_ring(rings: list[np.ndarray]) -> bytes:
+    """x,y per line; the format has one ring a file."""
+    if len(rings) != 1:
+        raise ValueError("a table of points holds one ring")
+    return "".join("{:.17g},{:.17g}\n".format(*p) for p in rings[0]).encode()
+
+
+def write_json_rings(rings: list[np.ndarray]) -> bytes:
+    """One polygon: the first ring, then its inner ones."""
+    def node(i: int, ring: np.ndarray) -> dict:
+        return {"Index": i, "Centroid": dict(zip("XY", ring.mean(axis=0).tolist(), strict=True)), "Coordinates": ring.ravel().tolist()}
+
+    whole = node(0, rings[0])
+    if len(rings) > 1:
+        whole["Inners"] = [node(i, r) for i, r in enumerate(rings[1:], 1)]
+    return json.dumps(whole).encode()
+
+
 RING_READERS = {"CSV": read_csv_ring, "JSON": read_json_rings, "SVG": read_svg, "DXF": read_dxf}
-RING_WRITERS = {"SVG": write_svg, "DXF": write_dxf}
+RING_WRITERS = {"CSV": write_csv_ring, "JSON": write_json_rings, "SVG": write_svg, "DXF": write_dxf}
