@@ -3,43 +3,12 @@ from executors, and text cutting that several operators rely on."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine tests) a temporary folder
-    is made and stored in the session for later calls.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("geoloom.shared.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("geoloom.shared.dir", base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/geoloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts lineage with files that outlive any executor.
-    """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from geoloom.functions.storage import materialise, new_folder, open_fs  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:
@@ -54,17 +23,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def open_fs(uri: str):
-    """(pyarrow filesystem, path) of a URI or a plain local path."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(uri)
-
-
 def crc_of_id(column: str) -> Column:
     """Unsigned crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -80,9 +38,3 @@ def text_groups(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
-
-
-#: Cuts a text where a non-space meets a following space.  Pre-tokenizers of the
-#: byte-level BPE family never match across such a place, so each chunk can be
-#: encoded alone.  The information separators are no white space to them.
-SPACE_CHUNK = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
