@@ -1,12 +1,15 @@
 """FLAC media columns: lossless 8-bit mono streams with a seek point per frame.
 
-Encoder: frames of ``BLOCK`` samples, each a constant, verbatim or fixed-predictor
-subframe with one Rice partition.  Decoder: two paths with the same result.
+Encoder: frames of ``BLOCK`` samples, each a constant, verbatim, fixed-predictor or
+linear-predictor subframe (``ORDER`` coefficients of ``PRECISION`` bits from the
+frame's autocorrelation) with one Rice partition, whichever is least.  Decoder: two
+paths with the same result.
 ``decode_lanes`` takes many frames of this profile at once: step *t* reads the
 Rice code of sample *t* of every frame with numpy.  ``decode`` is the general
 one, a bit reader for any mono or stereo stream up to 16 bits with constant,
 verbatim, fixed and LPC subframes, partitions and escapes.  Both check the CRC-8
-of a frame's header and the CRC-16 of the frame, and the sample count.
+of a frame's header and the CRC-16 of the frame, and the sample count.  What they
+give are PCM blocks of ``PCM`` samples, each with the offset of its first sample.
 
 Defined results: a null payload is an empty one; an empty payload is padded to
 one block; very long payloads are encoded ``LANES`` frames at a time; equal
@@ -26,6 +29,10 @@ from pyspark.sql import functions as F
 
 BLOCK = 576
 LANES = 1024
+#: linear predictor: coefficients, and bits of each
+ORDER, PRECISION = 4, 8
+#: samples of a PCM block
+PCM = 16 * BLOCK
 PAD = b"\xff"
 
 
@@ -110,19 +117,51 @@ def _residuals(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, chosen
 
 
+def _predictors(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Integer coefficients [frames, ORDER], shift of each frame and residuals, by the Levinson recursion on all frames at once."""
+    x = samples.astype(np.float64)
+    r = [np.einsum("ij,ij->i", x[:, lag:], x[:, : BLOCK - lag]) for lag in range(ORDER + 1)]
+    error = r[0] * (1 + 1e-6) + 1e-3
+    a = np.zeros((ORDER, len(x)))
+    for i in range(ORDER):
+        k = (r[i + 1] - sum((a[j] * r[i - j] for j in range(i)), np.zeros(len(x)))) / error
+        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+        error = error * (1 - k * k)
+    reach = np.ceil(np.log2(np.maximum(np.abs(a).max(axis=0), 2.0**-14)))
+    shift = np.clip(PRECISION - 1 - reach, 0, 15).astype(np.int32)
+    most = 1 << (PRECISION - 1)
+    q = np.clip(np.rint(a * 2.0**shift), -most, most - 1).astype(np.int32)
+    guess = np.zeros(samples.shape, np.int32)
+    for j in range(ORDER):
+        guess[:, j + 1 :] += q[j][:, None] * samples[:, : BLOCK - 1 - j]
+    residual = samples - (guess >> shift[:, None])
+    residual[:, :ORDER] = samples[:, :ORDER]
+    return q.T, shift, residual
+
+
+def _rice(residual: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(which samples are coded, folded residuals, Rice parameter, quotients, bits of each sample) of frames."""
+    folded = (residual << 1) ^ (residual >> 31)
+    coded = np.arange(BLOCK) >= order[:, None]
+    mean = np.where(coded, folded, 0).sum(1) / (BLOCK - order)
+    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
+    quotient = np.where(coded, folded >> k[:, None], 0)
+    return coded, folded, k, quotient, np.where(coded, quotient + 1 + k[:, None], 8)
+
+
 def _encode_frames(samples: np.ndarray, headers: list[bytes]) -> list[bytes]:
     """Frames (rows of 576 signed 8-bit samples) as bytes."""
     samples = samples.astype(np.int32)
     count = len(samples)
     order, residual = _residuals(samples)
-    folded = (residual << 1) ^ (residual >> 31)
-    coded = np.arange(BLOCK) >= order[:, None]
-    total = np.where(coded, folded, 0).sum(1)
-    mean = total / (BLOCK - order)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
-    quotient = np.where(coded, folded >> k[:, None], 0)
-    width = np.where(coded, quotient + 1 + k[:, None], 8)
-    size = 8 + 10 + width.sum(1)
+    bits = 18 + _rice(residual, order)[4].sum(1)
+    factors, shifts, foretold = _predictors(samples)
+    own = 9 + ORDER * PRECISION
+    linear = 18 + own + _rice(foretold, np.full(count, ORDER))[4].sum(1) < bits
+    residual[linear] = foretold[linear]
+    order = np.where(linear, ORDER, order)
+    coded, folded, k, quotient, width = _rice(residual, order)
+    size = 18 + np.where(linear, own, 0) + width.sum(1)
     constant = (samples == samples[:, :1]).all(1)
     verbatim = ~constant & (size >= 8 + 8 * BLOCK)
     rice = np.flatnonzero(~constant & ~verbatim)
@@ -132,25 +171,29 @@ def _encode_frames(samples: np.ndarray, headers: list[bytes]) -> list[bytes]:
         length = head + (size[rice] + 7) // 8 + 2
         start = np.concatenate([[0], np.cumsum(length)])
         data = np.zeros(int(start[-1]) + 8, dtype=np.float64)
-        kk, qq, ww, oo = k[rice], quotient[rice], width[rice], order[rice]
+        kk, qq, ww, oo, ll = k[rice], quotient[rice], width[rice], order[rice], linear[rice]
         body = (start[:-1] + head) * 8  # bit at which the subframe begins
-        # the 10 bits of the method and the one partition follow the warm-up samples
-        shift = np.where(coded[rice], 10, 0)
-        place = np.cumsum(ww, axis=1) - ww + body[:, None] + 8 + shift
-        size_of = np.where(coded[rice], kk[:, None] + 1, 8)
-        value = np.where(coded[rice], (1 << kk[:, None]) | (folded[rice] & ((1 << kk[:, None]) - 1)), samples[rice] & 0xFF)
-        place = (place + np.where(coded[rice], qq, 0)).ravel()
-        word = value.ravel().astype(np.int64) << (24 - (place & 7) - size_of.ravel())
-        at, n = place >> 3, len(data)
+        # after the warm-up samples come a predictor's own bits, then 10 of the method and the one partition
+        extra = np.where(ll, own, 0)
+        after = np.where(coded[rice], (10 + extra)[:, None], 0)
+        places = [(np.cumsum(ww, axis=1) - ww + body[:, None] + 8 + after + np.where(coded[rice], qq, 0)).ravel()]
+        sizes = [np.where(coded[rice], kk[:, None] + 1, 8).ravel()]
+        values = [np.where(coded[rice], (1 << kk[:, None]) | (folded[rice] & ((1 << kk[:, None]) - 1)), samples[rice] & 0xFF).ravel()]
+        first = body + 8 + 8 * oo
+        # method 00 and partition order 0000 are six zero bits
+        places.append(first + extra + 6), sizes.append(np.full(len(rice), 4)), values.append(kk)
+        lpc = np.flatnonzero(ll)
+        places.append(first[lpc]), sizes.append(np.full(len(lpc), 9)), values.append((PRECISION - 1) << 5 | shifts[rice[lpc]])
+        for j in range(ORDER):
+            places.append(first[lpc] + 9 + PRECISION * j), sizes.append(np.full(len(lpc), PRECISION)), values.append(factors[rice[lpc], j] & ((1 << PRECISION) - 1))
+        place, n = np.concatenate(places), len(data)
+        word = np.concatenate(values).astype(np.int64) << (24 - (place & 7) - np.concatenate(sizes))
+        at = place >> 3
         data += np.bincount(at, weights=word >> 16, minlength=n)
         data += np.bincount(at + 1, weights=word >> 8 & 255, minlength=n)
         if int(kk.max()) > 8:
             data += np.bincount(at + 2, weights=word & 255, minlength=n)
-        data[start[:-1] + head] += (8 | oo) << 1
-        parameter = body + 8 + 8 * oo
-        data[(parameter >> 3)] += 0  # method 00 and partition order 0000: six zero bits
-        data[parameter >> 3] += kk >> 2
-        data[(parameter >> 3) + 1] += (kk & 3) << 6
+        data[start[:-1] + head] += np.where(ll, 32 | ORDER - 1, 8 | oo) << 1
         packed = data.astype(np.uint8)
         for position, i in enumerate(rice):
             a = start[position]
@@ -371,15 +414,32 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> n
         out[i] = data[body[i] + 1].astype(np.int8)
     for i in np.flatnonzero(kind == 2):
         out[i] = data[body[i] + 1 : body[i] + 1 + BLOCK].view(np.int8)
-    fixed = np.flatnonzero((kind >= 16) & (kind <= 20))
+    fixed = np.flatnonzero((kind >= 16) & (kind <= 20) & (kind % 2 == 0) | (kind >= 64) & (kind <= 78) & (kind % 2 == 0))
     if len(fixed) + int(((kind == 0) | (kind == 2)).sum()) != len(kind):
         raise ValueError("a subframe type outside this profile")
     if len(fixed):
         wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
         windows = (wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]).astype(np.int64)
-        order, first = (kind[fixed] >> 1) & 7, body[fixed] + 1
-        place = 8 * (first + order) + 10
-        k = windows[first + order] >> 22 & 15
+
+        def read(at: np.ndarray, n: int) -> np.ndarray:
+            return (windows[np.minimum(at >> 3, len(windows) - 1)] << (at & 7) & 0xFFFFFFFF) >> (32 - n)
+
+        linear = kind[fixed] >= 64
+        order, first = np.where(linear, (kind[fixed] >> 1) - 31, (kind[fixed] >> 1) & 7), body[fixed] + 1
+        params = 8 * (first + order)
+        precision, shift = read(params, 4) + 1, read(params + 4, 5)
+        lpc = np.flatnonzero(linear)
+        if (shift[lpc] > 15).any() or (precision[lpc] > 15).any():
+            raise ValueError("a predictor outside this profile")
+        head = np.where(linear, 9 + precision * order, 0)
+        factors = np.zeros((8, len(fixed)), np.int64)
+        for j in range(int(order[lpc].max()) if len(lpc) else 0):
+            value = read(params[lpc] + 9 + precision[lpc] * j, 15) >> (15 - precision[lpc])
+            factors[j, lpc] = np.where(j < order[lpc], value - ((value >> (precision[lpc] - 1)) << precision[lpc]), 0)
+        place = params + head + 10
+        if read(params + head, 6).any():
+            raise ValueError("a partition outside this profile")
+        k = read(params + head + 6, 4)
         mask, steps = (1 << k) - 1, np.zeros((BLOCK, len(fixed)), dtype=np.int32)
         late = int(order.max())
         for t in range(late):
@@ -405,17 +465,23 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> n
                 steps[t], place = value, at + k
             else:
                 steps[t], place = np.where(live, value, steps[t]), np.where(live, at + k, here)
+        if len(lpc):
+            own, q, down, lead = steps[:, lpc].astype(np.int64), factors[:, lpc], shift[lpc], order[lpc]
+            low, high = int(lead.min()), int(lead.max())
+            for t in range(low, BLOCK):
+                n = min(t, high)
+                guess = (q[:n] * own[t - n : t][::-1]).sum(axis=0) >> down
+                own[t] += guess if t >= high else np.where(t >= lead, guess, 0)
+            steps[:, lpc] = own
         rows = steps.T.copy()
         for o in (1, 2):
-            own = order == o
+            own = (order == o) & ~linear
             part = rows[own]
             if o == 2:
                 part[:, 1] -= part[:, 0]
                 part[:, 1:] = np.cumsum(part[:, 1:], axis=1)
             rows[own] = np.cumsum(part, axis=1)
         out[fixed] = rows
-        if (order > 2).any():
-            raise ValueError("a predictor outside this profile")
     return out
 
 
@@ -503,26 +569,53 @@ def decode_column(media: DataFrame, group: int = 1_000_000) -> DataFrame:
     return media.select("id", "n_bytes", "media").mapInArrow(run, "id bigint, n_bytes bigint, media binary, payload binary")
 
 
-def pcm_blocks(media: DataFrame, block_samples: int = 16 * BLOCK) -> DataFrame:
-    """PCM blocks of each stream, (id, block, first_sample, n_samples, pcm), addressable by sample offset."""
+def pcm_column(media: DataFrame, block_samples: int = PCM, group: int = 1_000_000) -> DataFrame:
+    """id, n_bytes, media and blocks: PCM blocks (first_sample, n_samples, pcm) of each stream, in order.
+
+    Streams of the encoder's profile are decoded side by side, others one by one;
+    samples of up to 8 bits take a byte each, others two.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from .common import text_groups
+
         for batch in batches:
-            rows: list = []
-            for key, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                info, _, _ = metadata(stream)
-                for n, a in enumerate(range(0, info["samples"], block_samples)):
-                    part = decode(stream, a, a + block_samples)
-                    rows.append((key, n, a, len(part), part.astype("<i2" if info["bits"] > 8 else "i1").tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("id", "block", "first_sample", "n_samples", "pcm"), r, strict=True)) for r in rows], schema=pa.schema([("id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
+            streams = batch.column(2).to_pylist()
+            for a, b in text_groups(streams, group):
+                pcm, width = [], []
+                infos = [metadata(x)[0] for x in streams[a:b]]
+                own = [i for i, info in enumerate(infos) if info["bits"] == 8 and info["channels"] == 1]
+                whole = dict(zip(own, decode_many([streams[a + i] for i in own]), strict=True))
+                for i, info in enumerate(infos):
+                    width.append((1 if info["bits"] <= 8 else 2) * info["channels"])
+                    if i in whole:
+                        pcm.append((np.frombuffer(whole[i], np.uint8) ^ 128).tobytes())
+                    else:
+                        pcm.append(decode(streams[a + i]).astype("i1" if info["bits"] <= 8 else "<i2").tobytes())
+                counts = [-(-info["samples"] // block_samples) for info in infos]
+                ends = np.cumsum([0, *counts])
+                first = np.concatenate([np.arange(n) * block_samples for n in counts] or [np.zeros(0)]).astype(np.int64)
+                held = np.concatenate([np.minimum(block_samples, info["samples"] - np.arange(n) * block_samples) for n, info in zip(counts, infos, strict=True)] or [np.zeros(0)]).astype(np.int64)
+                places = np.concatenate([[0], np.cumsum(held * np.repeat(width, counts))]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(places), pa.py_buffer(b"".join(pcm))])
+                blocks = pa.StructArray.from_arrays([pa.array(first), pa.array(held), data], names=["first_sample", "n_samples", "pcm"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks)], names=["id", "n_bytes", "media", "blocks"])
 
-    return media.select("id", "media").mapInArrow(run, "id bigint, block int, first_sample bigint, n_samples bigint, pcm binary")
+    kind = "id bigint, n_bytes bigint, media binary, blocks array<struct<first_sample: bigint, n_samples: bigint, pcm: binary>>"
+    return media.select("id", "n_bytes", "media").mapInArrow(run, kind)
+
+
+def pcm_blocks(media: DataFrame, block_samples: int = PCM) -> DataFrame:
+    """PCM blocks of each stream, (id, block, first_sample, n_samples, pcm), addressable by sample offset."""
+    rows = media if "n_bytes" in media.columns else media.withColumn("n_bytes", F.lit(None).cast("long"))
+    return pcm_column(rows, block_samples).select("id", F.posexplode("blocks").alias("block", "b")).select("id", "block", "b.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: digests of the stored stream and of what it gives back."""
+    """op9: digests of the stored stream and of the PCM blocks that it gives back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
 
     def digest(batches: Iterator) -> Iterator:
@@ -530,7 +623,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
         for batch in batches:
             out: dict = {"doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "media_bytes": [], "media_sha256": [], "feature": []}
-            for media, payload in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for media, blocks in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                pcm = b"".join(blocks.values.field("pcm").to_pylist())
+                payload = (np.frombuffer(pcm, np.uint8) ^ 128).tobytes()
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-32:]))
@@ -540,4 +635,4 @@ def query(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return decode_column(encode_column(docs, "doc_id", "payload")).mapInArrow(digest, schema)
+    return pcm_column(encode_column(docs, "doc_id", "payload")).mapInArrow(digest, schema)

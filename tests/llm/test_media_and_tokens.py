@@ -201,6 +201,15 @@ def test_flac_round_trip_both_ways():
         assert (flac.decode(stream, 100, 700)[:, 0] == samples[100:700]).all()
 
 
+def test_flac_uses_linear_predictors():
+    wave = (128 + 100 * np.sin(np.arange(5760) / 9) + 20 * np.sin(np.arange(5760) / 2.3)).astype(np.uint8).tobytes()
+    stream = flac.encode_many([wave])[0]
+    _, points, base = flac.metadata(stream)
+    kinds = {stream[base + offset + 6] >> 1 for _, offset, _ in points}
+    assert 32 | flac.ORDER - 1 in kinds and len(stream) < 0.6 * len(wave)
+    assert flac.decode_many([stream]) == [wave] and ((flac.decode(stream)[:, 0] + 128).astype(np.uint8)).tobytes() == wave
+
+
 def test_flac_detects_damage():
     stream = bytearray(flac.encode_many([flac.pad(PAYLOADS[2])])[0])
     stream[-30] ^= 1
@@ -259,7 +268,9 @@ def test_flac_columns(spark):
 
 def test_op9_on_whole_documents(spark, data):
     texts = pd.read_parquet(f"{data}/documents.parquet").set_index("doc_id").text
-    for r in flac.query(spark, data).collect():
+    rows = flac.query(spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts.index)
+    for r in rows:
         raw = texts[r.doc_id].encode()
         padded = flac.pad(raw)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
