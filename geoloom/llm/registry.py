@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, language_id, near_dedup, nearest, packing, quality, token_files, toxicity, warc
+from . import byte_bpe, flac, language_id, near_dedup, nearest, oracles, packing, quality, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": oracles.WARC, "op7_near_dedup": oracles.NEAR_DEDUP}
