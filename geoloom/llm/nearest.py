@@ -15,7 +15,8 @@ three fifths of the table are then compared).  Clustered vectors need far less.
 
 Of equal vectors only the ``k + 1`` of least id can be among any query's ``k``
 nearest, so the others are left out before anything is shuffled, and equal queries
-are searched once.  A leaf of more than ``BLOCK`` vectors is dealt out in parts.
+are searched once.  A search ends early where all that is left lies farther behind
+its planes than the ``k + 1``-th sample row, as it does soon in clustered data.  A leaf of more than ``BLOCK`` vectors is dealt out in parts.
 
 Defined results: vectors that are null, zero, of another length than the sample's
 most common one, or that hold null or non-finite components take no part; ties go
@@ -26,6 +27,7 @@ queries there are no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,12 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
+    def nearest_of_sample(self, query: np.ndarray, k: int) -> float:
+        """A distance that the k nearest of the table cannot exceed: that of the k-th row of the sample."""
+        if len(self.sample) < k:
+            return float("inf")
+        return float(np.partition(np.sqrt(((self.sample - query) ** 2).sum(axis=1)), k - 1)[k - 1])
+
     def bound(self, query: np.ndarray, opened: list[int], k: int) -> float:
         """A distance that the k nearest in the opened leaves cannot exceed: that of the k-th of their sample rows."""
         inside = np.zeros(self.leaves, dtype=bool)
@@ -122,14 +130,21 @@ class Forest:
             return float("inf")
         return float(np.partition(np.sqrt(((own - query) ** 2).sum(axis=1)), k - 1)[k - 1])
 
-    def search(self, query: np.ndarray, counts: list[int], wanted: int) -> list[int]:
-        """Leaves to open for a query, best first, until they hold ``wanted`` vectors."""
+    def search(self, query: np.ndarray, counts: list[int], wanted: int, k: int) -> list[int]:
+        """Leaves to open for a query, best first, until they hold ``wanted`` vectors.
+
+        A plane parts the query from a leaf by its margin at least, so once all that
+        is left lies beyond the k-th sample row, no nearer vector can be found.
+        """
         margins = (self.normals @ query - self.offsets).tolist() if len(self.offsets) else []
         children, found, total = self.children, [], 0
+        limit = self.nearest_of_sample(query, k) * (1 + 1e-9)
         queue = [(-np.inf, root) for root in self.roots]
         heapq.heapify(queue)
         while queue and total < wanted:
             away, node = heapq.heappop(queue)
+            if away > limit:
+                break
             while node >= 0:
                 margin = margins[node]
                 near, far = (1, 0) if margin > 0 else (0, 1)
@@ -142,33 +157,57 @@ class Forest:
         return found
 
 
-def _rerank(work: DataFrame, k: int) -> DataFrame:
+def _matrix(column, width: int) -> np.ndarray:
+    """Rows of an Arrow list column of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.zeros((0, width))
+
+
+def _best(queries: np.ndarray, bounds: np.ndarray, members: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, names, distances): the ``k`` nearest members of each query within its bound, ties to the smaller name.
+
+    A product of matrices finds what can be among them; those are measured exactly.
+    """
+    own = (members * members).sum(axis=1)
+    for a in range(0, len(queries), 256):
+        part = queries[a : a + 256]
+        rough = (part * part).sum(axis=1)[:, None] + own - 2 * (part @ members.T)
+        slack = 1e-9 * (1 + np.abs(own).max() + np.abs(rough).max(axis=1))
+        most = bounds[a : a + 256] ** 2 + slack
+        if len(members) > k:
+            most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack)
+        for i, near in enumerate(rough <= most[:, None]):
+            at = np.flatnonzero(near)
+            distance = np.sqrt(((members[at] - part[i]) ** 2).sum(axis=1))
+            keep = np.flatnonzero(distance <= bounds[a + i])
+            keep = keep[np.lexsort((names[at[keep]], distance[keep]))[:k]]
+            yield a + i, names[at[keep]], distance[keep]
+
+
+def _rerank(work: DataFrame, k: int, width: int) -> DataFrame:
     """(query, vec_id, score): the ``k`` nearest of each (leaf, part) to each query that opened it, within its bound."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, ids, vectors, matrix = None, [], [], None
+        key, members, names = None, [], []
         for batch in batches:
-            queries, near, scores = [], [], []
-            for leaf, part, side, name, vector, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (leaf, part) != key:
-                    key, ids, vectors, matrix = (leaf, part), [], [], None
-                if side == 0:
-                    ids.append(name), vectors.append(vector)
-                    continue
-                if not ids:
-                    continue
-                if matrix is None:
-                    matrix, names = np.array(vectors, dtype=np.float64), np.array(ids)
-                distance = np.sqrt(((matrix - np.array(vector, dtype=np.float64)) ** 2).sum(axis=1))
-                best = np.flatnonzero(distance <= bound)
-                best = best[np.lexsort((names[best], distance[best]))[:k]]
-                queries += [name] * len(best)
-                near += names[best].tolist()
-                scores += distance[best].tolist()
-            if queries:
-                yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(near, pa.int64()), pa.array(scores, pa.float64())], names=["query", "vec_id", "score"])
+            if not batch.num_rows:
+                continue
+            leaf, part, side, name = (batch.column(i).to_numpy() for i in range(4))
+            vectors, bounds = _matrix(batch.column(4), width), batch.column(5).to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0)) + 1
+            out: list[tuple] = []
+            for a, b in itertools.pairwise([0, *changes.tolist(), len(leaf)]):
+                if (leaf[a], part[a]) != key:
+                    key, members, names = (leaf[a], part[a]), [], []
+                if side[a] == 0:
+                    members.append(vectors[a:b]), names.append(name[a:b])
+                elif members:
+                    for i, near, distance in _best(vectors[a:b], bounds[a:b], np.concatenate(members), np.concatenate(names), k):
+                        out.append((np.full(len(near), name[a + i]), near, distance))
+            if out:
+                columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "vec_id", "score"])
 
     grouped = work.select("leaf", "part", "side", "name", "vector", "bound").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side")
     return grouped.mapInArrow(run, "query bigint, vec_id bigint, score double")
@@ -197,7 +236,7 @@ def nearest(
         import pyarrow as pa
 
         for batch in batches:
-            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, width)
+            vectors = _matrix(batch.column(1), width)
             leaves = held.value.route(vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(leaves), pa.list_(pa.int64()))], names=["vec_id", "embedding", "leaves"])
 
@@ -215,8 +254,8 @@ def nearest(
         import pyarrow as pa
 
         for batch in batches:
-            vectors = [np.array(v, dtype=np.float64) for v in batch.column(1).to_pylist()]
-            opened = [held.value.search(v, counts, search) for v in vectors]
+            vectors = list(_matrix(batch.column(1), width))
+            opened = [held.value.search(v, counts, search, k + 1) for v in vectors]
             bounds = [held.value.bound(v, own, k + 1) for v, own in zip(vectors, opened, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(opened, pa.list_(pa.int64())), pa.array(bounds, pa.float64())], names=["query", "embedding", "opened", "bound"])
 
@@ -225,7 +264,7 @@ def nearest(
     members = placed.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("name"), F.col("embedding").alias("vector"), F.lit(None).cast("double").alias("bound"))
     visits = walked.select("query", "embedding", "bound", F.explode("opened").alias("leaf")).join(parts, "leaf")
     visits = visits.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col("query").alias("name"), F.col("embedding").alias("vector"), "bound")
-    found = _rerank(members.unionAll(visits), k + 1).dropDuplicates(["query", "vec_id"])
+    found = _rerank(members.unionAll(visits), k + 1, width).dropDuplicates(["query", "vec_id"])
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
     # one row a query again; its own row goes
     owners = asked.dropDuplicates(["vec_id", "embedding"]).join(groups, "embedding").select(F.col("vec_id").alias("query_id"), "query")

@@ -222,6 +222,26 @@ def test_nearest_recall_and_scores(spark):
     assert hits / (10 * (ids % 100 == 0).sum()) >= 0.9
 
 
+def test_nearest_stops_early_in_clusters(spark):
+    """Clustered vectors: all neighbours are found, and a search opens a small part of the leaves."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24)) * 5
+    x = (centres[:, None] + rng.normal(size=(40, 100, 24)) * 0.3).reshape(-1, 24)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(rows, F.col("vec_id") % 100 == 0, k=5).collect()
+    asked = sorted({r.query_id for r in got})
+    hits = 0
+    for q in asked:
+        gaps = np.linalg.norm(x - x[q], axis=1)
+        gaps[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(gaps, kind="stable")[:5].tolist()))
+    assert len(asked) == 40 and hits >= 0.99 * 5 * len(asked)
+    forest = nearest.Forest(x, 4, 50)
+    counts = np.bincount(forest.places.ravel(), minlength=forest.leaves).tolist()
+    opened = [len(forest.search(x[q], counts, 10**9, 6)) for q in asked]
+    assert np.mean(opened) < 0.25 * forest.leaves
+
+
 def test_nearest_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [inf, 1.0]), (6, [1.0]), (7, []), *[(100 + i, [1.0, 0.0]) for i in range(30)], (200, [0.0, 1.0]), (200, [0.0, 1.0]), (None, [1.0, 1.0])]
