@@ -54,7 +54,7 @@ BLOCK = 256
 #: Pivots that a list offers in a round.
 PIVOTS = 3
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 CACHE = 150_000
 ROWS = 500
 
@@ -191,28 +191,38 @@ def _ordered(work: DataFrame, payload: str) -> DataFrame:
 
 
 def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
-    """(id, key, part) of the rows of side 1 whose sketch comes near that of a row of another component in their block."""
+    """(id, key, part, side) of the rows whose sketch comes near that of a row of the other side and another component in their block."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         out: list[tuple] = []
+        block, told = None, set()
         for item in _groups(batches, lambda raw: np.array(raw, dtype=np.int64)):
             if item is None:
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["id", "key", "part"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "key", "part", "side"])
                 out = []
                 continue
             key, part, doc, component, own, index = item
-            both = _shared(own, index)
-            for i in np.flatnonzero((both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)):
+            if index is not block:
+                block, told = index, set()
+            both, found = _shared(own, index), False
+            for i in np.flatnonzero((both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)).tolist():
+                if found and i in told:
+                    continue
                 union = np.union1d(own, index[5][i])[:k]
                 common = np.intersect1d(own, index[5][i], assume_unique=True)
                 if np.isin(union, common, assume_unique=True).sum() >= estimate * len(union):
-                    out.append((doc, key, part))
-                    break
+                    if i not in told:
+                        told.add(i)
+                        out.append((index[3][i], key, part, 0))
+                    if not found:
+                        found = True
+                        out.append((doc, key, part, 1))
 
-    return _ordered(work, "sketch").mapInArrow(run, "id bigint, key bigint, part int")
+    return _ordered(work, "sketch").mapInArrow(run, "id bigint, key bigint, part int, side int")
 
 
 def compare(work: DataFrame, similarity: int) -> DataFrame:
@@ -344,8 +354,7 @@ def near_duplicates(
     movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
     near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, least), "near")
     release(spark)
-    stayers = stayers.join(small(near.select("key", "part").distinct()), ["key", "part"], "left_semi")
-    movers = movers.join(small(near), ["id", "key", "part"], "left_semi")
+    movers, stayers = (rows.join(small(near.where(F.col("side") == side).select("id", "key", "part").distinct()), ["id", "key", "part"], "left_semi") for side, rows in ((1, movers), (0, stayers)))
     columns = ["id", "key", "part", "side", "component"]
     add(compare(_with_sets(materialise(movers.select(*columns).unionAll(stayers.select(*columns)), "work"), sets), similarity))
 
