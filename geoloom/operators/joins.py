@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.storage import materialise
+
 
 def bins_of(low: Column, high: Column, width: float) -> Column:
     """Array of the bins an interval touches."""
@@ -52,24 +54,27 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, a
     A round joins within a radius; queries that found ``k`` are done, since all
     others lie farther, and the rest go on with a larger radius.  Points and queries
     with a coordinate that is null or not finite have no distance and are left out.
-    Queries still open after ``rounds`` are an error.
+    Queries still open after ``rounds`` are an error; with no points there are no rows.
+    Each round is a written table, so no round repeats those before it.
     """
     points, queries = points.where(finite(axes)), queries.where(finite(axes))
-    total, done, open_queries = points.count(), None, queries
-    for _ in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-        found = radius_join(points, open_queries, radius, axes).withColumn("rank", rank).where(F.col("rank") <= k)
-        counts = found.groupBy("query").agg(F.count("*").alias("n"))
-        full = counts.where(F.col("n") >= min(k, total)).select("query")
-        part = found.join(full, "query", "left_semi")
-        done = part if done is None else done.unionAll(part)
-        open_queries = open_queries.join(full, "query", "left_anti")
-        if not total or open_queries.isEmpty():
+    total = points.count()
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    done, open_queries = [], queries
+    for _ in range(rounds if total else 0):
+        found = materialise(radius_join(points, open_queries, radius, axes).withColumn("rank", rank).where(F.col("rank") <= k), "near")
+        # the row of the last rank shows that a query is done
+        full = found.where(F.col("rank") == min(k, total)).select("query")
+        done.append(found.join(full, "query", "left_semi"))
+        open_queries = materialise(open_queries.join(full, "query", "left_anti"), "open")
+        if open_queries.isEmpty():
             break
         radius *= growth
     else:
-        raise ValueError(f"queries without their {k} nearest points after {rounds} rounds")
-    return done.select("query", F.col("rank").cast("long").alias("rank"), "id", "distance")
+        if total:
+            raise ValueError(f"queries without their {k} nearest points after {rounds} rounds")
+        done.append(radius_join(points, queries, radius, axes).withColumn("rank", F.lit(0)).where(F.lit(False)))
+    return reduce(DataFrame.unionAll, done).select("query", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
 def points_in_rings(points: DataFrame, ring_edges: DataFrame, width: float) -> DataFrame:

@@ -132,10 +132,10 @@ def most_significant_solid(spark, d):
     return m.groupBy((F.col("mesh") % 10).alias("g")).agg(F.max_by("mesh", F.struct("volume", -F.col("mesh"))).alias("mesh"), F.max("volume").alias("volume"))
 
 
-@query("SELECT p.p_partkey AS mesh, s.s_suppkey AS id FROM part p, supplier s WHERE (s.s_suppkey * 7.3 + 0.1) % 200 BETWEEN p.p_partkey % 20 * 10 AND p.p_partkey % 20 * 10 + p.p_size / 10.0 + 1 AND 5 + s.s_suppkey % 7 + 0.21 BETWEEN 5 AND 5 + p.p_partkey % 7 + 1 AND 5 + s.s_suppkey % 3 + 0.37 BETWEEN 5 AND 5 + p.p_partkey % 3 + 1")
+@query("SELECT p.p_partkey AS mesh, s.s_suppkey AS id FROM part p, supplier s WHERE (s.s_suppkey * 7.3 + 0.137) % 200 BETWEEN p.p_partkey % 20 * 10 AND p.p_partkey % 20 * 10 + p.p_size / 10.0 + 1 AND 5 + s.s_suppkey % 7 + 0.21 BETWEEN 5 AND 5 + p.p_partkey % 7 + 1 AND 5 + s.s_suppkey % 3 + 0.37 BETWEEN 5 AND 5 + p.p_partkey % 3 + 1")
 def point_in_solid(spark, d):
     k = F.col("s_suppkey")
-    points = bd.table(spark, d, "supplier").select(k.alias("id"), ((k * 7.3 + 0.1) % 200).cast("double").alias("x"), (5 + k % 7 + 0.21).cast("double").alias("y"), (5 + k % 3 + 0.37).cast("double").alias("z"))
+    points = bd.table(spark, d, "supplier").select(k.alias("id"), ((k * 7.3 + 0.137) % 200).cast("double").alias("x"), (5 + k % 7 + 0.21).cast("double").alias("y"), (5 + k % 3 + 0.37).cast("double").alias("z"))
     return repair.points_in_solids(points, bd.cuboids(spark, d), 4.0)
 
 

