@@ -54,7 +54,7 @@ BLOCK = 256
 #: Pivots that a list offers in a round.
 PIVOTS = 3
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 1_000_000
 CACHE = 150_000
 ROWS = 500
 
@@ -270,16 +270,17 @@ def near_duplicates(
         real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
     lists = materialise(_inverted_lists(classes, k, need), "lists")
-    meeting = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
     # sets that are similar are of similar size, so a member far from both its neighbours by size has no partner here
-    by_size = Window.partitionBy("value").orderBy("n", "rep")
+    by_value = Window.partitionBy("value")
+    by_size = by_value.orderBy("n", "rep")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     close = (F.col("n") * similarity <= before * 100) | (after * similarity <= F.col("n") * 100)
-    members = materialise(lists.join(meeting, "value").withColumn("close", close).where("close").select("value", "rep"), "members")
-    # lists of the same members, as two near copies have many, are one
-    print_of = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    once = members.groupBy("value").agg(F.count("*").alias("n"), *print_of).groupBy("n", "x0", "x1").agg(F.min("value").alias("value")).select("value")
-    lists = materialise(members.join(once, "value"), "lists")
+    members = lists.withColumn("close", close).where("close").select("value", "rep")
+    # lists of the same members, as two near copies have many, are one: that of least value, which each member finds alike
+    print_of = [F.bit_xor(F.xxhash64("rep", F.lit(i))).over(by_value).alias(f"x{i}") for i in range(2)]
+    members = members.select("value", "rep", F.count("*").over(by_value).alias("n"), *print_of)
+    alike = Window.partitionBy("rep", "n", "x0", "x1")
+    lists = materialise(members.withColumn("least", F.min("value").over(alike)).where("value = least").select("value", "rep"), "lists")
 
     def hash_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
