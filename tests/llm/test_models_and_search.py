@@ -288,3 +288,21 @@ def test_a_pair_at_the_limit_with_unlike_sketches_is_linked(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in near_duplicates(docs, words=1).collect()} == {0}
     assert {r.component_id for r in near_duplicates(docs, words=1, need=26, least=0.57).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path, labelled):
+    """Nulls in every column, repeated rows, clashing extra columns and empty tables: each text is packed once, copies go."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = "one two three four five six seven eight nine ten " * 5
+    rows = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (2, text, None, None, None, None), (3, None, "en", "a", 5, "x"), (4, "", None, "b", 0, "y"), (5, "other words " * 3000, "de", "b", 1, "z"), (None, "no id here", "en", "a", 1, "q")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    marks = [(1, 1, 0), (2, 0, 0), (5, None, None), (None, 1, 1)] if labelled else []
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert 2 not in kept and 5 in kept and kept <= {1, 3, 4, 5, None}
+    empty = f"file://{tmp_path}/none"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert pipeline.run(spark, empty).count() == 0
