@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.graph import connected_components
 
-from .common import materialise, release
+from .common import give_back, materialise, release
 
 K = 96
 NEED = 52
@@ -94,6 +94,7 @@ def _slices(batches: Iterator) -> Iterator:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
             yield batch.slice(a, ROWS)
+    give_back()
 
 
 def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) -> DataFrame:

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_back, materialise
 from .tokens import TextEncoder
 
 CAPACITY = 1024
@@ -53,18 +53,19 @@ ITEMS = "kind int, id bigint, size int, used int"
 SWEPT = "kind int, id bigint, size int, used int, seq bigint, length int, part int, rank bigint"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """key, doc_id, piece, start, length, ids_crc32 for every piece; the key is unique in one run."""
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END, group: int = 8_000_000) -> DataFrame:
+    """key, doc_id, piece, start, length, ids_crc32 for every piece; the key is unique in one run.  ``group`` bounds the bytes encoded at once."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 40
+        give_back()
         encoder = TextEncoder.load(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0)
-            for a, b, ids, offsets in encoder.encode_column(batch.column(1), end):
+            for a, b, ids, offsets in encoder.encode_column(batch.column(1), end, group):
                 sizes = np.diff(offsets)
                 count = -(-sizes // capacity)
                 doc = np.repeat(np.arange(b - a), count)

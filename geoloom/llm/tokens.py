@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import give_back
+
 CACHE = 1_000_000
 JOIN = 256
 GROUP = 12_000_000
@@ -245,6 +247,7 @@ class TextEncoder:
         for a, b in row_groups(offsets, limit):
             own = offsets[a : b + 1]
             yield a, b, *self.encode_flat(data[own[0] : own[-1]], own - own[0], end)
+            give_back()
 
     def encode(self, texts: list, end: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text (null: empty), with ``end`` appended if given."""

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, give_back
 
 SAMPLE = 2000
 M = 96
@@ -324,6 +324,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 yield part.filter(pa.array(held.value.score(part.column(at).to_pylist()) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
