@@ -154,27 +154,27 @@ def _estimate(a: str, b: str, k: int):
 
 
 def _groups(batches: Iterator, decode) -> Iterator:
-    """(key, part, id, component, own values, index of the block) for every row of side 1, block by block.
+    """(key, part, id, component, own values, n, index of the block) for every row of side 1, block by block.
 
     The index holds all values of the block's rows of side 0 in order, with their
-    owners, and the owners' sizes, ids, components and values.
+    owners, and the owners' sizes, ids, components, values and n.
     """
-    key, ids, components, sets, index = None, [], [], [], None
+    key, ids, components, sets, totals, index = None, [], [], [], [], None
     for batch in _slices(batches):
-        for k1, k2, side, doc, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k1, k2, side, doc, component, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (k1, k2) != key:
-                key, ids, components, sets, index = (k1, k2), [], [], [], None
+                key, ids, components, sets, totals, index = (k1, k2), [], [], [], [], None
             own = decode(raw)
             if side == 0:
-                ids.append(doc), components.append(component), sets.append(own)
+                ids.append(doc), components.append(component), sets.append(own), totals.append(n)
                 continue
             if not ids:
                 continue
             if index is None:
                 values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
                 order = np.argsort(values, kind="stable")
-                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets
-            yield k1, k2, doc, component, own, index
+                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets, np.array(totals)
+            yield k1, k2, doc, component, own, n, index
         yield None  # the batch is over
 
 
@@ -188,11 +188,14 @@ def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
 
 
 def _ordered(work: DataFrame, payload: str) -> DataFrame:
-    return work.select("key", "part", "side", "id", "component", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return work.select("key", "part", "side", "id", "component", "n", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
 
-def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
-    """(id, key, part, side) of the rows whose sketch comes near that of a row of the other side and another component in their block."""
+def promising(work: DataFrame, k: int, estimate: float, similarity: int) -> DataFrame:
+    """(id, key, part, side) of the rows whose sketch comes near that of a row of the other side and another component in their block.
+
+    Sets whose sizes ``n`` are too far apart to be similar are passed over.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -206,11 +209,12 @@ def promising(work: DataFrame, k: int, estimate: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "key", "part", "side"])
                 out = []
                 continue
-            key, part, doc, component, own, index = item
+            key, part, doc, component, own, n, index = item
             if index is not block:
                 block, told = index, set()
             both, found = _shared(own, index), False
-            for i in np.flatnonzero((both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)).tolist():
+            fits = 100 * np.minimum(n, index[6]) >= similarity * np.maximum(n, index[6])
+            for i in np.flatnonzero(fits & (both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)).tolist():
                 if found and i in told:
                     continue
                 union = np.union1d(own, index[5][i])[:k]
@@ -243,7 +247,7 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
                 continue
-            _, _, doc, component, own, index = item
+            _, _, doc, component, own, _, index = item
             both = _shared(own, index)
             hit = np.flatnonzero((100 * both >= similarity * (index[2] + len(own) - both)) & (index[4] != component))
             _, first = np.unique(index[4][hit], return_index=True)
@@ -253,7 +257,7 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    return sets.join(small(rows), "id")
+    return sets.join(small(rows), "id").withColumn("n", F.lit(0).cast("long"))
 
 
 def near_duplicates(
@@ -294,8 +298,8 @@ def near_duplicates(
     wanted = materialise(lists.select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary"), "sets")
-    sketch = classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "sketch")
-    brief = materialise(sketch.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief")), "brief")
+    sketch = classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    brief = materialise(sketch.select("id", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief")), "brief")
     release(spark)
 
     links: DataFrame | None = None
@@ -354,7 +358,7 @@ def near_duplicates(
     movers = movers.unionAll(minor.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
     stayers = stayers.unionAll(minor.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
     movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
-    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, least), "near")
+    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, least, similarity), "near")
     release(spark)
     movers, stayers = (rows.join(small(near.where(F.col("side") == side).select("id", "key", "part").distinct()), ["id", "key", "part"], "left_semi") for side, rows in ((1, movers), (0, stayers)))
     columns = ["id", "key", "part", "side", "component"]
