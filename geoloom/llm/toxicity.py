@@ -37,6 +37,8 @@ M = 96
 SPAN = 6
 DECAY = 0.6
 CACHE = 150_000
+#: Rows of the training matrices in double precision at once.
+CHUNK = 8192
 #: Words whose kernel rows are worked out at once.
 WORDS = 2048
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -161,10 +163,10 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     for _ in range(rounds):
         active = sign * (design @ beta) < 1
         gradient, hessian = ridge * beta, np.diag(ridge)
-        for a in range(0, len(design), 65536):
-            own = active[a : a + 65536]
-            part, w = design[a : a + 65536][own].astype(np.float64), weight[a : a + 65536][own]
-            gradient = gradient + part.T @ (w * (part @ beta - sign[a : a + 65536][own]))
+        for a in range(0, len(design), CHUNK):
+            own = active[a : a + CHUNK]
+            part, w = design[a : a + CHUNK][own].astype(np.float64), weight[a : a + CHUNK][own]
+            gradient = gradient + part.T @ (w * (part @ beta - sign[a : a + CHUNK][own]))
             hessian = hessian + part.T @ (part * w[:, None])
         step = np.linalg.solve(hessian, gradient)
         size = 1.0
@@ -226,8 +228,8 @@ class Model:
         for a in range(0, len(corpus.words), WORDS):  # words in order, so that no full matrix of them exists
             phi = (kernel.rows(corpus.words[a : a + WORDS]) @ root).astype(np.float32)
             low, high = np.searchsorted(flat, [a, a + WORDS])
-            for c in range(low, high, 65536):
-                d = min(high, c + 65536)
+            for c in range(low, high, CHUNK):
+                d = min(high, c + CHUNK)
                 np.add.at(x[:, :m], row[c:d], phi[flat[c:d] - a])
         x /= np.sqrt(sizes, dtype=np.float32)[:, None]
         x[:, m] = 1
@@ -331,7 +333,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents whose crc32 of the id is not 0 modulo 5."""
-    return Model.fit(*labelled_sample(docs, labels, "toxic", crc_of_id("doc_id") % 5 != 0))
+    model = Model.fit(*labelled_sample(docs, labels, "toxic", crc_of_id("doc_id") % 5 != 0))
+    give_back()
+    return model
 
 
 def query(spark, sf_dir: str) -> DataFrame:
