@@ -53,7 +53,7 @@ ITEMS = "kind int, id bigint, size int, used int"
 SWEPT = "kind int, id bigint, size int, used int, seq bigint, length int, part int, rank bigint"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END, group: int = 8_000_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END, group: int = 2_000_000) -> DataFrame:
     """key, doc_id, piece, start, length, ids_crc32 for every piece; the key is unique in one run.  ``group`` bounds the bytes encoded at once."""
 
     def run(batches: Iterator) -> Iterator:
