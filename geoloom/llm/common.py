@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions.storage import materialise, new_folder, open_fs  # noqa: F401
+from geoloom.functions.storage import discard, materialise, new_folder, open_fs  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:

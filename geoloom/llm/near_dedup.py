@@ -6,17 +6,18 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
 
 1. Documents of equal sets form a class; its least id stands for it from then on,
    so copies cost one row each.
-2. Retained values that one class alone has are dropped, and each class keeps lists
-   only for its rarest values: two classes that share at least ``need`` values meet
-   in one of the ``shared - need + 1`` rarest (prefix filter).  A member whose
-   neighbours by set size differ too much to be similar leaves a list.  A passage that many
-   documents share therefore makes no candidates among documents that differ.
+2. Retained values that no other class of similar set size has are dropped, and each
+   class keeps lists only for its rarest values: two classes that share at least
+   ``need`` values meet in one of the ``shared - need + 1`` rarest (prefix filter).  A
+   member whose neighbours by set size differ too much to be similar leaves a list.  A
+   passage that many documents share therefore makes no candidates among documents that differ.
 3. In two *star* rounds each list offers its members a few pivots; a member is
    compared with the pivot of best estimate, and links join components.
 4. What is left are lists that hold several components.  Each member of a smaller
    component is compared with every member of the large components in its lists,
    and members of small components with each other, in blocks of ``BLOCK``, first
-   by sketch and then in full.
+   by sketch and then in full.  Of the lists that two members share, only that of
+   least key compares them, and full sets go only to lists where a sketch came near.
 
 A link between components is missed if the sketches share under ``need`` values or
 the last step's estimate is under ``least``.  For a pair at a similarity of 0.8 a
@@ -25,6 +26,7 @@ one below 1e-12 (the model's figures; the loss itself is not measured).
 ``estimate`` holds for the star rounds, whose misses stay for the last step; sets of
 at most ``0.8 k`` shingles are handled exactly.
 No group is expanded into its pairs and nothing per document reaches the driver.
+Written tables are deleted once no later step reads them.
 
 Defined results: null and empty texts and texts without words have the empty set
 and are linked with nothing, as are rows of null id; a text of fewer words than a
@@ -35,7 +37,8 @@ an empty table gives no rows; columns other than the id and the text are not rea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.graph import connected_components
 
-from .common import give_back, materialise, release
+from .common import discard, give_back, materialise, release
 
 K = 96
 NEED = 52
@@ -57,6 +60,13 @@ PIVOTS = 3
 BROADCAST_ROWS = 1_000_000
 CACHE = 150_000
 ROWS = 500
+#: Classes whose retained values are dealt at once.
+MANY = 5_000
+#: Classes among ``MANY`` that make a value frequent, and how many frequent values all tasks are told.
+OFTEN = 128
+FREQUENT = 65_536
+#: Retained values that a task holds at once.
+BUCKET = 500_000
 
 
 class Shingler:
@@ -89,11 +99,11 @@ class Shingler:
         return np.unique(value.view(np.int64))
 
 
-def _slices(batches: Iterator) -> Iterator:
-    """Batches in parts of ``ROWS`` rows, which bounds what Python holds at once."""
+def _slices(batches: Iterator, rows: int = ROWS) -> Iterator:
+    """Batches in parts of ``rows`` rows, which bounds what Python holds at once."""
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            yield batch.slice(a, ROWS)
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
     give_back()
 
 
@@ -136,15 +146,137 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _inverted_lists(classes: DataFrame, k: int, need: int) -> DataFrame:
-    """(value, rep, n): the lists that candidates meet in, with the sizes of the members' sets."""
-    postings = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
-    common = postings.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = postings.join(common, "value").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("values"))
-    exact = F.ceil(F.col("n_shingles") * 0.8)
-    wanted = F.when(F.col("n_shingles") <= int(0.8 * k), exact).otherwise(F.lit(need)).cast("int")
-    rarest = F.slice("values", F.lit(1), F.greatest(F.size("values") - wanted + 1, F.lit(0)))
-    return shared.select("rep", F.col("n_shingles").alias("n"), F.explode(rarest).alias("held")).select(F.col("held.value").alias("value"), "rep", "n")
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Unsigned columns of equal length, the first ascending, as byte planes without the planes of zeros; the first by differences."""
+    first = columns[0]
+    parts = [struct.pack("<IQ", len(first), int(first[0]))]
+    for column in (np.diff(first, prepend=first[:1]), *columns[1:]):
+        planes = (int(column.max()).bit_length() + 7) // 8
+        parts += [bytes([planes]), column.astype("<u8").view(np.uint8).reshape(-1, 8).T[:planes].tobytes()]
+    return b"".join(parts)
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    count, base = struct.unpack_from("<IQ", data)
+    at, columns = 12, []
+    while at < len(data):
+        planes = data[at]
+        wide = np.zeros((count, 8), dtype=np.uint8)
+        wide[:, :planes] = np.frombuffer(data, np.uint8, planes * count, at + 1).reshape(planes, count).T
+        columns.append(wide.view("<u8").ravel())
+        at += 1 + planes * count
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64) + np.uint64(base)
+    return columns
+
+
+def _dealt(columns: list[np.ndarray], buckets: int):
+    """Rows dealt to buckets by the first column, packed: a record batch (bucket, rows)."""
+    import pyarrow as pa
+
+    bucket = ((columns[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((columns[0], bucket))
+    names, starts = np.unique(bucket[order], return_index=True)
+    packed = [pack_columns([c[rows] for c in columns]) for rows in np.split(order, starts[1:])] if len(order) else []
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+
+def _by_bucket(dealt: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on the columns of each bucket's rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        now, held = None, []
+        for batch in _slices(batches):
+            for bucket, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield work([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held = []
+                now = bucket
+                held.append(unpack_columns(rows))
+        if held:
+            yield work([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _postings(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, rep, n) of each retained value of a batch of classes, unsigned."""
+    sketch = batch.column(2)
+    sizes = np.diff(sketch.offsets.to_numpy())
+    reps, n = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+    return sketch.flatten().to_numpy().view(np.uint64), np.repeat(reps, sizes), np.repeat(n, sizes)
+
+
+def _inverted_lists(classes: DataFrame, k: int, need: int, similarity: int, often: int, frequent: int) -> DataFrame:
+    """(value, rep, n): the lists that candidates meet in, with the sizes of the members' sets.
+
+    Retained values are dealt once by value, packed, and those that no class of similar
+    size shares stay behind; the rest are dealt once by class, which keeps its rarest.
+    Values with ``often`` holders among ``MANY`` classes, ``frequent`` of them at most,
+    are not dealt by value, so no task gets a long list: they count as shared.
+    """
+    classes = classes.select("rep", "n_shingles", "sketch")
+    buckets = 1 + classes.count() * k // BUCKET
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in _slices(batches, MANY):
+            values, holders = np.unique(_postings(batch)[0], return_counts=True)
+            many = holders >= often
+            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(holders[many].astype(np.int64))], names=["value", "holders"])
+
+    counted = classes.mapInArrow(count, "value bigint, holders bigint").groupBy("value").agg(F.sum("holders").alias("holders"))
+    rows = counted.orderBy(F.desc("holders"), "value").limit(frequent).collect()
+    known = np.array([r.value for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, known_holders = known[order], np.array([r.holders for r in rows], np.uint64)[order]
+
+    def told(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each value is among the frequent ones, and where."""
+        at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        return (known[at] == values if len(known) else np.zeros(len(values), bool)), at
+
+    def by_value(batches: Iterator) -> Iterator:
+        for batch in _slices(batches, MANY):
+            columns = _postings(batch)
+            rest = ~told(columns[0])[0]
+            yield _dealt([c[rest] for c in columns], buckets)
+
+    def by_rep(batches: Iterator) -> Iterator:
+        for batch in _slices(batches, MANY):
+            value, rep, n = _postings(batch)
+            hit, at = told(value)
+            yield _dealt([rep[hit], value[hit], known_holders[at[hit]], n[hit]], buckets)
+
+    def shared(columns: list[np.ndarray]):
+        value, rep, n = columns
+        order = np.lexsort((n, value))
+        value, rep, n = value[order], rep[order], n[order]
+        same = value[1:] == value[:-1]
+        close = same & (n[1:] * np.uint64(similarity) <= n[:-1] * np.uint64(100))
+        starts = np.flatnonzero(np.append(True, ~same))
+        sizes = np.diff(np.append(starts, len(value)))
+        holders = np.repeat(sizes, sizes).astype(np.uint64)
+        kept = np.append(False, close) | np.append(close, False)
+        return _dealt([rep[kept], value[kept], holders[kept], n[kept]], buckets)
+
+    def rarest(columns: list[np.ndarray]):
+        import pyarrow as pa
+
+        rep, value, holders, n = columns
+        order = np.lexsort((value, holders, n, rep))
+        rep, value, n = rep[order], value[order], n[order].astype(np.int64)
+        starts = np.flatnonzero(np.append(True, (rep[1:] != rep[:-1]) | (n[1:] != n[:-1])))
+        sizes = np.diff(np.append(starts, len(rep)))
+        wanted = np.where(n[starts] <= int(0.8 * k), np.ceil(n[starts] * 0.8), need).astype(np.int64)
+        kept = np.arange(len(rep)) - np.repeat(starts, sizes) <= np.repeat(sizes - wanted, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(c[kept].view(np.int64)) for c in (value, rep, n)], names=["value", "rep", "n"])
+
+    schema = "bucket int, rows binary"
+    dealt = _by_bucket(classes.mapInArrow(by_value, schema), shared, schema)
+    if len(known):
+        dealt = dealt.unionAll(classes.mapInArrow(by_rep, schema))
+    return _by_bucket(dealt, rarest, "value bigint, rep bigint, n bigint")
 
 
 def _estimate(a: str, b: str, k: int):
@@ -154,28 +286,44 @@ def _estimate(a: str, b: str, k: int):
 
 
 def _groups(batches: Iterator, decode) -> Iterator:
-    """(key, part, id, component, own values, n, index of the block) for every row of side 1, block by block.
+    """(key, part, side, id, component, own values, n, own lists, index of the block) for every row of side 1 or 2, block by block.
 
-    The index holds all values of the block's rows of side 0 in order, with their
-    owners, and the owners' sizes, ids, components, values and n.
+    The index holds all values of the block's rows of side 0 or 2 in order, with their
+    owners, and the owners' sizes, ids, components, values, n and lists.  Rows of
+    side 2 are a block that is held against itself.
     """
-    key, ids, components, sets, totals, index = None, [], [], [], [], None
+    key, block, both, index = None, [], [], None
+
+    def indexed() -> tuple:
+        ids, components, sets, totals, lists = zip(*block, strict=True)
+        values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets, np.array(totals), lists
+
+    def held() -> Iterator:
+        within = indexed() if both else None
+        for doc, component, own, n, lists in both:
+            yield *key, 2, doc, component, own, n, lists, within
+
     for batch in _slices(batches):
-        for k1, k2, side, doc, component, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k1, k2, side, doc, component, n, raw, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (k1, k2) != key:
-                key, ids, components, sets, totals, index = (k1, k2), [], [], [], [], None
-            own = decode(raw)
-            if side == 0:
-                ids.append(doc), components.append(component), sets.append(own), totals.append(n)
+                yield from held()
+                key, block, both, index = (k1, k2), [], [], None
+            row = (doc, component, decode(raw), n, lists)
+            if side != 1:
+                block.append((doc, component, row[2], n, lists))
+                if side == 2:
+                    both.append(row)
                 continue
-            if not ids:
+            if not block:
                 continue
             if index is None:
-                values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-                order = np.argsort(values, kind="stable")
-                index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets, np.array(totals)
-            yield k1, k2, doc, component, own, n, index
+                index = indexed()
+            yield k1, k2, 1, *row, index
         yield None  # the batch is over
+    yield from held()
+    yield None
 
 
 def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
@@ -188,13 +336,15 @@ def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
 
 
 def _ordered(work: DataFrame, payload: str) -> DataFrame:
-    return work.select("key", "part", "side", "id", "component", "n", payload).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    lists = F.col("lists") if "lists" in work.columns else F.lit(None).cast("array<bigint>").alias("lists")
+    return work.select("key", "part", "side", "id", "component", "n", payload, lists).repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
 
 def promising(work: DataFrame, k: int, estimate: float, similarity: int) -> DataFrame:
-    """(id, key, part, side) of the rows whose sketch comes near that of a row of the other side and another component in their block.
+    """(id, key, part, side) of the rows whose sketch comes near that of a row they are held against, of another component.
 
-    Sets whose sizes ``n`` are too far apart to be similar are passed over.
+    Sets whose sizes ``n`` are too far apart to be similar are passed over.  Two rows
+    that meet under several keys, by their ``lists`` of keys, count under the least.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -209,32 +359,37 @@ def promising(work: DataFrame, k: int, estimate: float, similarity: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "key", "part", "side"])
                 out = []
                 continue
-            key, part, doc, component, own, n, index = item
+            key, part, side, doc, component, own, n, lists, index = item
             if index is not block:
                 block, told = index, set()
             both, found = _shared(own, index), False
             fits = 100 * np.minimum(n, index[6]) >= similarity * np.maximum(n, index[6])
             for i in np.flatnonzero(fits & (both >= estimate * np.minimum(k, index[2] + len(own) - both)) & (index[4] != component)).tolist():
-                if found and i in told:
+                other = index[7][i]
+                if found and i in told or lists and other and min(set(lists).intersection(other), default=key) != key:
                     continue
                 union = np.union1d(own, index[5][i])[:k]
                 common = np.intersect1d(own, index[5][i], assume_unique=True)
                 if np.isin(union, common, assume_unique=True).sum() >= estimate * len(union):
                     if i not in told:
                         told.add(i)
-                        out.append((index[3][i], key, part, 0))
+                        out.append((index[3][i], key, part, 2 if side == 2 else 0))
                     if not found:
                         found = True
-                        out.append((doc, key, part, 1))
+                        if side == 1:
+                            out.append((doc, key, part, 1))
+                        elif (mine := index[3].index(doc)) not in told:
+                            told.add(mine)
+                            out.append((doc, key, part, 2))
 
     return _ordered(work, "sketch").mapInArrow(run, "id bigint, key bigint, part int, side int")
 
 
 def compare(work: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between rows of side 1 and rows of side 0 of other components in their (key, part), if their sets are similar.
+    """Links (a, b) between rows of other components that are held against each other in their (key, part), if their sets are similar.
 
-    A group holds at most a block of side 0; side 1 streams past it.  One link to
-    each component is enough.
+    A group holds at most a block of side 0, which side 1 streams past, or of side 2.
+    One link to each component is enough.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -247,7 +402,7 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
                 continue
-            _, _, doc, component, own, _, index = item
+            _, _, _, doc, component, own, _, _, index = item
             both = _shared(own, index)
             hit = np.flatnonzero((100 * both >= similarity * (index[2] + len(own) - both)) & (index[4] != component))
             _, first = np.unique(index[4][hit], return_index=True)
@@ -262,7 +417,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: int = 80, k: int = K, need: int = NEED, estimate: float = ESTIMATE, least: float = LEAST,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN, frequent: int = FREQUENT,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -274,18 +429,22 @@ def near_duplicates(
     classes = materialise(
         real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
-    lists = materialise(_inverted_lists(classes, k, need), "lists")
+    documents = materialise(sketched.select("doc_id", "n_shingles", "print"), "documents")
+    discard(sketched)
+    release(spark)
+    rarest = materialise(_inverted_lists(classes, k, need, similarity, often, frequent), "rarest")
     # sets that are similar are of similar size, so a member far from both its neighbours by size has no partner here
     by_value = Window.partitionBy("value")
     by_size = by_value.orderBy("n", "rep")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     close = (F.col("n") * similarity <= before * 100) | (after * similarity <= F.col("n") * 100)
-    members = lists.withColumn("close", close).where("close").select("value", "rep")
+    members = rarest.withColumn("close", close).where("close").select("value", "rep")
     # lists of the same members, as two near copies have many, are one: that of least value, which each member finds alike
     print_of = [F.bit_xor(F.xxhash64("rep", F.lit(i))).over(by_value).alias(f"x{i}") for i in range(2)]
     members = members.select("value", "rep", F.count("*").over(by_value).alias("n"), *print_of)
     alike = Window.partitionBy("rep", "n", "x0", "x1")
     lists = materialise(members.withColumn("least", F.min("value").over(alike)).where("value = least").select("value", "rep"), "lists")
+    discard(rarest)
 
     def hash_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -300,6 +459,8 @@ def near_duplicates(
     sets = materialise(texts.join(small(wanted), "id", "left_semi").mapInArrow(hash_sets, "id bigint, hashes binary"), "sets")
     sketch = classes.join(small(wanted.withColumnRenamed("id", "rep")), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     brief = materialise(sketch.select("id", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief")), "brief")
+    prints = materialise(classes.select("print", "rep"), "prints")
+    discard(classes, wanted)
     release(spark)
 
     links: DataFrame | None = None
@@ -351,22 +512,26 @@ def near_duplicates(
     movers = facing.select("id", name, F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"), F.lit(1).alias("side"), "component")
     faced = facing.select("other", "other_size").distinct()
     stayers = nodes.join(small(faced), F.col("component") == F.col("other")).select("id", name, F.pmod(F.xxhash64("id"), parts_of).cast("int").alias("part"), F.lit(0).alias("side"), "component")
-    # members of small components of a list against each other
+    # members of small components of a list against each other, in a list of one block each once
     minor = placed.where(F.col("size") <= BLOCK)
     several = minor.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     minor = materialise(minor.join(several.select("value", "parts"), "value").select(F.col("rep").alias("id"), F.xxhash64(F.lit("list"), "value").alias("key"), "parts", "component"), "minor")
-    movers = movers.unionAll(minor.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
-    stayers = stayers.unionAll(minor.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
-    movers, stayers = materialise(movers, "movers"), materialise(stayers, "stayers")
-    near = materialise(promising(brief.withColumnRenamed("brief", "sketch").join(small(movers.unionAll(stayers)), "id"), k, least, similarity), "near")
+    several = minor.where("parts > 1")
+    movers = movers.unionAll(several.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
+    stayers = stayers.unionAll(several.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
+    within = minor.where("parts = 1").select("id", "key", F.lit(0).alias("part"), F.lit(2).alias("side"), "component")
+    held = materialise(movers.unionAll(stayers).unionAll(within), "held")
+    met = minor.groupBy("id").agg(F.collect_set("key").alias("lists"))
+    sketch = brief.withColumnRenamed("brief", "sketch").join(met, "id", "left")
+    near = materialise(promising(sketch.join(small(held), "id"), k, least, similarity), "near")
     release(spark)
-    movers, stayers = (rows.join(small(near.where(F.col("side") == side).select("id", "key", "part").distinct()), ["id", "key", "part"], "left_semi") for side, rows in ((1, movers), (0, stayers)))
-    columns = ["id", "key", "part", "side", "component"]
-    add(compare(_with_sets(materialise(movers.select(*columns).unionAll(stayers.select(*columns)), "work"), sets), similarity))
+    held = held.join(small(near.distinct()), ["id", "key", "part", "side"], "left_semi")
+    add(compare(_with_sets(materialise(held, "work"), sets), similarity))
+    discard(sets, brief)
 
-    known = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    known = prints.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("print", F.coalesce("component", "rep").alias("component"))
-    own = sketched.withColumn("real", F.expr("n_shingles > 0 and doc_id is not null")).select("doc_id", "n_shingles", "print", "real")
+    own = documents.withColumn("real", F.expr("n_shingles > 0 and doc_id is not null")).select("doc_id", "n_shingles", "print", "real")
     placed = own.where("real").join(known, "print").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = own.where("not real").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
