@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, give_back
+from .common import crc_of_id, give_back, release
 
 SAMPLE = 2000
 M = 96
@@ -150,18 +150,27 @@ def choose_landmarks(corpus: Corpus, labels: np.ndarray, m: int = M) -> list[str
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge SVM in the primal by Newton steps; y is 0 or 1, the last column of x is 1."""
+    """Squared-hinge SVM in the primal by Newton steps; y is 0 or 1, the last column of x is 1.
+
+    ``x`` may be in single precision; only ``CHUNK`` of its rows are in double precision at once.
+    """
     sign, design = np.where(y > 0, 1.0, -1.0), x
     ridge = np.full(design.shape[1], penalty * weight.sum())
     ridge[-1] = 1e-9
     beta = np.zeros(design.shape[1])
 
+    def margins(b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(design))
+        for a in range(0, len(design), CHUNK):
+            np.matmul(design[a : a + CHUNK].astype(np.float64), b, out=out[a : a + CHUNK])
+        return sign * out
+
     def loss(b: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - sign * (design @ b)) ** 2).sum() + (ridge * b * b).sum())
+        return float((weight * np.maximum(0, 1 - margins(b)) ** 2).sum() + (ridge * b * b).sum())
 
     now = loss(beta)
     for _ in range(rounds):
-        active = sign * (design @ beta) < 1
+        active = margins(beta) < 1
         gradient, hessian = ridge * beta, np.diag(ridge)
         for a in range(0, len(design), CHUNK):
             own = active[a : a + CHUNK]
@@ -225,6 +234,7 @@ class Model:
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, row = flat[order], row[order]
+        del order
         for a in range(0, len(corpus.words), WORDS):  # words in order, so that no full matrix of them exists
             phi = (kernel.rows(corpus.words[a : a + WORDS]) @ root).astype(np.float32)
             low, high = np.searchsorted(flat, [a, a + WORDS])
@@ -333,7 +343,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents whose crc32 of the id is not 0 modulo 5."""
-    model = Model.fit(*labelled_sample(docs, labels, "toxic", crc_of_id("doc_id") % 5 != 0))
+    sample = labelled_sample(docs, labels, "toxic", crc_of_id("doc_id") % 5 != 0)
+    release(docs.sparkSession)  # training is the driver's largest part in Python: its JVM gives back first what it does not use
+    model = Model.fit(*sample)
     give_back()
     return model
 
