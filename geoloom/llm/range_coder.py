@@ -59,7 +59,7 @@ class Model:
         self.share = np.zeros(SLOTS, np.int64)
         # one row, in which everything is an escape
         self.row = np.zeros(1, np.int64)
-        self.table = np.array([[0, 1 << MIXED]], np.int64)
+        self.table = np.array([[0, 1 << MIXED]], np.int32)
 
     def symbol(self, ids: np.ndarray) -> np.ndarray:
         if self._dense is not None:
@@ -107,14 +107,21 @@ class Model:
         self._past = [tuple(np.concatenate(x) for x in zip(*self._past, (previous, symbols), strict=True))]
         past, following = self._past[0]
         rows = len(common) + 1
-        pairs = np.bincount(self.row[past] * n + following, minlength=rows * n).reshape(rows, n)
+        mixed = np.bincount(self.row[past] * n + following, minlength=rows * n).reshape(rows, n)
+        different = np.maximum(np.count_nonzero(mixed, axis=1), 1)[:, None]
         whole = count.copy()
         whole[0] = max(1, len(new) // 2)
         order0 = (whole << 20) // whole.sum() + 1
-        mixed = np.cumsum((pairs << 20) + np.maximum(np.count_nonzero(pairs, axis=1), 1)[:, None] * order0, axis=1)
-        self.table = np.zeros((rows, n + 1), np.int64)
+        # the table is the largest thing here: worked out in place
+        mixed <<= 20
+        mixed += different * order0
+        np.cumsum(mixed, axis=1, out=mixed)
+        total = mixed[:, -1:].astype(np.float64)
+        mixed *= (1 << MIXED) - n
         # every symbol keeps one unit
-        self.table[:, 1:] = (mixed * ((1 << MIXED) - n) / mixed[:, -1:].astype(np.float64)).astype(np.int64) + np.arange(1, n + 1)
+        self.table = np.zeros((rows, n + 1), np.int32)
+        np.divide(mixed, total, out=self.table[:, 1:], casting="unsafe")
+        self.table[:, 1:] += np.arange(1, n + 1, dtype=np.int32)
 
     def intervals(self, before2: np.ndarray, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, is an escape) of ids on the scale of ``WHOLE`` bits."""
@@ -266,9 +273,10 @@ def _decode(words: list[list[bytes]], steps: int, bits: int) -> np.ndarray:
             at = slot(out[t], out[t + 1]) + slots
             part = share[at]
             unit = size >> WHOLE
-            target = np.minimum(code // unit, (1 << WHOLE) - 1)
+            # quotients of less than 22 bits by less than 28: the double nearest to one lies on the same side of any integer
+            target = np.minimum((code / unit).astype(np.int64), (1 << WHOLE) - 1)
             rest = (1 << WHOLE) - part
-            inside = np.maximum((((target - part + 1) << MIXED) - 1) // rest, 0).astype(np.int32)
+            inside = np.maximum((((target - part + 1) << MIXED) - 1) / rest, 0).astype(np.int32)
             own_row = row[previous + first]
             left = own_row * width
             found, step = left + coarse.take(own_row * COARSE + (inside >> COARSE_SHIFT)), top

@@ -12,8 +12,9 @@ is the same with any size).
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,16 @@ _WIDE_LAST = np.zeros(256, dtype=bool)
 _WIDE_LAST[[c[-1] for c in _WIDE]] = True
 _WIDE_BEFORE = np.zeros(256, dtype=bool)
 _WIDE_BEFORE[[c[-2] for c in _WIDE]] = True
+#: 1 for a space, 2 for a sign; ``bytes.translate`` needs no array of indices.
+_CLASS = (_SPACE * np.uint8(1) + _SIGN * np.uint8(2)).tobytes()
 
 
 #: A space and letters, of the same letters.
-PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PLAIN = r"\A (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\z"
+
+
+#: A normalizer that leaves of plain chunks what lower-casing does.
+LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def chunk_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -55,7 +62,8 @@ def chunk_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """
     start = np.zeros(len(data), dtype=bool)
     if len(data) > 1:
-        space, sign = _SPACE[data], np.flatnonzero(_SIGN[data[1:]]) + 1
+        classes = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+        space, sign = classes == 1, np.flatnonzero(classes[1:] == 2) + 1
         np.logical_and(space[1:], ~space[:-1], out=start[1:])
         last, before = data[sign - 1], data[np.maximum(sign - 2, 0)]
         accented = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
@@ -162,8 +170,12 @@ class TextEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
+        self._library = self._lowered = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
+        rules = json.loads(self._library.to_str())
+        if rules["normalizer"] == LOWERING:  # does nothing but lower the letters of plain chunks
+            self._lowered = Tokenizer.from_str(json.dumps(rules | {"normalizer": None}))
+            self._lowered.encode_special_tokens = True
         self._forget()
 
     @classmethod
@@ -190,40 +202,61 @@ class TextEncoder:
         separate words.
         """
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        chunks = new.to_pylist()
-        plain = np.fromiter((PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        chunks = [chunks[i] for i in order.tolist()]
-        cut = int(plain.sum())
+        plain = pc.match_substring_regex(new, PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
         store = Ragged()
-        for a, b, joins in ((0, cut, True), (cut, len(chunks), False)):
-            for c in range(a, b, 64 * JOIN):
-                groups = [chunks[e : min(e + JOIN, b)] for e in range(c, min(c + 64 * JOIN, b), JOIN)]
-                texts = [b"".join(g).decode() for g in groups] if joins else [[w.decode() for w in g] for g in groups]
-                for group, found in zip(groups, self._library.encode_batch(texts, is_pretokenized=not joins, add_special_tokens=False), strict=True):
-                    store.extend(np.array(found.ids, dtype=np.uint32), np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(group)))
+        words_alone = new.filter(plain)
+        if self._lowered is not self._library:
+            words_alone = pc.utf8_lower(words_alone.cast(pa.large_string()))
+        for part, library, joins in ((words_alone, self._lowered, True), (new.filter(pc.invert(plain)), self._library, False)):
+            for c in range(0, len(part), 64 * JOIN):
+                some = part.slice(c, 64 * JOIN)
+                cuts = [*range(0, len(some), JOIN), len(some)]
+                if joins:  # the chunks lie joined in the array already
+                    data, offsets = text_bytes(some)
+                    texts = [data[a:b].tobytes().decode() for a, b in itertools.pairwise(offsets[cuts].tolist())]
+                else:
+                    words = [w.decode() for w in some.to_pylist()]
+                    texts = [words[a:b] for a, b in itertools.pairwise(cuts)]
+                found = library.encode_batch(texts, is_pretokenized=not joins, add_special_tokens=False)
+                for one, n in zip(found, np.diff(cuts).tolist(), strict=True):
+                    store.extend(np.array(one.ids, dtype=np.uint32), np.bincount(np.array(one.word_ids, dtype=np.int64), minlength=n))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self._ids.extend(store.gather(place), store.counts(place))
         self._known = pa.concat_arrays([self._known, new])
         self._met = np.concatenate([self._met, np.zeros(len(new), np.int32)])
 
-    def rows_of(self, distinct) -> np.ndarray:
-        """Rows of the id store that hold the ids of distinct chunks (an Arrow binary array)."""
+    def _find(self, distinct) -> np.ndarray:
+        """Rows of distinct chunks, -1 for those not known; the table that is built is of the fewer distinct chunks."""
         import pyarrow.compute as pc
 
-        found = pc.index_in(distinct, value_set=self._known)
-        if found.null_count and len(self._known) + found.null_count > CACHE:
-            self._met[found.drop_null().to_numpy()] += 1
+        rows = np.full(len(distinct), -1, np.int64)
+        at = pc.index_in(self._known, value_set=distinct)
+        known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        rows[at.drop_null().to_numpy()] = known
+        return rows
+
+    def rows_of(self, distinct) -> np.ndarray:
+        """Rows of the id store that hold the ids of distinct chunks (an Arrow binary array)."""
+        rows = self._find(distinct)
+        missing = rows < 0
+        new = int(missing.sum())
+        if new and len(self._known) + new > CACHE:
+            self._met[rows[~missing]] += 1
             again = np.flatnonzero(self._met > 1)
             self._forget(np.sort(again[np.argsort(-self._met[again], kind="stable")[: CACHE // 2]]))
-            found = pc.index_in(distinct, value_set=self._known)
-        rows = found.fill_null(-1).to_numpy()
-        if found.null_count:
+            rows = self._find(distinct)
             missing = rows < 0
+            new = int(missing.sum())
+        if new:
+            import pyarrow as pa
+
             rows = np.where(missing, len(self._known) - 1 + np.cumsum(missing), rows)
-            self._learn(distinct.filter(found.is_null()))
+            self._learn(distinct.filter(pa.array(missing)))
         self._met[rows] += 1
         return rows
 
