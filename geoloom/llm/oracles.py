@@ -56,3 +56,11 @@ RESAMPLING = r"""WITH tab AS (SELECT list_transform(range(0, 256), lambda i: lis
  final AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM final)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * many // 100 THEN CAST(r AS BIGINT) END AS rank FROM ranked"""
+
+#: Windows of 13 words with the least document that has them; words under a window of a smaller document go.
+SUBSTRING_DEDUP = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'h': md5(array_to_string(w[i : i + 12], ' '))}), recursive := true) FROM d),
+ low AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM win),
+ gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM low, range(0, 13) AS x(k) WHERE least < doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+ sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(places, i)), ' '), '') END) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)"""
