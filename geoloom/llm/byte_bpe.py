@@ -14,8 +14,9 @@ array and concatenates the binary pieces.
    once for each ``SPREAD`` tasks at most and no key has more rows than these tasks
    have blocks; the first row of a word folds, the others copy.
 3. Ids and bytes return to the block, packed, and the documents are put together
-   from the stored file.  A file is named by the task attempt that wrote it and is
-   found only by the words of that attempt, so a repeated task does no harm.
+   from the stored file.  A block is named by partition and place, so a task that
+   runs again, whole or for some reducers only, gives the same words under the same
+   names and finds its file there; words that are missing or double are an error.
 
 In the rank map a byte is the character of the same number (U+0000 to U+00FF),
 which lets the map be a JSON literal that Catalyst folds once.
@@ -164,7 +165,8 @@ def _cut(batches: Iterator, pattern: str, folder: str, block_bytes: int) -> Iter
 
     words_of, one_word = regex.compile(pattern).findall, ONE_WORD.fullmatch
     task = TaskContext.get()
-    block, salt = task.taskAttemptId() << 20, task.partitionId() // SPREAD
+    # a task run again cuts the same rows into the same blocks and names them alike
+    block, salt = task.partitionId() << 20, task.partitionId() // SPREAD
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for a, b in row_groups(offsets, block_bytes):
@@ -198,7 +200,10 @@ def _cut(batches: Iterator, pattern: str, folder: str, block_bytes: int) -> Iter
 
 def _store(path: str, doc_ids, sizes: np.ndarray, numbers: np.ndarray) -> None:
     """Documents of a block: a batch of (doc_id, words), then their word numbers."""
+    import uuid
+
     import pyarrow as pa
+    from pyarrow import fs
 
     batch = pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes, pa.int64())], names=["doc_id", "words"])
     sink = pa.BufferOutputStream()
@@ -207,10 +212,16 @@ def _store(path: str, doc_ids, sizes: np.ndarray, numbers: np.ndarray) -> None:
     head = sink.getvalue()
     files, inner = open_fs(path)
     files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(inner) as file:
+    own = f"{inner}-{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as file:
         file.write(struct.pack("<Q", head.size))
         file.write(head)
         file.write(pack_numbers(numbers))
+    # readers see a whole file or none; another attempt's file is the same
+    if files.get_file_info(inner).type == fs.FileType.NotFound:
+        files.move(own, inner)
+    else:
+        files.delete_file(own)
 
 
 def _load(path: str):
@@ -278,9 +289,12 @@ def _assemble(batches: Iterator, folder: str, keep: bool) -> Iterator:
             coded.extend(found[3], found[1].astype(np.int64))
             plain.extend(np.frombuffer(_unzstd(bytes(view[8:]), struct.unpack_from("<Q", view)[0]), np.uint8), found[2].astype(np.int64))
         order = np.concatenate(order)
-        row_of = np.zeros(int(order.max()) + 1, np.int64)
-        row_of[order] = np.arange(len(order))
         doc_ids, words, numbers = _load(f"{folder}/{block}")
+        expected = int(numbers.max()) + 2 if len(numbers) else 1
+        if not np.array_equal(np.sort(order), np.arange(expected)):
+            raise ValueError(f"words of block {block} are not complete: {len(order)} of {expected}")
+        row_of = np.empty(expected, np.int64)
+        row_of[order] = np.arange(expected)
         ends = np.concatenate([[0], np.cumsum(words)])
         for a, b in row_groups(ends, AT_ONCE):
             rows = row_of[numbers[ends[a] : ends[b]].astype(np.int64) + 1]

@@ -53,6 +53,27 @@ def test_byte_bpe_is_tiktokens(spark):
     assert byte_bpe.byte_bpe(hard(spark).limit(0), ranks, P.PATTERN).count() == 0
 
 
+def test_words_that_are_missing_or_double_are_an_error(tmp_path):
+    """What a lost executor could leave: a block whose words do not all come, or come twice."""
+    import pyarrow as pa
+
+    folder = f"file://{tmp_path}"
+    for _ in range(2):  # a task that runs again finds its file there
+        byte_bpe._store(f"{folder}/7", pa.array([11, 12]), np.array([2, 1]), np.array([0, 2, 1], np.uint32))
+    assert [p.name for p in tmp_path.iterdir()] == ["7"]
+
+    def assembled(numbers):
+        words = [b"", b"a", b"bc", b"d"]
+        table = pa.table({"block": [7] * len(numbers), "number": pa.array(numbers, pa.int32()), "ids": pa.array([[i + 1] if i >= 0 else [] for i in numbers], pa.list_(pa.int32())), "text": pa.array([words[i + 1] for i in numbers], pa.binary())})
+        rows = [r for b in byte_bpe._assemble(byte_bpe._pack(iter(table.to_batches())), folder, True) for r in b.to_pylist()]
+        return [(r["doc_id"], r["ids"], r["decoded"]) for r in rows]
+
+    assert assembled([2, -1, 0, 1]) == [(11, [1, 3], b"ad"), (12, [2], b"bc")]
+    for numbers in ([-1, 0, 1], [-1, 0, 1, 1, 2], [0, 1, 2], [-1, 0, 2]):
+        with pytest.raises(ValueError, match="not complete"):
+            assembled(numbers)
+
+
 def test_op6_on_whole_documents(spark, data):
     _, own = tik()
     texts = pd.read_parquet(f"{data}/documents.parquet").set_index("doc_id").text
@@ -130,6 +151,7 @@ def test_packing_is_whole_and_tight(spark, data):
         assert part.length.sum() == len(ids) and (part.length.iloc[1:] == 1024).all()
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(part.start, part.length, part.ids_crc32, strict=True))
     ordered = got.sort_values(["sequence_id", "offset"])
+    assert set(got.doc_id) == set(texts)
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
     assert ordered.groupby("sequence_id").length.sum().max() <= 1024
     assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 1024 + 1
