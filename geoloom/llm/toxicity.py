@@ -63,7 +63,7 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        keys, owners, weights, _, norms = self._features(landmarks)
+        keys, owners, weights, norms = self._features(landmarks)
         self.unique, at = np.unique(keys, return_inverse=True)
         order = np.argsort(at, kind="stable")
         self.owner, self.weight = owners[order], weights[order] / norms[owners[order]]
@@ -79,7 +79,7 @@ class Kernel:
         sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
         parts = [codes * m for m in _MIX]
-        keys, owners, weights, squares = [], [], [], np.zeros(len(words))
+        keys, owners, weights = [], [], []
         for a, b in OFFSETS:
             n = len(codes) - b
             if n <= 0:
@@ -87,20 +87,26 @@ class Kernel:
             key = (parts[0][:n] ^ (parts[1][a : a + n] + np.uint64(a * 0))) + parts[2][b:]
             key = (key ^ key >> np.uint64(31)) * _MIX[1]
             inside = word[:n] == word[b:]
-            weight = DECAY ** (b - 2)
-            squares += np.bincount(word[:n][inside], minlength=len(words)) * weight**2
-            if table is not None:
-                inside &= table[(key >> np.uint64(44)).astype(np.int64)]
             at = np.flatnonzero(inside)
-            keys.append(key[at]), owners.append(word[at]), weights.append(np.full(len(at), weight))
+            keys.append(key[at]), owners.append(word[at]), weights.append(np.full(len(at), DECAY ** (b - 2)))
         if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), None, np.ones(len(words))
-        return np.concatenate(keys), np.concatenate(owners), np.concatenate(weights), None, np.sqrt(np.maximum(squares, 1e-12))
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.ones(len(words))
+        key, owner, weight = np.concatenate(keys), np.concatenate(owners), np.concatenate(weights)
+        # a word's kernel with itself: the weights of a subsequence are added up before they are squared
+        own = (key ^ owner.astype(np.uint64) * _MIX[2]) * _MIX[0]
+        order = np.argsort(own)
+        own = own[order]
+        first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        squares = np.bincount(owner[order[first]], np.add.reduceat(weight[order], first) ** 2, len(words))
+        if table is not None:
+            known = np.flatnonzero(table[(key >> np.uint64(44)).astype(np.int64)])
+            key, owner, weight = key[known], owner[known], weight[known]
+        return key, owner, weight, np.sqrt(np.maximum(squares, 1e-12))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Kernel values [words, landmarks]."""
         n, m = len(words), len(self.landmarks)
-        keys, owners, weights, _, norms = self._features(words, self.table)
+        keys, owners, weights, norms = self._features(words, self.table)
         at = np.searchsorted(self.unique, keys)
         at[at == len(self.unique)] = 0
         real = self.unique[at] == keys if len(keys) else np.zeros(0, bool)
