@@ -538,9 +538,13 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` without the documents whose group has one of a smaller id."""
+    """``docs`` without the documents whose group has one of a smaller id; of rows that repeat id and text one stays."""
     gone = materialise(near_duplicates(docs, words, similarity).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # only rows of ids that come again are compared by text
+    again = materialise(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    single, repeated = left.join(small(again), "doc_id", "left_anti"), left.join(small(again), "doc_id", "left_semi")
+    return single.select(*docs.columns).unionAll(repeated.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -300,8 +300,22 @@ def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path, labelled)
     spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
     marks = [(1, 1, 0), (2, 0, 0), (5, None, None), (None, 1, 1)] if labelled else []
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
-    kept = {r.doc_id for r in pipeline.run(spark, f"file://{tmp_path}").collect()}
+    packed = [(r.doc_id, r.piece) for r in pipeline.run(spark, f"file://{tmp_path}").collect()]
+    kept = {i for i, _ in packed}
     assert 2 not in kept and 5 in kept and kept <= {1, 3, 4, 5, None}
+    assert len(packed) == len(set(packed)) and (labelled or kept == {1, 3, 4, 5, None})
+
+
+def test_one_row_of_an_id_and_text_stays(spark):
+    text = "one two three four five six seven eight nine ten " * 5
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "other words are here and they stay", "d"), (3, "another text of the same id", "e"), (None, "x", "f"), (None, "x", "g"), (4, None, "h"), (4, None, "i")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, count string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, text), (3, rows[3][1]), (3, rows[4][1]), (None, "x"), (None, "x"), (4, None)], key=str)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
     empty = f"file://{tmp_path}/none"
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
