@@ -12,7 +12,7 @@ from geoloom.functions import surfaces as sf
 from geoloom.functions import vector as vc
 from geoloom.operators import assembly, isosurface, joins, mesh, rings, statistics, voxels
 from geoloom.plans import bindings as bd
-from geoloom.plans import expressions, files, repairs, shapes, solids, surfaces  # noqa: F401
+from geoloom.plans import expressions, files, repairs, shapes, solids, surfaces, topology  # noqa: F401
 from geoloom.plans.bindings import mesh_vertices
 from geoloom.plans.registry import QUERIES, SQL, near, oracle_sql, queries, query, rounded  # noqa: F401
 
