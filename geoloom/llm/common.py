@@ -5,12 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions.storage import discard, materialise, new_folder, open_fs  # noqa: F401
 
 
+def compressed(df: DataFrame, label: str) -> DataFrame:
+    """``materialise`` with Zstandard pages, for large tables."""
+    path = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps.
 

@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, new_folder, open_fs
+from .common import compressed, give_back, new_folder, open_fs
 from .words import SPACES, Numbers, pieces, word_values
 
 LENGTH = 13
@@ -137,9 +137,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(run, "block bigint, doc_id bigint, text string, size bigint")
-    path = new_folder(docs.sparkSession, "blocks")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return compressed(rows, "blocks")
 
 
 def _tell(rows: DataFrame, label: str) -> str:
