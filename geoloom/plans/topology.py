@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from geoloom.operators import mesh, paths
+from geoloom.operators import arrangement, mesh, paths
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
 from geoloom.plans.shapes import CUBOID
@@ -59,3 +61,68 @@ def border_segments_between_flats(spark, d):
     named = found.select("mesh", F.struct("r", "s", "path").alias("path"), "closed", "a", "b")
     sizes = paths.path_measures(named, vertices)
     return rounded(sizes.select("mesh", "length", "edges"), 6).groupBy("mesh", "length").agg(F.count("*").alias("segments"), F.max("edges").alias("edges"))
+
+
+#: Two staircases a group: columns of parts, the second ones moved by 0.37 and lifted by 20.5, all turned by 0.3 radians.
+GROUPS, MOVE, LIFT, TURN = 7, 0.37, 20.5, 0.3
+STAIRS = f"""s AS (SELECT p_partkey % {GROUPS} AS g, p_partkey // {GROUPS} AS i, CAST(p_size AS DOUBLE) AS a, 5.0 + p_partkey * 31 % 17 AS b FROM part),
+ t AS (SELECT g, i, a, b, lag(b) OVER (PARTITION BY g ORDER BY i) AS before FROM s),
+ u AS (SELECT g, sum(a) AS sa, sum(b) AS sb, sum((1 - {MOVE}) * greatest(0, least(a, {LIFT} + b) - {LIFT}) + {MOVE} * greatest(0, least(a, {LIFT} + coalesce(before, 0)) - {LIFT})) AS common FROM t GROUP BY g)"""
+
+
+def staircases(spark, d):
+    """Edges (g, part, x1, y1, x2, y2) of two staircase polygons for each remainder of the part key; one ring may have any number of columns."""
+    k = F.col("p_partkey")
+    columns = bd.table(spark, d, "part").select((k % GROUPS).alias("g"), F.floor(k / GROUPS).alias("i"), F.array(F.col("p_size").cast("double"), 5.0 + k * 31 % 17).alias("h"))
+    sides = []
+    for part, (dx, dy) in enumerate(((0.0, 0.0), (MOVE, LIFT))):
+        own = columns.select("g", "i", F.col("h")[part].alias("h"))
+        count = own.groupBy("g").agg(F.max("i").alias("n"))
+        before = own.select("g", (F.col("i") + 1).alias("i"), F.col("h").alias("h0"))
+        # the top of each column and the step before it; the last column is followed by a step down
+        rows = own.join(before, ["g", "i"], "full").select("g", "i", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("h0", F.lit(0.0)).alias("h0"))
+        x = F.col("i") + dx
+        tops = rows.where("h > 0").select("g", (x + 1).alias("x1"), (F.col("h") + dy).alias("y1"), x.alias("x2"), (F.col("h") + dy).alias("y2"))
+        steps = rows.select("g", x.alias("x1"), (F.col("h") + dy).alias("y1"), x.alias("x2"), (F.col("h0") + dy).alias("y2"))
+        floor = count.select("g", F.lit(dx).alias("x1"), F.lit(dy).alias("y1"), (F.col("n") + 1 + dx).alias("x2"), F.lit(dy).alias("y2"))
+        sides.append(tops.unionAll(steps).unionAll(floor).withColumn("part", F.lit(part)))
+    c, s = math.cos(TURN), math.sin(TURN)
+
+    def turned(x: str, y: str):
+        return F.col(x) * c - F.col(y) * s, F.col(x) * s + F.col(y) * c
+
+    both = sides[0].unionAll(sides[1])
+    return both.select("g", "part", *[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*turned("x1", "y1"), *turned("x2", "y2")), strict=True)])
+
+
+@query(f"WITH {STAIRS} SELECT g, round(sa + sb - common, 4) AS united, round(common, 4) AS common, round(sa - common, 4) AS rest, round(sa + sb - 2 * common, 4) AS either FROM u")
+def polygon_booleans_on_tables(spark, d):
+    """Union, intersection, difference and exclusive or of two rings of many edges, by one arrangement."""
+    found = arrangement.windings(arrangement.arrange(staircases(spark, d)))
+    out = None
+    for operation, name in (("union", "united"), ("intersect", "common"), ("subtract", "rest"), ("xor", "either")):
+        one = arrangement.areas(arrangement.boundary(found, operation)).select("g", F.col("area").alias(name))
+        out = one if out is None else out.join(one, "g", "left")
+    return rounded(out.na.fill(0.0), 4)
+
+
+#: Star polygons of 5, 7 or 9 points, each joined with the next but one.
+STARS = "(SELECT p_partkey AS g, 5 + 2 * (p_partkey % 3) AS n, p_size / 10.0 AS r, p_size / 10.0 * cos(2 * pi() / (5 + 2 * (p_partkey % 3))) / cos(pi() / (5 + 2 * (p_partkey % 3))) AS q FROM part)"
+
+
+@query(f"SELECT g, round(n * r * q * sin(pi() / n), 4) AS area, round(n * r * q * sin(pi() / n) - n * q * q * sin(2 * pi() / n) / 2, 4) AS even_odd, CAST(1 AS BIGINT) AS rings, CAST(2 * n AS BIGINT) AS corners FROM {STARS}")
+def self_intersections_removed(spark, d):
+    """Stars that cross themselves: the outline as one ring, and the points alone by the even-odd rule."""
+    k = F.col("p_partkey")
+    star = bd.table(spark, d, "part").select(k.alias("g"), (5 + 2 * (k % 3)).alias("n"), (F.col("p_size") / 10).alias("r")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+
+    def at(j):
+        angle = 4 * math.pi * j / F.col("n") + 0.1
+        return F.col("r") * F.cos(angle), F.col("r") * F.sin(angle)
+
+    edges = star.select("g", F.lit(0).alias("part"), *[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*at(F.col("j")), *at((F.col("j") + 1) % F.col("n"))), strict=True)])
+    found = arrangement.windings(arrangement.arrange(edges, 1), 1)
+    whole = arrangement.boundary(found, "union", parts=1)
+    points = arrangement.areas(arrangement.boundary(found, "union", "even_odd", 1)).select("g", F.col("area").alias("even_odd"))
+    rings = arrangement.rings_of(whole).groupBy("g").agg(F.count_distinct("ring").alias("rings"), F.count("*").alias("corners"))
+    return rounded(arrangement.areas(whole).select("g", "area").join(points, "g").join(rings, "g"), 4)
