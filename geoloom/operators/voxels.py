@@ -155,3 +155,87 @@ def cube_cases(a: DataFrame) -> DataFrame:
     bits = F.array(*[F.struct(F.lit(-x).alias("di"), F.lit(-y).alias("dj"), F.lit(-z).alias("dk"), F.lit(1 << (x + 2 * y + 4 * z)).alias("bit")) for x in (0, 1) for y in (0, 1) for z in (0, 1)])
     marks = a.select(*AXES, F.explode(bits).alias("m")).select(*[(F.col(c) + F.col(f"m.d{c}")).alias(c) for c in AXES], F.col("m.bit").alias("bit"))
     return marks.groupBy(*AXES).agg(F.sum("bit").alias("case")).where("case < 255")
+
+
+def mesh_runs(soup: DataFrame, side: float, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(mesh, j, k, first, last): cells, as half-open runs along i, whose centres lie within closed meshes (mesh, f, ax .. cz).
+
+    Scan lines run through cell centres.  A face makes a row for each line that meets
+    it: first its rows of equal z, then on each the lines between the two sides there.
+    Both rules are half open and a side is worked out from its lesser end, so a line
+    through an edge or a corner meets one of the faces there.  Along a line the
+    crossings' directions add up; what lies between is inside where the sum is not 0,
+    so bodies of one mesh may overlap.
+    """
+    from geoloom.functions.vector import cross2
+
+    def centre_row(c: Column, o: float) -> Column:
+        # the first row whose centre is not below c
+        return F.ceil((c - o) / side - 0.5)
+
+    own = soup.select("mesh", *[F.struct(F.col(f"{c}z").alias("z"), F.col(f"{c}y").alias("y"), F.col(f"{c}x").alias("x")).alias(c) for c in "abc"])
+    own = own.withColumn("_turn", cross2((F.col("b.y") - F.col("a.y"), F.col("b.z") - F.col("a.z")), (F.col("c.y") - F.col("a.y"), F.col("c.z") - F.col("a.z")))).where("_turn <> 0")
+    low, high = F.least("a.z", "b.z", "c.z"), F.greatest("a.z", "b.z", "c.z")
+    rows = own.withColumn("_first", centre_row(low, offset[2])).withColumn("_last", centre_row(high, offset[2]) - 1).where("_first <= _last")
+    rows = rows.withColumn("k", F.explode(F.sequence("_first", "_last"))).withColumn("_z", offset[2] + (F.col("k") + 0.5) * side)
+
+    def meeting(p: str, q: str) -> Column:
+        lo, hi = F.least(p, q), F.greatest(p, q)
+        y = lo["y"] + (F.col("_z") - lo["z"]) / (hi["z"] - lo["z"]) * (hi["y"] - lo["y"])
+        return F.when((lo["z"] <= F.col("_z")) & (hi["z"] > F.col("_z")), y)
+
+    at = F.array_sort(F.array_compact(F.array(meeting("a", "b"), meeting("b", "c"), meeting("c", "a"))))
+    rows = rows.withColumn("_y", at).where(F.size("_y") == 2)
+    rows = rows.withColumn("_first", centre_row(F.col("_y")[0], offset[1])).withColumn("_last", centre_row(F.col("_y")[1], offset[1]) - 1).where("_first <= _last")
+    rows = rows.withColumn("j", F.explode(F.sequence("_first", "_last"))).withColumn("_yc", offset[1] + (F.col("j") + 0.5) * side)
+    u = cross2((F.col("_yc") - F.col("a.y"), F.col("_z") - F.col("a.z")), (F.col("c.y") - F.col("a.y"), F.col("c.z") - F.col("a.z"))) / F.col("_turn")
+    v = cross2((F.col("b.y") - F.col("a.y"), F.col("b.z") - F.col("a.z")), (F.col("_yc") - F.col("a.y"), F.col("_z") - F.col("a.z"))) / F.col("_turn")
+    x = F.col("a.x") + u * (F.col("b.x") - F.col("a.x")) + v * (F.col("c.x") - F.col("a.x"))
+    x = F.least(F.greatest(x, F.least("a.x", "b.x", "c.x")), F.greatest("a.x", "b.x", "c.x"))
+    hits = rows.select("mesh", "j", "k", x.alias("x"), F.when(F.col("_turn") > 0, -1).otherwise(1).alias("way"))
+    line = Window.partitionBy("mesh", "j", "k").orderBy("x", F.desc("way"))
+    spans = hits.select("mesh", "j", "k", "x", F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("depth"), F.lead("x").over(line).alias("x2")).where("depth <> 0 AND x2 IS NOT NULL")
+    return spans.select("mesh", "j", "k", centre_row(F.col("x"), offset[0]).alias("first"), centre_row(F.col("x2"), offset[0]).alias("last")).where("first < last")
+
+
+def run_cells(run_table: DataFrame) -> DataFrame:
+    """(mesh, i, j, k): the cells of ``mesh_runs``."""
+    return run_table.select("mesh", F.explode(F.sequence("first", F.col("last") - 1)).alias("i"), "j", "k").distinct()
+
+
+def rectangles(a: DataFrame) -> DataFrame:
+    """(mesh, axis, side, plane, u0, u1, v0, v1): the open sides of cells (mesh, i, j, k), joined to rectangles.
+
+    A side between two cells is one key that both make, so an open side is a key of one
+    cell.  On each plane, sides in a row join to runs, and runs of the same extent in
+    rows that follow each other to rectangles, by gaps and islands both times.
+    """
+    faces = []
+    for n, (axis, u, v) in enumerate((("i", "j", "k"), ("j", "k", "i"), ("k", "i", "j"))):
+        faces += [F.struct(F.lit(n).alias("axis"), F.lit(s).alias("side"), (F.col(axis) + s).alias("plane"), F.col(u).alias("u"), F.col(v).alias("v")) for s in (0, 1)]
+    sides = a.select("mesh", F.explode(F.array(*faces)).alias("s")).select("mesh", "s.*")
+    open_sides = sides.groupBy("mesh", "axis", "plane", "u", "v").agg(F.count("*").alias("n"), F.max("side").alias("side")).where("n = 1").drop("n")
+    plane = ["mesh", "axis", "side", "plane"]
+    row = Window.partitionBy(*plane, "v").orderBy("u")
+    run = open_sides.withColumn("_g", F.col("u") - F.row_number().over(row)).groupBy(*plane, "v", "_g").agg(F.min("u").alias("u0"), (F.max("u") + 1).alias("u1"))
+    column = Window.partitionBy(*plane, "u0", "u1").orderBy("v")
+    return run.withColumn("_h", F.col("v") - F.row_number().over(column)).groupBy(*plane, "u0", "u1", "_h").agg(F.min("v").alias("v0"), (F.max("v") + 1).alias("v1")).drop("_h")
+
+
+def rectilinear_mesh(rects: DataFrame, size: float, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Triangle soup (mesh, f, ax .. cz) of ``rectangles``, two faces each, seen from outside."""
+    def spot(u: str, v: str) -> tuple[Column, ...]:
+        at = {0: F.col("plane"), 1: F.col(u), 2: F.col(v)}
+        # the axis gives where plane, u and v belong: i, j, k for 0, j, k, i for 1, k, i, j for 2
+        place = [F.when(F.col("axis") == 0, at[(x - 0) % 3]).when(F.col("axis") == 1, at[(x - 1) % 3]).otherwise(at[(x - 2) % 3]) for x in range(3)]
+        return tuple(o + p * size for o, p in zip(offset, place, strict=True))
+
+    corner = [spot("u0", "v0"), spot("u1", "v0"), spot("u1", "v1"), spot("u0", "v1")]
+
+    def triangle(n: int, order: tuple[int, int, int]) -> Column:
+        return F.struct(F.lit(n).alias("n"), *[v.alias(f"{c}{x}") for c, i in zip("abc", order, strict=True) for x, v in zip("xyz", corner[i], strict=True)])
+
+    outward = F.array(triangle(0, (0, 1, 2)), triangle(1, (0, 2, 3)))
+    inward = F.array(triangle(0, (0, 2, 1)), triangle(1, (0, 3, 2)))
+    out = rects.select("mesh", "axis", "side", "plane", "u0", "v0", F.explode(F.when(F.col("side") == 1, outward).otherwise(inward)).alias("t"))
+    return out.select("mesh", F.xxhash64("axis", "side", "plane", "u0", "v0", "t.n").alias("f"), *[F.col(f"t.{c}{x}").alias(f"{c}{x}") for c in "abc" for x in "xyz"])

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import arrangement, mesh, paths
+from geoloom.operators import arrangement, cuts, mesh, paths, voxels
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
 from geoloom.plans.shapes import CUBOID
@@ -126,3 +126,77 @@ def self_intersections_removed(spark, d):
     points = arrangement.areas(arrangement.boundary(found, "union", "even_odd", 1)).select("g", F.col("area").alias("even_odd"))
     rings = arrangement.rings_of(whole).groupBy("g").agg(F.count_distinct("ring").alias("rings"), F.count("*").alias("corners"))
     return rounded(arrangement.areas(whole).select("g", "area").join(points, "g").join(rings, "g"), 4)
+
+
+#: Cuboids turned about z by 0.5 and about y by 0.3 radians, where they stand; cells of 0.7.
+CELL, ABOUT_Z, ABOUT_Y = 0.7, 0.5, 0.3
+
+
+def turned_cuboids(spark, d):
+    soup = bd.cuboids(spark, d)
+    base = (F.col("mesh") % 20 * 10).cast("double"), F.lit(5.0), F.lit(5.0)
+    cz, sz, cy, sy = math.cos(ABOUT_Z), math.sin(ABOUT_Z), math.cos(ABOUT_Y), math.sin(ABOUT_Y)
+    moved = []
+    for c in "abc":
+        x, y, z = (F.col(f"{c}{n}") - b for n, b in zip("xyz", base, strict=True))
+        u, w = x * cy + z * sy, z * cy - x * sy
+        moved += [(v + b).alias(f"{c}{n}") for n, b, v in zip("xyz", base, (u * cz - y * sz, u * sz + y * cz, w), strict=True)]
+    return soup.select("mesh", "f", *moved)
+
+
+@query(f"""WITH c AS (SELECT * FROM {CUBOID}), g AS (SELECT mesh, a, b, c, (i + 0.5) * {CELL} AS px, (j + 0.5) * {CELL} - 5 AS py, (k + 0.5) * {CELL} - 5 AS pz, x FROM c, range(-15, 15) AS ri(di), range(-1, 22) AS rj(j), range(1, 15) AS rk(k), LATERAL (SELECT CAST(floor(x / {CELL}) AS BIGINT) + di AS i)),
+ l AS (SELECT mesh, a, b, c, (px - x) * cos({ABOUT_Z}) + py * sin({ABOUT_Z}) AS u, py * cos({ABOUT_Z}) - (px - x) * sin({ABOUT_Z}) AS v, pz AS w FROM g)
+ SELECT mesh, count(*) AS cells FROM l WHERE v BETWEEN 0 AND b AND u * cos({ABOUT_Y}) - w * sin({ABOUT_Y}) BETWEEN 0 AND a AND u * sin({ABOUT_Y}) + w * cos({ABOUT_Y}) BETWEEN 0 AND c GROUP BY mesh""")
+def voxels_of_meshes(spark, d):
+    """Cells whose centres lie within turned cuboids, by scan lines through their faces."""
+    runs = voxels.mesh_runs(turned_cuboids(spark, d), CELL)
+    return runs.groupBy("mesh").agg(F.sum(F.col("last") - F.col("first")).alias("cells"))
+
+
+_SIDES = """side AS (SELECT 0 AS axis, 0 AS s, i AS plane, j AS u, k AS v FROM a UNION ALL SELECT 0, 1, i + 1, j, k FROM a UNION ALL SELECT 1, 0, j, k, i FROM a UNION ALL SELECT 1, 1, j + 1, k, i FROM a UNION ALL SELECT 2, 0, k, i, j FROM a UNION ALL SELECT 2, 1, k + 1, i, j FROM a),
+ bare AS (SELECT axis, plane, u, v, max(s) AS s FROM side GROUP BY axis, plane, u, v HAVING count(*) = 1),
+ strip AS (SELECT axis, s, plane, v, min(u) AS u0, max(u) AS u1 FROM (SELECT *, u - row_number() OVER (PARTITION BY axis, s, plane, v ORDER BY u) AS g FROM bare) GROUP BY axis, s, plane, v, g),
+ rect AS (SELECT count(*) AS n FROM (SELECT 1 FROM (SELECT *, v - row_number() OVER (PARTITION BY axis, s, plane, u0, u1 ORDER BY v) AS g FROM strip) GROUP BY axis, s, plane, u0, u1, g))"""
+
+
+@query(f"WITH {bd.POINTS3D}, {bd.cells_sql('a', 'A')}, {_SIDES} SELECT CAST(1 AS BIGINT) AS mesh, (SELECT 2 * n FROM rect) AS faces, (SELECT count(*) FROM bare) * 16.0 AS area, (SELECT count(*) FROM a) * 64.0 AS volume")
+def voxels_to_rectilinear_mesh(spark, d):
+    """The surface of a voxel grid in as few rectangles as gaps and islands give; its volume by the divergence theorem is that of the cells."""
+    cells = bd.cells(spark, d, "A").withColumn("mesh", F.lit(1).cast("long"))
+    soup = voxels.rectilinear_mesh(voxels.rectangles(cells), 4.0)
+    found = mesh.solid_measures(soup)
+    return rounded(found.select("mesh", "faces", "area", "volume"), 6)
+
+
+#: Planes through cuboids that cross their four upright edges: at 0.45 of the height in the middle, rising by 0.06 along x and 0.04 along y.
+RISE = (0.06, 0.04)
+
+
+@query(f"""SELECT mesh, round(a * b * w, 5) AS cap, round(a * b * h, 5) AS below, round(a * b * (c - h), 5) AS above, round(a * b + a * b * w + 2 * (a + b) * h, 5) AS below_area, round(a * b + a * b * w + 2 * (a + b) * (c - h), 5) AS above_area,
+ round(2 * a * sqrt(1 + 0.0036) + 2 * b * sqrt(1 + 0.0016), 5) AS perimeter, CAST(1 AS BIGINT) AS loops, CAST(8 AS BIGINT) AS corners, true AS closed, CAST(0 AS BIGINT) AS open_edges, round(a * b * c, 5) AS volume
+ FROM (SELECT *, 0.45 * c AS h, sqrt(1 + 0.0036 + 0.0016) AS w FROM {CUBOID})""")
+def mesh_cut_oblique(spark, d):
+    """Cuboids cut by a slanted plane, each by its own: both closed parts, the section and its outline in order."""
+    soup = bd.cuboids(spark, d)
+    ends = soup.groupBy("mesh").agg(*[f(f"a{x}").alias(f"{n}{x}") for x in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    normal = (-RISE[0], -RISE[1], 1.0)
+    middle = [(F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, F.col("minz") + 0.45 * (F.col("maxz") - F.col("minz"))]
+    distance = (middle[0] * normal[0] + middle[1] * normal[1] + middle[2]) / math.sqrt(sum(c * c for c in normal))
+    own = soup.join(ends, "mesh")
+    sizes = cuts.contact(own, normal, distance)
+    loops = cuts.contact_loops(own, normal, distance).groupBy("mesh").agg(F.count_distinct("path").alias("loops"), F.count("*").alias("corners"), F.every("closed").alias("closed"))
+    parts = cuts.split(own, normal, distance).withColumn("mesh", F.col("mesh") * 2 + F.col("above").cast("long"))
+    vertices, faces = mesh.weld(parts, 7)
+    half = F.floor(F.col("mesh") / 2)
+    whole = mesh.integrity(faces).groupBy(half.alias("mesh")).agg(F.sum(F.col("edges") - F.col("manifold")).alias("open_edges"))
+    volume = mesh.solid_measures(mesh.with_corners(faces, vertices)).groupBy(half.alias("mesh")).agg(F.sum("volume").alias("volume"))
+    return rounded(sizes.join(loops, "mesh").join(whole, "mesh").join(volume, "mesh"), 5)
+
+
+@query(f"""SELECT mesh, level, CAST(1 AS BIGINT) AS loops, round(2 * (a + b), 5) AS length FROM (SELECT *, unnest(range(7, 7 + 2 * c)) AS level FROM (SELECT mesh, a, b, CAST(c AS BIGINT) AS c FROM {CUBOID})) WHERE level * 0.75 <= 5 + c AND level * 0.75 > 5""")
+def cross_section_loops_in_order(spark, d):
+    """Outlines of cuboids on planes 0.75 apart, each one loop."""
+    found = cuts.cross_section_loops(bd.cuboids(spark, d), (0.0, 0.0, 1.0), 0.75)
+    size = F.sqrt(sum(((F.col("q")[x] - F.col("p")[x]) ** 2 for x in "yz"), (F.col("q")["x"] - F.col("p")["x"]) ** 2))
+    loops = found.where("closed").groupBy("mesh", "level").agg(F.count_distinct("path").alias("loops"), F.sum(size).alias("length"))
+    return rounded(loops, 5)
