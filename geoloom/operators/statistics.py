@@ -110,6 +110,23 @@ def moments(points: DataFrame, group: str, order: int = 4) -> DataFrame:
     return points.groupBy(group).agg(*[F.sum(power("x", i) * power("y", j) * power("z", k)).alias(f"m{i}{j}{k}") for i, j, k in POWERS if i + j + k <= order])
 
 
+def central_moments(points: DataFrame, group: str, order: int) -> DataFrame:
+    """``moments`` about the group's mean, with the mean as mx, my, mz.
+
+    Powers of raw coordinates lose all digits away from the origin; about the mean
+    they keep them.  A row of a null coordinate takes no part.
+    """
+    points = points.where(" AND ".join(f"{c} IS NOT NULL" for c in "xyz"))
+    middle = points.groupBy(F.col(group).alias("_group")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    near = points.join(middle, F.col(group).eqNullSafe(F.col("_group"))).select(group, *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
+    sums = moments(near, group, order)
+    return sums.join(middle, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def _mean(row: dict) -> np.ndarray:
+    return np.array([row["mx"], row["my"], row["mz"]])
+
+
 def _solve_rows(table: DataFrame, schema: str, function) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -129,13 +146,13 @@ def plane_fit(points: DataFrame, group: str) -> DataFrame:
         second = np.array([[row["m200"], row["m110"], row["m101"]], [row["m110"], row["m020"], row["m011"]], [row["m101"], row["m011"], row["m002"]]]) / n
         values, vectors = np.linalg.eigh(second - np.outer(mean, mean))
         normal = vectors[:, 0]
-        d = float(normal @ mean)
+        d = float(normal @ (mean + _mean(row)))
         lead = normal[np.argmax(np.abs(normal))]
         if d < 0 or (d == 0 and lead < 0):
             normal, d = -normal, -d
         return row[group], *map(float, normal), d, max(0.0, float(values[0]))
 
-    return _solve_rows(moments(points, group, 2), f"{group} {kind}, nx double, ny double, nz double, d double, mse double", one)
+    return _solve_rows(central_moments(points, group, 2), f"{group} {kind}, nx double, ny double, nz double, d double, mse double", one)
 
 
 def sphere_fit(points: DataFrame, group: str) -> DataFrame:
@@ -151,23 +168,30 @@ def sphere_fit(points: DataFrame, group: str) -> DataFrame:
         except np.linalg.LinAlgError:
             return row[group], None, None, None, None
         centre = a[:3] / 2
-        return row[group], *map(float, centre), float(np.sqrt(max(0.0, a[3] + centre @ centre)))
+        return row[group], *map(float, centre + _mean(row)), float(np.sqrt(max(0.0, a[3] + centre @ centre)))
+
+    return _solve_rows(central_moments(points, group, 3), f"{group} {kind}, cx double, cy double, cz double, radius double", one)
+
 
-    return _solve_rows(moments(points, group, 4), f"{group} {kind}, cx double, cy double, cz double, radius double", one)
+def _shifted(c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Unit coefficients (squares, products xy, xz, yz, linear, constant) in x of a quadric given in x - m."""
+    square = np.array([[c[0], c[3] / 2, c[4] / 2], [c[3] / 2, c[1], c[5] / 2], [c[4] / 2, c[5] / 2, c[2]]])
+    out = np.concatenate([c[:6], c[6:9] - 2 * square @ m, [c[9] - c[6:9] @ m + m @ square @ m]])
+    return out / np.linalg.norm(out)
 
 
 def quadric_fit(points: DataFrame, group: str) -> DataFrame:
-    """Quadric of least algebraic error with unit coefficients: the null direction of the moment matrix."""
+    """Quadric of least algebraic error about the group's mean: the null direction of the moment matrix, in raw coordinates with unit coefficients."""
     kind = dict(points.dtypes)[group]
     names = ("200", "020", "002", "110", "101", "011", "100", "010", "001", "000")
 
     def one(row: dict) -> tuple:
         left = np.array([[row["m" + "".join(str(int(a) + int(b)) for a, b in zip(p, q, strict=True))] for q in names] for p in names])
         _, vectors = np.linalg.eigh(left)
-        c = vectors[:, 0]
+        c = _shifted(vectors[:, 0], _mean(row))
         return row[group], (c * np.sign(c[np.argmax(np.abs(c))])).tolist()
 
-    return _solve_rows(moments(points, group, 4), f"{group} {kind}, coefficients array<double>", one)
+    return _solve_rows(central_moments(points, group, 4), f"{group} {kind}, coefficients array<double>", one)
 
 
 def inertia_axes(points: DataFrame, group: str) -> DataFrame:
@@ -180,9 +204,9 @@ def inertia_axes(points: DataFrame, group: str) -> DataFrame:
         second = np.array([[row["m200"], row["m110"], row["m101"]], [row["m110"], row["m020"], row["m011"]], [row["m101"], row["m011"], row["m002"]]]) / n
         _, vectors = np.linalg.eigh(second - np.outer(mean, mean))
         v = vectors[:, 2]
-        return row[group], *map(float, mean), *map(float, v * np.sign(v[np.argmax(np.abs(v))]))
+        return row[group], *map(float, mean + _mean(row)), *map(float, v * np.sign(v[np.argmax(np.abs(v))]))
 
-    return _solve_rows(moments(points, group, 2), f"{group} {kind}, cx double, cy double, cz double, dx double, dy double, dz double", one)
+    return _solve_rows(central_moments(points, group, 2), f"{group} {kind}, cx double, cy double, cz double, dx double, dy double, dz double", one)
 
 
 def point_to_lines(lines: DataFrame, group: str) -> DataFrame:

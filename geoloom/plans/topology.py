@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import arrangement, cuts, mesh, paths, voxels
+from geoloom.operators import arrangement, cuts, mesh, paths, repair, statistics, voxels
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
 from geoloom.plans.shapes import CUBOID
@@ -54,8 +54,6 @@ def border_paths_in_order(spark, d):
 @query(f"""WITH c AS (SELECT *, [a, b, c] AS s FROM {CUBOID}), p AS (SELECT mesh, unnest([a, b, c]) AS length, unnest([4, 4, 4]) AS n FROM c) SELECT mesh, round(length, 6) AS length, CAST(sum(n) AS BIGINT) AS segments, CAST(1 AS BIGINT) AS edges FROM p GROUP BY mesh, length""")
 def border_segments_between_flats(spark, d):
     """Ordered borders between the flat sides of cuboids: twelve of one edge each."""
-    from geoloom.operators import repair
-
     vertices, faces = mesh.weld(bd.cuboids(spark, d), 6)
     found = paths.border_segments(faces, repair.flats(faces, vertices))
     named = found.select("mesh", F.struct("r", "s", "path").alias("path"), "closed", "a", "b")
@@ -200,3 +198,31 @@ def cross_section_loops_in_order(spark, d):
     size = F.sqrt(sum(((F.col("q")[x] - F.col("p")[x]) ** 2 for x in "yz"), (F.col("q")["x"] - F.col("p")["x"]) ** 2))
     loops = found.where("closed").groupBy("mesh", "level").agg(F.count_distinct("path").alias("loops"), F.sum(size).alias("length"))
     return rounded(loops, 5)
+
+
+@query(f"SELECT mesh, true AS short_enough, CAST(0 AS BIGINT) AS open_edges, CAST(2 AS BIGINT) AS euler, round(2 * (a * b + b * c + c * a), 6) AS area, round(a * b * c, 6) AS volume FROM {CUBOID}")
+def mesh_refined_to_a_limit(spark, d):
+    """Uneven cuboids refined until no edge is longer than 1.3: still closed, with no hanging vertex, and of the same area and volume."""
+    fine = repair.refine(bd.cuboids(spark, d), 1.3)
+    vertices, faces = mesh.weld(fine, 9)
+    sizes = mesh.solid_measures(mesh.with_corners(faces, vertices))
+    whole = mesh.integrity(faces).select("mesh", (F.col("edges") - F.col("manifold")).alias("open_edges"), "euler")
+    longest = fine.select("mesh", F.greatest(*[F.sqrt(sum(((F.col(f"{p}{x}") - F.col(f"{q}{x}")) ** 2 for x in "yz"), (F.col(f"{p}x") - F.col(f"{q}x")) ** 2)) for p, q in ("ab", "bc", "ca")]).alias("size")).groupBy("mesh").agg((F.max("size") <= 1.3).alias("short_enough"))
+    return rounded(longest.join(whole, "mesh").join(sizes, "mesh").select("mesh", "short_enough", "open_edges", "euler", "area", "volume"), 6)
+
+
+@query(f"SELECT mesh, round(1e6 + x + a / 2, 5) AS cx, round(2e6 + 5 + b / 2.0, 5) AS cy, round(-1e6 + 5 + c / 2.0, 5) AS cz, round(sqrt(a * a + b * b + c * c) / 2, 5) AS radius FROM {CUBOID}")
+def sphere_fit_far_out(spark, d):
+    """Spheres through the corners of cuboids a million away from the origin."""
+    far = bd.mesh_vertices(bd.cuboids(spark, d)).select("mesh", (F.col("x") + 1e6).alias("x"), (F.col("y") + 2e6).alias("y"), (F.col("z") - 1e6).alias("z"))
+    return rounded(statistics.sphere_fit(far, "mesh"), 5)
+
+
+@query("SELECT p_partkey % 5 AS g, round(-0.3 / sqrt(1.13), 5) AS nx, round(-0.2 / sqrt(1.13), 5) AS ny, round(1 / sqrt(1.13), 5) AS nz, round((7 + p_partkey % 5) / sqrt(1.13), 2) AS d, 0.0 AS mse FROM part GROUP BY p_partkey % 5")
+def plane_fit_far_out(spark, d):
+    """Planes z = 0.3 x + 0.2 y + 7 and more, a million away from the origin."""
+    k = F.col("p_partkey")
+    x, y = 1e6 + F.col("p_size"), 1e6 + (k * 7919 % 53).cast("double")
+    points = bd.table(spark, d, "part").select((k % 5).alias("g"), x.alias("x"), y.alias("y"), (0.3 * x + 0.2 * y + 7 + k % 5).alias("z"))
+    fit = statistics.plane_fit(points, "g")
+    return rounded(fit.withColumn("d", F.round("d", 2)), 5)
