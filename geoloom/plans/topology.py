@@ -7,9 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from geoloom.operators import arrangement, cuts, mesh, paths, repair, statistics, voxels
+from geoloom.functions.storage import new_folder
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
 from geoloom.plans.shapes import CUBOID
+from geoloom.sources import mesh_source
 
 #: Orders as one chain of places, cut where the key divides by 4999, and each customer's place in the ring of those of the same nation modulo 5.
 CHAIN = 4999
@@ -226,3 +228,17 @@ def plane_fit_far_out(spark, d):
     points = bd.table(spark, d, "part").select((k % 5).alias("g"), x.alias("x"), y.alias("y"), (0.3 * x + 0.2 * y + 7 + k % 5).alias("z"))
     fit = statistics.plane_fit(points, "g")
     return rounded(fit.withColumn("d", F.round("d", 2)), 5)
+
+
+@query("SELECT CAST(12 * count(*) AS BIGINT) AS faces, round(sum(2 * (a * b + b * c + c * a)), 6) AS area, round(sum(a * b * c), 6) AS volume, true AS in_splits FROM (SELECT floor((p_size / 10.0 + 1) * 8) / 8 AS a, p_partkey % 7 + 1 AS b, p_partkey % 3 + 1 AS c FROM part)")
+def stl_files_in_splits(spark, d):
+    """All cuboids, on a grid of eighths, through STL files and back, each file read by several tasks."""
+    mesh_source.register(spark)
+    folder = new_folder(spark, "stl")
+    soup = bd.cuboids(spark, d)
+    snapped = [(F.floor(F.round(F.col(f"{c}{x}") * 8, 6)) / 8).alias(f"{c}{x}") for c in "abc" for x in "xyz"]
+    files = mesh_source.write_stl(soup.select(*snapped), folder)
+    back = spark.read.format("stl").option("splitBytes", 20_000).load(folder)
+    found = mesh.solid_measures(back.withColumn("mesh", F.lit(1))).select("faces", "area", "volume")
+    splits = back.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rounded(found.withColumn("in_splits", F.lit(splits > files)), 6)
