@@ -552,11 +552,21 @@ def cross_section_missing_layers(spark, d):
     return isosurface.fill_missing_layers(_layers(spark, d).where("level % 3 <> 2"), "g", "level", "area")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS solid, CAST(0 AS BIGINT) AS open_edges, CAST(2 AS BIGINT) AS euler")
+#: Samples of a block along each axis, and how far apart blocks are, in samples.
+BLOCK, APART = 14, 16
+
+
+@query("SELECT s_suppkey AS solid, CAST(0 AS BIGINT) AS open_edges, CAST(2 AS BIGINT) AS euler FROM supplier")
 def isosurface_sphere(spark, d):
-    """Surface of a sphere cut from a sphere-shaped field: closed and of one piece."""
-    samples = isosurface.sample_grid(spark, (-1.3, -1.3, -1.3), 0.2, (14, 14, 14), lambda p: sf.sphere(p, (0.01, 0.02, 0.03), 1.0))
-    soup = isosurface.triangles(samples, 0.2).withColumn("mesh", F.lit(1).cast("long")).withColumn("f", F.monotonically_increasing_id())
+    """Surfaces of spheres cut from sampled fields, one for each supplier and of its own radius: closed and of one piece."""
+    n = F.col("n")
+    block = bd.table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCK**3 - 1).cast("long"))).alias("n"))
+    cells = block.select("s_suppkey", F.floor(n / BLOCK**2).alias("i"), (F.floor(n / BLOCK) % BLOCK).alias("j"), (n % BLOCK).alias("k"))
+    radius = 0.7 + F.col("s_suppkey") % 5 / 10
+    placed = cells.select((F.col("i") + APART * F.col("s_suppkey")).alias("i"), "j", "k", *[(F.col(c) * 0.2 - 1.3).alias(x) for c, x in zip("ijk", "xyz", strict=True)], radius.alias("r"))
+    samples = placed.withColumn("value", sf.sphere((F.col("x"), F.col("y"), F.col("z")), (0.01, 0.02, 0.03), F.col("r"))).drop("r")
+    soup = isosurface.triangles(samples, 0.2)
+    soup = soup.withColumn("mesh", F.floor(F.col("i") / APART)).withColumn("f", F.monotonically_increasing_id())
     whole = mesh.integrity(mesh.clean_faces(mesh.weld(soup, 9)[1]))
     return whole.select(F.col("mesh").alias("solid"), F.col("open").alias("open_edges"), "euler")
 

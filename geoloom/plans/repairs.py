@@ -261,11 +261,10 @@ def largest_and_smallest_polygon(spark, d):
     return m.groupBy((F.col("ring") % 10).alias("g")).agg(F.max_by("ring", F.struct("size", -F.col("ring"))).alias("largest"), F.min_by("ring", F.struct("size", "ring")).alias("smallest"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM (SELECT unnest(generate_series(2, 7)) AS i), (SELECT unnest(generate_series(0, 4)) AS j), (SELECT unnest(generate_series(0, 3)) AS k)")
+@query(f"WITH {bd.POINTS3D}, {bd.cells_sql('a', 'A')} SELECT i, j, k FROM a WHERE i >= 2 AND i < 8")
 def voxel_block_slice_pack(spark, d):
-    """A block of 12 x 5 x 4 cells: the part from index 2 and below 8, through packed ids and ranges."""
-    block = voxels.block(spark, 12, 5, 4)
-    middle = voxels.slice_at(voxels.slice_at(block, "i", 2)[1], "i", 8)[0]
+    """Cells of points from index 2 and below 8, through packed ids and ranges."""
+    middle = voxels.slice_at(voxels.slice_at(bd.cells(spark, d, "A"), "i", 2)[1], "i", 8)[0]
     packed = middle.select(voxels.pack_id().alias("id"))
     return voxels.cells(voxels.runs(packed.select(*voxels.unpack_id("id")))).select("i", "j", "k")
 

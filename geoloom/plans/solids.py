@@ -92,13 +92,15 @@ def polygon_min_distance(spark, d):
     return rounded(primitives.ring_distance(points, rings.edges(bd.rings(spark, d))))
 
 
-@query("SELECT CAST(j AS BIGINT) AS j, CAST(0 AS BIGINT) AS k, CAST(i AS BIGINT) AS i FROM (SELECT unnest(generate_series(0, 11)) AS i), (SELECT unnest(generate_series(0, 3)) AS j) WHERE (i < 5 AND NOT (j = 1 AND i BETWEEN 2 AND 3)) OR (j = 2 AND i BETWEEN 8 AND 10)")
+@query(f"""WITH {bd.POINTS3D}, {bd.cells_sql('a', 'A')}, {bd.cells_sql('r', 'R')}, {bd.cells_sql('n', 'N')},
+ off AS (SELECT unnest(generate_series(min(i), min(i) + 2)) AS i, j, k FROM r GROUP BY j, k), lit AS (SELECT unnest(generate_series(max(i) + 1, max(i) + 3)) AS i, j, k FROM n GROUP BY j, k)
+ SELECT i, j, k FROM a WHERE (i, j, k) NOT IN (SELECT (i, j, k) FROM off) UNION SELECT i, j, k FROM lit""")
 def voxel_ranges_on_and_off(spark, d):
-    """A block of 5 x 4 cells; cells 2 and 3 of row 1 are turned off, 8 to 10 of row 2 on."""
-    block = voxels.block(spark, 5, 4, 1)
-    row = spark.createDataFrame([(1, 0, 2, 3), (2, 0, 8, 10)], "j long, k long, first long, last long")
-    cells = row.select("j", "k", F.explode(F.sequence("first", "last")).alias("i")).select("i", "j", "k")
-    return voxels.union(voxels.subtract(block, cells.where("j = 1")), cells.where("j = 2")).select("i", "j", "k")
+    """Cells of one kind of points; in each row, three from the first cell of a second kind are turned off, three behind the last of a third kind on."""
+    def rows(flag, first):
+        return bd.cells(spark, d, flag).groupBy("j", "k").agg(first.alias("first")).select("j", "k", F.explode(F.sequence("first", F.col("first") + 2)).alias("i")).select("i", "j", "k")
+
+    return voxels.union(voxels.subtract(bd.cells(spark, d, "A"), rows("R", F.min("i"))), rows("N", F.max("i") + 1)).select("i", "j", "k")
 
 
 @query("SELECT ring, round(hypot, 5) AS radius, round((ax + bx) / 2, 5) AS cx FROM (SELECT p_partkey AS ring, p_size * 0.0712345678::DOUBLE AS ax, p_partkey % 7 * 0.3123456789::DOUBLE AS bx, sqrt((p_size * 0.0712345678::DOUBLE - p_partkey % 7 * 0.3123456789::DOUBLE) ** 2 + 4) / 2 AS hypot FROM part)")
