@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import arrangement, cuts, mesh, paths, repair, statistics, voxels
+from geoloom.operators import arrangement, cuts, hulls, mesh, paths, repair, statistics, voxels
 from geoloom.functions.storage import new_folder
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
@@ -242,3 +242,20 @@ def stl_files_in_splits(spark, d):
     found = mesh.solid_measures(back.withColumn("mesh", F.lit(1))).select("faces", "area", "volume")
     splits = back.select(F.spark_partition_id().alias("p")).distinct().count()
     return rounded(found.withColumn("in_splits", F.lit(splits > files)), 6)
+
+
+#: All lines of orders as one set: quantity moved by the last digits of the order, and price.
+SPREAD = "CAST(l_quantity + l_orderkey % 97 / 97.0 AS DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT {SPREAD} AS x, CAST(l_extendedprice / 1000 AS DOUBLE) AS y FROM lineitem),
+ h(seq, x, y, px, py) AS (SELECT CAST(0 AS BIGINT), x, y, x, y + 1 FROM (SELECT x, y FROM p ORDER BY x, y LIMIT 1)
+  UNION ALL SELECT h.seq + 1, n.s.x, n.s.y, h.x, h.y FROM h, LATERAL (SELECT arg_min({{'x': p.x, 'y': p.y}}, (round(CASE WHEN a < -1e-12 THEN a + 2 * pi() ELSE a END, 10), -d)) AS s
+   FROM (SELECT p.x, p.y, atan2((h.x - h.px) * (p.y - h.y) - (h.y - h.py) * (p.x - h.x), (h.x - h.px) * (p.x - h.x) + (h.y - h.py) * (p.y - h.y)) AS a, (p.x - h.x) ** 2 + (p.y - h.y) ** 2 AS d FROM p WHERE p.x <> h.x OR p.y <> h.y) p) n
+  WHERE h.seq < 1000 AND (h.seq = 0 OR (h.x, h.y) <> (SELECT (x, y) FROM (SELECT x, y FROM p ORDER BY x, y LIMIT 1))))
+ SELECT seq, round(x, 6) AS x, round(y, 6) AS y FROM h WHERE seq < (SELECT max(seq) FROM h)""")
+def hull_of_one_large_set(spark, d):
+    """The hull of all lines of orders in one group, pruned, from partial hulls."""
+    t = bd.table(spark, d, "lineitem")
+    points = t.select(F.lit(1).alias("g"), (F.col("l_quantity") + F.col("l_orderkey") % 97 / 97.0).cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    return rounded(hulls.hull2d(points).select("seq", "x", "y"), 6)
