@@ -13,7 +13,7 @@ table is broadcast if it is counted and small, else joined by a shuffle with
 skewed hosts split at run time.
 
 Defined results: null and empty texts have zero features and are scored like any
-other; null hosts and paths are sites named by the empty text; null labels teach
+other; null hosts and paths are sites named by the empty text; of several labels of an id the smaller counts and null labels teach
 nothing; without two labels to learn from every document has the share of good
 labels (1 without labels, so nothing is rejected); repeated rows get repeated
 results and count as often; an empty table gives no rows.
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, materialise
+from .common import compressed, crc_of_id, materialise
 from .near_dedup import small
 from .toxicity import train_logistic
 
@@ -87,7 +87,7 @@ class Model:
 def fit_from_tables(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Learn ``quality`` from labelled documents whose crc32 of the id is not 0 modulo 5."""
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(crc_of_id("doc_id") % 5 != 0)
-    wanted = wanted.select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
+    wanted = wanted.groupBy("doc_id").agg(F.min("quality").alias("label"))
     counts = {r["label"]: r["n"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = [wanted.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in counts]
     if not parts:
@@ -164,9 +164,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], host: str = "source",
     own_host, own_path = site_of(host, path)
     logit = model.logit(F.col("_features"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), own_host.alias("host"), own_path.alias("path"), F.col("text").cast("string").alias("text"))
-    rows = with_features(rows, "_features").select("row", "host", "path", logit.alias("logit"))
-    evidence = with_features(docs.select(own_host.alias("host"), own_path.alias("path"), F.col("text").cast("string").alias("text")), "_features")
-    sites, centre = site_posteriors(evidence.select("host", "path", _sigmoid(logit).alias("p")))
+    # texts are read once: what the sites and the scores need of them is written
+    rows = compressed(with_features(rows, "_features").select("row", "host", "path", logit.alias("logit")), "logits")
+    sites, centre = site_posteriors(rows.select("host", "path", _sigmoid(F.col("logit")).alias("p")))
     sites = small(materialise(sites, "sites"))
     sites = sites.select("host", "path", F.struct("prior", "strength", "n", "total").alias("site"))
     p = _sigmoid(F.col("logit"))

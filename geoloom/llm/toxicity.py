@@ -16,7 +16,7 @@ Training reads at most ``SAMPLE`` labelled documents of each label (those of lea
 hash), a bound that keeps the driver's part constant; scoring reads whole texts.
 
 Defined results: null and empty texts get the score of a document without words;
-null labels teach nothing; with one label or none to learn from every score is the
+null labels teach nothing, and of several labels of an id the smaller counts; with one label or none to learn from every score is the
 share of toxic labels (0 without labels); repeated rows get repeated results; very
 long texts are scored whole; other columns are not read.
 """
@@ -297,7 +297,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep, most:
     ``keep`` is a condition on doc_id.  The rows of least hash are taken; their
     weight makes up for those of their label that are left out.
     """
-    wanted = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).where(keep).select("doc_id", F.col(column).alias("label")).dropDuplicates(["doc_id"])
+    wanted = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(F.min(column).alias("label"))
     counts = {r["label"]: r["n"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     taken = None
     for value in counts:
