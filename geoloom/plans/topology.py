@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import arrangement, cuts, hulls, mesh, paths, repair, statistics, voxels
+from geoloom.operators import arrangement, cuts, decomposition, hulls, mesh, paths, repair, statistics, voxels
 from geoloom.functions.storage import new_folder
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
@@ -259,3 +259,37 @@ def hull_of_one_large_set(spark, d):
     t = bd.table(spark, d, "lineitem")
     points = t.select(F.lit(1).alias("g"), (F.col("l_quantity") + F.col("l_orderkey") % 97 / 97.0).cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
     return rounded(hulls.hull2d(points).select("seq", "x", "y"), 6)
+
+
+@query(f"WITH {STAIRS} SELECT g, round(sa + sb - common, 4) AS area, round(sa + sb - common, 4) AS in_triangles, true AS upright FROM u")
+def polygon_trapezoids(spark, d):
+    """The union of two turned staircases in trapezoids and triangles: their areas add up."""
+    found = arrangement.windings(arrangement.arrange(staircases(spark, d)))
+    traps = decomposition.trapezoids(arrangement.boundary(found, "union"))
+    width = F.col("x1") - F.col("x0")
+    size = traps.groupBy("g").agg(F.sum(width * (F.col("high0") - F.col("low0") + F.col("high1") - F.col("low1")) / 2).alias("area"), F.every((width > 0) & (F.col("high0") >= F.col("low0") - 1e-7) & (F.col("high1") >= F.col("low1") - 1e-7)).alias("upright"))
+    cross = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    parts = decomposition.triangles(traps).groupBy("g").agg((F.sum(cross) / 2).alias("in_triangles"))
+    return rounded(size.join(parts, "g").select("g", "area", "in_triangles", "upright"), 4)
+
+
+@query(f"SELECT g, round(n * r * q * sin(pi() / n), 4) AS area, true AS covered, true AS monotone FROM {STARS}")
+def polygon_monotone_pieces(spark, d):
+    """Outlines of stars in pieces that every upright line meets in one stretch."""
+    k = F.col("p_partkey")
+    star = bd.table(spark, d, "part").select(k.alias("g"), (5 + 2 * (k % 3)).alias("n"), (F.col("p_size") / 10).alias("r")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("n") - 1)))
+
+    def at(j):
+        inner = F.cos(2 * math.pi / F.col("n")) / F.cos(math.pi / F.col("n"))
+        size, angle = F.col("r") * F.when(j % 2 == 0, 1.0).otherwise(inner), math.pi * j / F.col("n") + 0.1
+        return size * F.cos(angle), size * F.sin(angle)
+
+    ends = (*at(F.col("j")), *at((F.col("j") + 1) % (2 * F.col("n"))))
+    edges = star.select("g", *[v.alias(name) for name, v in zip(("x1", "y1", "x2", "y2"), ends, strict=True)])
+    edges = edges.select("g", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    pieces = decomposition.monotone(decomposition.trapezoids(edges))
+    area = (F.col("x1") - F.col("x0")) * (F.col("high0") - F.col("low0") + F.col("high1") - F.col("low1")) / 2
+    each = pieces.groupBy("g", "piece").agg(F.sum(area).alias("area"), F.sum(F.col("x1") - F.col("x0")).alias("widths"), (F.max("x1") - F.min("x0")).alias("reach"))
+    # no two trapezoids of a piece lie over each other if their widths add up to its reach
+    found = each.groupBy("g").agg(F.sum("area").alias("area"), F.every(F.col("area") > 0).alias("covered"), F.every(F.abs(F.col("widths") - F.col("reach")) < 1e-6).alias("monotone"))
+    return rounded(found, 4)
