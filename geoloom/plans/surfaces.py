@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from geoloom.functions import boxes as bx
+from geoloom.functions import polynomials
 from geoloom.functions import surfaces as sf
 from geoloom.functions import vector as vc
 from geoloom.plans.registry import query, rounded
@@ -77,11 +78,9 @@ def capsule_line_hits(spark, d):
 @query(sql("-sqrt((3 + sqrt(1 - h * h)) ** 2 - y * y) AS r1", "-sqrt((3 - sqrt(1 - h * h)) ** 2 - y * y) AS r2", "sqrt((3 - sqrt(1 - h * h)) ** 2 - y * y) AS r3", "sqrt((3 + sqrt(1 - h * h)) ** 2 - y * y) AS r4", source="(SELECT id, az / 3 AS h, ay / 3 AS y FROM unit)", where="WHERE abs(h) < 0.99 AND y < (3 - sqrt(1 - h * h)) * 0.99"))
 def torus_line_hits(spark, d):
     """Lines along x at heights within a torus: four roots of the quartic, paired by the circles at that height."""
-    from geoloom.operators.kernels import real_roots
-
     start = (F.lit(0.0), A()[1] / 3, A()[2] / 3)
     c = sf.line_torus_quartic(start, tuple(map(F.lit, (1.0, 0.0, 0.0))), ZERO(), UP(), 3.0, 1.0)
-    t = base(spark, d).where((F.abs(A()[2] / 3) < 0.99) & (A()[1] / 3 < (3 - F.sqrt(F.greatest(1 - A()[2] * A()[2] / 9, F.lit(0.0)))) * 0.99)).select("id", real_roots(F.array(*c)).alias("r"))
+    t = polynomials.with_real_roots(base(spark, d).where((F.abs(A()[2] / 3) < 0.99) & (A()[1] / 3 < (3 - F.sqrt(F.greatest(1 - A()[2] * A()[2] / 9, F.lit(0.0)))) * 0.99)), "r", list(c))
     return rounded(t.select("id", *[F.get("r", F.lit(i)).alias(f"r{i + 1}") for i in range(4)]), 5)
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from geoloom.operators import arrangement, cuts, decomposition, hulls, mesh, paths, repair, statistics, voxels
+from geoloom.functions import polynomials
 from geoloom.functions.storage import new_folder
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
@@ -293,3 +294,13 @@ def polygon_monotone_pieces(spark, d):
     # no two trapezoids of a piece lie over each other if their widths add up to its reach
     found = each.groupBy("g").agg(F.sum("area").alias("area"), F.every(F.col("area") > 0).alias("covered"), F.every(F.abs(F.col("widths") - F.col("reach")) < 1e-6).alias("monotone"))
     return rounded(found, 4)
+
+
+@query("SELECT id, round(x, 5) + 0.0 AS x, round(s * sqrt(greatest(a * a - x * x, 0)), 5) + 0.0 AS y FROM (SELECT p_partkey AS id, p_size / 10.0 + 1 AS a, ((p_size / 10.0 + 1) ** 2 - 4 + (p_partkey % 7 + 1) ** 2) / (2.0 * (p_partkey % 7 + 1)) AS x FROM part), (VALUES (1), (-1)) AS v(s) WHERE a * a - x * x > 1e-9 OR (a * a - x * x > -1e-9 AND s = 1)")
+def conics_meet(spark, d):
+    """Points that a circle about the origin and one of radius 2 beside it have in common, by the roots of a quartic."""
+    k, a = F.col("p_partkey"), F.col("p_size") / 10 + 1
+    t = (k % 7 + 1).cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    found = polynomials.conic_meetings(bd.table(spark, d, "part").withColumn("id", k), ["id"], [one, zero, one, zero, zero, -a * a], [one, zero, one, -2 * t, zero, t * t - 4])
+    return rounded(found, 5)
