@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from geoloom.functions.storage import discard, materialise, new_folder, open_fs  # noqa: F401
 
 
-def compressed(df: DataFrame, label: str) -> DataFrame:
+def compressed(df: DataFrame, label: str, level: int = 3, page_bytes: int = 1 << 20) -> DataFrame:
     """``materialise`` with Zstandard pages, for large tables."""
     path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -637,5 +637,5 @@ def query(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    media = compressed(encode_column(docs, "doc_id", "payload"), "media")
+    media = compressed(encode_column(docs, "doc_id", "payload"), "media", level=9, page_bytes=8 << 20)
     return pcm_column(media).mapInArrow(digest, schema)
