@@ -150,5 +150,18 @@ def conic_meetings(rows: DataFrame, keys: list[str], first: list[Column], second
         least = slack * slack * sum((F.abs(k) for k in c[1:]), F.abs(c[0]))
         test = F.abs(total) <= slack * size + least
         on = test if on is None else on & test
+    found = found.where(on)
+    # points of one x make it a double root, known to half the digits; a step of Newton's on both conics gives the rest
+    for _ in range(2):
+        x, y = F.col("x"), F.col("y")
+        own = []
+        for n in "ab":
+            c = [F.col(f"_{n}{i}") for i in range(6)]
+            own.append((c[0] * x * x + c[1] * x * y + c[2] * y * y + c[3] * x + c[4] * y + c[5], 2 * c[0] * x + c[1] * y + c[3], c[1] * x + 2 * c[2] * y + c[4]))
+        (f, fx, fy), (g, gx, gy) = own
+        det = fx * gy - fy * gx
+        steep = F.abs(det) > 1e-5 * (F.abs(fx) + F.abs(fy)) * (F.abs(gx) + F.abs(gy))
+        moved = [F.when(steep, v - F.try_divide(d, det)).otherwise(v) for v, d in ((x, f * gy - g * fy), (y, g * fx - f * gx))]
+        found = held(found, _u=moved[0], _v=moved[1]).drop("x", "y").withColumnsRenamed({"_u": "x", "_v": "y"})
     near = [F.floor(F.col(n) / (100 * slack) + 0.5).alias(f"_{n}") for n in "xy"]
-    return found.where(on).select(*keys, *near, "x", "y").groupBy(*keys, "_x", "_y").agg(F.min("x").alias("x"), F.min("y").alias("y")).select(*keys, "x", "y")
+    return found.select(*keys, *near, "x", "y").groupBy(*keys, "_x", "_y").agg(F.min("x").alias("x"), F.min("y").alias("y")).select(*keys, "x", "y")
