@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.joins import by_shuffle
+
 
 def sample_grid(spark, low: tuple, side: float, counts: tuple[int, int, int], field) -> DataFrame:
     """(i, j, k, x, y, z, value) of a field (a function of three columns) at the corners of a grid."""
@@ -94,4 +96,4 @@ def fill_missing_layers(layers: DataFrame, group: str, level: str, value: str) -
     """Every level between a group's first and last; an empty one repeats the layer before it."""
     span = layers.groupBy(group).agg(F.min(level).alias("a"), F.max(level).alias("b")).select(group, F.explode(F.sequence("a", "b")).alias(level))
     w = Window.partitionBy(group).orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return span.join(layers, [group, level], "left").select(group, level, F.last(value, ignorenulls=True).over(w).alias(value))
+    return span.join(by_shuffle(layers), [group, level], "left").select(group, level, F.last(value, ignorenulls=True).over(w).alias(value))

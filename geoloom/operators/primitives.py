@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.joins import by_shuffle
 from geoloom.operators.mesh import CORNERS
 
 
@@ -57,7 +58,7 @@ def points_in_hulls(points: DataFrame, cornered: DataFrame) -> DataFrame:
     n = face_normal()
     planes = cornered.select("mesh", *[c.alias(f"n{x}") for c, x in zip(n, "xyz", strict=True)], F.col("ax").alias("p0"), F.col("ay").alias("p1"), F.col("az").alias("p2"))
     over = F.col("nx") * (F.col("x") - F.col("p0")) + F.col("ny") * (F.col("y") - F.col("p1")) + F.col("nz") * (F.col("z") - F.col("p2"))
-    return points.join(planes, "mesh").groupBy("mesh", "id").agg(F.max(over).alias("over")).where("over <= 1e-9").select("mesh", "id")
+    return points.join(by_shuffle(planes), "mesh").groupBy("mesh", "id").agg(F.max(over).alias("over")).where("over <= 1e-9").select("mesh", "id")
 
 
 def vertex_normals(cornered: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.vector import ccw_angle, cross2, minus
+from geoloom.operators.joins import by_shuffle
 from geoloom.operators.kernels import area2d, least_ball, least_rectangle, per_arrays
 
 
@@ -133,7 +134,7 @@ def mirror(points: DataFrame, dx: float, dy: float) -> DataFrame:
 def nesting(ring_boxes: DataFrame, contains: DataFrame) -> DataFrame:
     """Depth of each ring from the pairs (outer, inner): even depths are outer borders, odd ones holes."""
     depth = contains.groupBy(F.col("inner").alias("ring")).agg(F.count("*").alias("depth"))
-    return ring_boxes.join(depth, "ring", "left").select("ring", F.coalesce("depth", F.lit(0)).alias("depth"), (F.coalesce("depth", F.lit(0)) % 2 == 1).alias("hole"))
+    return ring_boxes.join(by_shuffle(depth), "ring", "left").select("ring", F.coalesce("depth", F.lit(0)).alias("depth"), (F.coalesce("depth", F.lit(0)) % 2 == 1).alias("hole"))
 
 
 def scanline_hits(points: DataFrame, spacing: float, ring: str = "ring", seq: str = "seq") -> DataFrame:

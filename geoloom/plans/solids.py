@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from geoloom.operators import mesh, primitives, rings, voxels
+from geoloom.operators.joins import by_shuffle
 from geoloom.plans import bindings as bd
 from geoloom.plans.registry import query, rounded
 from geoloom.plans.shapes import CUBOID, NGON
@@ -22,7 +23,7 @@ def _prisms(spark, d):
 def _measured(soup):
     m = mesh.solid_measures(soup).select("mesh", "volume", "area")
     whole = mesh.integrity(mesh.clean_faces(mesh.weld(soup, 6)[1])).select("mesh", F.col("open").alias("open_edges"))
-    return rounded(m.join(whole, "mesh"), 5)
+    return rounded(m.join(by_shuffle(whole), "mesh"), 5)
 
 
 @query(f"SELECT mesh, round(k * r * r * h, 5) AS volume, round(2 * k * r * r + {SIDES} * s * r * h, 5) AS area, CAST(0 AS BIGINT) AS open_edges FROM {PRISM}")
@@ -56,7 +57,7 @@ def vertex_normals(spark, d):
     vertices, faces = mesh.weld(bd.cuboids(spark, d), 6)
     cornered = mesh.with_corners(faces, vertices)
     middle = vertices.groupBy("mesh").agg(*[F.avg(x).alias(f"m{x}") for x in "xyz"])
-    n = primitives.vertex_normals(cornered).join(vertices, ["mesh", "v"]).join(middle, "mesh")
+    n = primitives.vertex_normals(cornered).join(by_shuffle(vertices), ["mesh", "v"]).join(by_shuffle(middle), "mesh")
     away = (F.abs(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2 - 1) < 1e-9) & (F.col("nx") * (F.col("x") - F.col("mx")) > 0) & (F.col("ny") * (F.col("y") - F.col("my")) > 0) & (F.col("nz") * (F.col("z") - F.col("mz")) > 0)
     return n.groupBy("mesh").agg(F.count("*").alias("vertices"), F.count_if(away).alias("outward"))
 
