@@ -83,3 +83,25 @@ def test_minkowski_sum_of_a_ring_that_is_not_convex_is_an_error():
     for pair in ((ell, square), (square, ell)):
         with pytest.raises(ValueError, match="not convex"):
             kn.minkowski_convex(*pair)
+
+
+def test_radius_follows_the_density(spark):
+    dense = spark.range(4000).selectExpr("id", "cast(id % 1000 as double) / 1000 as x", "cast(id * 7 % 1000 as double) / 1000 as y")
+    radius = joins.closer(dense, 3, 4.0, ("x", "y"), 2.0)
+    assert radius < 0.1
+    equal = dense.selectExpr("id", "1.0D as x", "1.0D as y")
+    assert joins.closer(equal, 3, 4.0, ("x", "y"), 2.0) == 4.0
+    asked = dense.where("id % 100 = 0").withColumnRenamed("id", "query")
+    rows = dense.collect()
+    for q in asked.collect()[:5]:
+        found = [r.id for r in joins.nearest_join(dense, asked.where(f"query = {q['query']}"), 3, 4.0).orderBy("rank").collect()]
+        assert found == [r.id for r in sorted(rows, key=lambda r: (((r.x - q.x) ** 2 + (r.y - q.y) ** 2) ** 0.5, r.id))[:3]]
+
+
+def test_boxes_meet_on_both_axes(spark):
+    from pyspark.sql import functions as F
+
+    column = spark.range(400).select("id", F.lit(0.0).alias("x0"), (F.col("id") * 20.0).alias("y0"), F.lit(1.0).alias("x1"), (F.col("id") * 20.0 + 9).alias("y1"))
+    found = joins.box_overlaps(column, column, 8.0)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(i, i) for i in range(400)]
+    assert "_y" in found._jdf.queryExecution().analyzed().toString()
