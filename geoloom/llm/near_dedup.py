@@ -56,6 +56,8 @@ LEAST = 0.45
 BLOCK = 256
 #: Pivots that a list offers in a round.
 PIVOTS = 3
+#: Pivots that a member is held against in a round, by its sketch.
+NEAREST = 4
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 CACHE = 150_000
@@ -485,7 +487,10 @@ def near_duplicates(
         pivots = placed.groupBy("value").agg(*offers, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         pivots = pivots.select("value", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.rep").alias("rep"), F.col(f"p{i}.component").alias("component")) for i in range(PIVOTS)])).alias("pivots"))
         pairs = placed.join(pivots, "value").select(F.col("rep").alias("id"), "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("pivot"))
-        pairs = pairs.select(F.col("pivot.rep").alias("key"), "id").distinct()
+        # of its pivots a member is held against those that it shares most lists with; what that misses stays for the last step too
+        pairs = pairs.groupBy("id", F.col("pivot.rep").alias("key")).agg(F.count("*").alias("met"))
+        pairs = pairs.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "key")), False), 1, NEAREST).alias("best"))
+        pairs = pairs.select("id", F.explode("best.key").alias("key"))
         pairs = pairs.join(brief.select("id", F.col("brief").alias("own")), "id").join(brief.select(F.col("id").alias("key"), F.col("brief").alias("other")), "key")
         # the nearest pivot is enough for a round; what it misses stays for the last step
         pairs = pairs.withColumn("near", _estimate("own", "other", k)).where(F.col("near") >= estimate)
