@@ -15,3 +15,9 @@ def test_no_broadcast_of_exploded_tables(spark, data, name):
     plan = contract.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan or "Join" not in plan
     assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tables_of_shapes_are_dealt_to_all_tasks(spark, data):
+    from geoloom.plans import bindings as bd
+
+    assert bd.table(spark, data, "part").rdd.getNumPartitions() == 4
