@@ -75,9 +75,9 @@ def winding(points: DataFrame, x, y, ring: str = "ring", seq: str = "seq") -> Da
     return edges(points, ring, seq).groupBy(ring).agg(F.sum(step).alias("winding"))
 
 
-def per_ring(points: DataFrame, kernel, schema: str, ring: str = "ring", seq: str = "seq") -> DataFrame:
-    """``kernel`` (corners in order in, tuples out) for every ring."""
-    return per_arrays(points, ring, ["x", "y"], schema, kernel, [seq])
+def per_ring(points: DataFrame, kernel, schema: str, ring: str = "ring", seq: str = "seq", many: bool = False) -> DataFrame:
+    """``kernel`` (corners in order in, tuples out; of many rings at once with ``many``) for every ring."""
+    return per_arrays(points, ring, ["x", "y"], schema, kernel, [seq], many)
 
 
 def is_rectangular(points: DataFrame, tolerance: float = 0.003, ring: str = "ring", seq: str = "seq") -> DataFrame:
