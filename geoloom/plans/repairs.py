@@ -226,12 +226,15 @@ def polygon_3d_area_and_normal(spark, d):
 def max_inner_circle(spark, d):
     """The largest circle of a regular ring touches the middles of its sides (to a ten-thousandth of its size)."""
 
-    def run(p):
+    def touches(p, radius):
         middle = (p + np.roll(p, -1, axis=0)) / 2
         wanted = float(np.linalg.norm(middle - p.mean(axis=0), axis=1).min())
-        return [(kn.area2d(p), bool(abs(kn.inner_circle(p, 1e-5)[1] - wanted) <= 1e-4 * wanted))]
+        return bool(abs(radius - wanted) <= 1e-4 * wanted)
 
-    return rounded(rings.per_ring(bd.ngons(spark, d), run, "area double, touches boolean"), 6)
+    def run(many):
+        return [[(kn.area2d(p), touches(p, radius))] for p, (_, radius) in zip(many, kn.inner_circles(many, 1e-5), strict=True)]
+
+    return rounded(rings.per_ring(bd.ngons(spark, d), run, "area double, touches boolean", many=True), 6)
 
 
 @query(f"SELECT mesh, round(pi() / 4 * least(a * (b * b + c * c), b * (a * a + c * c), c * (a * a + b * b)), 5) AS cylinder, round(a * b * c, 5) AS box FROM {CUBOID}")

@@ -104,3 +104,21 @@ def test_calls_of_silhouettes(monkeypatch):
     cuboids = [CUBE * np.array([1.0 + k % 7, 2, 3]) for k in range(100)]
     monkeypatch.setattr(shapes, "mesh_vertices", lambda soup: None)
     assert kernel_calls(monkeypatch, shapes, "mesh_silhouette_area", "per_arrays", cuboids) < 1000
+
+
+def test_poisson_points_and_inner_circles_of_many_rings(monkeypatch):
+    from geoloom.plans import repairs, shapes
+
+    rings = [np.column_stack([k + r * np.cos(a), r * np.sin(a)]) for k in range(100) for n, r in [(3 + k % 6, 0.2 + k % 5)] for a in [2 * math.pi * np.arange(n) / n]]
+    some = [*rings[:4], ELL]
+    points = kn.poisson_points_many(some, [0.11, 0.3, 0.7, 1.0, 0.2], seed=3)
+    for ring, gap, q in zip(some, (0.11, 0.3, 0.7, 1.0, 0.2), points, strict=True):
+        assert (q == kn.poisson_points(ring, gap, seed=3)).all() and kn.inside([ring], q).all() and len(q) > 3
+        assert (np.linalg.norm(q[:, None] - q[None], axis=2) + np.eye(len(q)) * 9).min() >= gap
+    assert len(points[4]) > 40
+    for (centre, radius), ring in zip(kn.inner_circles(some), some, strict=True):
+        assert (alone := kn.inner_circle(ring))[1] == radius and (alone[0] == centre).all()
+        assert kn.edge_distances(ring, centre[None])[0] == pytest.approx(radius)
+    assert kn.inner_circles(some)[4][1] == pytest.approx(2 - math.sqrt(2), abs=1e-3)
+    assert kernel_calls(monkeypatch, shapes, "polygon_poisson_points", "per_ring", rings) < 600
+    assert kernel_calls(monkeypatch, repairs, "max_inner_circle", "per_ring", rings) < 200
