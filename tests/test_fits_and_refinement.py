@@ -61,3 +61,14 @@ def test_a_limit_must_be_positive(spark):
     with pytest.raises(ValueError, match="positive"):
         repair.refine(spark.createDataFrame([], SCHEMA), 0.0)
     assert repair.refine(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
+
+
+def test_refining_writes_and_shuffles_nothing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(repair, "materialise", lambda df, label: written.append(label) or df)
+    soup = spark.createDataFrame(box(1, (0, 0, 0), (0.5, 3, 4)) + octahedron(2, (5, 5, 5), 2), SCHEMA)
+    fine = repair.refine(soup, 0.5)
+    assert not written and "Exchange" not in fine._jdf.queryExecution().executedPlan().toString()
+    rows = fine.count()
+    monkeypatch.setattr(repair, "FACES", 7)
+    assert repair.refine(soup, 0.5).count() == rows > 100
