@@ -122,3 +122,24 @@ def test_poisson_points_and_inner_circles_of_many_rings(monkeypatch):
     assert kn.inner_circles(some)[4][1] == pytest.approx(2 - math.sqrt(2), abs=1e-3)
     assert kernel_calls(monkeypatch, shapes, "polygon_poisson_points", "per_ring", rings) < 600
     assert kernel_calls(monkeypatch, repairs, "max_inner_circle", "per_ring", rings) < 200
+
+
+def test_few_axes_of_a_cylinder_are_tried(monkeypatch):
+    rng, tried, ball = np.random.default_rng(2), [], kn.least_ball
+    monkeypatch.setattr(kn, "least_ball", lambda p: tried.append(1) or ball(p))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    for a, b, c in ((1, 2, 3), (5, 1, 2), (2, 2, 7)):
+        size = kn.least_cylinder(np.array(CUBE) * [a, b, c] @ turn)[0]
+        assert size == pytest.approx(math.pi / 4 * min(a * (b * b + c * c), b * (a * a + c * c), c * (a * a + b * b)))
+    assert len(tried) < 15
+    cloud = rng.normal(size=(60, 3))
+    size, axis = kn.least_cylinder(cloud)
+    u, v = kn._frame(axis)
+    assert size == pytest.approx(math.pi * ball(np.stack([cloud @ u, cloud @ v], axis=1))[1] ** 2 * np.ptp(cloud @ axis))
+
+
+def test_a_box_is_tried_once_for_opposite_sides(monkeypatch):
+    tried, rectangle = [], kn.least_rectangle
+    monkeypatch.setattr(kn, "least_rectangle", lambda p: tried.append(1) or rectangle(p))
+    turn = np.linalg.qr(np.random.default_rng(4).normal(size=(3, 3)))[0]
+    assert kn.least_box(np.array(CUBE) * [1, 2, 3.5] @ turn) == pytest.approx(7) and len(tried) == 3
