@@ -143,3 +143,10 @@ def test_a_box_is_tried_once_for_opposite_sides(monkeypatch):
     monkeypatch.setattr(kn, "least_rectangle", lambda p: tried.append(1) or rectangle(p))
     turn = np.linalg.qr(np.random.default_rng(4).normal(size=(3, 3)))[0]
     assert kn.least_box(np.array(CUBE) * [1, 2, 3.5] @ turn) == pytest.approx(7) and len(tried) == 3
+
+
+def test_calls_of_a_plane_cut():
+    cube, faces, normal = np.array(CUBE) * [3.0, 2, 1], np.array(CUBE_FACES), np.array([1.0, 0, 0])
+    low, high = solids.cut_solid(cube, faces, normal, 0.9)
+    assert kn.mesh_volume(*low) == pytest.approx(1.8) and kn.mesh_volume(*high) == pytest.approx(4.2)
+    assert calls(lambda: solids.cut_solid(cube, faces, normal, 0.9)) < 1400
