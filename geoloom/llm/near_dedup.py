@@ -16,7 +16,8 @@ union-sketch estimate filters, and the Jaccard similarity of the full sets decid
 4. What is left are lists that hold several components.  Each member of a smaller
    component is compared with every member of the large components in its lists,
    and members of small components with each other, in blocks of ``BLOCK``, first
-   by sketch and then in full.  Of the lists that two members share, only that of
+   by sketch and then in full.  Lists of mostly the same members are joined before,
+   and each two blocks of a list meet once.  Of the lists that two members share, only that of
    least key compares them, and full sets go only to lists where a sketch came near.
 
 A link between components is missed if the sketches share under ``need`` values or
@@ -291,8 +292,8 @@ def _groups(batches: Iterator, decode) -> Iterator:
     """(key, part, side, id, component, own values, n, own lists, index of the block) for every row of side 1 or 2, block by block.
 
     The index holds all values of the block's rows of side 0 or 2 in order, with their
-    owners, and the owners' sizes, ids, components, values, n and lists.  Rows of
-    side 2 are a block that is held against itself.
+    owners, and the owners' sizes, ids, components, values, n and lists, and their side.
+    Rows of side 2 are a block that is held against itself, and against rows of side 1.
     """
     key, block, both, index = None, [], [], None
 
@@ -300,10 +301,10 @@ def _groups(batches: Iterator, decode) -> Iterator:
         ids, components, sets, totals, lists = zip(*block, strict=True)
         values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
         order = np.argsort(values, kind="stable")
-        return values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets, np.array(totals), lists
+        return values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, ids, np.array(components), sets, np.array(totals), lists, 2 if both else 0
 
     def held() -> Iterator:
-        within = indexed() if both else None
+        within = (index or indexed()) if both else None
         for doc, component, own, n, lists in both:
             yield *key, 2, doc, component, own, n, lists, within
 
@@ -339,7 +340,7 @@ def _shared(own: np.ndarray, index: tuple) -> np.ndarray:
 
 def _ordered(work: DataFrame, payload: str) -> DataFrame:
     lists = F.col("lists") if "lists" in work.columns else F.lit(None).cast("array<bigint>").alias("lists")
-    return work.select("key", "part", "side", "id", "component", "n", payload, lists).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return work.select("key", "part", "side", "id", "component", "n", payload, lists).repartition("key", "part").sortWithinPartitions("key", "part", F.col("side") == 1)
 
 
 def promising(work: DataFrame, k: int, estimate: float, similarity: int) -> DataFrame:
@@ -375,7 +376,7 @@ def promising(work: DataFrame, k: int, estimate: float, similarity: int) -> Data
                 if np.isin(union, common, assume_unique=True).sum() >= estimate * len(union):
                     if i not in told:
                         told.add(i)
-                        out.append((index[3][i], key, part, 2 if side == 2 else 0))
+                        out.append((index[3][i], key, part, index[8]))
                     if not found:
                         found = True
                         if side == 1:
@@ -413,6 +414,35 @@ def compare(work: DataFrame, similarity: int) -> DataFrame:
     return _ordered(work, "hashes").mapInArrow(run, "a bigint, b bigint")
 
 
+def joined_lists(members: DataFrame, seeds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(id, key, component): lists (key, id, component) of which those of mostly the same members are one.
+
+    Lists that have the member of least hash in common are joined where the list of all
+    their members makes no more pairs than they make each by itself; members that meet
+    in a list still do.
+    """
+    for seed in seeds:
+        named = members.groupBy("key").agg(F.min(F.xxhash64("id", F.lit(seed))).alias("name"), F.count("*").cast("double").alias("n"))
+        named = materialise(named, "named")
+        pairs = named.groupBy("name").agg(F.count("*").alias("lists"), F.sum(F.col("n") * F.col("n")).alias("pairs")).where("lists > 1")
+        together = members.join(named, "key").join(pairs, "name")
+        union = together.groupBy("name").agg(F.count_distinct("id").cast("double").alias("m"), F.first("pairs").alias("pairs")).where("m * m <= pairs").select("name")
+        renamed = named.join(union, "name").select("key", F.xxhash64(F.lit("lists"), F.lit(seed), "name").alias("joined"))
+        members = members.join(materialise(renamed, "renamed"), "key", "left").select("id", F.coalesce("joined", "key").alias("key"), "component").distinct()
+        members = materialise(members, "members")
+    return members
+
+
+def met_in_blocks(members: DataFrame) -> DataFrame:
+    """(id, key, part, side, component): lists (key, parts, id, component) in blocks, so that each two members of a list meet in one.
+
+    Blocks are held against themselves, and a member against those after its own.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    later = members.withColumn("own", own).where(F.col("own") + 1 < F.col("parts")).select("id", "key", F.explode(F.sequence(F.col("own") + 1, F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component")
+    return members.select("id", "key", own.alias("part"), F.lit(2).alias("side"), "component").unionAll(later)
+
+
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(small(rows), "id").withColumn("n", F.lit(0).cast("long"))
 
@@ -517,15 +547,12 @@ def near_duplicates(
     movers = facing.select("id", name, F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"), F.lit(1).alias("side"), "component")
     faced = facing.select("other", "other_size").distinct()
     stayers = nodes.join(small(faced), F.col("component") == F.col("other")).select("id", name, F.pmod(F.xxhash64("id"), parts_of).cast("int").alias("part"), F.lit(0).alias("side"), "component")
-    # members of small components of a list against each other, in a list of one block each once
-    minor = placed.where(F.col("size") <= BLOCK)
-    several = minor.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    minor = materialise(minor.join(several.select("value", "parts"), "value").select(F.col("rep").alias("id"), F.xxhash64(F.lit("list"), "value").alias("key"), "parts", "component"), "minor")
-    several = minor.where("parts > 1")
-    movers = movers.unionAll(several.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "component"))
-    stayers = stayers.unionAll(several.select("id", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "component"))
-    within = minor.where("parts = 1").select("id", "key", F.lit(0).alias("part"), F.lit(2).alias("side"), "component")
-    held = materialise(movers.unionAll(stayers).unionAll(within), "held")
+    # members of small components of a list against each other
+    minor = placed.where(F.col("size") <= BLOCK).select(F.col("rep").alias("id"), F.xxhash64(F.lit("list"), "value").alias("key"), "component")
+    minor = joined_lists(materialise(minor, "minor"))
+    several = minor.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    minor = materialise(minor.join(several.select("key", "parts"), "key").select("id", "key", "parts", "component"), "minor")
+    held = materialise(movers.unionAll(stayers).unionAll(met_in_blocks(minor)), "held")
     met = minor.groupBy("id").agg(F.collect_set("key").alias("lists"))
     sketch = brief.withColumnRenamed("brief", "sketch").join(met, "id", "left")
     near = materialise(promising(sketch.join(small(held), "id"), k, least, similarity), "near")

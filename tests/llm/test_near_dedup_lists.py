@@ -97,3 +97,37 @@ def test_frequent_values_lose_nothing_and_large_tables_are_deleted(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(texts, 2)
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before}
     assert "documents" in left and not left & {"sketches", "classes", "rarest", "sets", "brief"}
+
+
+def test_lists_of_mostly_the_same_members_are_one_and_blocks_meet_once(spark):
+    # twelve lists of 600 members that differ in a few, and two that have only one member in common
+    lists = {k: set(range(600)) - {7 * k + 1, 7 * k + 2} for k in range(12)} | {100: set(range(2000, 2300)), 101: {2000, *range(3000, 3300)}}
+    members = spark.createDataFrame([(i, k, i) for k, ids in lists.items() for i in ids], "id long, key long, component long").repartition(3)
+    joined = near_dedup.joined_lists(members)
+    held = {}
+    for r in joined.collect():
+        held.setdefault(r.key, set()).add(r.id)
+    # before, each list was dealt in blocks by itself: 7,776 members
+    assert sum(map(len, held.values())) < 2500
+    assert all(any(ids <= other for other in held.values()) for ids in lists.values())
+    one = joined.where("id < 600").groupBy("key").count().orderBy("count", ascending=False).first().key
+    rows = near_dedup.met_in_blocks(joined.where(f"key = {one}").selectExpr("id", "key", "5 as parts", "component")).collect()
+    n = len(held[one])
+    assert len(rows) < 3.5 * n  # six times before: each member in its own block, and past all five
+    met = {}
+    for p in range(5):
+        block, past = ([r.id for r in rows if r.part == p and r.side == s] for s in (2, 1))
+        for i, a in enumerate(block):
+            for b in block[:i] + past:
+                met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}
+
+
+def test_a_block_is_held_against_itself_and_past_rows(spark):
+    a, b = np.arange(100), np.arange(500, 600)
+    rows = [(1, 0, 1, 9, 9, 0, near_dedup.pack_set(b)), (1, 0, 2, 1, 1, 0, near_dedup.pack_set(a)), (1, 0, 2, 2, 2, 0, near_dedup.pack_set(a)), (1, 0, 2, 3, 3, 0, near_dedup.pack_set(b))]
+    work = spark.createDataFrame(rows, "key long, part int, side int, id long, component long, n long, hashes binary")
+    assert {frozenset((r.a, r.b)) for r in near_dedup.compare(work, 80).collect()} == {frozenset((1, 2)), frozenset((3, 9))}
+    brief = spark.createDataFrame([(*r[:5], 100, x.tolist()) for r, x in zip(rows, (b, a, a, b), strict=True)], "key long, part int, side int, id long, component long, n long, sketch array<int>")
+    got = sorted(tuple(r) for r in near_dedup.promising(brief, 96, 0.45, 80).select("id", "part", "side").collect())
+    assert got == [(1, 0, 2), (2, 0, 2), (3, 0, 2), (9, 0, 1)]
