@@ -1,17 +1,15 @@
 """Convex hulls of planar sets of any size, by pruning, partial hulls and merging.
 
-1. The extremes of each group in 16 directions, one aggregation, make a polygon; points
-   inside it cannot be on the hull and are dropped by an expression before any shuffle.
-2. Each task keeps the hull of what it has seen of a group: when it holds ``HELD`` points
-   it reduces them to their hull.
-3. Partial hulls are merged over slabs of x, then the slabs' hulls of each group: a hull
-   is made of hull points of any parts.  Only points that are on the hull of their slab
-   come together, so the last step holds hulls, not sets.
+1. Each task keeps what may be on the hull of what it has seen of a group: points strictly
+   inside the polygon of the extremes in 16 directions are dropped batch by batch, and
+   when it holds ``HELD`` points it reduces them to their hull.
+2. Partial hulls are merged ``SLABS`` at most of a group, each from some of the tasks, then
+   those of each group: a hull is made of hull points of any parts.  The set is read
+   once, and only hull points of a task's part are shuffled.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +44,24 @@ def chain(points: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+def outer(points: np.ndarray) -> np.ndarray:
+    """``points`` without those strictly inside the polygon of their extremes, by more than rounding may hide."""
+    if len(points) < 4 * DIRECTIONS:
+        return points
+    angle = 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS
+    tips = points[(points @ np.stack([np.cos(angle), np.sin(angle)])).argmax(axis=0)]
+    if len(np.unique(tips, axis=0)) < 3:
+        return points
+    size = np.ptp(points[:, 0]) + 1e-300
+    inside = np.ones(len(points), bool)
+    for p, q in zip(tips, np.roll(tips, -1, axis=0), strict=True):
+        # extremes of neighbouring directions may be one point, which says nothing
+        if (p != q).any():
+            d = q - p
+            inside &= d[0] * (points[:, 1] - p[1]) - d[1] * (points[:, 0] - p[0]) > 1e-9 * np.abs(d).sum() * (size + np.abs(points[:, 1] - p[1]))
+    return points[~inside]
+
+
 def _partial(batches: Iterator, kinds) -> Iterator:
     """Hull points (g, slab, x, y) of each group and slab that a task sees."""
     import pyarrow as pa
@@ -57,7 +73,7 @@ def _partial(batches: Iterator, kinds) -> Iterator:
         nonlocal count
         count = 0
         for key, parts in held.items():
-            points = np.concatenate(parts)
+            points = outer(np.concatenate(parts))
             held[key] = [points[chain(points)]]
             count += len(held[key][0])
 
@@ -74,9 +90,11 @@ def _partial(batches: Iterator, kinds) -> Iterator:
         number = groups.indices.fill_null(-1).to_numpy()
         points = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1)
         keys, at = np.unique(np.stack([number, slab], axis=1), axis=0, return_inverse=True)
-        for k, (n, s) in enumerate(keys.tolist()):
-            held.setdefault((names[n] if n >= 0 else None, s), []).append(points[at.ravel() == k])
-        count += len(points)
+        order = np.argsort(at.ravel(), kind="stable")
+        for (n, s), part in zip(keys.tolist(), np.split(points[order], np.cumsum(np.bincount(at.ravel()))[:-1]), strict=False):
+            kept = outer(part)
+            held.setdefault((names[n] if n >= 0 else None, s), []).append(kept)
+            count += len(kept)
         if count > HELD:
             reduce()
             if count > HELD // 2:  # many groups, or large hulls: hand them on
@@ -95,21 +113,6 @@ def hull2d(points: DataFrame, group: str = "g") -> DataFrame:
     """
     finite = (F.abs(F.col("x")) < float("inf")) & (F.abs(F.col("y")) < float("inf"))
     own = points.where(finite).select(F.col(group).alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    ways = [(math.cos(2 * math.pi * i / DIRECTIONS), math.sin(2 * math.pi * i / DIRECTIONS)) for i in range(DIRECTIONS)]
-    tips = own.groupBy(F.col("g").alias("_g")).agg(F.array(*[F.max_by(F.struct("x", "y"), F.col("x") * c + F.col("y") * s) for c, s in ways]).alias("t"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    near = own.join(tips, F.col("g").eqNullSafe(F.col("_g")))
-    # strictly inside: left of every side of the polygon, by more than rounding may hide
-    size = F.col("x1") - F.col("x0") + 1e-300
-    left = None
-    for i in range(DIRECTIONS):
-        p, q = F.col("t")[i], F.col("t")[(i + 1) % DIRECTIONS]
-        side = (q["x"] - p["x"]) * (F.col("y") - p["y"]) - (q["y"] - p["y"]) * (F.col("x") - p["x"])
-        # extremes of neighbouring directions may be one point, which says nothing
-        test = (side > 1e-9 * (F.abs(q["x"] - p["x"]) + F.abs(q["y"] - p["y"])) * (size + F.abs(F.col("y") - p["y"]))) | (p == q)
-        left = test if left is None else left & test
-    one = F.size(F.array_distinct("t")) < 3
-    slab = F.least(F.floor((F.col("x") - F.col("x0")) / size * SLABS), F.lit(SLABS - 1)).cast("int")
-    outer = near.where(one | ~left).select("g", slab.alias("slab"), "x", "y")
     kind = own.schema["g"].dataType
 
     def partial(batches: Iterator) -> Iterator:
@@ -118,7 +121,7 @@ def hull2d(points: DataFrame, group: str = "g") -> DataFrame:
         return _partial(batches, to_arrow_type(kind))
 
     schema = f"g {kind.simpleString()}, slab int, x double, y double"
-    parts = outer.mapInArrow(partial, schema)
+    parts = own.select("g", (F.spark_partition_id() % SLABS).alias("slab"), "x", "y").mapInArrow(partial, schema)
 
     def merged(table):
         import pyarrow as pa

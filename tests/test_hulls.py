@@ -80,3 +80,24 @@ def test_partial_hulls_of_small_buffers(held, monkeypatch):
             kept.setdefault((r["g"], r["slab"]), []).append((r["x"], r["y"]))
     for key in {r[:2] for r in rows}:
         assert corners(kept[key]) == corners([r[2:] for r in rows if r[:2] == key])
+
+
+def test_only_hulls_of_tasks_are_shuffled(spark):
+    import numpy as np
+    from geoloom.operators import hulls as hl
+
+    rows = spark.range(0, 200_000, 1, 4).selectExpr("id % 2 AS g", "cos(id) * sqrt(id % 9973) AS x", "sin(id * 1.7) * sqrt(id % 7919) AS y")
+    rows = rows.unionAll(spark.sql("SELECT NULL AS g, CAST(id % 3 AS DOUBLE) AS x, CAST(id % 2 AS DOUBLE) AS y FROM range(300)"))
+    got = {}
+    for r in hl.hull2d(rows).orderBy("g", "seq").collect():
+        got.setdefault(r.g, []).append((r.x, r.y))
+    own = {}
+    for r in rows.collect():
+        own.setdefault(r.g, []).append((r.x, r.y))
+    for g, points in own.items():
+        points = np.array(points)
+        assert got[g] == [tuple(p) for p in points[hl.chain(points)].tolist()]
+        assert {tuple(p) for p in points[hl.chain(points)].tolist()} <= {tuple(p) for p in hl.outer(points).tolist()}
+    # before, every row was sorted by group for the extremes and joined with them by group
+    plan = hl.hull2d(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan and plan.rindex("MapInArrow") > plan.rindex("Exchange")
