@@ -3,20 +3,25 @@
 A cube of grid samples is cut into the six tetrahedra around its main diagonal, and
 each of those gives no, one or two triangles by the signs of its corners: no table
 of cube cases is needed, neighbouring cubes agree on their common faces, and the
-surface is closed.  All of it is expressions and one explode per step.
+surface is closed.  Samples are dealt by tiles once, and a task cuts many cubes at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.joins import by_shuffle
 
 
+#: Samples of a tile along each axis, tiles whose cubes are found at once, and rows that a task gathers before.
+TILE, TILES, ROWS = 16, 32, 100_000
+
+
 def sample_grid(spark, low: tuple, side: float, counts: tuple[int, int, int], field) -> DataFrame:
     """(i, j, k, x, y, z, value) of a field (a function of three columns) at the corners of a grid."""
     ni, nj, nk = counts
@@ -39,49 +44,98 @@ def _tetrahedra() -> list[list[int]]:
     return out
 
 
+def _faces(mask: int) -> list[tuple[int, int]]:
+    """Edges (inside corner, outside corner) of a tetrahedron where a surface cuts it, in order as seen from outside; ``mask`` has a bit for each corner inside."""
+    inside, rest = ([n for n in range(4) if (mask >> n & 1) == bit] for bit in (1, 0))
+    if len(inside) == 1:
+        pairs = [(inside[0], c) for c in rest]
+    elif len(inside) == 3:
+        pairs = [(c, rest[0]) for c in inside]
+    else:
+        (a, b), (c, d) = inside, rest
+        pairs = [(a, c), (a, d), (b, d), (b, c)]
+    # all tetrahedra are turned alike, so one of them shows which way round is outward
+    spots = [np.array([m & 1, m >> 1 & 1, m >> 2 & 1], dtype=float) for m in _tetrahedra()[0]]
+    middle = [(spots[a] + spots[b]) / 2 for a, b in pairs]
+    outward = sum(spots[c] for c in rest) / len(rest) - sum(spots[c] for c in inside) / len(inside)
+    return pairs[::-1] if np.cross(middle[1] - middle[0], middle[2] - middle[0]) @ outward < 0 else pairs
+
+
+def _soup(batches: Iterator) -> Iterator:
+    """Triangles (i, j, k, ax .. cz) of the cubes that a surface passes, from rows (i, j, k, x, y, z, value, ti, tj, tk) in order of tiles."""
+    import pyarrow as pa
+
+    width, tetrahedra = TILE + 1, _tetrahedra()
+    faces = {mask: _faces(mask) for mask in range(1, 15)}
+    steps = np.array([(m & 1) * width**2 + (m >> 1 & 1) * width + (m >> 2 & 1) for m in range(8)])
+
+    def work(place: np.ndarray, data: np.ndarray, tile: np.ndarray):
+        number = np.cumsum(np.append(False, (np.diff(tile, axis=0) != 0).any(axis=1)))
+        first = np.flatnonzero(np.append(True, np.diff(number) != 0))
+        found = []
+        for a in range(0, len(first), TILES):
+            lo, hi = first[a], first[a + TILES] if a + TILES < len(first) else len(tile)
+            local = place[lo:hi] - tile[lo:hi] * TILE
+            at = (((number[lo:hi] - a) * width + local[:, 0]) * width + local[:, 1]) * width + local[:, 2]
+            cells = (number[hi - 1] - a + 1) * width**3
+            once = np.bincount(at, minlength=cells) == 1
+            row = np.zeros(cells, np.int64)
+            row[at] = np.arange(lo, hi)
+            # the lower corners, and of those the ones whose cube is whole
+            base = at[(local < TILE).all(axis=1) & once[at]]
+            base = base[once[base[:, None] + steps].all(axis=1)]
+            rows = row[base[:, None] + steps]
+            value = data[rows, 3]
+            found.append(rows[(value.min(axis=1) < 0) & (value.max(axis=1) >= 0)])
+        rows = np.concatenate(found)
+        place, spots, value = place[rows[:, 0]], data[rows, :3], data[rows, 3]
+        made = [(np.zeros((0, 3), np.int64), np.zeros((0, 9)))]
+        for path in tetrahedra:
+            case = ((value[:, path] < 0) << np.arange(4)).sum(axis=1)
+            for mask, shape in faces.items():
+                own = np.flatnonzero(case == mask)
+                if not len(own):
+                    continue
+                hits = []
+                for n, m in shape:
+                    p, q = path[n], path[m]
+                    t = value[own, p] / (value[own, p] - value[own, q])
+                    hits.append(spots[own, p] + t[:, None] * (spots[own, q] - spots[own, p]))
+                made += [(place[own], np.concatenate([hits[0], hits[i], hits[i + 1]], axis=1)) for i in range(1, len(hits) - 1)]
+        cells, soup = (np.concatenate(c) for c in zip(*made, strict=True))
+        names = [*"ijk", *[f"{c}{x}" for c in "abc" for x in "xyz"]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cells.T, *soup.T)], names=names)
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held.append([np.stack(columns[:3], axis=1), np.stack(columns[3:7], axis=1), np.stack(columns[7:], axis=1)])
+        if sum(len(h[0]) for h in held) < ROWS:
+            continue
+        own = [np.concatenate(c) for c in zip(*held, strict=True)]
+        # the last tile may go on in the next batch
+        last = np.flatnonzero((own[2] != own[2][-1]).any(axis=1))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield work(*[c[:cut] for c in own])
+        held = [[c[cut:] for c in own]]
+    if sum(len(h[0]) for h in held):
+        yield work(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+
 def triangles(samples: DataFrame, side: float) -> DataFrame:
     """Triangle soup (i, j, k, ax .. cz) of the surface value = 0, normals toward positive values.
 
-    A corner sample is sent to the eight cubes it belongs to and cubes are put
-    together by one aggregation.
+    Cubes are put together in tiles of ``TILE`` samples an axis and their neighbours; a cube
+    with a sample that is missing, comes twice or has no value has no surface.
     """
-    shares = F.array(*[F.struct(*[(F.col(c) - (m >> a & 1)).alias(c) for a, c in enumerate("ijk")], F.lit(m).alias("m")) for m in range(8)])
-    dealt = samples.select(F.explode(shares).alias("s"), "x", "y", "z", "value").select("s.*", "x", "y", "z", "value")
-    corner = [F.max(F.when(F.col("m") == m, F.struct("x", "y", "z", "value"))).alias(f"c{m}") for m in range(8)]
-    cubes = dealt.groupBy("i", "j", "k").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), *corner)
-    cubes = cubes.where((F.col("n") == 8) & (F.col("low") < 0) & (F.col("high") >= 0))
-    tets = F.array(*[F.struct(*[F.col(f"c{m}").alias(n) for m, n in zip(path, "pqrs", strict=True)]) for path in _tetrahedra()])
-    cut = cubes.select("i", "j", "k", F.explode(tets).alias("t")).select("i", "j", "k", "t.*")
-
-    def hit(a: str, b: str) -> Column:
-        t = F.col(f"{a}.value") / (F.col(f"{a}.value") - F.col(f"{b}.value"))
-        return F.struct(*[(F.col(f"{a}.{x}") + t * (F.col(f"{b}.{x}") - F.col(f"{a}.{x}"))).alias(x) for x in "xyz"])
-
-    def faces(inside: tuple[str, ...]) -> Column:
-        """Triangles that part the inside corners from the others, seen from outside."""
-        rest = tuple(c for c in "pqrs" if c not in inside)
-        if len(inside) == 1:
-            pairs = [(inside[0], c) for c in rest]
-        elif len(inside) == 3:
-            pairs = [(c, rest[0]) for c in inside]
-        else:
-            (a, b), (c, d) = inside, rest
-            pairs = [(a, c), (a, d), (b, d), (b, c)]
-        # all tetrahedra are turned alike, so one of them shows which way round is outward
-        spots = {n: np.array([m & 1, m >> 1 & 1, m >> 2 & 1], dtype=float) for n, m in zip("pqrs", _tetrahedra()[0], strict=True)}
-        middle = [(spots[a] + spots[b]) / 2 for a, b in pairs]
-        outward = sum(spots[c] for c in rest) / len(rest) - sum(spots[c] for c in inside) / len(inside)
-        if np.cross(middle[1] - middle[0], middle[2] - middle[0]) @ outward < 0:
-            pairs.reverse()
-        polygon = [hit(a, b) for a, b in pairs]
-        return F.array(*[F.struct(polygon[0].alias("a"), polygon[i].alias("b"), polygon[i + 1].alias("c")) for i in range(1, len(polygon) - 1)])
-
-    case = sum((F.when(F.col(f"{c}.value") < 0, 1 << n).otherwise(0) for n, c in enumerate("qrs", 1)), F.when(F.col("p.value") < 0, 1).otherwise(0))
-    made = F.lit(None)
-    for mask in range(1, 15):
-        made = F.when(case == mask, faces(tuple(c for n, c in enumerate("pqrs") if mask >> n & 1))).otherwise(made)
-    found = cut.select("i", "j", "k", F.explode(made).alias("t"))
-    return found.select("i", "j", "k", *[F.col(f"t.{c}.{x}").alias(f"{c}{x}") for c in "abc" for x in "xyz"])
+    own = samples.select(*[F.col(c).cast("long").alias(c) for c in "ijk"], *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "value")])
+    # a sample on the lower side of a tile is one of the tile before it, too
+    for c in "ijk":
+        tile = F.floor(F.col(c) / TILE)
+        own = own.withColumn(f"t{c}", F.explode(F.when(F.col(c) % TILE == 0, F.array(tile, tile - 1)).otherwise(F.array(tile))))
+    tiles = own.repartition("ti", "tj", "tk").sortWithinPartitions("ti", "tj", "tk")
+    return tiles.mapInArrow(_soup, "i bigint, j bigint, k bigint, " + ", ".join(f"{c}{x} double" for c in "abc" for x in "xyz"))
 
 
 def layered_volume(layers: DataFrame, group: str, height: str, area: str) -> DataFrame:

@@ -29,9 +29,13 @@ def weld(soup: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
 
 def clean_faces(faces: DataFrame) -> DataFrame:
     """Without degenerate faces, and one of those with the same three vertices."""
-    key = F.array_sort(F.array(*CORNERS))
-    whole = faces.where((F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c")))
-    return whole.withColumn("_key", key).groupBy("mesh", "_key").agg(F.min_by(F.struct("f", *CORNERS), "f").alias("face")).select("mesh", "face.*")
+    key = F.sort_array(F.array(*CORNERS))
+    whole = faces.where((F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))).withColumn("_key", key)
+    # plain columns and the places of the corners among them, so that groups are hashed and not sorted
+    named = whole.select("mesh", "f", *[F.col("_key")[i].alias(f"_{i}") for i in range(3)], sum((F.array_position("_key", F.col(c)) * 4**n for n, c in enumerate(CORNERS)), F.lit(0)).alias("_way"))
+    least = named.groupBy("mesh", "_0", "_1", "_2").agg(F.min("f").alias("f"), F.min_by("_way", "f").alias("_way"))
+    place = [F.shiftright("_way", 2 * n).bitwiseAND(F.lit(3)) for n in range(3)]
+    return least.select("mesh", "f", *[F.when(i == 1, F.col("_0")).when(i == 2, F.col("_1")).otherwise(F.col("_2")).alias(c) for c, i in zip(CORNERS, place, strict=True)])
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
