@@ -24,12 +24,12 @@ FEW = 10_000
 Arrays = dict[str, np.ndarray]
 
 
-def per_blocks(rows: DataFrame, keys: list[str], schema: str, kernel: Callable[[Arrays, np.ndarray], tuple[np.ndarray, Arrays]], size: int = ROWS) -> DataFrame:
+def per_blocks(rows: DataFrame, keys: list[str], schema: str, kernel: Callable[[Arrays, np.ndarray], tuple[np.ndarray, Arrays]], size: int = ROWS, deal: bool = True) -> DataFrame:
     """``keys`` and ``schema`` of what ``kernel`` makes of whole groups.
 
     The kernel gets the other columns as arrays and the number of each row's group, which
     ascends; it gives the number of the group of each row it makes, and the columns of
-    ``schema``.
+    ``schema``.  Without ``deal`` rows stay where they are and each is a group of its own.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,7 +52,7 @@ def per_blocks(rows: DataFrame, keys: list[str], schema: str, kernel: Callable[[
 
         def work(table):
             table = table.combine_chunks()
-            starts = np.concatenate([[0], turns(table)])
+            starts = np.concatenate([[0], turns(table)]) if deal else np.arange(table.num_rows)
             group = np.zeros(table.num_rows, int)
             group[starts[1:]] = 1
             of, out = kernel({c: table.column(c).to_numpy() for c in values}, np.cumsum(group))
@@ -64,6 +64,9 @@ def per_blocks(rows: DataFrame, keys: list[str], schema: str, kernel: Callable[[
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if not deal:
+                yield from work(pa.Table.from_batches([batch]))
+                continue
             held.append(batch)
             count += batch.num_rows
             if count >= enough:
@@ -77,7 +80,8 @@ def per_blocks(rows: DataFrame, keys: list[str], schema: str, kernel: Callable[[
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, kinds)
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys) if deal else rows
+    return dealt.mapInArrow(run, kinds)
 
 
 def by_size(rows: DataFrame, limit: int, weight=None) -> tuple[DataFrame, DataFrame | None]:

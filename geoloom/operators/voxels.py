@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators import blocks
+
 AXES = ("i", "j", "k")
+#: Scan lines of a block's row of lines.
+LINES = 64
 SIDES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
 
@@ -160,42 +165,80 @@ def cube_cases(a: DataFrame) -> DataFrame:
 def mesh_runs(soup: DataFrame, side: float, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """(mesh, j, k, first, last): cells, as half-open runs along i, whose centres lie within closed meshes (mesh, f, ax .. cz).
 
-    Scan lines run through cell centres.  A face makes a row for each line that meets
-    it: first its rows of equal z, then on each the lines between the two sides there.
+    Scan lines run through cell centres.  A face makes a row for each layer of equal z
+    that it meets, by the stretch between its two sides there; in blocks of a layer of a
+    mesh and 64 lines, the stretches are cut at the lines in between.
     Both rules are half open and a side is worked out from its lesser end, so a line
     through an edge or a corner meets one of the faces there.  Along a line the
     crossings' directions add up; what lies between is inside where the sum is not 0,
     so bodies of one mesh may overlap.
     """
-    from geoloom.functions.vector import cross2
-
-    def centre_row(c: Column, o: float) -> Column:
+    def centre_row(c: np.ndarray, o: float) -> np.ndarray:
         # the first row whose centre is not below c
-        return F.ceil((c - o) / side - 0.5)
-
-    own = soup.select("mesh", *[F.struct(F.col(f"{c}z").alias("z"), F.col(f"{c}y").alias("y"), F.col(f"{c}x").alias("x")).alias(c) for c in "abc"])
-    own = own.withColumn("_turn", cross2((F.col("b.y") - F.col("a.y"), F.col("b.z") - F.col("a.z")), (F.col("c.y") - F.col("a.y"), F.col("c.z") - F.col("a.z")))).where("_turn <> 0")
-    low, high = F.least("a.z", "b.z", "c.z"), F.greatest("a.z", "b.z", "c.z")
-    rows = own.withColumn("_first", centre_row(low, offset[2])).withColumn("_last", centre_row(high, offset[2]) - 1).where("_first <= _last")
-    rows = rows.withColumn("k", F.explode(F.sequence("_first", "_last"))).withColumn("_z", offset[2] + (F.col("k") + 0.5) * side)
-
-    def meeting(p: str, q: str) -> Column:
-        lo, hi = F.least(p, q), F.greatest(p, q)
-        y = lo["y"] + (F.col("_z") - lo["z"]) / (hi["z"] - lo["z"]) * (hi["y"] - lo["y"])
-        return F.when((lo["z"] <= F.col("_z")) & (hi["z"] > F.col("_z")), y)
-
-    at = F.array_sort(F.array_compact(F.array(meeting("a", "b"), meeting("b", "c"), meeting("c", "a"))))
-    rows = rows.withColumn("_y", at).where(F.size("_y") == 2)
-    rows = rows.withColumn("_first", centre_row(F.col("_y")[0], offset[1])).withColumn("_last", centre_row(F.col("_y")[1], offset[1]) - 1).where("_first <= _last")
-    rows = rows.withColumn("j", F.explode(F.sequence("_first", "_last"))).withColumn("_yc", offset[1] + (F.col("j") + 0.5) * side)
-    u = cross2((F.col("_yc") - F.col("a.y"), F.col("_z") - F.col("a.z")), (F.col("c.y") - F.col("a.y"), F.col("c.z") - F.col("a.z"))) / F.col("_turn")
-    v = cross2((F.col("b.y") - F.col("a.y"), F.col("b.z") - F.col("a.z")), (F.col("_yc") - F.col("a.y"), F.col("_z") - F.col("a.z"))) / F.col("_turn")
-    x = F.col("a.x") + u * (F.col("b.x") - F.col("a.x")) + v * (F.col("c.x") - F.col("a.x"))
-    x = F.least(F.greatest(x, F.least("a.x", "b.x", "c.x")), F.greatest("a.x", "b.x", "c.x"))
-    hits = rows.select("mesh", "j", "k", x.alias("x"), F.when(F.col("_turn") > 0, -1).otherwise(1).alias("way"))
-    line = Window.partitionBy("mesh", "j", "k").orderBy("x", F.desc("way"))
-    spans = hits.select("mesh", "j", "k", "x", F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("depth"), F.lead("x").over(line).alias("x2")).where("depth <> 0 AND x2 IS NOT NULL")
-    return spans.select("mesh", "j", "k", centre_row(F.col("x"), offset[0]).alias("first"), centre_row(F.col("x2"), offset[0]).alias("last")).where("first < last")
+        return np.ceil((c - o) / side - 0.5).astype(np.int64)
+
+    def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # position and number of each of the rows from first to last
+        many = np.maximum(last - first + 1, 0)
+        of = np.repeat(np.arange(len(many)), many)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+
+    def stretches(r: blocks.Arrays, _: np.ndarray) -> tuple[np.ndarray, blocks.Arrays]:
+        corners = [np.stack([r[f"{c}{x}"] for x in "zyx"], axis=1) for c in "abc"]
+        u, v = corners[1] - corners[0], corners[2] - corners[0]
+        turn = u[:, 1] * v[:, 0] - u[:, 0] * v[:, 1]
+        known = np.flatnonzero(np.isfinite(np.concatenate(corners, axis=1)).all(axis=1) & (turn != 0))
+        corners, turn = [c[known] for c in corners], turn[known]
+        heights = np.stack([c[:, 0] for c in corners])
+        of, k = spread(centre_row(heights.min(axis=0), offset[2]), centre_row(heights.max(axis=0), offset[2]) - 1)
+        z = offset[2] + (k + 0.5) * side
+        meets, ys, xs = [], [], []
+        for p, q in ((0, 1), (1, 2), (2, 0)):
+            a, b = corners[p], corners[q]
+            up = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & ((a[:, 1] < b[:, 1]) | ((a[:, 1] == b[:, 1]) & (a[:, 2] <= b[:, 2]))))
+            lo, hi = np.where(up[:, None], a, b), np.where(up[:, None], b, a)
+            lo, way = lo[of], (hi - lo)[of]
+            meet = (lo[:, 0] <= z) & (hi[of, 0] > z)
+            share = (z - lo[:, 0]) / np.where(meet, way[:, 0], 1.0)
+            meets.append(meet), ys.append(lo[:, 1] + share * way[:, 1]), xs.append(lo[:, 2] + share * way[:, 2])
+        meets, ys, xs = (np.stack(c) for c in (meets, ys, xs))
+        kept = np.flatnonzero(meets.sum(axis=0) == 2)
+        one, two = np.argmax(meets[:, kept], axis=0), 2 - np.argmax(meets[::-1, kept], axis=0)
+        y0, y1, x0, x1 = ys[one, kept], ys[two, kept], xs[one, kept], xs[two, kept]
+        turned = (y0 > y1) | ((y0 == y1) & (x0 > x1))
+        y0, y1, x0, x1 = np.where(turned, y1, y0), np.where(turned, y0, y1), np.where(turned, x1, x0), np.where(turned, x0, x1)
+        first, last = centre_row(y0, offset[1]), centre_row(y1, offset[1]) - 1
+        met = first <= last
+        first, last, y0, y1, x0, x1, kept = (c[met] for c in (first, last, y0, y1, x0, x1, kept))
+        at, part = spread(first // LINES, last // LINES)
+        own = of[kept[at]]
+        return known[own], {
+            "k": k[kept[at]], "part": part, "first": np.maximum(first[at], part * LINES), "last": np.minimum(last[at], part * LINES + LINES - 1),
+            "y0": y0[at], "y1": y1[at], "x0": x0[at], "x1": x1[at], "way": np.where(turn[own] > 0, -1, 1),
+        }
+
+    corners = [f"{c}{x}" for c in "abc" for x in "xyz"]
+    rows = soup.select("mesh", *[F.col(c).cast("double").alias(c) for c in corners])
+    rows = blocks.per_blocks(rows, ["mesh"], "k long, part long, first long, last long, y0 double, y1 double, x0 double, x1 double, way long", stretches, deal=False)
+
+    def work(r: blocks.Arrays, group: np.ndarray) -> tuple[np.ndarray, blocks.Arrays]:
+        of, j = spread(r["first"], r["last"])
+        y = offset[1] + (j + 0.5) * side
+        y0, y1, x0, x1 = (r[n][of] for n in ("y0", "y1", "x0", "x1"))
+        x = x0 + (y - y0) / (y1 - y0) * (x1 - x0)
+        x = np.minimum(np.maximum(x, np.minimum(x0, x1)), np.maximum(x0, x1))
+        # one number for each line of a block
+        line, way = group[of] * LINES + j % LINES, r["way"][of]
+        order = np.lexsort((-way, x, line))
+        line, x, way, j, of = line[order], x[order], way[order], j[order], of[order]
+        total = np.cumsum(way)
+        fresh = np.flatnonzero(np.diff(line, prepend=-1))
+        depth = total - np.repeat((total - way)[fresh], np.diff(np.append(fresh, len(line))))
+        cell = centre_row(x, offset[0])
+        inside = np.flatnonzero((line[1:] == line[:-1]) & (depth[:-1] != 0) & (cell[:-1] < cell[1:]))
+        return group[of[inside]], {"j": j[inside], "first": cell[inside], "last": cell[inside + 1]}
+
+    return blocks.per_blocks(rows, ["mesh", "k", "part"], "j long, first long, last long", work).select("mesh", "j", "k", "first", "last")
 
 
 def run_cells(run_table: DataFrame) -> DataFrame:

@@ -48,3 +48,19 @@ def test_blocks_hold_whole_groups(spark):
 
     found = blocks.per_blocks(rows, ["k", "t"], "n long, total double", work, size=10)
     assert sorted(map(str, found.collect())) == sorted(map(str, rows.groupBy("k", "t").agg(F.count("*").alias("n"), F.sum("id").cast("double").alias("total")).collect()))
+
+
+def test_scan_lines_are_cut_in_blocks(spark, data):
+    from geoloom.operators import voxels
+    from geoloom.plans import topology
+
+    runs = voxels.mesh_runs(topology.turned_cuboids(spark, data), 0.05)
+    # before, each crossing of a line was a row that Spark sorted in a window
+    assert "Window" not in plan(runs)
+    # more lines a layer than a block holds
+    lines = runs.where("mesh < 7").groupBy("mesh", "k").agg(F.max("j").alias("high"), F.min("j").alias("low"))
+    assert lines.where(F.col("high") - F.col("low") > voxels.LINES).count() > 0
+    volume = runs.where("mesh < 7").groupBy("mesh").agg((F.sum(F.col("last") - F.col("first")) * 0.05**3).alias("v"))
+    true = {r.p_partkey: (r.p_size / 10 + 1) * (r.p_partkey % 7 + 1) * (r.p_partkey % 3 + 1) for r in spark.read.parquet(f"{data}/part.parquet").where("p_partkey < 7").collect()}
+    got = {r.mesh: r.v for r in volume.collect()}
+    assert got.keys() == true.keys() and all(abs(got[k] - true[k]) < 0.01 * true[k] for k in true)
