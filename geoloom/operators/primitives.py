@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.storage import materialise
+from geoloom.operators import blocks
 from geoloom.operators.joins import by_shuffle
 from geoloom.operators.mesh import CORNERS
 
@@ -97,10 +101,123 @@ def helix_pitch(points: DataFrame, group: str, seq: str) -> DataFrame:
     return steps.groupBy(group).agg(F.try_divide(F.sum("rise") * 2 * math.pi, F.sum("turn")).alias("pitch"))
 
 
-def ring_distance(points: DataFrame, ring_edges: DataFrame) -> DataFrame:
-    """(ring, id, distance) of points (ring, id, px, py) and the nearest side of the ring they name."""
-    from geoloom.functions.vector import point_segment_distance, vector
+#: Cells that a side takes in the mean on the first grid of a search, and the growth of the cells from one grid to the next.
+CELLS, GROWTH = 8, 4
+#: Sides, and points, of a block.
+SIDES, POINTS = 16_384, 2_048
+
 
-    both = points.join(ring_edges.select("ring", "x", "y", "x2", "y2"), "ring")
-    gap = point_segment_distance(vector("px", "py"), vector("x", "y"), vector("x2", "y2"))
-    return both.groupBy("ring", "id").agg(F.min(gap).alias("distance"))
+def ring_distance(points: DataFrame, ring_edges: DataFrame) -> DataFrame:
+    """(ring, id, distance) of points (ring, id, px, py) and the nearest side of the ring they name.
+
+    Points meet the sides that pass their cell within half a cell: a nearest side closer
+    than that is the nearest of all, and points without one go on on a coarser grid,
+    on whose last all that is left meets all sides of its ring.  The first cells are as
+    large as an eighth of a mean side, so a side comes about a dozen times however many
+    there are, and a point meets those of one cell in place of those of its ring.
+    A point with a coordinate that is null has a null distance, with one that is not
+    finite NaN; such sides are left out.
+    """
+    from geoloom.operators.joins import finite
+
+    known, kept = finite(("px", "py")), points.select("ring", "id", "px", "py")
+    points = materialise(kept.where(known), "points")
+    sides = materialise(ring_edges.select("ring", "x", "y", "x2", "y2").where(finite(("x", "y", "x2", "y2"))), "sides")
+    reach = F.abs(F.col("x2") - F.col("x")) + F.abs(F.col("y2") - F.col("y"))
+    spans = [f(c).alias(f"{n}{i}") for i, c in enumerate((F.least("x", "x2"), F.greatest("x", "x2"), F.least("y", "y2"), F.greatest("y", "y2"))) for n, f in (("low", F.min), ("high", F.max))]
+    of_sides, of_points = sides.agg(F.avg(reach).alias("mean"), *spans).first(), points.agg(*[f(c).alias(n) for c in ("px", "py") for n, f in ((f"low{c}", F.min), (f"high{c}", F.max))]).first()
+    odd = kept.where(~F.coalesce(known, F.lit(False))).join(by_shuffle(sides.select("ring").distinct()), "ring")
+    odd = odd.select("ring", "id", F.when(F.col("px").isNotNull() & F.col("py").isNotNull(), F.lit(float("nan"))).alias("distance")).distinct()
+    found, left = [odd], points
+    if of_sides["mean"] is not None and of_points["lowpx"] is not None:
+        extent = max(max(of_sides["high1"], of_points["highpx"]) - min(of_sides["low0"], of_points["lowpx"]), max(of_sides["high3"], of_points["highpy"]) - min(of_sides["low2"], of_points["lowpy"]))
+        cell = max(of_sides["mean"] / CELLS, extent / 1e6)
+        while cell < extent / 2:
+            near = materialise(_near_sides(left, sides, cell).where(F.col("distance") <= cell / 2), "near")
+            found.append(near)
+            left = materialise(left.join(by_shuffle(near.select("ring", "id")), ["ring", "id"], "left_anti"), "left")
+            if left.isEmpty():
+                return reduce(DataFrame.unionAll, found)
+            cell *= GROWTH
+    found.append(_near_sides(left, sides, None))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _near_sides(points: DataFrame, sides: DataFrame, cell: float | None) -> DataFrame:
+    """(ring, id, distance) to the nearest of the sides that pass a point's cell within half a cell; without a cell, of all sides of its ring."""
+    if cell is None:
+        placed = [F.lit(0).cast("long").alias(c) for c in ("i", "j")]
+        at, lines = points.select("*", *placed), sides.select("*", *placed)
+    else:
+        at = points.select("*", F.floor(F.col("px") / cell).alias("i"), F.floor(F.col("py") / cell).alias("j"))
+        # a side passes a column of cells between two heights, and half a cell more on each side
+        half, slack = cell / 2, cell * 1e-6
+        low, high = F.least("x", "x2") - half - slack, F.greatest("x", "x2") + half + slack
+        lines = sides.withColumn("i", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+
+        def height(x: Column) -> Column:
+            share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x")) / (F.col("x2") - F.col("x"))))
+            return F.when(F.col("x") == F.col("x2"), F.lit(None).cast("double")).otherwise(F.col("y") + share * (F.col("y2") - F.col("y")))
+
+        ends = [height(F.col("i") * cell - half - slack), height((F.col("i") + 1) * cell + half + slack)]
+        bottom, top = F.coalesce(F.least(*ends), F.least("y", "y2")), F.coalesce(F.greatest(*ends), F.greatest("y", "y2"))
+        bottom, top = F.when(F.col("x") == F.col("x2"), F.least("y", "y2")).otherwise(bottom), F.when(F.col("x") == F.col("x2"), F.greatest("y", "y2")).otherwise(top)
+        lines = lines.withColumn("j", F.explode(F.sequence(F.floor((bottom - half - slack) / cell), F.floor((top + half + slack) / cell))))
+    place = ["ring", "i", "j"]
+
+    def many(rows: DataFrame, name: str, most: int) -> DataFrame:
+        return rows.groupBy(*place).agg(F.ceil(F.count("*") / most).alias(name))
+
+    # each part of a cell's points meets each part of its sides in a block
+    cells = materialise(many(at, "n", POINTS).join(by_shuffle(many(lines, "m", SIDES)), place), "cells")
+
+    told = F.broadcast(cells) if cells.limit(blocks.FEW + 1).count() <= blocks.FEW else by_shuffle(cells)
+    kind = dict(points.dtypes)["id"]
+
+    def dealt(rows: DataFrame, own: str, other: str, key: list[str], columns: list[Column]) -> DataFrame:
+        out = rows.join(told, place).withColumn(f"_{own}", F.pmod(F.xxhash64(*key), F.col(own))).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return out.select(*place, "_n", "_m", *columns)
+
+    zero = F.lit(0.0)
+    rows = dealt(at, "n", "m", ["id"], [F.col("id"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), zero.alias("x2"), zero.alias("y2"), F.lit(True).alias("point")])
+    rows = rows.unionAll(dealt(lines, "m", "n", ["x", "y", "x2", "y2"], [F.lit(0).cast(kind), *[F.col(c).cast("double") for c in ("x", "y", "x2", "y2")], F.lit(False)]))
+
+    def work(r: blocks.Arrays, group: np.ndarray) -> tuple[np.ndarray, blocks.Arrays]:
+        p, s = np.flatnonzero(r["point"]), np.flatnonzero(~r["point"])
+        x, y, dx, dy = r["x"][s], r["y"][s], (r["x2"] - r["x"])[s], (r["y2"] - r["y"])[s]
+        square = dx * dx + dy * dy
+        size = np.sqrt(square)
+        safe = np.where(size > 0, size, 1.0)
+        # distance to the line of a side, which is not above that to the side; a side of no length has no line
+        nx, ny = -dy / safe, dx / safe
+        off = nx * x + ny * y
+        total = group[-1] + 1 if len(group) else 0
+        (p0, s0), (p1, s1) = (tuple(np.searchsorted(group[w], np.arange(total), side) for w in (p, s)) for side in ("left", "right"))
+        gap = np.full(len(p), np.inf)
+        px, py = r["x"][p], r["y"][p]
+
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            wx, wy = px[i] - x[j], py[i] - y[j]
+            t = np.clip(np.where(size[j] > 0, (wx * dx[j] + wy * dy[j]) / np.where(size[j] > 0, square[j], 1.0), 0.0), 0.0, 1.0)
+            return np.hypot(wx - t * dx[j], wy - t * dy[j])
+
+        for g in range(total):
+            i, j = np.arange(p0[g], p1[g]), np.arange(s0[g], s1[g])
+            if not len(i) or not len(j):
+                continue
+            step = max(1, 100_000 // len(i))
+            here = np.stack([px[i], py[i], np.ones(len(i))], axis=1)
+            grain = 1e-9 * (1 + np.abs(px[i]) + np.abs(py[i]))
+            for first in range(0, len(j), step):
+                some = j[first:first + step]
+                line = np.abs(here @ np.stack([nx[some], ny[some], -off[some]]))
+                if not np.isfinite(gap[i]).all():
+                    # a first bound: the side whose line is nearest
+                    gap[i] = np.minimum(gap[i], exact(i, some[np.argmin(line, axis=1)]))
+                a, b = np.nonzero(line <= (gap[i] + grain)[:, None])
+                if len(a):
+                    np.minimum.at(gap, i[a], exact(i[a], some[b]))
+        seen = np.isfinite(gap)
+        return group[p[seen]], {"id": r["id"][p[seen]], "gap": gap[seen]}
+
+    return blocks.per_blocks(rows, [*place, "_n", "_m"], f"id {kind}, gap double", work).groupBy("ring", "id").agg(F.min("gap").alias("distance"))

@@ -64,3 +64,26 @@ def test_scan_lines_are_cut_in_blocks(spark, data):
     true = {r.p_partkey: (r.p_size / 10 + 1) * (r.p_partkey % 7 + 1) * (r.p_partkey % 3 + 1) for r in spark.read.parquet(f"{data}/part.parquet").where("p_partkey < 7").collect()}
     got = {r.mesh: r.v for r in volume.collect()}
     assert got.keys() == true.keys() and all(abs(got[k] - true[k]) < 0.01 * true[k] for k in true)
+
+
+def test_nearest_sides_meet_on_grids(spark, monkeypatch):
+    from geoloom.operators import primitives
+
+    rng = np.random.default_rng(3)
+    ends = rng.uniform(0, 40, (300, 4))
+    ends[:150, 2:] = ends[:150, :2] + rng.normal(0, 0.3, (150, 2))
+    ends[5, 2:], ends[6, 2] = ends[5, :2], ends[6, 0]
+    spots = np.concatenate([rng.uniform(0, 40, (200, 2)), [[500.0, -300.0], [0.0, 0.0]]])
+    sides = spark.createDataFrame([(i % 2, *row) for i, row in enumerate(ends.tolist())], "ring int, x double, y double, x2 double, y2 double")
+    points = spark.createDataFrame([(i % 2, i, *row) for i, row in enumerate(spots.tolist())] + [(0, 900, None, 1.0), (7, 901, 1.0, 1.0)], "ring int, id long, px double, py double")
+    monkeypatch.setattr(primitives, "SIDES", 40)
+    monkeypatch.setattr(primitives, "POINTS", 7)
+    found = primitives.ring_distance(points, sides)
+    got = {r.id: r.distance for r in found.collect()}
+    assert got.keys() == {*range(len(spots)), 900} and got[900] is None
+    for i, p in enumerate(spots):
+        a, d = ends[i % 2::2, :2], (ends[:, 2:] - ends[:, :2])[i % 2::2]
+        t = np.clip(((p - a) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
+        assert abs(got[i] - np.hypot(*(p - a - t[:, None] * d).T).min()) < 1e-9
+    # before, a point met every side of its ring in one join by ring
+    assert "MapInArrow" in plan(found)
