@@ -113,8 +113,8 @@ def ring_distance(points: DataFrame, ring_edges: DataFrame) -> DataFrame:
     Points meet the sides that pass their cell within half a cell: a nearest side closer
     than that is the nearest of all, and points without one go on on a coarser grid,
     on whose last all that is left meets all sides of its ring.  The first cells are as
-    large as an eighth of a mean side, so a side comes about a dozen times however many
-    there are, and a point meets those of one cell in place of those of its ring.
+    large as an eighth of a mean side, so how often a side comes in the mean does not grow
+    with their number, and a point meets those of one cell in place of those of its ring.
     A point with a coordinate that is null has a null distance, with one that is not
     finite NaN; such sides are left out.
     """
