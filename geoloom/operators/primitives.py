@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from geoloom.functions.storage import materialise
 from geoloom.operators import blocks
 from geoloom.operators.joins import by_shuffle
-from geoloom.operators.mesh import CORNERS
+from geoloom.operators.mesh import CORNERS, held
 
 
-def _corner(radius, angle: Column, z) -> tuple:
-    return radius * F.cos(angle), radius * F.sin(angle), z
+def _corner(radius, side: str, z) -> tuple:
+    """A corner on the first (``a``) or second (``b``) edge of a slice."""
+    return radius * F.col(f"_cos_{side}"), radius * F.col(f"_sin_{side}"), z
 
 
 def _soup(rows: DataFrame, triangles: list[tuple]) -> DataFrame:
@@ -29,12 +30,15 @@ def _soup(rows: DataFrame, triangles: list[tuple]) -> DataFrame:
 
 
 def _slices(solids: DataFrame, sides: int) -> DataFrame:
-    return solids.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+    """A row a slice, with the directions of its two edges, which are worked out once and not for each corner."""
+    slices = solids.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+    angles = {"a": 2 * math.pi * F.col("i") / sides, "b": 2 * math.pi * (F.col("i") + 1) / sides}
+    return held(slices, slices.columns, {f"_{n}_{s}": f(angle) for s, angle in angles.items() for n, f in (("cos", F.cos), ("sin", F.sin))})
 
 
 def cylinder(solids: DataFrame, sides: int) -> DataFrame:
     """Closed prisms of ``sides`` sides about z from (mesh, radius, height)."""
-    r, h, a, b = F.col("radius"), F.col("height"), 2 * math.pi * F.col("i") / sides, 2 * math.pi * (F.col("i") + 1) / sides
+    r, h, a, b = F.col("radius"), F.col("height"), "a", "b"
     p, q, s, t = _corner(r, a, 0.0), _corner(r, b, 0.0), _corner(r, b, h), _corner(r, a, h)
     low, high = (0.0, 0.0, 0.0), (0.0, 0.0, h)
     return _soup(_slices(solids, sides), [(p, q, s), (p, s, t), (low, q, p), (high, t, s)])
@@ -42,7 +46,7 @@ def cylinder(solids: DataFrame, sides: int) -> DataFrame:
 
 def hollow_cylinder(solids: DataFrame, sides: int) -> DataFrame:
     """Closed rings of ``sides`` sides from (mesh, radius, inner, height)."""
-    r, m, h, a, b = F.col("radius"), F.col("inner"), F.col("height"), 2 * math.pi * F.col("i") / sides, 2 * math.pi * (F.col("i") + 1) / sides
+    r, m, h, a, b = F.col("radius"), F.col("inner"), F.col("height"), "a", "b"
     p, q, s, t = _corner(r, a, 0.0), _corner(r, b, 0.0), _corner(r, b, h), _corner(r, a, h)
     u, v, w, x = _corner(m, a, 0.0), _corner(m, b, 0.0), _corner(m, b, h), _corner(m, a, h)
     return _soup(_slices(solids, sides), [(p, q, s), (p, s, t), (v, u, x), (v, x, w), (p, u, v), (p, v, q), (t, s, w), (t, w, x)])
@@ -50,7 +54,7 @@ def hollow_cylinder(solids: DataFrame, sides: int) -> DataFrame:
 
 def cone(solids: DataFrame, sides: int) -> DataFrame:
     """Closed pyramids of ``sides`` sides with the apex at (0, 0, height)."""
-    r, h, a, b = F.col("radius"), F.col("height"), 2 * math.pi * F.col("i") / sides, 2 * math.pi * (F.col("i") + 1) / sides
+    r, h, a, b = F.col("radius"), F.col("height"), "a", "b"
     p, q = _corner(r, a, 0.0), _corner(r, b, 0.0)
     return _soup(_slices(solids, sides), [(p, q, (0.0, 0.0, h)), ((0.0, 0.0, 0.0), q, p)])
 

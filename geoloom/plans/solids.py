@@ -22,7 +22,7 @@ def _prisms(spark, d):
 
 def _measured(soup):
     m = mesh.solid_measures(soup).select("mesh", "volume", "area")
-    whole = mesh.integrity(mesh.clean_faces(mesh.weld(soup, 6)[1])).select("mesh", F.col("open").alias("open_edges"))
+    whole = mesh.unpaired_edges(mesh.clean_faces(mesh.weld(soup, 6)[1])).select("mesh", F.col("open").alias("open_edges"))
     return rounded(m.join(by_shuffle(whole), "mesh"), 5)
 
 
