@@ -238,12 +238,12 @@ def stl_files_in_splits(spark, d):
     mesh_source.register(spark)
     folder = new_folder(spark, "stl")
     soup = bd.cuboids(spark, d)
-    snapped = [(F.floor(F.round(F.col(f"{c}{x}") * 8, 6)) / 8).alias(f"{c}{x}") for c in "abc" for x in "xyz"]
+    snapped = [(F.floor(mesh.near(F.col(f"{c}{x}") * 8, 6)) / 8).alias(f"{c}{x}") for c in "abc" for x in "xyz"]
     files = mesh_source.write_stl(soup.select(*snapped), folder)
-    back = spark.read.format("stl").option("splitBytes", 20_000).load(folder)
-    found = mesh.solid_measures(back.withColumn("mesh", F.lit(1))).select("faces", "area", "volume")
-    splits = back.select(F.spark_partition_id().alias("p")).distinct().count()
-    return rounded(found.withColumn("in_splits", F.lit(splits > files)), 6)
+    back = spark.read.format("stl").schema(", ".join(f"{c} double" for c in mesh_source.CORNERS)).option("splitBytes", 20_000).load(folder)
+    # sums by task, so that one reading of the files tells the sums and how many tasks had a part of them
+    found = mesh.solid_measures(back.withColumn("mesh", F.spark_partition_id())).agg(*[F.sum(n).alias(n) for n in ("faces", "area", "volume")], F.count("*").alias("splits"))
+    return rounded(found.select("faces", "area", "volume", (F.col("splits") > files).alias("in_splits")), 6)
 
 
 #: All lines of orders as one set: quantity moved by the last digits of the order, and price.

@@ -10,7 +10,9 @@ without other properties, are cut into ranges of rows, other faces are one range
 
 Filters on ``path`` (equality, membership) drop files when the splits are planned, and
 bounds on ``f`` or ``v`` drop splits of numbered rows; with a narrower ``schema`` only
-those columns are decoded.  ``splitBytes`` is the size of a split (default 32 MB).
+those columns are decoded.  ``splitBytes`` is the size of a split (default 32 MB); where
+files give more than ``SPLITS`` of them, a task reads several that follow one another, and
+of a file with two or more at least two tasks.
 
 Defined results: an empty folder or file has no rows; a file cut short or of another
 format is an error; triangles of ASCII files are numbered by the byte they begin at.
@@ -18,6 +20,7 @@ format is an error; triangles of ASCII files are numbered by the byte they begin
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -31,6 +34,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from geoloom.functions.storage import materialise, open_fs
 
 SPLIT = 32 << 20
+#: Splits that are tasks of their own; of more, several go to a task.
+SPLITS = 512
 #: Rows of a batch that a task hands to Spark.
 ROWS = 50_000
 CORNERS = [f"{c}{a}" for c in "abc" for a in "xyz"]
@@ -47,6 +52,23 @@ class Split(InputPartition):
         self.path, self.kind, self.first, self.last, self.offset, self.record = path, kind, first, last, offset, record
 
 
+def joined(splits: list[Split], most: int = SPLITS) -> list[Split]:
+    """``splits`` as some ``most`` tasks: those of a file that follow one another are read as one range, but never all of a file's as a single one."""
+    if len(splits) <= most:
+        return splits
+    out: list[Split] = []
+    for _, own in itertools.groupby(splits, key=lambda s: s.path):
+        own = list(own)
+        each = max(1, min(-(-len(splits) // most), -(-len(own) // 2)))
+        for at in range(0, len(own), each):
+            for s in own[at : at + each]:
+                if s is not own[at] and out[-1].last == s.first:
+                    out[-1] = Split(s.path, s.kind, out[-1].first, s.last, s.offset, s.record)
+                else:
+                    out.append(s)
+    return out
+
+
 class _Reader(DataSourceReader):
     number = "f"
     extension = ".stl"
@@ -115,7 +137,7 @@ class StlReader(_Reader):
                 out += self._ranges(path, "text", info.size, 1, 0)
             elif head:
                 raise ValueError(f"{path} is no STL file, or is cut short")
-        return out
+        return joined(out)
 
     def read(self, partition: Split | None) -> Iterator:
         if partition is None:  # no file at all
@@ -218,7 +240,7 @@ class PlyReader(_Reader):
                 out += self._ranges(path, "rows", count, size, at, record)
             elif count:
                 out.append(Split(path, "lists", 0, count, at, record))
-        return out
+        return joined(out)
 
     def read(self, s: Split | None) -> Iterator:
         if s is None:

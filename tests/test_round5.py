@@ -35,3 +35,24 @@ def test_unpaired_edges_agree_with_integrity(spark):
     faces = spark.createDataFrame(rows, "mesh long, f long, a long, b long, c long")
     want = {r["mesh"]: (r["open"], r["edges"] - r["manifold"]) for r in mesh.integrity(faces).collect()}
     assert {r["mesh"]: (r["open"], r["unpaired"]) for r in mesh.unpaired_edges(faces).collect()} == want
+
+
+def test_many_splits_are_read_by_fewer_tasks_and_whole(spark, tmp_path):
+    from geoloom.sources import mesh_source
+
+    splits = [mesh_source.Split(p, "binary", 400 * i, 400 * (i + 1), 84) for p, n in (("a", 30_000), ("b", 1), ("c", 5_000)) for i in range(n)]
+    found = mesh_source.joined(splits)
+    assert len(found) <= 2 * mesh_source.SPLITS and {p: sum(s.path == p for s in found) > 1 for p in "abc"} == {"a": True, "b": False, "c": True}
+    for p in "abc":
+        own = [s for s in found if s.path == p]
+        assert own[0].first == 0 and own[-1].last == max(s.last for s in splits if s.path == p) and all(s.last == t.first for s, t in zip(own, own[1:]))
+    two = [mesh_source.Split(str(i // 2), "text", i % 2, i % 2 + 1) for i in range(4_000)]
+    assert len(mesh_source.joined(two)) == 4_000
+    # a file of 2,000 splits, as rows
+    mesh_source.register(spark)
+    soup = spark.range(2_000).select(*[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(mesh_source.CORNERS)])
+    folder = f"file://{tmp_path}/stl"
+    mesh_source.write_stl(soup.coalesce(1), folder)
+    back = spark.read.format("stl").option("splitBytes", 50).load(folder)
+    assert back.rdd.getNumPartitions() <= mesh_source.SPLITS
+    assert sorted(r["f"] for r in back.select("f").collect()) == list(range(2_000))
