@@ -86,3 +86,16 @@ def test_each_pair_is_arranged_once(monkeypatch):
     pairs = [([one], [x]) for x in (one, one + 1, one * 0.5 + 0.1, one * 2 - 0.5, one + 9)]
     assert solids.interactions(pairs) == ["equal", "intersection", "b_inside_a", "a_inside_b", "separated"]
     assert calls == [50, 10, 5]
+
+
+def test_equal_segments_are_tried_once(spark):
+    from geoloom.operators import joins
+
+    lines = [(7 * i + 1, 0.0, 0.0, 4.0, 4.0) for i in range(40)] + [(7 * i + 2, 0.0, 4.0, 4.0, 0.0) for i in range(40)] + [(1000, 2.0, 90.0, 2.5, 95.0), (1001, 4.0, 4.0, 9.0, 4.0)]
+    found = joins.segment_meetings(spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double"), 8.0)
+    rows = [tuple(r) for r in found.select("a", "b", "t", "u").collect()]
+    first, second = ([i for i, _, y, *_ in lines[:80] if y == at] for at in (0, 4))
+    want = {(min(p, q), max(p, q), 0.5, 0.5) for p in first for q in second} | {(p, 1001, 1.0, 0.0) for p in first}
+    assert len(rows) == len(want) and set(rows) == want
+    # pairs meet in cells of both axes
+    assert any("_x#" in line and "_y#" in line for line in plan_of(found).splitlines() if "Join Inner" in line)
