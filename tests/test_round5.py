@@ -99,3 +99,24 @@ def test_equal_segments_are_tried_once(spark):
     assert len(rows) == len(want) and set(rows) == want
     # pairs meet in cells of both axes
     assert any("_x#" in line and "_y#" in line for line in plan_of(found).splitlines() if "Join Inner" in line)
+
+
+def test_parts_of_a_cut_share_one_middle(spark):
+    from geoloom.operators import cuts
+    from geoloom.plans.bindings import CUBE, CUBE_FACES
+
+    # a cuboid whose outline has a mean that lies between two values of nine digits, so that it depends on the order
+    rows = [(m, n, *[at + side * CUBE[v][i] for v in face for i, (at, side) in enumerate(((0.0, 2.3), (5.0, 1.0), (5.0, 2.0)))]) for m in range(4) for n, face in enumerate(CUBE_FACES)]
+    soup = spark.createDataFrame(rows, "mesh long, f long, " + ", ".join(f"{c}{x} double" for c in "abc" for x in "xyz"))
+    normal = (-0.06, -0.04, 1.0)
+    distance = (1.15 * -0.06 + 5.5 * -0.04 + 5.9) / math.sqrt(1.0052)
+    outlines = cuts.contact_loops(soup, normal, distance)
+    parts = cuts.split(soup, normal, distance, loops=outlines)
+    assert "avg(" not in plan_of(parts)
+    assert "avg(" not in plan_of(cuts.split(soup, normal, distance))
+    below_and_above = parts.withColumn("mesh", F.col("mesh") * 2 + F.col("above").cast("long"))
+    vertices, faces = mesh.weld(below_and_above, 7)
+    assert mesh.with_corners(faces, vertices).count() == faces.count() == 4 * 44
+    assert all(r["open"] == 0 and r["unpaired"] == 0 for r in mesh.unpaired_edges(faces).collect())
+    sums = {r["m"]: r["v"] for r in mesh.solid_measures(below_and_above).groupBy(F.floor(F.col("mesh") / 2).alias("m")).agg(F.sum("volume").alias("v")).collect()}
+    assert all(abs(v - 4.6) < 1e-6 for v in sums.values()) and len(sums) == 4
